@@ -5,14 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomledger.operators import urls
+from loomledger.sources.tables import url_records
 
 
 def _modules() -> list:
-    return []
+    from loomledger.plans import url_queries
+
+    return [url_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    """Canonical addresses, merged, with their kinds, counted by domain."""
+    merged = urls.first_wins(urls.canonicalize(url_records(spark, sf_dir)).where("reject is null"), "canonical_url", "line")
+    kinds = urls.classify_kind(merged, "canonical_url")
+    counted = kinds.groupBy("domain").agg(F.count(F.lit(1)).alias("urls"), *(F.count_if(F.col("kind") == k).alias(k) for k in ("listing", "detail", "sitemap", "unknown")))
+    return counted.orderBy(F.desc("urls"), "domain")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
