@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomledger.llm import ann, bpe, packing, quality, simhash, suffix_dedup, topk, toxicity
+from loomledger.llm import ann, bpe, licenses, lmscore, packing, quality, simhash, suffix_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: Vocabulary and smoothing mass of the language models.
+LM_WORDS, LM_MASS = 1000, 4.0
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Background: all documents. Target: those labelled good and not toxic. Scores are rounded to six digits."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 and toxic = 0").select("doc_id")
+    scored = lmscore.score(docs, docs.join(good, "doc_id", "left_semi"), LM_WORDS, LM_MASS)
+    return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, output="digests")
 
@@ -42,14 +55,21 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=50, keep_bytes=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op3_byte_bpe, op4_exact_topk, op5_toxicity, op6_simhash, op7_posting_lists, op8_quality, op10_suffix_dedup)
+    found = (op1_best_fit_packing, op2_lm_score, op3_byte_bpe, op4_exact_topk, op5_toxicity, op6_simhash, op7_posting_lists, op8_quality, op9_licenses, op10_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_lm_score": lmscore.oracle_sql(LM_WORDS, LM_MASS),
+        "op9_licenses": licenses.oracle_sql(),
+    }
