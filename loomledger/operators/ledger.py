@@ -161,8 +161,8 @@ def reclaim(items: DataFrame, now: Column, most: int | None = None) -> DataFrame
     """Leases that have run out go back to the queue; with most, an item leased so often fails for good."""
     over = (F.col("work_state") == "leased") & (F.col("lease_expires_at") <= now)
     state = F.when(F.col("attempts") >= most, "failed").otherwise("queued") if most is not None else F.lit("queued")
-    out = items.withColumn("work_state", F.when(over, state).otherwise(F.col("work_state")))
-    return out.withColumns({"lease_id": F.when(~over, F.col("lease_id")), "lease_expires_at": F.when(~over, F.col("lease_expires_at"))})
+    over = F.coalesce(over, F.lit(False))
+    return items.withColumns({"work_state": F.when(over, state).otherwise(F.col("work_state")), "lease_id": F.when(~over, F.col("lease_id")), "lease_expires_at": F.when(~over, F.col("lease_expires_at"))})
 
 
 def apply_reports(items: DataFrame, attempts: DataFrame, reports: DataFrame, batch: DataFrame, lease_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -53,7 +53,10 @@ SCREEN_MARKER = r"esc to interrupt|Working \("
 SCREEN_RULES = (("blocked", "Do you want to"), ("capacity", "is at capacity"), ("done", "Context compacted"), ("stuck-input", r"(?m)^\s*❯[^\S\n]+\S"))
 
 # Marks of bot checks.
-CHALLENGE_MARKS = ("just a moment", "checking your browser", "cf-challenge", "captcha", "are you a robot", "access denied", "verify you are human")
+CHALLENGE_MARKS = (
+    "Sorry, you have been blocked", "Checking your browser before accessing", "cf-browser-verification", "Just a moment...", "__cf_chl_",
+    "Attention Required! | Cloudflare", "Enable JavaScript and cookies to continue",
+)
 
 
 def visible(html: Column) -> Column:
@@ -139,7 +142,7 @@ def text_flags(df: DataFrame, text: str, thin: int = THIN_CHARS) -> DataFrame:
 
 def challenge(df: DataFrame, text: str, title: str, marks: tuple[str, ...] = CHALLENGE_MARKS) -> DataFrame:
     """Add challenge: any mark in the title or in the first 4000 characters."""
-    both = F.lower(F.concat_ws(" ", F.col(title), F.substring(text, 1, 4000)))
+    both = F.concat_ws("\n", F.col(title), F.substring(text, 1, 4000))
     hit = F.lit(False)
     for mark in marks:
         hit = hit | both.contains(mark)

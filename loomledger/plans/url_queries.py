@@ -12,7 +12,7 @@ from loomledger.sources.tables import PAGE_LINKS_SQL, URL_RECORDS_SQL, page_link
 
 _DOMAIN_RULES = [("spam-farm.example.org", "page", "drop"), ("spam-farm.example.org", "ref", "keep"), ("ththin.example.com", "utm_source", "keep")]
 _PATTERNS = [("listing", "/*/*.html", None), ("detail", "/en/*", None), ("detail", "/fr/*", None), ("listing", "/en/**", "spam-farm.example.org"), ("listing", "bad pattern", None)]
-_EXCLUDED_PATHS = ["/fr/*", "/**.html", "/es/*"][:1] + ["/es/*"]
+_EXCLUDED_PATHS = ["/fr/*", "/es/*"]
 _EXCLUDED_KEYS = ["ref", "utm_source"]
 _LISTED = ["example.org", "www.cheap-pills.example.com", "ththin.example.com"]
 _ROBOTS = [
