@@ -20,7 +20,7 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "key", value:
 
 
 def disappeared(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    return before.select(key).exceptAll(after.select(key)).distinct()
+    return before.select(key).subtract(after.select(key))
 
 
 def reappeared(flagged: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -69,7 +69,7 @@ def reconcile_keys(schema: DataFrame, example: DataFrame, settings: DataFrame, s
     finding = lambda df, check, key, detail: df.select(F.lit(check).alias("check"), F.col(key).alias("key"), detail.alias("detail"))
     a = finding(symmetric_difference(schema, example, "key"), "A", "key", F.col("side"))
     envs = settings.select("env").distinct()
-    wanted = schema.where("required").select("key").crossJoin(F.broadcast(envs))
+    wanted = schema.where("required").select("key").crossJoin(envs)
     b = finding(wanted.join(plain, ["env", "key"], "left_anti"), "B", "key", F.col("env"))
     c = finding(services.join(schema.select("key"), "key", "left_anti"), "C", "key", F.concat_ws("/", "env", "service")).distinct()
     one = lambda df, env: df.where(F.col("env") == env)
@@ -93,7 +93,7 @@ def canonical_sort(keys: DataFrame, reference: DataFrame) -> DataFrame:
     """Keys in the order of a reference list: unknown ones last, the plain key before its scoped ones, else as they stood. keys: key, ord; reference: key, rank."""
     base = F.regexp_replace("key", "@.*$", "")
     ranks = reference.select(F.col("key").alias("_base"), "rank")
-    out = keys.withColumn("_k", base).join(F.broadcast(ranks), F.col("_k") == F.col("_base"), "left")
+    out = keys.withColumn("_k", base).join(ranks, F.col("_k") == F.col("_base"), "left")
     out = out.withColumns({"known": F.col("rank").isNotNull(), "scoped": F.col("key").contains("@")})
     return out.orderBy(F.desc("known"), F.asc_nulls_last("rank"), "scoped", "ord").drop("_k", "_base")
 
