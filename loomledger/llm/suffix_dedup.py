@@ -36,7 +36,8 @@ from loomledger.llm.common import split_batches, text_bytes
 
 #: A perfect difference set: every residue modulo 13 is a difference of two of its members.
 COVER_MODULUS, COVER = 13, (0, 1, 3, 9)
-_K = 26
+#: Bytes of the grams that minimizers are chosen from, and bits of their hashes that are exchanged beside the bucket.
+_K, _TOLD = 26, 40
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -129,12 +130,41 @@ def suffix_groups(text: np.ndarray, residue: np.ndarray, suffixes: np.ndarray, l
     return group
 
 
-def _shared(blobs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-    """Of (hashes, shared flags, documents, positions) those whose hash is flagged or has several documents."""
-    hashes = np.concatenate([b[0] for b in blobs])
-    flags = np.concatenate([b[1] for b in blobs])
-    docs = np.concatenate([b[2] for b in blobs])
-    at = np.concatenate([b[3] for b in blobs])
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed string, behind its size and theirs."""
+    raw = b"".join(a.tobytes() for a in arrays)
+    head = np.array([len(raw), *(len(a) for a in arrays)], dtype=np.int64)
+    return head.tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, *types) -> list[np.ndarray]:
+    head = np.frombuffer(blob, np.int64, 1 + len(types))
+    raw, at, out = pa.decompress(blob[8 * len(head) :], int(head[0]), codec="zstd", asbytes=True), 0, []
+    for n, kind in zip(head[1:].tolist(), types, strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def _places(row: np.ndarray, docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in order of row, as documents (each one's difference from the one before), places a document and differences of positions."""
+    edge = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+    starts = np.flatnonzero(edge)
+    who = docs[row[starts]]
+    steps = np.diff(at, prepend=0)
+    steps[starts] = at[starts]
+    return np.diff(who, prepend=0), np.diff(np.r_[starts, len(row)]).astype(np.uint32), steps.astype(np.uint32)
+
+
+def _placed(who: np.ndarray, counts: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The documents and positions of _places."""
+    counts, total = counts.astype(np.int64), np.cumsum(steps.astype(np.int64))
+    starts = np.cumsum(counts) - counts
+    return np.repeat(np.cumsum(who), counts), total - np.repeat(total[starts] - steps[starts], counts)
+
+
+def _shared(hashes: np.ndarray, flags: np.ndarray, docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and positions of those whose hash is flagged or has several documents."""
     order = np.argsort(hashes, kind="stable")
     hashes, flags, docs, at = hashes[order], flags[order], docs[order], at[order]
     starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
@@ -145,53 +175,63 @@ def _shared(blobs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
     return docs[keep], at[keep]
 
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(_TOLD)) % np.uint64(buckets)).astype(np.int64)
+
+
 def shared_anchors(texts: DataFrame, length: int, buckets: int, per_batch: int = 4 << 20) -> DataFrame:
-    """doc (a number) and positions of the minimizers that several documents have. texts: doc long, text."""
+    """doc (a number) and positions of the minimizers that several documents have. texts: doc long, text.
+
+    Of a hash its bucket and _TOLD more bits travel: a chance agreement only costs a comparison later."""
 
     def ask(batches):
         for batch in split_batches(batches, "text", per_batch):
             raw, offsets = text_bytes(batch.column("text"))
             found = anchors(raw, offsets, length)
-            doc = np.asarray(batch.column("doc"), dtype=np.int64)[found["row"]]
-            at = (found["at"] - offsets[found["row"]]).astype(np.int64)
-            order = np.argsort(found["hash"], kind="stable")
-            hashes, doc, at = found["hash"][order], doc[order], at[order]
+            docs = np.asarray(batch.column("doc"), dtype=np.int64)
+            row, hashes = found["row"], found["hash"]
+            at = (found["at"] - offsets[row]).astype(np.int64)
             if not len(hashes):
                 continue
-            starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-            counts = np.diff(np.r_[starts, len(hashes)])
+            order = np.argsort(hashes, kind="stable")
+            sorted_, doc = hashes[order], docs[row[order]]
+            starts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
             several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
             # Known to be shared already: an answer, dealt anywhere, and one question for the other batches' sake.
-            answered = np.repeat(several, counts)
-            first = np.zeros(len(hashes), dtype=bool)
-            first[starts] = True
-            q = np.flatnonzero(~answered | first)
-            bucket = ((hashes[q] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            answered, asked = np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=bool)
+            answered[order] = np.repeat(several, np.diff(np.r_[starts, len(hashes)]))
+            asked[order[starts]] = True
+            q = np.flatnonzero(asked | ~answered)
+            bucket = _bucket(hashes[q], buckets)
             by = np.argsort(bucket, kind="stable")
             q, q_cuts = q[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
             a = np.flatnonzero(answered)
             a_cuts = np.linspace(0, len(a), buckets + 1).astype(np.int64)
-            used = [b for b in range(buckets) if q_cuts[b] < q_cuts[b + 1] or a_cuts[b] < a_cuts[b + 1]]
-            at = at.astype(np.int32)
-            questions = [(q, q_cuts, x) for x in (hashes, answered, doc, at)] + [(a, a_cuts, x) for x in (doc, at)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), *(pa.array([x[rows[cuts[b] : cuts[b + 1]]].tobytes() for b in used], pa.binary()) for rows, cuts, x in questions)],
-                names=["bucket", "hashes", "flags", "docs", "at", "known_docs", "known_at"],
-            )
-
-    questions = texts.mapInArrow(ask, "bucket int, hashes binary, flags binary, docs binary, at binary, known_docs binary, known_at binary")
+            told = hashes & np.uint64((1 << _TOLD) - 1)
+            used, blobs = [], []
+            for b in range(buckets):
+                i, j = q[q_cuts[b] : q_cuts[b + 1]], a[a_cuts[b] : a_cuts[b + 1]]
+                if len(i) + len(j):
+                    used.append(b)
+                    blobs.append(_packed((told[i] >> np.uint64(8)).astype(np.uint32), told[i].astype(np.uint8), answered[i], *_places(row[i], docs, at[i]), *_places(row[j], docs, at[j])))
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def answer(batches):
-        open_, known_docs, known_at = {}, [], []
+        open_: dict[int, list] = {}
         for batch in batches:
-            for b, h, f, d, p, kd, kp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                open_.setdefault(b, []).append((np.frombuffer(h, np.uint64), np.frombuffer(f, bool), np.frombuffer(d, np.int64), np.frombuffer(p, np.int32)))
-                known_docs.append(np.frombuffer(kd, np.int64))
-                known_at.append(np.frombuffer(kp, np.int32))
-        for docs, at in [*(_shared(blobs) for blobs in open_.values()), *zip(known_docs, known_at, strict=True)]:
-            for low in range(0, len(docs), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(docs[low : low + (1 << 18)]), pa.array(at[low : low + (1 << 18)])], names=["doc", "at"])
-
+            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                open_.setdefault(b, []).append(blob)
+        for b in sorted(open_):
+            asked, known = [], []
+            for blob in open_.pop(b):
+                high, low, flags, *places = _unpacked(blob, np.uint32, np.uint8, bool, np.int64, np.uint32, np.uint32, np.int64, np.uint32, np.uint32)
+                asked.append((high.astype(np.uint64) << np.uint64(8) | low, flags, *_placed(*places[:3])))
+                known.append(_placed(*places[3:]))
+            for docs, at in (_shared(*(np.concatenate(c) for c in zip(*asked, strict=True))), *known):
+                for low in range(0, len(docs), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[low : low + (1 << 18)]), pa.array(at[low : low + (1 << 18)].astype(np.int32))], names=["doc", "at"])
+
+    questions = texts.mapInArrow(ask, "bucket int, blob binary")
     pairs = questions.repartition(buckets, "bucket").mapInArrow(answer, "doc long, at int")
     return pairs.groupBy("doc").agg(F.collect_list("at").alias("positions"))
 
@@ -210,24 +250,29 @@ def stretches(asked: DataFrame, length: int, buckets: int) -> DataFrame:
                 counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
                 wanted = np.asarray(pc.list_flatten(lists), dtype=np.int64) + np.repeat(offsets[:-1], counts)
                 keep = np.flatnonzero(np.isin(found["at"], wanted))
-                doc, key = (np.asarray(batch.column(c), dtype=np.int64)[found["row"][keep]] for c in ("doc", "key"))
-                first, last, at = (found[c][keep] for c in ("first", "last", "at"))
-                bucket = ((found["hash"][keep] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                for b in np.unique(bucket):
-                    i = np.flatnonzero(bucket == b)
+                row, first, last, at = (found[c][keep] for c in ("row", "first", "last", "at"))
+                docs, keys = (np.asarray(batch.column(c), dtype=np.int64) for c in ("doc", "key"))
+                bucket = _bucket(found["hash"][keep], buckets)
+                by = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+                used, blobs = [], []
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    i = by[cuts[b] : cuts[b + 1]]
                     size = last[i] - first[i] + length
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([b], pa.int32()),
-                            *(
-                                pa.array([x.tobytes()], pa.binary())
-                                for x in (doc[i], key[i], (first[i] - offsets[found["row"][keep][i]]).astype(np.int32), (at[i] - first[i]).astype(np.uint8), size.astype(np.uint8), _gather(raw, first[i], size))
-                            ),
-                        ],
-                        names=["bucket", "docs", "rows", "first", "lead", "size", "bytes"],
-                    )
+                    who, times, steps = _places(row[i], docs, first[i] - offsets[row[i]])
+                    here = row[i][np.cumsum(times) - times]
+                    used.append(b)
+                    blobs.append(_packed(who, keys[here], times, steps, (at[i] - first[i]).astype(np.uint8), size.astype(np.uint8), _gather(raw, first[i], size)))
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    return asked.mapInArrow(run, "bucket int, blob binary")
 
-    return asked.mapInArrow(run, "bucket int, docs binary, rows binary, first binary, lead binary, size binary, bytes binary")
+
+def _stretches_of(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Document, row key, first start, lead, size and bytes of a blob's stretches."""
+    who, keys, times, steps, lead, size, text = _unpacked(blob, np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint8)
+    doc, first = _placed(who, times, steps)
+    return doc, np.repeat(keys, times), first, lead.astype(np.int64), size.astype(np.int64), text
 
 
 def repeated_starts(doc: np.ndarray, key: np.ndarray, first: np.ndarray, lead: np.ndarray, size: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,6 +336,67 @@ def _merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_bytes, the kept bytes of every row."""
+
+    def finish(batches):
+        for whole in batches:
+            for batch in split_batches(iter([whole]), "text", 4 << 20):
+                out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+                for n, removed, spans, own in _kept(batch, length):
+                    kept = own.tobytes()
+                    for c, v in zip(out, (n, removed, spans, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None), strict=True):
+                        out[c].append(v)
+                types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.binary()} if keep_bytes else {})
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(out[c], type=t) for c, t in types.items())], names=["doc_id", *types])
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
+    return _with_spans(docs, length, id_col, text_col).select("doc", "text", "keeps", "spans").mapInArrow(finish, schema)
+
+
+def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The rows of docs, with all their columns, their texts without the repeated bytes (what is left of a character cut through goes too) and the number of characters anew."""
+    columns = docs.columns
+
+    def finish(batches):
+        for whole in batches:
+            at = 0
+            for batch in split_batches(iter([whole]), "text", 4 << 20):
+                texts = pa.array([own.tobytes().decode("utf-8", "ignore") for _, _, _, own in _kept(batch, length)], pa.string())
+                row = whole.slice(at, batch.num_rows).column("row")
+                at += batch.num_rows
+                fields = {f.name: row.field(i) for i, f in enumerate(row.type)} | {text_col: texts}
+                if chars_col in fields:
+                    fields[chars_col] = pc.utf8_length(texts).cast(fields[chars_col].type)
+                yield pa.RecordBatch.from_arrays([fields[c] for c in columns], names=columns)
+
+    row = F.struct(*(F.col(f"`{c}`") for c in columns if c != text_col), F.lit(None).cast("string").alias(text_col)).alias("row")
+    return _with_spans(docs, length, id_col, text_col, row).select("text", "keeps", "spans", "row").mapInArrow(finish, docs.schema)
+
+
+def _kept(batch: pa.RecordBatch, length: int):
+    """Bytes, removed bytes, removed runs and what is left of every text of a batch of text, keeps, spans."""
+    raw, offsets = text_bytes(batch.column("text"))
+    keeps, lists = batch.column("keeps").to_pylist(), batch.column("spans")
+    counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+    flat, at = pc.list_flatten(lists), 0
+    lows, highs = (np.asarray(pc.struct_field(flat, f), dtype=np.int64) for f in ("low", "high"))
+    for i in range(batch.num_rows):
+        own, n = raw[offsets[i] : offsets[i + 1]], int(offsets[i + 1] - offsets[i])
+        removed, spans = 0, 0
+        if not keeps[i] and n >= length:
+            removed, spans, own = n, 1, own[:0]
+        elif counts[i] and keeps[i]:
+            first, last = _merged(lows[at : at + counts[i]], highs[at : at + counts[i]])
+            mark = np.zeros(n + 1, dtype=np.int8)
+            mark[first] = 1
+            mark[last] -= 1
+            own = own[np.cumsum(mark[:n], dtype=np.int32) == 0]
+            removed, spans = int((last - first).sum()), len(first)
+        at += counts[i]
+        yield n, removed, spans, own
+
+
+def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str, *more) -> DataFrame:
+    """doc, text, keeps (no smaller document has the whole text), spans (low, high) that go, and more columns, of every row."""
     spark = docs.sparkSession
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -306,50 +412,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     def dedup(batches):
         held: dict[int, list] = {}
         for batch in batches:
-            for b, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(b, []).append(parts)
+            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                held.setdefault(b, []).append(blob)
         for b in sorted(held):  # one bucket at a time
-            parts = held.pop(b)
-            doc, key, first, lead, size, text = (np.concatenate([np.frombuffer(p[i], t) for p in parts]) for i, t in enumerate((np.int64, np.int64, np.int32, np.uint8, np.uint8, np.uint8)))
-            if not len(doc):
-                continue
-            who, low, high = repeated_starts(doc, key, first.astype(np.int64), lead.astype(np.int64), size.astype(np.int64), text, length)
+            parts = [np.concatenate(c) for c in zip(*map(_stretches_of, held.pop(b)), strict=True)]
+            who, low, high = repeated_starts(*parts, length)
             for i in range(0, len(who), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(who[i : i + (1 << 18)]), pa.array(low[i : i + (1 << 18)]), pa.array(high[i : i + (1 << 18)] + length)], names=["key", "low", "high"])
 
     spans = stretches(asked, length, buckets).repartition(buckets, "bucket").mapInArrow(dedup, "key long, low long, high long")
     by_row = spans.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     kept = keepers.select("key", F.lit(True).alias("keeps")).join(by_row, "key", "left")
-    with_spans = rows.join(kept, "key", "left")
-
-    def finish(batches):
-        for whole in batches:
-            for batch in split_batches(iter([whole]), "text", 4 << 20):
-                raw, offsets = text_bytes(batch.column("text"))
-                kept_of, out = batch.column("keeps").to_pylist(), {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-                lists = batch.column("spans")
-                counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
-                flat = pc.list_flatten(lists)
-                lows, highs = (np.asarray(pc.struct_field(flat, f), dtype=np.int64) for f in ("low", "high"))
-                at = 0
-                for i in range(batch.num_rows):
-                    own, n = raw[offsets[i] : offsets[i + 1]], int(offsets[i + 1] - offsets[i])
-                    removed, spans_ = 0, 0
-                    if not kept_of[i] and n >= length:
-                        removed, spans_, own = n, 1, own[:0]
-                    elif counts[i] and kept_of[i]:
-                        first, last = _merged(lows[at : at + counts[i]], highs[at : at + counts[i]])
-                        mark = np.zeros(n + 1, dtype=np.int8)
-                        mark[first] = 1
-                        mark[last] -= 1
-                        own = own[np.cumsum(mark[:n], dtype=np.int32) == 0]
-                        removed, spans_ = int((last - first).sum()), len(first)
-                    at += counts[i]
-                    kept = own.tobytes()
-                    for c, v in zip(out, (n, removed, spans_, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None), strict=True):
-                        out[c].append(v)
-                types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.binary()} if keep_bytes else {})
-                yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(out[c], type=t) for c, t in types.items())], names=["doc_id", *types])
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
-    return with_spans.select("doc", "text", F.coalesce("keeps", F.col("doc").isNull()).alias("keeps"), "spans").mapInArrow(finish, schema)
+    if more:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col).cast("long"), F.sha2(text, 256)).alias("key"), text.alias("text"), *more)
+    return rows.join(kept, "key", "left").withColumn("keeps", F.coalesce("keeps", F.col("doc").isNull()))
