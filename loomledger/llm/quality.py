@@ -199,6 +199,21 @@ def fit(docs: DataFrame, learnable: DataFrame, sample: int = 6000, hashed: int =
     return FactorisationMachine.fitted(examples, hashed + sum(len(ends) + 1 for ends in BINS.values()))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 4, held_out: int = 2, threshold: float = 0.7, sample: int = 6000, hashed: int = 1 << 15) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least the threshold."""
+    machine = docs.sparkSession.sparkContext.broadcast(fit(docs, labelled(labels, label, fold, held_out), sample, hashed))
+
+    def run(batches):
+        for whole in batches:
+            at = 0
+            for batch in split_batches(iter([whole]), "text", 4 << 20):
+                score = machine.value.scores(batch.num_rows, *features(batch.column("text"), hashed))
+                yield whole.slice(at, batch.num_rows).filter(pa.array(score >= threshold))
+                at += batch.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 4, held_out: int = 2, threshold: float = 0.7, sample: int = 6000, hashed: int = 1 << 15) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     machine = docs.sparkSession.sparkContext.broadcast(fit(docs, labelled(labels, label, fold, held_out), sample, hashed))

@@ -118,6 +118,12 @@ def fingerprint_links(classes: DataFrame, dense: int = 48) -> DataFrame:
     return links.distinct()
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are the smallest document of their component. Rows without an id stay."""
+    others = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(others, id_col, "left_anti").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest doc_id that links reach."""
     found = written(fingerprints(docs, id_col, text_col), "fingerprints")

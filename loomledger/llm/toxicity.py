@@ -317,18 +317,34 @@ def fit(docs: DataFrame, learnable: DataFrame, toxic: int = 1500, clean: int = 3
     return _trained([(label, total[label] / count[label], words.split("\n") if words else []) for label, words in gathered], landmarks)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 5, held_out: int = 0, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores under the threshold."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labelled(labels, label, fold, held_out)))
+
+    def run(batches):
+        for whole in batches:
+            at = 0
+            for batch in split_batches(iter([whole]), "text", 8 << 20):
+                yield whole.slice(at, batch.num_rows).filter(pa.array(_probabilities(model.value, batch.column("text")) < threshold))
+                at += batch.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _probabilities(model: ToxicityModel | None, column: pa.Array) -> np.ndarray:
+    if model is None:
+        return np.zeros(len(column))
+    rows, index, names = document_words(column)
+    return model.probabilities(model.evidence(len(column), rows, index, model.word_scores(names)))
+
+
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 5, held_out: int = 0, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labelled(labels, label, fold, held_out)))
 
     def run(batches):
         for batch in split_batches(batches, "text", 8 << 20):
-            fitted = model.value
-            if fitted is None:
-                found = np.zeros(batch.num_rows)
-            else:
-                rows, index, names = document_words(batch.column("text"))
-                found = fitted.probabilities(fitted.evidence(batch.num_rows, rows, index, fitted.word_scores(names)))
+            found = _probabilities(model.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
