@@ -66,8 +66,8 @@ def sections(lines: DataFrame) -> DataFrame:
 
 def section_matches(lines: DataFrame, found: DataFrame, query: str, snippets: int = 2) -> DataFrame:
     """path, address (all: no section), strength (header or body) and up to two snippets of every section that holds a query. found: sections."""
-    starts = found.select("path", F.col("start_line").alias("_s"), "address", "title")
-    owned = lines.join(starts, (lines["path"] == starts["path"]) & (lines["line"] == F.col("_s") - 1), "left").drop(starts["path"])
+    starts = found.select(F.col("path").alias("_p"), F.col("start_line").alias("_s"), "address", "title")
+    owned = lines.join(starts, (F.col("path") == F.col("_p")) & (F.col("line") == F.col("_s") - 1), "left").drop("_p")
     order = Window.partitionBy("path").orderBy("line")
     owned = owned.withColumn("owner", F.coalesce(F.last("address", ignorenulls=True).over(order), F.lit("all")))
     hit = owned.where(F.lower("content").contains(query.lower())).withColumn("kind", F.when(F.col("_s").isNotNull(), STRENGTH["header"]).otherwise(STRENGTH["body"]))
