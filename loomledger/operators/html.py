@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomledger.functions import urls as U
-from loomledger.operators.urls import canonicalize
+from loomledger.operators.urls import canonicalize, resolved
 
 # Elements whose inside isn't shown, elements that end a line, landmarks, elements without an end.
 HIDDEN = frozenset("script style template svg math iframe object canvas noscript".split())
@@ -196,8 +196,7 @@ def extract_text(parsed: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def _with_base(parsed: DataFrame, url: str) -> DataFrame:
-    based = canonicalize(parsed.withColumn("_b", F.coalesce("base_href", url)), "_b", base=url)
-    return based.withColumn("_base", F.when(F.col("base_href").isNull(), F.col(url)).otherwise(F.coalesce("canonical_url", url))).drop("_b", "original_url", "canonical_url", "domain", "dropped", "reject")
+    return parsed.withColumn("_base", F.when(F.col("base_href").isNull(), F.col(url)).otherwise(resolved(F.col("base_href"), F.col(url))))
 
 
 def extract_links(parsed: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:

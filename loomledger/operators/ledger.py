@@ -235,10 +235,12 @@ def admit(records: DataFrame, policy: dict, accepted: DataFrame | None = None) -
     columns = records.columns
 
     def decide(new: pd.DataFrame, old: pd.DataFrame | None) -> pd.DataFrame:
+        if not len(new):
+            return pd.DataFrame(columns=[*columns, "why"])
         total, shapes, combos, faceted = 0, {}, {}, 0
-        if old is not None:
-            total, faceted = len(old), int(old["facet"].notna().sum())
-            shapes, combos = old["shape"].value_counts().to_dict(), old.loc[old["combo"] != "", "combo"].value_counts().to_dict()
+        if old is not None and len(old):
+            total, faceted = len(old), int(old["old_facet"].notna().sum())
+            shapes, combos = old["old_shape"].value_counts().to_dict(), old.loc[old["old_combo"] != "", "old_combo"].value_counts().to_dict()
         out = []
         for r in new.sort_values("line").itertuples(index=False):
             why = None
@@ -267,7 +269,9 @@ def admit(records: DataFrame, policy: dict, accepted: DataFrame | None = None) -
 
     if accepted is None:
         return records.groupBy("domain").applyInPandas(lambda new: decide(new, None), schema + ", why string")
-    return records.groupBy("domain").cogroup(accepted.groupBy("domain")).applyInPandas(lambda new, old: decide(new, old), schema + ", why string")
+    # New names: the accepted rows may come from the same table as the records.
+    before = accepted.select(F.col("domain").alias("of"), *(F.col(c).alias(f"old_{c}") for c in ("shape", "combo", "facet")))
+    return records.groupBy("domain").cogroup(before.groupBy("of")).applyInPandas(lambda new, old: decide(new, old), schema + ", why string")
 
 
 def readmit(parked: DataFrame, accepted: DataFrame, policy: dict) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ def canonicalize(df: DataFrame, url: str = "url", base: str | None = None, keep:
     out = df.withColumn("original_url", original)
     absolute = original
     if base is not None:
-        absolute = _resolved(original, F.col(base))
+        absolute = resolved(original, F.col(base))
     out = out.withColumn("_u", F.coalesce(absolute, F.lit("")))
     u = F.col("_u")
     domain = U.host(u)
@@ -62,7 +62,7 @@ def canonicalize(df: DataFrame, url: str = "url", base: str | None = None, keep:
     )
 
 
-def _resolved(url: Column, base: Column) -> Column:
+def resolved(url: Column, base: Column) -> Column:
     """A reference resolved against a base address."""
     root = F.concat(U.scheme(base), F.lit("://"), U.authority(base))
     folder = F.regexp_replace(F.when(U.path(base) == "", "/").otherwise(U.path(base)), "[^/]*$", "")

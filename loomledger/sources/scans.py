@@ -168,7 +168,7 @@ def read_robots(df: DataFrame, host: str, text: str) -> tuple[DataFrame, DataFra
 
 
 def read_kv_keys(spark: SparkSession, path: str) -> DataFrame:
-    """file, key and line of the first time each key is set. Values are never read into the result."""
+    """file, key and line of the first time each key is set. Values are never read into the result. Spark skips files whose names begin with a dot."""
     lines = text_lines(spark, path)
     keyed = lines.where(~F.col("content").rlike(r"^\s*(#|$)")).select("file", "line", F.regexp_extract("content", r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*(?:@[A-Za-z0-9_\-]+)?)\s*=", 1).alias("key")).where("key <> ''")
     return keyed.groupBy("file", "key").agg(F.min("line").alias("line"))
