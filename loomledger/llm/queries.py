@@ -27,7 +27,8 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Background: all documents. Target: those labelled good and not toxic. Scores are rounded to six digits."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 and toxic = 0").select("doc_id")
-    scored = lmscore.score(docs, docs.join(good, "doc_id", "left_semi"), LM_WORDS, LM_MASS)
+    # Both sides are dealt by id at every size: the labels grow with the corpus, so they are never broadcast.
+    scored = lmscore.score(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"), LM_WORDS, LM_MASS)
     return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
