@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from loomledger.llm.common import split_batches, written
 
 #: From which share of the capacity on a length counts as large: the plan with the fewest sequences is taken.
-LARGE = (0.5, 0.4, 0.3)
+LARGE = (0.5, 0.3, 0.2)
 #: White space, in RE2's syntax, as the pre-tokenisation pattern's \s has it.
 _SPACES = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]{2}|\x{00}"
 

@@ -80,6 +80,20 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, k: int = _K) -> d
     return {"row": row[starts[first]].astype(np.int64), "hash": hashes[at], "at": at, "first": starts[first], "last": starts[last]}
 
 
+def batch_anchors(batch: pa.RecordBatch, length: int, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Bytes and offsets of a batch's texts, and their anchors, found a piece at a time to bound memory."""
+    raw, offsets = text_bytes(batch.column("text"))
+    parts, row = [], 0
+    for part in split_batches(iter([batch.select(["text"])]), "text", piece):
+        found = anchors(*text_bytes(part.column("text")), length)
+        for c in ("at", "first", "last"):
+            found[c] += offsets[row]
+        found["row"] += row
+        parts.append(found)
+        row += part.num_rows
+    return raw, offsets, {c: np.concatenate([p[c] for p in parts]) for c in ("row", "hash", "at", "first", "last")}
+
+
 def _gather(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     stop = np.cumsum(size)
     return raw[np.repeat(begin - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
@@ -179,15 +193,14 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(_TOLD)) % np.uint64(buckets)).astype(np.int64)
 
 
-def shared_anchors(texts: DataFrame, length: int, buckets: int, per_batch: int = 4 << 20) -> DataFrame:
+def shared_anchors(texts: DataFrame, length: int, buckets: int, per_batch: int = 16 << 20) -> DataFrame:
     """doc (a number) and positions of the minimizers that several documents have. texts: doc long, text.
 
     Of a hash its bucket and _TOLD more bits travel: a chance agreement only costs a comparison later."""
 
     def ask(batches):
         for batch in split_batches(batches, "text", per_batch):
-            raw, offsets = text_bytes(batch.column("text"))
-            found = anchors(raw, offsets, length)
+            _, offsets, found = batch_anchors(batch, length)
             docs = np.asarray(batch.column("doc"), dtype=np.int64)
             row, hashes = found["row"], found["hash"]
             at = (found["at"] - offsets[row]).astype(np.int64)
@@ -232,7 +245,7 @@ def shared_anchors(texts: DataFrame, length: int, buckets: int, per_batch: int =
                     yield pa.RecordBatch.from_arrays([pa.array(docs[low : low + (1 << 18)]), pa.array(at[low : low + (1 << 18)].astype(np.int32))], names=["doc", "at"])
 
     questions = texts.mapInArrow(ask, "bucket int, blob binary")
-    pairs = questions.repartition(buckets, "bucket").mapInArrow(answer, "doc long, at int")
+    pairs = questions.repartition(max(1, buckets // 2), "bucket").mapInArrow(answer, "doc long, at int")
     return pairs.groupBy("doc").agg(F.collect_list("at").alias("positions"))
 
 
@@ -241,9 +254,8 @@ def stretches(asked: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in split_batches(iter([whole]), "text", 4 << 20):
-                raw, offsets = text_bytes(batch.column("text"))
-                found = anchors(raw, offsets, length)
+            for batch in split_batches(iter([whole]), "text", 16 << 20):
+                raw, offsets, found = batch_anchors(batch, length)
                 if not len(found["row"]):
                     continue
                 lists = batch.column("positions")
@@ -398,7 +410,8 @@ def _kept(batch: pa.RecordBatch, length: int):
 def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str, *more) -> DataFrame:
     """doc, text, keeps (no smaller document has the whole text), spans (low, high) that go, and more columns, of every row."""
     spark = docs.sparkSession
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # More buckets than partitions: a task sorts them one at a time, and their sizes even out.
+    buckets = 2 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col).cast("long"), F.sha2(text, 256)).alias("key"), text.alias("text"))
     # Exact copies: the smallest document of each text is compared, the others repeat it.
@@ -420,7 +433,7 @@ def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str, *more)
             for i in range(0, len(who), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(who[i : i + (1 << 18)]), pa.array(low[i : i + (1 << 18)]), pa.array(high[i : i + (1 << 18)] + length)], names=["key", "low", "high"])
 
-    spans = stretches(asked, length, buckets).repartition(buckets, "bucket").mapInArrow(dedup, "key long, low long, high long")
+    spans = stretches(asked, length, buckets).repartition(buckets // 2, "bucket").mapInArrow(dedup, "key long, low long, high long")
     by_row = spans.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     kept = keepers.select("key", F.lit(True).alias("keeps")).join(by_row, "key", "left")
     if more:
