@@ -43,6 +43,14 @@ def audit_artifacts(artifacts: DataFrame, files: DataFrame) -> DataFrame:
     return out.select(F.coalesce("path", "_p").alias("path"), finding.alias("finding"))
 
 
+def evidence_states(artifacts: DataFrame, attempts: DataFrame, files: DataFrame) -> DataFrame:
+    """artifact_id, item_id and state (ok, missing, size_mismatch, sha_mismatch) of every artifact, for check_judgments. artifacts: artifact_id, attempt_id, path, byte_size, sha256; attempts: attempt_id, item_id; files: path, byte_size, sha256."""
+    listed = files.select("path", F.col("byte_size").alias("_size"), F.col("sha256").alias("_sha"))
+    out = artifacts.join(attempts.select("attempt_id", "item_id"), "attempt_id", "left").join(listed, "path", "left")
+    state = F.when(F.col("_size").isNull(), "missing").when(F.col("_size") != F.col("byte_size"), "size_mismatch").when(F.col("_sha") != F.col("sha256"), "sha_mismatch").otherwise("ok")
+    return out.select("artifact_id", "item_id", state.alias("state"))
+
+
 def reconcile_index(items: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matched, missing, stale): items with a link to them or to anything under them, items without, links that fit no item. items, links: path."""
     parts = F.split("link", "/")

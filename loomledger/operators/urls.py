@@ -259,3 +259,11 @@ def external_hops(links: DataFrame, seeds: DataFrame, allow: list[str], most: in
         reached = checkpointed(reached.unionByName(better).groupBy("url").agg(F.min("hops").alias("hops")))
         frontier = better
     return reached.select("url", U.host(F.col("url")).alias("domain"), "hops")
+
+
+def host_verdict(hosts: DataFrame, addresses: DataFrame) -> DataFrame:
+    """host, verdict and addresses: allowed only if all of a host's addresses are public; hosts: host; addresses: host, address."""
+    found = addresses.select("host", U.ip_class(F.col("address")).alias("_c")).groupBy("host").agg(F.bool_and(F.coalesce(F.col("_c") == "public", F.lit(False))).alias("_all"), F.min(F.when(F.col("_c") != "public", F.col("_c"))).alias("_why"), F.count(F.lit(1)).alias("addresses"))
+    out = hosts.select("host").distinct().join(found, "host", "left")
+    verdict = F.when(F.col("_all").isNull(), "no_public_address").when(F.col("_all"), "allowed").when(F.col("_why").isNull(), "unreadable_address").otherwise(F.concat(F.lit("ip_"), F.col("_why")))
+    return out.select("host", verdict.alias("verdict"), F.coalesce("addresses", F.lit(0)).alias("addresses"))

@@ -347,3 +347,44 @@ def test_date_bounds(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(at)], "i int, t timestamp")
     assert rows(ledger.filter_dates(df, "t", "2024-01-05", "2024-01-05"), "i") == [(0,)]
     assert ledger.filter_dates(df, "t").count() == 3
+
+
+def test_host_verdicts_and_seeds(spark):
+    hosts = spark.createDataFrame([("a",), ("b",), ("c",)], "host string")
+    addresses = spark.createDataFrame([("a", "8.8.8.8"), ("a", "2606:4700::1"), ("b", "8.8.8.8"), ("b", "10.0.0.1")], "host string, address string")
+    assert sorted(rows(url_ops.host_verdict(hosts, addresses), "host", "verdict", "addresses")) == [("a", "allowed", 2), ("b", "ip_private", 2), ("c", "no_public_address", 0)]
+    declared = spark.createDataFrame([("a", "/m.xml"), ("a", "https://a.example/m.xml")], "host string, sitemap string")
+    roots = spark.createDataFrame([("a", "https://a.example/"), ("b", "https://b.example/")], "host string, root string")
+    assert sorted(rows(scans.sitemap_seeds(declared, roots), "url", "origin")) == [("https://a.example/m.xml", "declared"), ("https://b.example/sitemap.xml", "guess"), ("https://b.example/sitemap_index.xml", "guess")]
+
+
+def test_evidence_states(spark):
+    artifacts = spark.createDataFrame([(1, 10, "p1", 5, "x"), (2, 10, "p2", 5, "x"), (3, 11, "p3", 5, "x"), (4, 11, "p4", 5, "x")], "artifact_id long, attempt_id long, path string, byte_size long, sha256 string")
+    files = spark.createDataFrame([("p1", 5, "x"), ("p2", 6, "x"), ("p3", 5, "y")], "path string, byte_size long, sha256 string")
+    out = recon.evidence_states(artifacts, spark.createDataFrame([(10, 100), (11, 101)], "attempt_id long, item_id long"), files)
+    assert sorted(rows(out, "artifact_id", "item_id", "state")) == [(1, 100, "ok"), (2, 100, "size_mismatch"), (3, 101, "sha_mismatch"), (4, 101, "missing")]
+
+
+def test_declared_counts_images_and_runs(spark):
+    pages = spark.createDataFrame([("p1", "s", 2), ("p2", "s", 3), ("p3", None, 5), ("p4", "s", 9)], "page string, series string, declared int")
+    cards = spark.createDataFrame([("p1", "a"), ("p1", "b"), ("p2", "c"), ("p3", "d")], "page string, card string")
+    assert sorted(rows(stats.declared_check(pages, cards), "page", "verdict")) == [("p1", "match"), ("p2", "match"), ("p3", "mismatch"), ("p4", "scope_unknown")]
+    images = spark.createDataFrame([(1, "u1", "img", "ok", 10, False, 2), (1, "u2", "meta", "failed", None, False, 1), (2, "u3", "img", "failed", None, True, 1)], "page_id int, url string, origin string, status string, byte_size long, mime_mismatch boolean, n_references int")
+    out = stats.image_counts(images).orderBy("page_id").collect()
+    assert [(r.unique, r.downloaded, r.failed, r.bytes, r.warnings) for r in out] == [(2, 1, 1, 10, ["image_fetch_partial"]), (1, 0, 1, 0, ["image_fetch_none", "image_mime_mismatch"])]
+    files = spark.createDataFrame([("urlset", 1), ("sitemapindex", 0), ("unreadable", 1), ("skipped", 2)], "kind string, depth int")
+    run = stats.sitemap_run_counts(files, spark.createDataFrame([("a",), ("a",), ("b",)], "canonical_url string")).first()
+    assert (run.opened, run.skipped, run.indexes, run.urlsets, run.unreadable, run.urls, run.duplicates, run.max_depth, run.partial) == (3, 1, 1, 1, 1, 2, 1, 2, True)
+
+
+def test_waking_details(spark):
+    cards = spark.createDataFrame([("c1", "u1", "d", "A", "", None), ("c2", "u2", "d", "A", "", None), ("c3", "u3", "d", "A", "", None), ("c4", None, "d", "A", "", None)], "card_id string, detail_url string, domain string, shape string, combo string, facet string")
+    urls = spark.createDataFrame([("u1", "known_deferred"), ("u2", "queued"), ("u3", "fetched")], "canonical_url string, state string")
+    policy = {"domain_url_cap": 5, "path_shape_cap": 5, "query_combo_cap": 5, "faceted_cap": 5}
+    out = graph.wake_details(cards, urls, spark.createDataFrame([("c1",), ("c2",), ("c3",), ("c4",), ("cx",)], "card_id string"), policy)
+    assert dict(rows(out, "card_id", "outcome")) == {"c1": "queued", "c2": "already_queued", "c3": "already_fetched", "c4": "no_detail_url", "cx": "unknown_card"}
+
+
+def test_html_links_table_function(spark):
+    html.html_links_udtf(spark)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM html_links('<a href=\"/x\">one</a> <a>two</a>')").collect()] == [(0, "/x", "one"), (1, None, "two")]
