@@ -159,7 +159,7 @@ def _learn(positive: dict[str, float], negative: list[str], landmarks: int) -> t
             copies.append(token[:at] + "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))] + token[at:])
     names = [*best, *copies, *negative]
     top = max(positive.values())
-    weight = np.array([*(0.3 + 0.7 * positive[t] / top for t in best), *[0.3] * len(copies), *[1.0] * len(negative)])
+    weight = np.array([*(positive[t] / top for t in best), *(0.2 * positive[t] / top for t in best[:300] for _ in range(2)), *[1.0] * len(negative)])
     y = np.array([1.0] * (len(best) + len(copies)) + [-1.0] * len(negative))
     codes, owner = windows(pa.array(names, pa.string()))
     first = np.r_[True, owner[1:] != owner[:-1]]
@@ -324,7 +324,7 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int
     def run(batches):
         for whole in batches:
             at = 0
-            for batch in split_batches(iter([whole]), "text", 8 << 20):
+            for batch in split_batches(iter([whole]), "text", 4 << 20):
                 yield whole.slice(at, batch.num_rows).filter(pa.array(_probabilities(model.value, batch.column("text")) < threshold))
                 at += batch.num_rows
 
@@ -343,7 +343,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int =
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labelled(labels, label, fold, held_out)))
 
     def run(batches):
-        for batch in split_batches(batches, "text", 8 << 20):
+        for batch in split_batches(batches, "text", 4 << 20):
             found = _probabilities(model.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
