@@ -27,12 +27,17 @@ def add_urls(items: DataFrame, sources: DataFrame, records: DataFrame, kind: str
     fresh = good.groupBy("canonical_url").agg(F.min("domain").alias("domain")).join(items.select("canonical_url"), "canonical_url", "left_anti")
     triples = good.select("canonical_url", F.lit(kind).alias("source_kind"), F.lit(value).alias("source_value")).distinct()
     new_sources = triples.join(sources, ["canonical_url", "source_kind", "source_value"], "left_anti")
-    total = records.agg(F.count(F.lit(1)).alias("received"), F.count_if(F.col("reject").isNotNull()).alias("rejected"))
-    counts = (
-        total.crossJoin(fresh.agg(F.count(F.lit(1)).alias("added")))
-        .crossJoin(new_sources.agg(F.count(F.lit(1)).alias("sources_added")))
-        .select("received", "added", (F.col("received") - F.col("rejected") - F.col("added")).alias("duplicates"), "rejected", "sources_added")
-    )
+    # The counts take one pass over the records and one shuffle: rejects have no canonical address.
+    had = sources.where((F.col("source_kind") == kind) & (F.col("source_value") == value)).select("canonical_url", F.lit(True).alias("_had")).distinct()
+    met = records.groupBy(F.when(F.col("reject").isNull(), F.col("canonical_url")).alias("canonical_url")).agg(F.count(F.lit(1)).alias("_n"))
+    met = met.join(items.select("canonical_url", F.lit(True).alias("_known")).distinct(), "canonical_url", "left").join(had, "canonical_url", "left")
+    good_url = F.col("canonical_url").isNotNull()
+    counts = met.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("received"),
+        F.count_if(good_url & F.col("_known").isNull()).alias("added"),
+        F.coalesce(F.sum(F.when(~good_url, F.col("_n"))), F.lit(0)).alias("rejected"),
+        F.count_if(good_url & F.col("_had").isNull()).alias("sources_added"),
+    ).select("received", "added", (F.col("received") - F.col("rejected") - F.col("added")).alias("duplicates"), "rejected", "sources_added")
     return items.unionByName(fresh, allowMissingColumns=True), sources.unionByName(new_sources), counts
 
 
