@@ -50,7 +50,12 @@ RETRYABLE = (
 
 # How screens of a terminal read, most telling first.
 SCREEN_MARKER = r"esc to interrupt|Working \("
-SCREEN_RULES = (("blocked", "Do you want to"), ("capacity", "is at capacity"), ("done", "Context compacted"), ("stuck-input", r"(?m)^\s*❯[^\S\n]+\S"))
+SCREEN_RULES = (("blocked", "Do you want to"), ("capacity", "is at capacity"), ("done", "Context compacted"), ("stuck-input", r"(?m)^\s*❯[^\S\n]+\S"), ("stuck-input", "to queue message"))
+SCREEN_DONE = ((r"(✻|⏺) [\p{L}]+ for [0-9]+[hms]", r"(?m)^\s*❯[^\S\n]*$"), ("Worked for [0-9]+[hms]", r"Ask Codex to do anything|› Implement \{feature\}"))
+
+# How a reader's header in front of Markdown reads.
+READER_MARK = r"^Markdown Content:[^\S\n]*$"
+READER_LINES = r"(?:[^\S\n]*\n|(?:Title|URL Source|Published Time|Warning|Images|Links|Description)\s*:[^\n]*\n)+"
 
 # Marks of bot checks.
 CHALLENGE_MARKS = (
@@ -109,9 +114,9 @@ def content_hash(df: DataFrame, body: str, markdown: bool = False, html: bool =
     """Add content_hash: sha256 of a body's normal form, its visible text (or Markdown without a reader's header), white space collapsed."""
     b = F.col(body)
     if markdown:
-        marked = F.regexp_replace(b, r"(?sm)\A.*?^Markdown Content:[^\S\n]*$", "")
-        heads = F.regexp_replace(b, r"(?i)\A(?:[^\S\n]*\n|(?:Title|URL Source|Published Time|Warning|Images|Links|Description)\s*:[^\n]*\n)+", "")
-        text = F.when(b.rlike(r"(?m)^Markdown Content:[^\S\n]*$"), marked).otherwise(heads)
+        marked = F.regexp_replace(b, r"(?sm)\A.*?" + READER_MARK, "")
+        heads = F.regexp_replace(b, r"(?i)\A" + READER_LINES, "")
+        text = F.when(b.rlike("(?m)" + READER_MARK), marked).otherwise(heads)
     else:
         text = visible(b) if html else b
     return df.withColumn("content_hash", F.sha2(F.trim(F.regexp_replace(text, r"\s+", " ")), 256))
@@ -216,9 +221,8 @@ def screen_state(text: Column) -> Column:
     out = F.when(working, "working")
     for state, pattern in SCREEN_RULES:
         out = out.when(text.rlike(pattern), state)
-    idle_a, idle_b = text.rlike(r"(?m)^\s*❯[^\S\n]*$"), text.rlike(r"Ask Codex to do anything|› Implement \{feature\}")
-    out = out.when(text.contains("to queue message"), "stuck-input")
-    out = out.when(text.rlike(r"(✻|⏺) [\p{L}]+ for [0-9]+[hms]") & idle_a, "done").when(text.rlike("Worked for [0-9]+[hms]") & idle_b, "done")
+    for worked, idle in SCREEN_DONE:
+        out = out.when(text.rlike(worked) & text.rlike(idle), "done")
     return out.otherwise("unknown")
 
 
