@@ -52,6 +52,8 @@ def split_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 <
             high = max(low + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(low, high - low)
             low = high
+        del batch, column
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -55,7 +55,7 @@ def _encoding(tokenizer_json: str):
 class _WordIds:
     """Ids of words met before. A word starts at a space between two other characters, where a pre-token always starts."""
 
-    def __init__(self, encode, limit: int = 500_000):
+    def __init__(self, encode, limit: int = 120_000):
         self.encode, self.limit = encode, limit
         self.clear()
 

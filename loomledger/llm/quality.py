@@ -56,8 +56,12 @@ def features(column: pa.Array, hashed: int) -> tuple[np.ndarray, np.ndarray, np.
     raw, offsets = text_bytes(column)
     size = np.diff(offsets)
     kind = _CLASS[raw]
-    totals = [np.concatenate([[0], np.cumsum(kind == c)]) for c in (1, 2, 3, 4)]
-    upper, digit, sign, newline = (t[offsets[1:]] - t[offsets[:-1]] for t in totals)
+
+    def of_class(c: int) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(kind == c)])
+        return total[offsets[1:]] - total[offsets[:-1]]
+
+    upper, digit, sign, newline = map(of_class, (1, 2, 3, 4))
 
     rows, index, names = words_of(pc.ascii_lower(column))
     lengths = np.asarray(pc.binary_length(names), dtype=np.int64)
