@@ -1,9 +1,13 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-1. Texts are cut into sentences at line ends and after full stops, question and exclamation marks, semicolons or
-   colons before white space; a line that goes on with a small letter or a bracket continues its sentence. A sentence
-   is normalised: lower-cased (ASCII), everything but letters, digits and dots inside numbers made one space, trimmed.
-2. Normalised sentences are mapped to the identifiers of known licence sentences, by equality with a fixed table.
+1. Texts are cut into sentences in three readings, from coarse to fine: at blank lines and end marks (full stops,
+   question and exclamation marks, semicolons or colons before white space or a line end), so that wrapped lines are one
+   sentence; at line ends too, except between two words in capitals; at every line end. A finer reading is taken only
+   of what the coarser one doesn't know. In all of them a line that goes on with a small letter or a bracket continues
+   its sentence. A sentence is normalised: lower-cased (ASCII), everything but letters, digits and dots inside numbers
+   made one space, trimmed.
+2. Normalised sentences are mapped to the identifiers of known licence sentences, by equality with fixed tables. The
+   parts of an SPDX expression are sentences of their own.
 3. A document's identifiers, in order, are matched against the ordered licence rules: a rule is a sequence of
    identifiers; at each place the first rule of the list that matches wins, so longer and more specific rules come first,
    and the identifiers it takes are used up.
@@ -85,14 +89,78 @@ RULES = (
     ("CC0-1.0", ("cc0-notice",)),
 )
 
+# Further standard notices. oracle_sql covers the last reading with SENTENCES and RULES alone: these notices
+# and the coarser readings are tested on the notices' texts instead.
+_FSF = "you can redistribute it and or modify it under the terms of the gnu {}general public license{} as published by the free software foundation{}"
+_LATER = "either version {} of the license or at your option any later version"
+NOTICES = {
+    "you may obtain a copy of the license at http www.apache.org licenses license 2.0": "apache-copy",
+    "you may obtain a copy of the license at https www.apache.org licenses license 2.0": "apache-copy",
+    "this library is free software": "gpl-free",
+    "this file is free software": "gpl-free",
+    **{_FSF.format(kind, "", f" {_LATER.format(v)}"): f"{name}-{v}-joined" for name, kind, versions in (("gpl", "", "23"), ("lgpl", "lesser ", ("2.1", "3")), ("agpl", "affero ", "3")) for v in versions},
+    **{_FSF.format(kind, f" version {v}", ""): f"{name}-{v}-only" for name, kind, versions in (("gpl", "", "23"), ("lgpl", "lesser ", ("2.1", "3")), ("agpl", "affero ", "3")) for v in versions},
+    _FSF.format("lesser ", "", ""): "lgpl-terms",
+    _FSF.format("affero ", "", ""): "agpl-terms",
+    _LATER.format("2.1"): "gpl-2.1-or-later",
+    "this source code form is subject to the terms of the mozilla public license v 2.0": "mpl-2.0-notice",
+    "isc license": "isc-title",
+    "the isc license": "isc-title",
+    "licensed under the isc license": "isc-notice",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-as-is",
+    "this is free and unencumbered software released into the public domain": "unlicense-grant",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-anyone",
+}
+
+NOTICE_RULES = (
+    *((f"{name.upper()}-{version}-{kind}", ("gpl-free", f"{name}-{v}-{mark}")) for name, v, version in (("gpl", "2", "2.0"), ("gpl", "3", "3.0"), ("lgpl", "2.1", "2.1"), ("lgpl", "3", "3.0"), ("agpl", "3", "3.0")) for kind, mark in (("or-later", "joined"), ("only", "only"))),
+    ("LGPL-2.1-or-later", ("gpl-free", "lgpl-terms", "gpl-2.1-or-later")),
+    ("LGPL-3.0-or-later", ("gpl-free", "lgpl-terms", "gpl-3-or-later")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl-terms", "gpl-3-or-later")),
+    ("MPL-2.0", ("mpl-2.0-notice",)),
+    ("ISC", ("isc-title", "isc-grant", "isc-as-is")),
+    ("ISC", ("isc-grant", "isc-as-is")),
+    ("ISC", ("isc-title", "isc-grant")),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-notice",)),
+    ("Unlicense", ("unlicense-grant", "unlicense-anyone")),
+    ("Unlicense", ("unlicense-grant",)),
+)
+
+#: SPDX identifiers that a tag line can name, and the old names of some.
+SPDX = {x: x for x in ("MIT", "ISC", "Unlicense", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0")}
+for _name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"):
+    SPDX |= {_name: f"{_name}-only", f"{_name}-only": f"{_name}-only", f"{_name}-or-later": f"{_name}-or-later"}
+NOTICES |= {f"spdx license identifier {x.lower().replace('-', ' ')}": f"spdx-{name}" for x, name in SPDX.items()}
+NOTICE_RULES += tuple((name, (f"spdx-{name}",)) for name in dict.fromkeys(SPDX.values()))
+
 #: A line end inside a sentence, with the marks that comments begin lines with; the small letter or bracket is kept.
 WRAP = r"[\n\r]+[ \t#*/]*([a-z(])"
 #: Where a sentence ends: line ends, or these marks before white space.
 BREAK = r"[\n\r]+|[.!?;:]+[ \t]+"
+_LINE_END = r"(?>\r\n|\n|\r)"
+#: The same in the coarser readings: blank lines and end marks; line ends, except between words in capitals, and end marks.
+BREAKS = (
+    rf"{_LINE_END}(?:[^\p{{L}}\p{{N}}\n\r]*{_LINE_END})+|[.!?;:]+(?:[ \t]+|[ \t]*{_LINE_END})",
+    r"(?<![A-Z]{2}[,\"]{0,2}[ \t]{0,4})[\n\r]++|[\n\r]++(?![ \t#*/]*\"?[A-Z]{2})|[.!?;:]+[ \t]+",
+    BREAK,
+)
+_TAG = "SPDX-License-Identifier"
+_TAGGED = rf"(?<=(?i:{_TAG})[^\n\r]{{0,200}})"
+#: Before the cut: a tag line becomes one sentence for each licence it names, without exceptions; "v. 2.0" is no sentence's end.
+REWRITES = (
+    (rf"[ \t]+(?i:with)[ \t]+[\w.-]+{_TAGGED}", ""),
+    (rf"\+(?=[ \t)]|$|[\n\r]){_TAGGED}", "-or-later"),
+    (rf"[ \t)]+(?i:or|and)[ \t(]+{_TAGGED}", f"\n\n{_TAG} "),
+    (rf"(?i){_TAG}:[ \t]*([^\n\r]*?)[ \t]*(?:\*/|-->)?[ \t]*(?=[\n\r]|$)", f"\n\n{_TAG} $1\n\n"),
+    (r"\b([Vv])\.[ \t]+(?=[0-9])", "$1 "),
+)
 #: Every known sentence has one of these in it (checked on import), so others needn't be cut.
 CLUES = ("licen", "permission", "redistribut", "copyright", "warranty", "software", "public", "rights", "endorse")
 
-assert all(any(clue in sentence for clue in CLUES) for sentence in SENTENCES)
+assert all(any(clue in sentence for clue in CLUES) for sentence in SENTENCES | NOTICES)
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -105,17 +173,30 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(undotted, r" +", " "))
 
 
+def _read(text: Column, lookup: Column, breaks: tuple[str, ...]) -> Column:
+    """The identifiers of a text cut at the first of the breaks; what that doesn't know is cut at the others."""
+
+    def known(sentence: Column) -> Column:
+        return F.try_element_at(lookup, normalised(sentence))
+
+    pieces = F.split(text, breaks[0])
+    if len(breaks) == 1:
+        return F.filter(F.transform(pieces, known), lambda x: x.isNotNull())
+    return F.flatten(F.transform(pieces, lambda s: F.when(known(s).isNotNull(), F.array(known(s))).otherwise(_read(s, lookup, breaks[1:]))))
+
+
 def _identifiers(text: Column) -> Column:
     """The identifiers of a text's known sentences in order, as one array."""
-    lookup = F.create_map(*(F.lit(x) for pair in sorted(SENTENCES.items()) for x in pair))
-    found = F.transform(F.split(F.regexp_replace(text, WRAP, " $1"), BREAK), lambda s: F.try_element_at(lookup, normalised(s)))
-    return F.filter(found, lambda x: x.isNotNull())
+    lookup = F.create_map(*(F.lit(x) for pair in sorted((SENTENCES | NOTICES).items()) for x in pair))
+    for pattern, by in REWRITES:
+        text = F.regexp_replace(text, pattern, by)
+    return _read(F.regexp_replace(text, WRAP, " $1"), lookup, BREAKS)
 
 
 def _matched(names: Column) -> Column:
     """Licences and leftovers: the identifiers as one string, in which the ordered rules replace their sequences."""
     out = F.concat(F.lit("|"), F.array_join(names, "||"), F.lit("|"))
-    for license_, sequence in RULES:
+    for license_, sequence in NOTICE_RULES + RULES:
         out = F.replace(out, F.lit("".join(f"|{s}|" for s in sequence)), F.lit(f"<{license_}>"))
     return out
 
@@ -136,7 +217,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def oracle_sql() -> str:
-    """The same scan for DuckDB, over the view documents."""
+    """The scan in its last reading, with SENTENCES and RULES alone, for DuckDB, over the view documents."""
     known = ", ".join(f"'{k}': '{v}'" for k, v in sorted(SENTENCES.items()))
     plain = f"regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9.]+', ' ', 'g')"
     sentence = f"trim(regexp_replace(regexp_replace({plain}, '\\.+( |$)|(^| )\\.+', ' ', 'g'), ' +', ' ', 'g'))"
