@@ -4,11 +4,13 @@ Index: centroids come from a k-means on a bounded sample that charges full clust
 balanced. Inner product becomes distance by one more component, sqrt(M^2 - |x|^2) (zero for the queries). Every
 vector joins the list of its nearest centroid and, near a boundary, those of other centroids at most ``spread`` times as
 far. Lists longer than ``list_rows`` are split into parts, so a list that a third of all vectors share is dealt over many
-tasks. All vectors are indexed; only the centroids see a sample.
+tasks. Parts are put together into shards of at most ``shard_bytes`` of vectors and a part, so there are more shards the
+more rows are posted. All vectors are indexed; only the centroids see a sample.
 
 Search: the centroids form a graph in memory (each linked to its nearest ones and a few far ones), searched best first;
 of the lists it finds a query visits those at most ``ratio`` times as far as the nearest. Lists are kept in shards, and a
-query travels once to each shard that holds a list it visits. Scores are exact inner products of the original vectors.
+query travels once to each shard that holds a list it visits. A task holds one shard at a time, and the queries pass by it
+in batches. Scores are exact inner products of the original vectors.
 
 Vectors that are null, zero, or hold null, NaN or infinite components take no part, nor do those whose dimension
 isn't the most common one. Rows that repeat a vec_id count once (the smallest vector). Ties go to the smaller vec_id. Fewer rows than asked for: all of them
@@ -24,6 +26,12 @@ from pyspark.sql import functions as F
 
 from loomledger.llm.topk import matrix, usable
 
+#: Rows that meet in a shard: vectors of a list (asks 0) and queries with the lists they visit (asks 1).
+KIND = "shard long, asks int, id long, lists array<long>, v array<double>"
+NAMES = ["shard", "asks", "id", "lists", "v"]
+#: So many visits of lists, each with k rows, are gathered at once.
+VISITS = 100_000
+
 
 def balanced_centroids(sample: np.ndarray, lists: int, rounds: int = 12, charge: float = 0.1) -> np.ndarray:
     """k-means on a sphere (lifted vectors have one norm) whose assignment adds a charge that grows with the cluster's size in the round before."""
@@ -119,6 +127,27 @@ def _chosen(graph: CentroidGraph, vectors: np.ndarray, width: int, ratio: float)
     return np.concatenate(rows), np.concatenate(lists)
 
 
+def shard_starts(sizes: np.ndarray, list_rows: int, shard_rows: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of each list, its first part's place, and the shard of every part: neighbours in order, as many as hold shard_rows rows.
+
+    Small tables get smaller shards, about ``least`` of them."""
+    parts = -(-sizes // list_rows)
+    first = np.cumsum(parts) - parts
+    rows = np.repeat(sizes / np.maximum(parts, 1), parts)
+    filled = min(shard_rows, max(1, -(-int(sizes.sum()) // least)))
+    return parts, first, ((np.cumsum(rows) - rows) // filled).astype(np.int64)
+
+
+def _best(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k rows of each query; a row met in several lists counts once."""
+    _, first = np.unique(np.stack([query, row], axis=1), axis=0, return_index=True)
+    query, row, score = query[first], row[first], score[first]
+    by = np.lexsort((row, -score, query))
+    query, row, score = query[by], row[by], score[by]
+    best = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[best], row[best], score[best]
+
+
 def search(
     vectors: DataFrame,
     every: int = 20,
@@ -132,6 +161,7 @@ def search(
     probes: float = 0.75,
     ratio: float = 1.35,
     shards: int = 24,
+    shard_bytes: int = 64 << 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -163,70 +193,98 @@ def search(
     # Long lists in parts: the part comes from the id, the number of parts from the list's length.
     lengths = posted.groupBy("list").agg(F.count(F.lit(1)).alias("size"))
     # At most most_lists rows.
-    parts = {r["list"]: -(-r["size"] // list_rows) for r in lengths.collect()}
-    cut = spark.sparkContext.broadcast(np.array([parts.get(i, 0) for i in range(lists)], dtype=np.int64))
+    sizes = np.zeros(lists, dtype=np.int64)
+    for r in lengths.collect():
+        sizes[r["list"]] = r["size"]
+    placed = spark.sparkContext.broadcast(shard_starts(sizes, list_rows, max(1, shard_bytes // (8 * d)), shards))
 
     def deal(batches):
+        parts, first, shard = placed.value
         for batch in batches:
-            list_, id_ = (np.asarray(batch.column(c), dtype=np.int64) for c in ("list", "id"))
-            part = (id_.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % np.maximum(cut.value[list_], 1)
-            yield pa.RecordBatch.from_arrays([pa.array((list_ * 7919 + part * 104729) % shards), *batch.columns], names=["shard", "id", "list", "v"])
+            if batch.num_rows:
+                list_, id_ = (np.asarray(batch.column(c), dtype=np.int64) for c in ("list", "id"))
+                part = (id_.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[list_]
+                lone = pa.ListArray.from_arrays(pa.array(np.arange(len(list_) + 1, dtype=np.int32)), pa.array(list_))
+                yield pa.RecordBatch.from_arrays([pa.array(shard[first[list_] + part]), pa.array(np.zeros(len(list_), np.int32)), batch.column("id"), lone, batch.column("v")], names=NAMES)
 
-    dealt = posted.mapInArrow(deal, "shard long, id long, list long, v array<double>")
+    # A shard's vectors (asks 0), then the queries that visit it (asks 1).
+    dealt = posted.mapInArrow(deal, KIND)
 
     def visit(batches):
-        graph = fitted.value
+        graph, (parts, first, shards_of) = fitted.value, placed.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             at, list_ = _chosen(graph, _lifted(matrix(batch.column("v")), None), width, ratio)
-            pieces = cut.value[list_]
+            pieces = parts[list_]
             at, list_, part = np.repeat(at, pieces), np.repeat(list_, pieces), np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            shard = (list_ * 7919 + part * 104729) % shards
+            shard = shards_of[first[list_] + part]
             # One row for each query and shard, with the lists to visit there.
             key = np.unique(np.stack([at, shard, list_], axis=1), axis=0)
             new = np.flatnonzero(np.r_[True, (key[1:, :2] != key[:-1, :2]).any(axis=1)]) if len(key) else np.zeros(0, np.int64)
             visited = pa.ListArray.from_arrays(pa.array(np.r_[new, len(key)].astype(np.int32)), pa.array(key[:, 2]))
             take = pa.array(key[new, 0])
-            yield pa.RecordBatch.from_arrays([pa.array(key[new, 1]), batch.column("id").take(take), visited, batch.column("v").take(take)], names=["shard", "id", "lists", "v"])
-
-    asked = rows.where(F.col("id") % every == 0).mapInArrow(visit, "shard long, id long, lists array<long>, v array<double>")
-
-    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if left.num_rows and right.num_rows:
-            x, q = matrix(left.column("v")), matrix(right.column("v"))
-            ids, list_, query_ids = np.asarray(left.column("id")), np.asarray(left.column("list")), np.asarray(right.column("id"))
-            by = np.argsort(list_, kind="stable")
-            x, ids, list_ = x[by], ids[by], list_[by]
-            edges = np.flatnonzero(np.r_[True, list_[1:] != list_[:-1], True])
-            visits = right.column("lists").combine_chunks()
-            times = np.asarray(visits.value_lengths(), dtype=np.int64)
-            flat, who = np.asarray(visits.flatten()), np.repeat(np.arange(len(times)), times)
-            for low, high in zip(edges[:-1], edges[1:], strict=True):
-                asking = who[flat == list_[low]]
-                for some in np.array_split(asking, -(-len(asking) // 2048)) if len(asking) else []:
-                    score = q[some] @ x[low:high].T
-                    score[ids[low:high][None, :] == query_ids[some][:, None]] = -np.inf
-                    if high - low > k:
+            yield pa.RecordBatch.from_arrays([pa.array(key[new, 1]), pa.array(np.ones(len(new), np.int32)), batch.column("id").take(take), visited, batch.column("v").take(take)], names=NAMES)
+
+    asked = rows.where(F.col("id") % every == 0).mapInArrow(visit, KIND)
+
+    def gathered(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A shard's lists one after the other: vectors, ids, and each list's number and edges."""
+        list_ = np.concatenate([np.asarray(h.column("lists").flatten(), dtype=np.int64) for h in held])
+        by = np.argsort(list_, kind="stable")
+        x = np.concatenate([matrix(h.column("v")) for h in held])[by]
+        ids, list_ = np.concatenate([np.asarray(h.column("id"), dtype=np.int64) for h in held])[by], list_[by]
+        return x, ids, list_, np.flatnonzero(np.r_[True, list_[1:] != list_[:-1], True])
+
+    def answered(shard: tuple, asking: pa.RecordBatch):
+        """The best k rows of the shard for each query, a bounded number of visits at a time."""
+        x, ids, list_, edges = shard
+        visits = asking.column("lists")
+        ends = np.cumsum(np.asarray(visits.value_lengths(), dtype=np.int64))
+        low = 0
+        while low < len(ends):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + VISITS, side="right")))
+            part = asking.slice(low, high - low)
+            q, query_ids = matrix(part.column("v")), np.asarray(part.column("id"), dtype=np.int64)
+            times = np.diff(ends[low:high], prepend=ends[low - 1] if low else 0)
+            flat, who = np.asarray(part.column("lists").flatten(), dtype=np.int64), np.repeat(np.arange(len(times)), times)
+            by = np.argsort(flat, kind="stable")
+            flat, who = flat[by], who[by]
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                some_all = who[np.searchsorted(flat, list_[begin]) : np.searchsorted(flat, list_[begin], side="right")]
+                for some in np.array_split(some_all, -(-len(some_all) // 2048)) if len(some_all) else []:
+                    score = q[some] @ x[begin:end].T
+                    score[ids[begin:end][None, :] == query_ids[some][:, None]] = -np.inf
+                    if end - begin > k:
                         bar = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
                         query, row = np.nonzero((score >= bar - 1e-9 * np.abs(bar)) & (score > -np.inf))
                     else:
                         query, row = np.nonzero(score > -np.inf)
-                    # Summed in one order for every pair, so that equal vectors tie.
-                    exact = np.einsum("ij,ij->i", q[some][query], x[low:high][row])
-                    out.append((query_ids[some][query], ids[low:high][row], exact))
-            query, row, score = (np.concatenate([o[i] for o in out]) for i in range(3))
-            # A vector met in several lists counts once; of the shard only the best k leave it.
-            _, first = np.unique(np.stack([query, row], axis=1), axis=0, return_index=True)
-            query, row, score = query[first], row[first], score[first]
-            by = np.lexsort((row, -score, query))
-            query, row, score = query[by], row[by], score[by]
-            best = np.arange(len(query)) - np.searchsorted(query, query) < k
-            out = [(query[best], row[best], score[best])]
-        return pa.table([pa.array(out[0][0], pa.int64()), pa.array(out[0][1], pa.int64()), pa.array(out[0][2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    met = dealt.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(scan, "query_id long, vec_id long, score double")
+                    # Summed in one order for every pair, so that equal vectors tie. Of a list only the best k leave it.
+                    exact = np.einsum("ij,ij->i", q[some][query], x[begin:end][row])
+                    out.append(_best(query_ids[some][query], ids[begin:end][row], exact, k))
+            found = _best(*(np.concatenate([o[i] for o in out]) for i in range(3)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
+            low = high
+
+    def scan(batches):
+        now, held, shard = None, [], None
+        for batch in batches:
+            at, asks = (np.asarray(batch.column(c), dtype=np.int64) for c in ("shard", "asks"))
+            edges = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (asks[1:] != asks[:-1]), True]) if len(at) else []
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if at[low] != now:
+                    now, held, shard = at[low], [], None
+                piece = batch.slice(low, high - low)
+                if not asks[low]:
+                    held.append(piece)
+                elif held or shard:
+                    if shard is None:
+                        shard, held = gathered(held), []
+                    yield from answered(shard, piece)
+
+    met = dealt.union(asked).repartition("shard").sortWithinPartitions("shard", "asks").mapInArrow(scan, "query_id long, vec_id long, score double")
     met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

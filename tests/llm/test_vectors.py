@@ -73,3 +73,20 @@ def test_small_and_empty_tables(spark):
         assert search(spark.createDataFrame([(0, [1.0])], schema)).count() == 0
         rows = search(spark.createDataFrame([(0, [1.0, 0.0]), (3, [2.0, 0.0]), (2, [2.0, 0.0])], schema)).orderBy("rank").collect()
         assert [(r.query_id, r.rank, r.vec_id) for r in rows] == [(0, 1, 2), (0, 2, 3)]
+
+
+def test_shards_grow_with_the_posted_rows():
+    rng = np.random.default_rng(3)
+    for n in (0, 5, 400, 4000):
+        sizes = rng.integers(0, 3000, n)
+        sizes[: n // 50] *= 40
+        parts, first, shard = ann.shard_starts(sizes, 4096, 20_000, 24)
+        rows = np.bincount(shard, weights=np.repeat(sizes / np.maximum(parts, 1), parts)) if n else np.zeros(0)
+        assert len(shard) == parts.sum() and all(shard[first[i]] <= shard[first[i] + parts[i] - 1] for i in range(n) if parts[i])
+        assert (rows <= 20_000 + 4096).all() and len(rows) >= sizes.sum() / 24_096
+
+
+def test_small_shards_find_the_same(spark):
+    vectors = spark.createDataFrame([(i, v) for i, v in odd_rows() if v and len(v) == 8 and i < 900], "vec_id long, embedding array<double>")
+    whole, cut = ({tuple(r) for r in ann.search(vectors, vectors_per_list=20, list_rows=16, probes=1.0, ratio=99.0, shard_bytes=size).collect()} for size in (64 << 20, 640))
+    assert whole == cut and len(whole) == 17 * 20
