@@ -1,6 +1,6 @@
 """Approximate nearest neighbours (largest inner product) with balanced posting lists.
 
-Index: centroids come from a k-means on a bounded sample that charges full clusters extra, so that posting lists are
+Index: centroids come from a k-means on a sample (bounded as the number of lists is) that charges full clusters extra, so that posting lists are
 balanced. Inner product becomes distance by one more component, sqrt(M^2 - |x|^2) (zero for the queries). Every
 vector joins the list of its nearest centroid and, near a boundary, those of other centroids at most ``spread`` times as
 far. Lists longer than ``list_rows`` are split into parts, so a list that a third of all vectors share is dealt over many
@@ -8,7 +8,8 @@ tasks. Parts are put together into shards of at most ``shard_bytes`` of vectors
 more rows are posted. All vectors are indexed; only the centroids see a sample.
 
 Search: the centroids form a graph in memory (each linked to its nearest ones and a few far ones), searched best first;
-of the lists it finds a query visits those at most ``ratio`` times as far as the nearest. Lists are kept in shards, and a
+of the lists it finds a query visits those at most ``ratio`` times as far as the nearest, and however far they are as
+many of the nearest as hold ``floor`` times the rows it asks for, replicas counted once. Lists are kept in shards, and a
 query travels once to each shard that holds a list it visits. A task holds one shard at a time, and the queries pass by it
 in batches. Scores are exact inner products of the original vectors.
 
@@ -43,10 +44,11 @@ def balanced_centroids(sample: np.ndarray, lists: int, rounds: int = 12, charge:
     radius = float(np.sqrt(norm.max()))
     for _ in range(rounds):
         near = np.empty(len(sample), dtype=np.int64)
-        for low in range(0, len(sample), 4096):
-            part = sample[low : low + 4096]
-            far = norm[low : low + 4096, None] - 2 * part @ centroids.T + (centroids**2).sum(axis=1)
-            near[low : low + 4096] = np.argmin(far + price, axis=1)
+        step = min(4096, max(16, 4_000_000 // lists))
+        for low in range(0, len(sample), step):
+            part = sample[low : low + step]
+            far = norm[low : low + step, None] - 2 * part @ centroids.T + (centroids**2).sum(axis=1)
+            near[low : low + step] = np.argmin(far + price, axis=1)
         size = np.bincount(near, minlength=lists)
         price = charge * radius**2 * np.minimum(3.0, size * lists / len(sample) - 1)
         total = np.stack([np.bincount(near, weights=sample[:, j], minlength=lists) for j in range(sample.shape[1])], axis=1)
@@ -115,13 +117,26 @@ def _lifted(vectors: np.ndarray, largest: float | None) -> np.ndarray:
     return np.hstack([vectors, extra[:, None]])
 
 
-def _chosen(graph: CentroidGraph, vectors: np.ndarray, width: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """(vector, list) of the lists within ratio of the nearest."""
-    rows, lists = [], []
+def _chosen(graph: CentroidGraph, vectors: np.ndarray, width: int, ratio: float, sizes: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(vector, list) of the lists within ratio of the nearest, and of the nearest that hold ``least`` rows by ``sizes``, or of all lists."""
+    rows, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     step = max(16, 4_000_000 // max(1, len(graph.centroids)) // 4)
     for low in range(0, len(vectors), step):
-        best, distance = graph.search(vectors[low : low + step], width)
-        row, at = np.nonzero(distance <= ratio * distance[:, :1] + 1e-9)
+        part = vectors[low : low + step]
+        best, distance = graph.search(part, width)
+        keep = distance <= ratio * distance[:, :1] + 1e-9
+        if sizes is not None:
+            held = np.where(np.isfinite(distance), sizes[best], 0)
+            ends = np.cumsum(held, axis=1)
+            keep |= (ends - held < least) & np.isfinite(distance)
+            # Where all that the graph found is too little, lists are taken in their exact order.
+            for i in np.flatnonzero(ends[:, -1] < least):
+                order = np.argsort(((graph.centroids - part[i].astype(np.float32)) ** 2).sum(axis=1), kind="stable")
+                more = order[np.cumsum(sizes[order]) - sizes[order] < least]
+                more = np.setdiff1d(more, best[i][keep[i]])
+                rows.append(np.full(len(more), low + i))
+                lists.append(more)
+        row, at = np.nonzero(keep)
         rows.append(low + row)
         lists.append(best[row, at])
     return np.concatenate(rows), np.concatenate(lists)
@@ -162,6 +177,8 @@ def search(
     ratio: float = 1.35,
     shards: int = 24,
     shard_bytes: int = 64 << 20,
+    floor: int = 4,
+    sample_per_list: int = 4,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -176,9 +193,10 @@ def search(
         return spark.createDataFrame([], schema)
     n, d, largest = facts["n"], facts["d"], facts["largest"]
     rows = rows.where(F.size("v") == d)
-    # A bounded sample: its size doesn't depend on the table's.
-    drawn = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()])
-    lists = int(min(most_lists, max(1, n // vectors_per_list), len(drawn)))
+    lists = int(min(most_lists, max(1, n // vectors_per_list)))
+    # A bounded sample: at most sample_per_list * most_lists rows, however large the table.
+    drawn = matrix(rows.orderBy(F.xxhash64("id"), "id").limit(max(sample, sample_per_list * lists)).select("v").toArrow().column("v"))
+    lists = min(lists, len(drawn))
     fitted = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(_lifted(drawn, largest), lists)))
     width = max(1, int(np.ceil(probes * lists)))
 
@@ -196,6 +214,8 @@ def search(
     sizes = np.zeros(lists, dtype=np.int64)
     for r in lengths.collect():
         sizes[r["list"]] = r["size"]
+    # A row is posted up to ``replicas`` times, and the query may be one of them.
+    sizes_of, least = spark.sparkContext.broadcast(sizes), max(1, floor) * replicas * (k + 1)
     placed = spark.sparkContext.broadcast(shard_starts(sizes, list_rows, max(1, shard_bytes // (8 * d)), shards))
 
     def deal(batches):
@@ -215,7 +235,7 @@ def search(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at, list_ = _chosen(graph, _lifted(matrix(batch.column("v")), None), width, ratio)
+            at, list_ = _chosen(graph, _lifted(matrix(batch.column("v")), None), width, ratio, sizes_of.value, least)
             pieces = parts[list_]
             at, list_, part = np.repeat(at, pieces), np.repeat(list_, pieces), np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             shard = shards_of[first[list_] + part]

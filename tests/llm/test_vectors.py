@@ -90,3 +90,23 @@ def test_small_shards_find_the_same(spark):
     vectors = spark.createDataFrame([(i, v) for i, v in odd_rows() if v and len(v) == 8 and i < 900], "vec_id long, embedding array<double>")
     whole, cut = ({tuple(r) for r in ann.search(vectors, vectors_per_list=20, list_rows=16, probes=1.0, ratio=99.0, shard_bytes=size).collect()} for size in (64 << 20, 640))
     assert whole == cut and len(whole) == 17 * 20
+
+
+def test_lonely_lists_still_give_k_rows(spark):
+    # Every query lies on a centroid that holds it alone; all vectors have one norm.
+    rng = np.random.default_rng(4)
+    data = rng.normal(0, 1, (400, 12))
+    data /= np.sqrt((data**2).sum(axis=1))[:, None]
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in ann.search(vectors, vectors_per_list=1, spread=1.0).collect():
+        found[r.query_id].append(r.vec_id)
+    assert set(found) == set(range(0, 400, 20)) and all(len(set(v)) == len(v) == 20 for v in found.values())
+
+
+def test_floor_takes_lists_beyond_the_graph():
+    graph = ann.CentroidGraph(np.array([[0.0, 0.0], [1.0, 0.0], [2.0, 0.0], [30.0, 0.0]]))
+    at, list_ = ann._chosen(graph, np.zeros((1, 2)), 2, 1.3, np.array([1, 1, 1, 1000]), 80)
+    assert sorted(list_) == [0, 1, 2, 3] and set(at) == {0}
+    at, list_ = ann._chosen(graph, np.zeros((1, 2)), 2, 1.3, np.array([100, 1, 1, 1000]), 80)
+    assert list(list_) == [0]
