@@ -1,18 +1,22 @@
 """Exact top-k inner-product search by no-random-access aggregation.
 
-Vectors become integers, floor(scale * x). Rows are dealt into blocks; a block keeps one list for each dimension, sorted
-by value. A query reads every list from the end that suits the sign of its component, so many entries deeper each round,
-and never looks a row up: what has been read of a row gives a lower and an upper bound of its score, the unread rest being
-bounded by the list's last value read and by the value at its far end. Rows whose upper bound is under the k-th lower bound can't
-qualify, and neither can rows not met yet once the bound of the unread is under it; reading goes on for the
-others alone until their scores are resolved. The best k of all blocks are the answer.
+Vectors become integers, floor(scale * x). Rows are dealt into blocks, and a block into runs of ``run`` rows; a run keeps one
+list for each dimension, sorted by value. A query reads every list from the end that suits the sign of its component,
+deeper where the component is larger, a step further each round, and never looks a row up. Reading ends behind equal values.
+What has been read of a row gives bounds of its score: an entry not read yet is at most the list's last value read, which
+bounds the score from above, and at least the list's far end, which bounds it from below. The bar is the k-th best of the
+scores resolved so far and of the lower bounds. Rows whose upper bound is under the bar, and so all rows not met yet when the
+sum of the last values read is under it, can't qualify. When at most ``2 k`` rows can, the lists are read on until all of those have
+been met everywhere, which resolves their scores, and the bar goes on to the next run. ``entries_read`` tells, with each
+query, how many list entries it read, and ``entries`` how many there were.
 
-Queries are blocked too, so a task holds one block of rows and one of queries. Scores are exact: they are computed
-on integers below 2^53.
+A block of rows stays in one task while queries stream past it, so each row travels once for every ``queries_per_part`` queries.
+
+Scores are exact: integers below 2^53 as doubles, larger ones as Python integers. A score that a long can't hold is an
+error (OverflowError), never a wrong number.
 
 Vectors that are null or hold null, NaN or infinite components take no part. Vectors of different dimensions
-don't meet. Rows that repeat a vec_id with the same vector count once; different vectors under one vec_id are candidates
-each, and never meet a query of their own vec_id. Ties go to the smaller vec_id. Empty table: no rows.
+don't meet. Rows that repeat a vec_id count once (the smallest vector). Ties go to the smaller vec_id. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_ROWS = "d int, block long, part int, asks int, id long, v array<double>"
+_FOUND = "query_id long, vec_id long, score long, read long, held long"
+
 
 def usable(vector: str) -> Column:
     """Whether a vector takes part: not null, not empty, all components finite."""
@@ -36,84 +43,133 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def aggregate(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, first: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of every query's k best rows of one block, ties to the smaller id.
+class SortedLists:
+    """A run of rows: their ids, and one sorted list of the values of each dimension."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray):
+        self.values, self.ids, self.lists = np.ascontiguousarray(rows.T), ids, np.ascontiguousarray(np.sort(rows, axis=0).T)
+        self.largest = float(np.abs(rows).max(initial=0.0))
+
+
+def aggregate(lists: SortedLists, query: np.ndarray, own_id: int, k: int, bar: float, slack: float, step: float = 0.15) -> tuple[np.ndarray, int]:
+    """Rows of a run that can still be among the k best, all of their entries read, and the number of entries read.
 
-    first: the first round reads one part in so many of each list; every round doubles the depth."""
-    n = len(rows)
-    order = np.argsort(rows, axis=0, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(n)[:, None], axis=0)  # of each entry in its list, smallest value first
-    sorted_ = np.take_along_axis(rows, order, axis=0)
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    alive = np.ones((len(queries), n), dtype=bool)
-    kept = np.arange(n)
-    depth = max(1, -(-n // first))
+    bar: a score that k other rows reach; slack: what rounding can add to a bound."""
+    # Lists read from the large end, and those read from the small end; a component of zero needs none.
+    ups, downs = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+    weight = np.sqrt(np.abs(query))
+    weight = weight / max(weight.mean(), 1e-300)
+    m, share = len(lists.ids), 3 * step
+    alive = np.flatnonzero(lists.ids != own_id)
+    high, low = (lists.values[side][:, alive] for side in (ups, downs))
     while True:
-        part, at = rows[kept], place[kept]
-        read_down, read_up = at >= n - depth, at < depth  # from the large end, from the small end
-        if depth >= n:
-            break
-        head_down, head_up = sorted_[n - depth], sorted_[depth - 1]
-        upper = up @ np.where(read_down, part, head_down).T + down @ np.where(read_up, part, head_up).T
-        lower = up @ np.where(read_down, part, sorted_[0]).T + down @ np.where(read_up, part, sorted_[-1]).T
-        own = ids[kept][None, :] == query_ids[:, None]
-        lower[own] = -np.inf
-        if len(kept) > k:
-            bar = -np.partition(-lower, k - 1, axis=1)[:, k - 1 : k]
-            alive = alive[:, : len(kept)] & (upper >= bar) & ~own
+        depth = np.clip(np.ceil(share * m * weight), 1, m).astype(np.int64)
+        top, bottom = lists.lists[ups, m - depth[ups]][:, None], lists.lists[downs, depth[downs] - 1][:, None]
+        # An entry counts with its value where it has been read, and with the last value read where it hasn't.
+        upper = query[ups] @ np.maximum(high, top) + query[downs] @ np.minimum(low, bottom)
+        if bar == -np.inf and len(alive) > k:
+            lower = query[ups] @ np.where(high >= top, high, lists.lists[ups, :1]) + query[downs] @ np.where(low <= bottom, low, lists.lists[downs, -1:])
+            reached = float(np.partition(lower, len(lower) - k)[len(lower) - k])
+            kept = upper >= reached - slack
         else:
-            alive = alive[:, : len(kept)] & ~own
-        some = alive.any(axis=0)
-        kept, alive = kept[some], alive[:, some]
-        if alive.sum() <= 4 * k * len(queries):
+            kept = upper >= bar - slack
+        alive, high, low = alive[kept], high[:, kept], low[:, kept]
+        if len(alive) <= 2 * k or (depth[weight > 0] == m).all():
             break
-        depth = min(n, 2 * depth)
-    # The lists are read to their ends for what is left: scores without bounds.
-    score = up @ rows[kept].T + down @ rows[kept].T
-    score[~alive | (ids[kept][None, :] == query_ids[:, None])] = -np.inf
-    if len(kept) > k:
-        bar = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-        query, row = np.nonzero((score >= bar) & (score > -np.inf))
-    else:
-        query, row = np.nonzero(score > -np.inf)
-    value = score[query, row]
-    by = np.lexsort((ids[kept][row], -value, query))
-    query, row, value = query[by], row[by], value[by]
-    rank = np.arange(len(query)) - np.searchsorted(query, query)
-    best = rank < k
-    return query[best], kept[row[best]], value[best]
-
-
-def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, rows_per_block: int = 8192, queries_per_block: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows of each query; queries are the rows whose id is divisible by ``every``."""
-    whole = F.transform(F.col("v"), lambda x: F.floor(F.lit(scale) * x.cast("double")))
+        share += step
+    # Read on until the rows left have been met in all lists.
+    if len(alive):
+        top, bottom = np.minimum(top, high.min(axis=1, keepdims=True)), np.maximum(bottom, low.max(axis=1, keepdims=True))
+    return alive, int((lists.lists[ups] >= top).sum() + (lists.lists[downs] <= bottom).sum())
+
+
+def best_of_block(runs: list[SortedLists], query: np.ndarray, own_id: int, k: int) -> tuple[list[tuple[int, int]], int]:
+    """(-score, id) of the k best rows of a block's runs, ties to the smaller id, and the number of entries read."""
+    best: list[tuple[int, int]] = []
+    read = 0
+    reach = float(np.abs(query).sum())
+    for lists in runs:
+        exact = reach * lists.largest < 2.0**53
+        slack = 0.0 if exact else 1e-12 * reach * lists.largest
+        alive, entries = aggregate(lists, query, own_id, k, -float(best[-1][0]) if len(best) == k else -np.inf, slack)
+        read += entries
+        if exact:
+            score = (query @ lists.values[:, alive]).astype(np.int64)
+            if len(alive) > 4 * k:
+                few = score >= np.partition(score, len(score) - k)[len(score) - k]
+                alive, score = alive[few], score[few]
+            score = score.tolist()
+        else:
+            whole = [int(x) for x in query]
+            score = [sum(int(x) * q for x, q in zip(row, whole, strict=True)) for row in lists.values[:, alive].T.tolist()]
+        best = sorted([*best, *zip((-s for s in score), lists.ids[alive].tolist(), strict=True)])[:k]
+    return best, read
+
+
+def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, rows_per_block: int = 8192, queries_per_part: int = 16384, run: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score, entries_read, entries: the k best rows of each query; queries are the rows whose id is divisible by ``every``."""
     ready = (
-        vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+        vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
         .where(F.col("id").isNotNull() & usable("v"))
-        .select("id", whole.alias("v"), F.size("v").alias("d"))
-        .distinct()
+        .groupBy("id")
+        .agg(F.min("v").alias("v"))
+        .withColumn("d", F.size("v"))
     )
-    n = ready.count()
-    blocks, parts = max(1, -(-n // rows_per_block)), max(1, -(-n // every // queries_per_block))
-    # Every block of rows meets every block of queries: a stated query set against all rows.
-    rows = ready.select("*", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    queries = ready.where(F.col("id") % every == 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("v", "id"), F.lit(parts)).cast("int").alias("part"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [], [])
-        if left.num_rows and right.num_rows:
-            x, q = matrix(left.column("v")), matrix(right.column("v"))
-            ids, query_ids = (np.asarray(t.column("id"), dtype=np.int64) for t in (left, right))
-            query, row, score = aggregate(x, ids, q, query_ids, k)
-            # Different vectors under one query id answer apart: the vector's hash tells them from each other.
-            out = (query_ids[query], np.asarray(right.column("h"), dtype=np.int64)[query], ids[row], score.astype(np.int64))
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "h", "vec_id", "score"])
-
-    found = (
-        rows.groupBy("block", "part", "d")
-        .cogroup(queries.withColumn("h", F.xxhash64("v")).groupBy("block", "part", "d"))
-        .applyInArrow(run, "query_id long, h long, vec_id long, score long")
+    asks = F.col("id") % every == 0
+    n = ready.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(asks, 1)).alias("queries")).first()
+    blocks, parts = max(1, -(-n["rows"] // rows_per_block)), max(1, -(-n["queries"] // queries_per_part))
+    each = lambda n, kind: F.explode(F.sequence(F.lit(0).cast(kind), F.lit(n - 1).cast(kind)))
+    # Every block of rows meets every part of the queries: a stated query set against all rows.
+    rows = ready.select("d", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), each(parts, "int").alias("part"), F.lit(0).alias("asks"), "id", "v")
+    queries = ready.where(asks).select("d", each(blocks, "long").alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("asks"), "id", "v")
+
+    def integers(batch: pa.RecordBatch) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            found = np.floor(scale * matrix(batch.column("v")))
+        if not np.isfinite(found).all():
+            raise OverflowError("a component times the scale is no finite number")
+        return found
+
+    def answered(runs: list[SortedLists], asking: pa.RecordBatch) -> pa.RecordBatch:
+        out: tuple[list, ...] = ([], [], [], [], [])
+        ids = np.asarray(asking.column("id"), dtype=np.int64).tolist()
+        for own, query in zip(ids, integers(asking), strict=True):
+            best, read = best_of_block(runs, query, own, k)
+            held = sum(lists.values.size for lists in runs)
+            # The counts travel on the first row of each block's answer.
+            for i, (score, row) in enumerate(best):
+                if not -(2**63) <= -score < 2**63:
+                    raise OverflowError(f"the score of {own} and {row} doesn't fit a long")
+                for column, value in zip(out, (own, row, -score, read if i == 0 else 0, held if i == 0 else 0), strict=True):
+                    column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score", "read", "held"])
+
+    def scan(batches):
+        now, held, runs = None, [], None
+        for batch in batches:
+            columns = [np.asarray(batch.column(c), dtype=np.int64) for c in ("d", "block", "part", "asks")]
+            edges = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0), True]) if batch.num_rows else []
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                key = tuple(int(c[low]) for c in columns[:3])
+                if key != now:
+                    now, held, runs = key, [], None
+                piece = batch.slice(low, high - low)
+                if not columns[3][low]:
+                    held.append(piece)
+                elif held or runs:
+                    if runs is None:
+                        x, ids = np.concatenate([integers(h) for h in held]), np.concatenate([np.asarray(h.column("id"), dtype=np.int64) for h in held])
+                        runs, held = [SortedLists(x[at : at + run], ids[at : at + run]) for at in range(0, len(x), run)], []
+                    yield answered(runs, piece)
+
+    met = rows.union(queries).repartition(blocks * parts, "d", "block", "part").sortWithinPartitions("d", "block", "part", "asks", "id").mapInArrow(scan, _FOUND)
+    of_query = Window.partitionBy("query_id")
+    ranked = met.select(
+        "query_id",
+        F.row_number().over(of_query.orderBy(F.desc("score"), "vec_id")).alias("rank"),
+        "vec_id",
+        "score",
+        F.sum("read").over(of_query).alias("entries_read"),
+        F.sum("held").over(of_query).alias("entries"),
     )
-    order = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked.where(F.col("rank") <= k)

@@ -3,8 +3,9 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
-from loomledger.llm import ann, topk
+from loomledger.llm import ann, queries, topk
 
 NAN, INF = float("nan"), float("inf")
 
@@ -17,30 +18,60 @@ def odd_rows(seed=0, n=300, d=8):
     return rows + [rows[5], rows[5]]
 
 
+def brute_top(rows, every=50, k=5):
+    """Query, rank, row and score by plain integer products; of the vectors of one id the smallest counts."""
+    good = {}
+    for i, v in rows:
+        if v and all(x is not None and math.isfinite(x) for x in v):
+            good[i] = min(good.get(i, v), v)
+    good = {i: [math.floor(256 * x) for x in v] for i, v in good.items()}
+    expected = set()
+    for i, v in good.items():
+        if i % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in good.items() if j != i and len(w) == len(v))
+            expected |= {(i, r, j, -s) for r, (s, j) in enumerate(scores[:k], 1)}
+    return expected
+
+
 def test_exact_search_is_exact(spark):
-    rows = odd_rows() + [(2000, [1.0, 2.0]), (2050, [0.5, -2.0])]
+    rows = odd_rows() + [(2000, [1.0, 2.0]), (2050, [0.5, -2.0]), (2000, [3.0, 2.0]), (50, [9.0] * 8), (2100, [0.0] * 8)]
     vectors = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<double>, score int")
-    good = {(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)}
-    expected = set()
-    for i, v in good:
-        if i % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in good if j != i and len(w) == len(v))
-            expected |= {(i, r, j, -s) for r, (s, j) in enumerate(scores[:5], 1)}
-    for size in (8192, 37):
-        found = topk.search(vectors, rows_per_block=size, queries_per_block=3).collect()
-        assert {tuple(r) for r in found} == expected and len(found) == len(expected)
+    expected = brute_top(rows)
+    for size, part, run in ((8192, 16384, 1024), (37, 3, 16)):
+        found = topk.search(vectors, rows_per_block=size, queries_per_part=part, run=run).collect()
+        assert {tuple(r)[:4] for r in found} == expected and len(found) == len(expected)
+
+
+def test_registered_search_is_exact(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    found = queries.op4_exact_topk(spark, sf_dir).collect()
+    assert {tuple(r)[:4] for r in found} == brute_top(rows) and all(0 < r.entries_read <= r.entries for r in found)
+
+
+def test_large_components_are_exact_or_an_error(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [1e6, 3.0, -1e6]), (1, [1e6 + 1 / 256, 2.0, -1e6]), (2, [1e6, 2.0, -1e6 - 1 / 256]), (3, [1e6, 5.0, -1e6])]
+    found = topk.search(spark.createDataFrame(rows, schema)).collect()
+    assert {tuple(r)[:4] for r in found} == brute_top(rows)
+    for big in (1e20, 1.7e308):
+        with pytest.raises(Exception, match="OverflowError"):
+            topk.search(spark.createDataFrame([(0, [big]), (1, [big])], schema)).collect()
 
 
 def test_bounds_stop_early_and_lose_nothing():
     rng = np.random.default_rng(1)
-    rows = np.floor(rng.normal(0, 20, (700, 6)))
-    rows[::7] *= 9
-    queries = np.floor(rng.normal(0, 20, (30, 6)))
-    ids = rng.permutation(700)
-    query, row, score = topk.aggregate(rows, ids, queries, np.full(30, -1), 5)
-    full = queries @ rows.T
-    for i in range(30):
-        assert [(-s, ids[r]) for r, s in zip(row[query == i], score[query == i])] == sorted(zip(-full[i], ids))[:5]
+    shares, left = [], []
+    for rows in (np.floor(rng.normal(0, 20, (700, 6))), np.floor(rng.pareto(1.5, (700, 6)) * 20)):
+        lists = topk.SortedLists(rows, np.arange(len(rows)))
+        for query in np.floor(rng.normal(0, 20, (30, 6))):
+            scores = rows @ query
+            for bar in (-np.inf, np.sort(scores)[-5]):
+                alive, read = topk.aggregate(lists, query, -1, 5, bar, 0.0)
+                assert set(np.flatnonzero(scores >= np.sort(scores)[-5])) <= set(alive) and read <= rows.size
+            left.append(len(alive))
+            # A run none of whose rows can qualify is left before its lists end.
+            shares.append(topk.aggregate(lists, query, -1, 5, scores.max() + 1, 0.0)[1] / rows.size)
+    assert np.mean(shares) < 0.75 and np.mean(left) < 12
 
 
 def test_posting_lists(spark):
