@@ -1,12 +1,15 @@
 """Byte-level BPE encoding in overlapping chunks, and decoding.
 
-A text of several chunks is cut into chunks that overlap. Each is pre-tokenised on its own, in parallel. The matches
+A text is cut into chunks that overlap. Each is pre-tokenised on its own. The matches
 from a position on depend only on the text from there on, so two neighbouring chunks that have one boundary in
 common inside their overlap agree on all later ones: the first such boundary after a character that isn't white
 space is the seam (after white space the look-ahead could still see the other side). The pieces between the seams
 are encoded independently and their ids concatenated in order. Where two chunks never agree, as within one word
-longer than the overlap, the seam is left out and the neighbours are encoded as one piece. A text of one chunk is
-one piece. Decoding concatenates the tokens' bytes.
+longer than the overlap, the seam is left out and the neighbours are encoded as one piece. Decoding concatenates the tokens'
+bytes.
+
+The chunks of a text of up to ``deal`` characters stay in its task; those of a longer text are dealt over all tasks, and so are
+its pieces, whose ids then stream by in order. The result depends neither on ``deal`` nor on the chunks.
 
 Null text counts as empty: no ids. Repeated doc_ids are kept apart by row. Empty table: no rows. Other columns of
 the input are ignored.
@@ -15,11 +18,11 @@ the input are ignored.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -41,62 +44,101 @@ def load(ranks_path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _encode(encoding, text: str) -> np.ndarray:
-    return np.array(encoding.encode_ordinary(text), dtype="<u4")
+_COLUMNS = {"ids": {"ids": ("array<int>", pa.list_(pa.int32()))}, "digests": {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}}
 
 
-def _finished(encoding, ids: np.ndarray, output: str) -> tuple:
-    if output == "ids":
-        return (ids.astype(np.int32),)
-    decoded = encoding.decode_bytes(ids.tolist())
-    return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+class _Joined:
+    """The ids of one text's pieces in order, or their count and the digests of the ids and of the decoded bytes."""
 
+    def __init__(self, encoding, output: str):
+        self.encoding, self.output = encoding, output
+        self.n, self.parts, self.ids, self.decoded = 0, [], hashlib.sha256(), hashlib.sha256()
+
+    def add(self, raw: bytes) -> None:
+        self.n += len(raw) // 4
+        if self.output == "ids":
+            self.parts.append(raw)
+        else:
+            self.ids.update(raw)
+            self.decoded.update(self.encoding.decode_bytes(np.frombuffer(raw, "<u4").tolist()))
+
+    def columns(self) -> tuple:
+        if self.output == "ids":
+            return (np.frombuffer(b"".join(self.parts), "<u4").astype(np.int32),)
+        return self.n, self.ids.hexdigest(), self.decoded.hexdigest()
+
+
+def _encoded(encoding, text: str) -> bytes:
+    return np.array(encoding.encode_ordinary(text), dtype="<u4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def _compiled(pattern: str):
+    return regex.compile(pattern)
 
-_COLUMNS = {"ids": {"ids": ("array<int>", pa.list_(pa.int32()))}, "digests": {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}}
 
+def edges(pattern: str, text: str, start: int, step: int, overlap: int) -> tuple[list[int], list[int]]:
+    """Ends of pre-tokens that may be seams (the character before is no white space) in a chunk's two overlaps; the chunk begins at start."""
+    ends = [m.end() for m in _compiled(pattern).finditer(text)]
+    ends = ends[: bisect.bisect_left(ends, len(text) - _MARGIN)]
+    head, tail = ends[: bisect.bisect_left(ends, overlap)], ends[bisect.bisect_left(ends, step) :]
+    return tuple([start + p for p in side if not text[p - 1].isspace()] for side in (head, tail))
 
-def boundaries(pattern: str, text: str, low: int, high: int) -> list[int]:
-    """Ends of pre-tokens within [low, high) that may be seams: the character before is no white space."""
-    return [m.end() for m in regex.finditer(pattern, text) if low <= m.end() < high and not text[m.end() - 1].isspace()]
 
+def chunk_starts(size: int, chunk: int, overlap: int) -> range:
+    return range(0, max(1, size - overlap), chunk - overlap)
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 32768, overlap: int = 1024, output: str = "ids", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def pieces(pattern: str, text: str, chunk: int, overlap: int) -> list[str]:
+    """The text between its seams."""
+    cuts, before = [0], None
+    starts = chunk_starts(len(text), chunk, overlap)
+    for start in starts if len(starts) > 1 else ():
+        head, tail = edges(pattern, text[start : start + chunk], start, chunk - overlap, overlap)
+        if before:
+            cuts += sorted(before.intersection(head))[:1]
+        before = set(tail)
+    return [text[low:high] for low, high in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 2048, overlap: int = 128, output: str = "ids", deal: int = 65536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and either its ids (output="ids") or their count and digests, with the digest of the decoded bytes (output="digests").
 
-    chunk and overlap are in characters; the result doesn't depend on them."""
+    chunk, overlap and deal are in characters."""
     columns = _COLUMNS[output]
     schema = "doc_id long, " + ", ".join(f"{name} {kind[0]}" for name, kind in columns.items())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    def answer(ids: list, found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([row[i] for row in found], type=kind[1]) for i, kind in enumerate(columns.values()))], names=["doc_id", *columns])
+
     def whole(batches):
         encoding = load(ranks_path, pattern)
         for batch in split_batches(batches, "text", 4 << 20):
-            found = [_finished(encoding, _encode(encoding, t), output) for t in batch.column("text").to_numpy(zero_copy_only=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([row[i] for row in found], type=kind[1]) for i, kind in enumerate(columns.values()))], names=["doc_id", *columns])
-
-    short = texts.where(F.length("text") <= chunk).mapInArrow(whole, schema)
+            found = []
+            for text in batch.column("text").to_numpy(zero_copy_only=False):
+                joined = _Joined(encoding, output)
+                for piece in pieces(pattern, text, chunk, overlap):
+                    joined.add(_encoded(encoding, piece))
+                found.append(joined.columns())
+            yield answer(batch.column("doc_id").to_pylist(), found)
 
-    step = chunk - overlap
+    near = texts.where(F.length("text") <= deal).mapInArrow(whole, schema)
 
     def cut(batches):
         for batch in split_batches(batches, "text", 4 << 20):
             for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-                starts = [*range(0, max(1, len(text) - overlap), step)]
+                starts = chunk_starts(len(text), chunk, overlap)
                 for low in range(0, len(starts), 64):
                     part = starts[low : low + 64]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc] * len(part), pa.int64()), "row": pa.array([row] * len(part), pa.int64()), "start": pa.array(part, pa.int64()), "text": [text[s : s + chunk] for s in part]})
 
     def pre_tokenise(batches):
         for batch in batches:
-            starts, texts = batch.column("start").to_pylist(), batch.column("text").to_pylist()
-            heads, tails = [], []
-            for start, text in zip(starts, texts, strict=True):
-                ends = boundaries(pattern, text, 0, len(text) - _MARGIN)
-                heads.append([start + p for p in ends if p < overlap])
-                tails.append([start + p for p in ends if p >= step])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=[*batch.schema.names, "head", "tail"])
-
-    long = texts.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
+            found = [edges(pattern, text, start, chunk - overlap, overlap) for start, text in zip(batch.column("start").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1))], names=[*batch.schema.names, "head", "tail"])
+
+    long = texts.where(F.length("text") > deal).withColumn("row", F.monotonically_increasing_id())
     chunks = long.mapInArrow(cut, "doc_id long, row long, start long, text string")
     # Chunks of one text meet again only for their seams; the matching itself is dealt over all tasks.
     chunks = chunks.repartition("row", "start").mapInArrow(pre_tokenise, "doc_id long, row long, start long, text string, head array<long>, tail array<long>")
@@ -112,22 +154,28 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 32768, o
         "text",
         F.coalesce(F.sum(F.col("stop").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("piece"),
     ).select("doc_id", "row", "start", "piece", F.expr("substring(text, cast(`from` - start as int) + 1, cast(`to` - `from` as int))").alias("text"))
-    pieces = sewn.groupBy("doc_id", "row", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "").alias("text"))
+    sewn = sewn.groupBy("doc_id", "row", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "").alias("text"))
 
     def encode_pieces(batches):
         encoding = load(ranks_path, pattern)
         for batch in split_batches(batches, "text", 4 << 20):
-            ids = [_encode(encoding, t).tobytes() for t in batch.column("text").to_numpy(zero_copy_only=False)]
+            ids = [_encoded(encoding, t) for t in batch.column("text").to_numpy(zero_copy_only=False)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "piece")), pa.array(ids, pa.binary())], names=["doc_id", "row", "piece", "ids"])
 
-    encoded = pieces.repartition("doc_id", "row", "piece").mapInArrow(encode_pieces, "doc_id long, row long, piece long, ids binary")
-
-    def join_ids(frame: pd.DataFrame) -> pd.DataFrame:
-        encoding = load(ranks_path, pattern)
-        ids = np.frombuffer(b"".join(frame.sort_values("piece")["ids"]), dtype="<u4")
-        return pd.DataFrame([(int(frame["doc_id"].iloc[0]), *_finished(encoding, ids, output))], columns=["doc_id", *columns])
-
-    return short.unionByName(encoded.groupBy("doc_id", "row").applyInPandas(join_ids, schema))
+    def join_ids(batches):
+        encoding, now, joined = load(ranks_path, pattern), None, None
+        for batch in batches:
+            for doc, row, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "ids")), strict=True):
+                if (doc, row) != now:
+                    if joined:
+                        yield answer([now[0]], [joined.columns()])
+                    now, joined = (doc, row), _Joined(encoding, output)
+                joined.add(ids)
+        if joined:
+            yield answer([now[0]], [joined.columns()])
+
+    encoded = sewn.repartition("doc_id", "row", "piece").mapInArrow(encode_pieces, "doc_id long, row long, piece long, ids binary")
+    return near.unionByName(encoded.repartition("row").sortWithinPartitions("row", "piece").mapInArrow(join_ids, schema))
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
