@@ -3,10 +3,11 @@
 1. Every document becomes token ids plus an end id; longer ones are cut into pieces of the capacity, the first
    piece taking the remainder.
 2. The driver sees only the histogram of piece lengths, which has at most ``capacity`` rows whatever the corpus.
-3. Large lengths are grouped by equal cardinality and rounded up to the largest of their group; the few sizes left
-   are packed by a configuration linear programme (column generation with a knapsack price).
-4. Actual lengths are substituted for the rounded ones, and the space this frees, with all other space, takes the
-   remaining pieces by best fit, longest first.
+3. Lengths over a third of the capacity are grouped by equal cardinality and rounded up to the largest of their group; the few
+   sizes left are packed by a configuration linear programme (column generation with a knapsack price). Each configuration
+   is used as often as the programme says, rounded (halves up); the upward ones come last, largest fraction first.
+4. Actual pieces are substituted for the rounded ones: in each sequence the longest that their sizes allow, the last one the
+   longest that still fits. All space left takes the remaining pieces by best fit, longest first.
 5. The plan maps (length, rank among the pieces of that length) to (sequence, offset). Ranks come from counts by
    (length, bucket), so a length that a third of all pieces share is dealt over all buckets.
 
@@ -31,15 +32,15 @@ from pyspark.sql import functions as F
 
 from loomledger.llm.common import split_batches, written
 
-#: From which share of the capacity on a length counts as large: the plan with the fewest sequences is taken.
-LARGE = (0.5, 0.3, 0.2)
 #: White space, in RE2's syntax, as the pre-tokenisation pattern's \s has it.
 _SPACES = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]{2}|\x{00}"
 
 
 @lru_cache(maxsize=2)
 def _encoding(tokenizer_json: str):
-    """The vocabulary of a byte-level BPE file of the tokenizers library, run by tiktoken: the same ids, several times faster."""
+    """The vocabulary of a byte-level BPE file of the tokenizers library, run by tiktoken: the same ids, several times faster.
+
+    Added tokens are found in a text before all else, as the library does by itself."""
     import public_tokenizers
     import tiktoken
 
@@ -47,9 +48,18 @@ def _encoding(tokenizer_json: str):
         model = json.load(file)
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spelled = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
-    special = {token["content"] for token in model.get("added_tokens", [])}
+    added = model.get("added_tokens", [])
+    if any(token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"] for token in added):
+        raise ValueError(f"{tokenizer_json}: added tokens that depend on their neighbours aren't supported")
+    special = {token["content"]: token["id"] for token in added}
     ranks = {bytes(spelled[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+def _with_added(encoding) -> tuple:
+    """A function that encodes a whole text, and the added tokens' spellings."""
+    names = sorted(encoding.special_tokens_set)
+    return lambda text: encoding.encode(text, allowed_special="all"), names
 
 
 class _WordIds:
@@ -83,9 +93,11 @@ def _word_ids(tokenizer_json: str) -> _WordIds:
     return _WordIds(_encoding(tokenizer_json).encode_ordinary)
 
 
-def _ids(column: pa.Array, encode, cache: _WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def _ids(column: pa.Array, encode, added: list[str], cache: _WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows, each row followed by end_id, and the offsets of the rows."""
-    odd = np.asarray(pc.match_substring_regex(column, _SPACES).fill_null(False))
+    odd = np.array(pc.match_substring_regex(column, _SPACES).fill_null(False))
+    for name in added:
+        odd |= np.asarray(pc.match_substring(column, name).fill_null(False))
     marked = pc.replace_substring(pc.if_else(pa.array(odd), "", column), " ", "\0 ")
     lists = pc.split_pattern(marked, "\0")
     counts = np.asarray(pc.list_value_length(lists), dtype=np.int64)
@@ -102,7 +114,7 @@ def _ids(column: pa.Array, encode, cache: _WordIds, end_id: int) -> tuple[np.nda
     stop = np.cumsum(length)
     ids = flat[np.repeat(begin - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)]
     offsets = np.r_[0, stop[ends + np.arange(len(ends))]]
-    if odd.any():  # texts with neighbouring white space are encoded whole
+    if odd.any():  # texts with neighbouring white space or added tokens are encoded whole
         parts, row_offsets = [], [0]
         for i in range(len(column)):
             part = np.array([*encode(column[i].as_py()), end_id], dtype=np.uint32) if odd[i] else ids[offsets[i] : offsets[i + 1]]
@@ -116,10 +128,10 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end
     """Pieces of at most capacity ids: doc_id, piece, start, length, ids_crc32 and, with keep_ids, the ids."""
 
     def run(batches):
-        encode = _encoding(tokenizer_json).encode_ordinary
+        encode, added = _with_added(_encoding(tokenizer_json))
         cache = _word_ids(tokenizer_json)
         for batch in split_batches(batches, "text"):
-            ids, offsets = _ids(batch.column("text"), encode, cache, end_id)
+            ids, offsets = _ids(batch.column("text"), encode, added, cache, end_id)
             raw = ids.astype("<u4").tobytes()
             out: dict[str, list] = defaultdict(list)
             for doc, low, high in zip(batch.column("id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -145,32 +157,28 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end
 
 
 def _knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of sizes that fits the capacity."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(sizes, kind="stable")
-    by_size, value = sizes[order], prices[order]
-    smallest = int(by_size[0])
-    fits = np.searchsorted(by_size, np.arange(capacity + 1), side="right")
-    for c in range(smallest, capacity + 1):
-        n = fits[c]
-        gain = best[c - by_size[:n]] + value[:n]
-        top = int(np.argmax(gain))
-        if gain[top] > best[c - 1]:
-            best[c], took[c] = gain[top], top
-        else:
-            best[c] = best[c - 1]
+    """The most valuable multiset of sizes (smallest first) that fits the capacity: one item more at a time."""
+    room = np.arange(capacity + 1)[:, None] - sizes
+    fits, every = room >= 0, np.arange(capacity + 1)
+    best, took = np.zeros(capacity + 1), []
+    for _ in range(capacity // int(sizes[0])):
+        gain = np.where(fits, best[np.maximum(room, 0)] + prices, -np.inf)
+        top = gain.argmax(axis=1)
+        more = gain[every, top] > best + 1e-12
+        took.append(np.where(more, top, -1))
+        best = np.where(more, gain[every, top], best)
     counts, c = np.zeros(len(sizes), dtype=np.int64), capacity
-    while c >= smallest:
-        if took[c] < 0 or best[c] == best[c - 1]:
-            c -= 1
-            continue
-        counts[order[took[c]]] += 1
-        c -= int(by_size[took[c]])
+    for level in reversed(took):
+        if level[c] >= 0:
+            counts[level[c]] += 1
+            c -= int(sizes[level[c]])
     return float(best[capacity]), counts
 
 
 def _configurations(sizes: np.ndarray, needs: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, float]]:
-    """Column generation: configurations and how often each is used, covering the needs with about the fewest sequences."""
+    """Column generation: configurations and how often each is used, covering the needs with about the fewest sequences.
+
+    After so many rounds the configurations found so far are used: a bound on the driver's time, not on the pieces packed."""
     k = len(sizes)
     columns = [np.eye(k)[i] * (capacity // sizes[i]) for i in range(k)]
     cost = np.ones(k)
@@ -203,7 +211,22 @@ def _configurations(sizes: np.ndarray, needs: np.ndarray, capacity: int, rounds:
     return [(c.astype(np.int64), float(v)) for c, v, p in zip(columns, x, cost, strict=True) if p and v > 1e-9]
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = 1024, groups: int = 96, large: float = 0.2) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def _grouped(counts: dict[int, int], groups: int) -> dict[int, int]:
+    """Linear grouping: pieces in groups of equal cardinality, longest first, each counted at its largest length."""
+    quota, size, room = -(-sum(counts.values()) // groups), 0, 0
+    needs: dict[int, int] = defaultdict(int)
+    for n in sorted(counts, reverse=True):
+        left = counts[n]
+        while left:
+            if not room:
+                size, room = n, quota
+            take = min(left, room)
+            needs[size] += take
+            left, room = left - take, room - take
+    return needs
+
+
+def plan_sequences(histogram: dict[int, int], capacity: int = 1024, groups: int = 48, large: float = 1 / 3) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Runs (length, first rank, count, first sequence, offset) that place every piece, and the number of sequences.
 
     The i-th piece of a run goes to sequence first + i at the run's offset."""
@@ -229,51 +252,46 @@ def plan_sequences(histogram: dict[int, int], capacity: int = 1024, groups: int
         put(length, left[length], sequences, 0)
         sequences += left.pop(length)
 
-    # Linear grouping: the large pieces in groups of equal cardinality, each rounded up to its largest.
-    big = sorted((n for n in left if n > large * capacity), reverse=True)
-    total = sum(left[n] for n in big)
-    rounded: dict[int, list[list[int]]] = {}
-    if total:
-        quota = -(-total // groups)
-        size, room = 0, 0
-        for n in big:
-            c = left[n]
-            while c:
-                if not room:
-                    size, room = n, quota
-                    rounded.setdefault(size, [])
-                take = min(c, room)
-                rounded[size].append([n, take])
-                c, room = c - take, room - take
-    sizes = sorted(rounded)
-    if sizes:
-        needs = np.array([sum(c for _, c in rounded[s]) for s in sizes], dtype=float)
-        for counts, times in _configurations(np.array(sizes), needs, capacity):
-            repeat = int(times + 1e-6)
-            # Actual documents for the rounded ones: as long as each slot's length stays the same, one run.
-            while repeat:
-                slots = []
-                taken: dict[int, int] = defaultdict(int)
-                for s, k in sorted(((sizes[i], int(k)) for i, k in enumerate(counts) if k), reverse=True):
-                    for _ in range(k):
-                        queue = [q for q in rounded[s] if q[1] > taken[id(q)]]
-                        if queue:
-                            taken[id(queue[0])] += 1
-                            slots.append(queue[0])
-                if not slots:
-                    break
-                same = min(repeat, *(q[1] // taken[id(q)] for q in slots))
-                offset = 0
-                for q in slots:
-                    put(q[0], same, sequences, offset)
-                    q[1] -= same
-                    offset += q[0]
-                for s in sizes:
-                    rounded[s] = [q for q in rounded[s] if q[1]]
-                give(capacity - offset, sequences, same)
-                sequences, repeat = sequences + same, repeat - same
-    for n in big:
-        left[n] -= used[n]
+    big = {n: c for n, c in left.items() if n > large * capacity}
+    needs = _grouped(big, groups)
+    sizes = np.array(sorted(needs), dtype=np.int64)
+    uses = []
+    if len(sizes):
+        for counts, times in _configurations(sizes, np.array([needs[s] for s in sizes.tolist()], dtype=float), capacity):
+            slots = np.repeat(sizes, counts)[::-1].tolist()
+            whole = int(times + 1e-6)
+            uses += [(slots, whole, 0.0), (slots, 1, times - whole)] if times >= whole + 0.5 else [(slots, whole, 0.0)]
+    # Whole uses first, fullest first, then those for the fractions, largest first.
+    uses = sorted((u for u in uses if u[1]), key=lambda u: (u[2] > 0, -u[2], [-s for s in u[0]]))
+    there = sorted(big)
+
+    def substituted(slots: list[int]) -> list[int]:
+        """Actual lengths for a configuration's sizes, or fewer where the pieces run out."""
+        got: list[int] = []
+        for i, size in enumerate(slots):
+            room = capacity - sum(got)
+            at = bisect.bisect_right(there, room if i == len(slots) - 1 else min(size, room)) - 1
+            while at >= 0 and left[there[at]] <= got.count(there[at]):
+                at -= 1
+            if at >= 0:
+                got.append(there[at])
+        return got
+
+    for slots, repeat, _ in uses:
+        while repeat:
+            got = substituted(slots)
+            if len(got) < len(slots):
+                break
+            # As long as each length lasts, one run a slot.
+            same = min(repeat, *(left[n] // got.count(n) for n in set(got)))
+            offset = 0
+            for n in got:
+                put(n, same, sequences, offset)
+                left[n] -= same
+                offset += n
+            there = [n for n in there if left[n]]
+            give(capacity - offset, sequences, same)
+            sequences, repeat = sequences + same, repeat - same
 
     # Best fit, longest first, into the tightest space.
     for length in sorted((n for n in left if left[n] > 0), reverse=True):
@@ -301,7 +319,7 @@ def plan_sequences(histogram: dict[int, int], capacity: int = 1024, groups: int
     return runs, sequences
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, groups: int = 96) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, groups: int = 48) -> DataFrame:
     """Add sequence_id and offset to a table of pieces (columns doc_id, piece, length): see the module's text.
 
     The pieces are read three times, so hand over a written table."""
@@ -311,7 +329,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, groups: int = 96) -> DataFrame
     counts = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     # At most capacity rows reach the driver.
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs, _ = min((plan_sequences(histogram, capacity, groups, large) for large in LARGE), key=lambda plan: plan[1])
+    runs, _ = plan_sequences(histogram, capacity, groups)
     before = counts.withColumn(
         "before",
         F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)),
@@ -341,7 +359,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, groups: int = 96) -> DataFrame
     return ranked.select(*names, F.col("rank").cast("long").alias("rank")).mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end_id: int = 2, groups: int = 96, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end_id: int = 2, groups: int = 48, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Token pieces of the documents with their places: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
     pieces = written(token_pieces(docs, tokenizer_json, capacity, end_id, id_col, text_col, keep_ids), "pieces")
     columns = pieces.columns
