@@ -21,6 +21,7 @@ import base64
 import bisect
 import hashlib
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +48,56 @@ def load(ranks_path: str, pattern: str):
 _COLUMNS = {"ids": {"ids": ("array<int>", pa.list_(pa.int32()))}, "digests": {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}}
 
 
+class _Words:
+    """Ids of pre-tokens met before, as bytes: a pre-token is encoded by itself, so its ids are the same everywhere."""
+
+    def __init__(self, encoding, limit: int = 120_000):
+        self.encoding, self.limit, self.known = encoding, limit, {}
+
+    def ids(self, tokens: list[str]) -> bytes:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        known = self.known
+        try:
+            return b"".join(map(known.__getitem__, tokens))
+        except KeyError:
+            for token in set(tokens).difference(known):
+                known[token] = np.array(self.encoding.encode_ordinary(token), dtype="<u4").tobytes()
+            return b"".join(map(known.__getitem__, tokens))
+
+
+class _Bytes:
+    """Decoding: the bytes of all tokens one after the other, and where each begins."""
+
+    def __init__(self, encoding):
+        tokens = [b""] * encoding.n_vocab
+        for token in encoding.token_byte_values():
+            tokens[encoding.encode_single_token(token)] = token
+        self.size = np.array([*map(len, tokens)], dtype=np.int64)
+        self.begin, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(tokens), np.uint8)
+
+    def of(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        stop = np.cumsum(size)
+        return self.flat[np.repeat(self.begin[ids] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)].tobytes()
+
+
+@lru_cache(maxsize=1)
+def _words(ranks_path: str, pattern: str) -> _Words:
+    """One for each Python worker, kept from task to task; so is _bytes."""
+    return _Words(load(ranks_path, pattern))
+
+
+@lru_cache(maxsize=1)
+def _bytes(ranks_path: str, pattern: str) -> _Bytes:
+    return _Bytes(load(ranks_path, pattern))
+
+
 class _Joined:
     """The ids of one text's pieces in order, or their count and the digests of the ids and of the decoded bytes."""
 
-    def __init__(self, encoding, output: str):
-        self.encoding, self.output = encoding, output
+    def __init__(self, decoder: _Bytes, output: str):
+        self.decoder, self.output = decoder, output
         self.n, self.parts, self.ids, self.decoded = 0, [], hashlib.sha256(), hashlib.sha256()
 
     def add(self, raw: bytes) -> None:
@@ -60,7 +106,7 @@ class _Joined:
             self.parts.append(raw)
         else:
             self.ids.update(raw)
-            self.decoded.update(self.encoding.decode_bytes(np.frombuffer(raw, "<u4").tolist()))
+            self.decoded.update(self.decoder.of(np.frombuffer(raw, "<u4")))
 
     def columns(self) -> tuple:
         if self.output == "ids":
@@ -68,20 +114,27 @@ class _Joined:
         return self.n, self.ids.hexdigest(), self.decoded.hexdigest()
 
 
-def _encoded(encoding, text: str) -> bytes:
-    return np.array(encoding.encode_ordinary(text), dtype="<u4").tobytes()
-
-
 @lru_cache(maxsize=2)
 def _compiled(pattern: str):
-    return regex.compile(pattern)
+    found = regex.compile(pattern)
+    if found.groups:
+        raise ValueError("the pattern must not have capturing groups")
+    return found
+
 
+def pre_tokens(pattern: str, text: str) -> tuple[list[str], list[int]]:
+    """The pre-tokens of a text, and where each ends."""
+    tokens = _compiled(pattern).findall(text)
+    ends = [*accumulate(map(len, tokens))]
+    if (ends[-1] if ends else 0) != len(text):
+        raise ValueError("the pattern must match every character")
+    return tokens, ends
 
-def edges(pattern: str, text: str, start: int, step: int, overlap: int) -> tuple[list[int], list[int]]:
-    """Ends of pre-tokens that may be seams (the character before is no white space) in a chunk's two overlaps; the chunk begins at start."""
-    ends = [m.end() for m in _compiled(pattern).finditer(text)]
-    ends = ends[: bisect.bisect_left(ends, len(text) - _MARGIN)]
-    head, tail = ends[: bisect.bisect_left(ends, overlap)], ends[bisect.bisect_left(ends, step) :]
+
+def edges(text: str, ends: list[int], start: int, step: int, overlap: int) -> tuple[list[int], list[int]]:
+    """Ends of a chunk's pre-tokens that may be seams (the character before is no white space) in its two overlaps; the chunk begins at start."""
+    n = bisect.bisect_left(ends, len(text) - _MARGIN)
+    head, tail = ends[: bisect.bisect_left(ends, overlap, 0, n)], ends[bisect.bisect_left(ends, step, 0, n) : n]
     return tuple([start + p for p in side if not text[p - 1].isspace()] for side in (head, tail))
 
 
@@ -89,16 +142,31 @@ def chunk_starts(size: int, chunk: int, overlap: int) -> range:
     return range(0, max(1, size - overlap), chunk - overlap)
 
 
-def pieces(pattern: str, text: str, chunk: int, overlap: int) -> list[str]:
-    """The text between its seams."""
-    cuts, before = [0], None
+def pieces(pattern: str, text: str, chunk: int, overlap: int) -> list[list[str]]:
+    """The pre-tokens between a text's seams."""
     starts = chunk_starts(len(text), chunk, overlap)
-    for start in starts if len(starts) > 1 else ():
-        head, tail = edges(pattern, text[start : start + chunk], start, chunk - overlap, overlap)
-        if before:
-            cuts += sorted(before.intersection(head))[:1]
+    chunks = [pre_tokens(pattern, text[start : start + chunk]) for start in starts]
+    if len(starts) == 1:
+        return [chunks[0][0]]
+    seams, before = [0], set()
+    for start, (_, ends) in zip(starts, chunks, strict=True):
+        head, tail = edges(text[start : start + chunk], ends, start, chunk - overlap, overlap)
+        seams.append(min(before.intersection(head), default=None))
         before = set(tail)
-    return [text[low:high] for low, high in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+    # Chunk i lies between the seams i and i + 1.
+    seams = [0, *seams[2:], len(text)]
+    out, low = [], 0
+    for i, (tokens, ends) in enumerate(chunks):
+        high = seams[i + 1]
+        if high is None:
+            continue
+        if seams[i] is None:  # several chunks without a seam
+            out.append(pre_tokens(pattern, text[low:high])[0])
+        else:
+            first = bisect.bisect_right(ends, low - starts[i]) if low > starts[i] else 0
+            out.append(tokens[first : bisect.bisect_right(ends, high - starts[i])])
+        low = high
+    return out
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 2048, overlap: int = 128, output: str = "ids", deal: int = 65536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,13 +181,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 2048, ov
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([row[i] for row in found], type=kind[1]) for i, kind in enumerate(columns.values()))], names=["doc_id", *columns])
 
     def whole(batches):
-        encoding = load(ranks_path, pattern)
+        words, decoder = _words(ranks_path, pattern), _bytes(ranks_path, pattern)
         for batch in split_batches(batches, "text", 4 << 20):
             found = []
             for text in batch.column("text").to_numpy(zero_copy_only=False):
-                joined = _Joined(encoding, output)
+                joined = _Joined(decoder, output)
                 for piece in pieces(pattern, text, chunk, overlap):
-                    joined.add(_encoded(encoding, piece))
+                    joined.add(words.ids(piece))
                 found.append(joined.columns())
             yield answer(batch.column("doc_id").to_pylist(), found)
 
@@ -135,7 +203,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 2048, ov
 
     def pre_tokenise(batches):
         for batch in batches:
-            found = [edges(pattern, text, start, chunk - overlap, overlap) for start, text in zip(batch.column("start").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            found = [edges(text, pre_tokens(pattern, text)[1], start, chunk - overlap, overlap) for start, text in zip(batch.column("start").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1))], names=[*batch.schema.names, "head", "tail"])
 
     long = texts.where(F.length("text") > deal).withColumn("row", F.monotonically_increasing_id())
@@ -157,19 +225,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 2048, ov
     sewn = sewn.groupBy("doc_id", "row", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "").alias("text"))
 
     def encode_pieces(batches):
-        encoding = load(ranks_path, pattern)
+        words = _words(ranks_path, pattern)
         for batch in split_batches(batches, "text", 4 << 20):
-            ids = [_encoded(encoding, t) for t in batch.column("text").to_numpy(zero_copy_only=False)]
+            ids = [words.ids(pre_tokens(pattern, t)[0]) for t in batch.column("text").to_numpy(zero_copy_only=False)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "piece")), pa.array(ids, pa.binary())], names=["doc_id", "row", "piece", "ids"])
 
     def join_ids(batches):
-        encoding, now, joined = load(ranks_path, pattern), None, None
+        decoder, now, joined = _bytes(ranks_path, pattern), None, None
         for batch in batches:
             for doc, row, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "ids")), strict=True):
                 if (doc, row) != now:
                     if joined:
                         yield answer([now[0]], [joined.columns()])
-                    now, joined = (doc, row), _Joined(encoding, output)
+                    now, joined = (doc, row), _Joined(decoder, output)
                 joined.add(ids)
         if joined:
             yield answer([now[0]], [joined.columns()])

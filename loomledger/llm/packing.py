@@ -5,7 +5,7 @@
 2. The driver sees only the histogram of piece lengths, which has at most ``capacity`` rows whatever the corpus.
 3. Lengths over a third of the capacity are grouped by equal cardinality and rounded up to the largest of their group; the few
    sizes left are packed by a configuration linear programme (column generation with a knapsack price). Each configuration
-   is used as often as the programme says, rounded (halves up); the upward ones come last, largest fraction first.
+   is used as often as the programme says, rounded to the nearest; the upward ones come last, largest fraction first.
 4. Actual pieces are substituted for the rounded ones: in each sequence the longest that their sizes allow, the last one the
    longest that still fits. All space left takes the remaining pieces by best fit, longest first.
 5. The plan maps (length, rank among the pieces of that length) to (sequence, offset). Ranks come from counts by
@@ -260,7 +260,7 @@ def plan_sequences(histogram: dict[int, int], capacity: int = 1024, groups: int
         for counts, times in _configurations(sizes, np.array([needs[s] for s in sizes.tolist()], dtype=float), capacity):
             slots = np.repeat(sizes, counts)[::-1].tolist()
             whole = int(times + 1e-6)
-            uses += [(slots, whole, 0.0), (slots, 1, times - whole)] if times >= whole + 0.5 else [(slots, whole, 0.0)]
+            uses += [(slots, whole, 0.0), (slots, 1, times - whole)] if times > whole + 0.5 else [(slots, whole, 0.0)]
     # Whole uses first, fullest first, then those for the fractions, largest first.
     uses = sorted((u for u in uses if u[1]), key=lambda u: (u[2] > 0, -u[2], [-s for s in u[0]]))
     there = sorted(big)
