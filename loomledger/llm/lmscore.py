@@ -4,18 +4,22 @@ Two bigram models, one of a target text and one of the background, share one voc
 document's score is the mean over its tokens of the target's loss less the background's: the lower, the more the
 document reads like the target.
 
-Vocabulary: the ``words`` most frequent words of all background documents (ties by name), an unknown word and an end of text.
-Counts cover every document of both sides. A bigram's probability is (count + mass * P(word)) / (count of its first
-word + mass), with P(word) = (count + 1) / (all + size of the vocabulary): both models get the same mass, whatever their size.
-
-The vocabulary bounds what reaches the driver: its words, and at most (words + 2)^2 log-ratios, which are broadcast.
-The counting itself is dealt over the cluster and grows with the corpus.
-
-``score_all`` takes all words of the background and deals words and bigrams over the cluster too.
-
-Words are what white space separates, with A-Z lower-cased. Null and empty texts score as an end of text alone. Repeated rows
-count and are scored each. An empty target makes the scores differ by the background's shape alone; an empty table gives no
-rows. Other columns are ignored.
+Vocabulary: every word of the documents, and an end of text. A bigram's probability is (count + mass * P(word)) / (count of
+its first word + mass), with P(word) the word's share of all tokens: both models fall back to one prior with one mass.
+Counts cover every document of both sides, and grow with the corpus: nothing but one total is gathered or broadcast.
+
+1. Documents are dealt by id into parts of about ``part_bytes`` of text. A part asks for the counts of its distinct bigrams and
+   words once each, by hash, with its own counts of them, and the questions are dealt over buckets by hash. So a bigram that all
+   documents have reaches its bucket once for each part.
+2. A bucket adds the counts up and answers each part in the order of its question, so answers carry no names. Parts and
+   buckets grow in number with the bytes of the input, not in size.
+3. A part meets its answers, and scores its documents. The parts' exchange is used for both steps.
+
+Words are what white space separates, with A-Z lower-cased. They stand for themselves by 64-bit hashes, of which the remainder that
+names the bucket and 48 more bits travel; two codes of a bucket of a few million agree by chance about once in a hundred buckets,
+which adds their counts. Null and empty texts score as an end of text alone. Repeated rows count and are scored each; rows
+without an id are no target. Rows of one repeated id are dealt over ``salts`` parts. An empty target makes the scores
+differ by the background's shape alone; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,185 +28,146 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomledger.llm.common import split_batches, words_of, written
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word and n, over all texts (column text); each batch adds its own counts up first."""
-
-    def run(batches):
-        for batch in split_batches(batches, "text", 8 << 20):
-            _, index, names = words_of(pc.ascii_lower(batch.column("text")))
-            n = np.bincount(index, minlength=len(names))
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(some)).cast(pa.string()), pa.array(n[some].astype(np.int64))], names=["word", "n"])
-
-    return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class Vocabulary:
-    """Word numbers: 0 to words - 1, then the unknown word, then the end of text."""
-
-    def __init__(self, words: list[str]):
-        self.words = words
-        self.unknown, self.end, self.size = len(words), len(words) + 1, len(words) + 2
-
-    def numbers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, first and second word of every bigram of every row; a row begins and ends with the end of text."""
-        n = len(column)
-        rows, index, names = words_of(pc.ascii_lower(column))
-        known = pc.fill_null(pc.index_in(names, value_set=pa.array(self.words, names.type)), self.unknown)
-        number = np.asarray(known, dtype=np.int64)[index] if len(names) else index
-        counts = np.bincount(rows, minlength=n)
-        ends = np.cumsum(counts)
-        second = np.insert(number, ends, self.end)
-        row = np.repeat(np.arange(n), counts + 1)
-        first = np.roll(second, 1)
-        first[np.r_[0, ends[:-1] + np.arange(1, n)] if n else []] = self.end
-        return row, first, second
-
-
-def bigram_counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """code (first * size + second) and n, over all texts; each batch adds its own counts up first."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches):
-        words = shared.value
-        for batch in split_batches(batches, "text", 8 << 20):
-            _, first, second = words.numbers(batch.column("text"))
-            code, n = np.unique(first * words.size + second, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
-
-    return texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def log_probabilities(code: np.ndarray, n: np.ndarray, size: int, asked: np.ndarray, mass: float) -> np.ndarray:
-    """Log-probability of the asked bigrams under the smoothed model of the counted ones."""
-    first = np.bincount(code // size, weights=n, minlength=size)
-    second = np.bincount(code % size, weights=n, minlength=size)
-    single = (second + 1) / (second.sum() + size)
-    at = np.searchsorted(code, asked)
-    met = np.zeros(len(asked))
-    if len(code):
-        inside = np.minimum(at, len(code) - 1)
-        met = np.where(code[inside] == asked, n[inside], 0)
-    return np.log((met + mass * single[asked % size]) / (first[asked // size] + mass))
-
-
-def _gathered(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A table of at most size^2 counts, in the order of its codes."""
-    table = counts.toArrow()
-    code, n = (np.asarray(table.column(c), dtype=np.int64) for c in ("code", "n"))
-    order = np.argsort(code)
-    return code[order], n[order].astype(np.float64)
+from loomledger.llm.common import split_batches, words_of
 
+_END = xxhash.xxh64_intdigest(b"")
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+#: Bits of a code that travel beside its bucket.
+_TOLD = np.uint64((1 << 48) - 1)
+_QUESTION = "bucket long, kind int, part long, low binary, high binary, b binary, t binary"
+_ANSWER = "part long, kind int, bucket long, b binary, t binary"
 
-def score(docs: DataFrame, target: DataFrame, words: int = 1000, mass: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score (target loss less background loss, each the mean over the tokens) of every document.
 
-    target: a table with a column text."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kept = word_counts(texts).orderBy(F.desc("n"), "word").limit(words).collect()
-    vocabulary = Vocabulary([r["word"] for r in kept])
-    size = vocabulary.size
-    background, wanted = _gathered(bigram_counts(texts, vocabulary)), _gathered(bigram_counts(target.select("text"), vocabulary))
-    every = background[0]
-    losses = np.stack([-log_probabilities(*model, size, every, mass) for model in (wanted, background)])
-    shared = spark.sparkContext.broadcast((vocabulary, every, losses))
+def token_totals(texts: DataFrame) -> tuple[int, int]:
+    """Bytes and tokens (ends of text included) of all texts (column text)."""
 
     def run(batches):
-        vocabulary, every, losses = shared.value
         for batch in split_batches(batches, "text", 8 << 20):
-            n = batch.num_rows
-            row, first, second = vocabulary.numbers(batch.column("text"))
-            # All bigrams of the documents were counted, so each is there.
-            at = np.searchsorted(every, first * vocabulary.size + second)
-            tokens = np.bincount(row, minlength=n)
-            means = [np.bincount(row, weights=loss[at], minlength=n) / tokens for loss in losses]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens.astype(np.int64)), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+            column = batch.column("text")
+            size = pc.sum(pc.binary_length(column)).as_py() or 0
+            yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([len(words_of(column)[0]) + len(column)], pa.int64())], names=["bytes", "tokens"])
 
-    return texts.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    found = texts.select("text").mapInArrow(run, "bytes long, tokens long").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens")).first()
+    return found["bytes"] or 0, found["tokens"] or 0
 
 
-#: As ``words`` of oracle_sql: no word of any corpus is left out.
-ALL_WORDS = 1 << 60
-_END = xxhash.xxh64_intdigest(b"")
-_PAIRS = "head long, tail long, n long"
-
-
-def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first and second word of every bigram of every row, words by their XXH64 hash; the empty word is the end of text."""
-    n = batch.num_rows
-    rows, index, names = words_of(pc.ascii_lower(batch.column("text")))
-    codes = np.array([*(xxhash.xxh64_intdigest(w.encode()) for w in names.to_pylist()), _END], dtype=np.uint64).view(np.int64)
+def hashed_bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and second word of every bigram of every row, words by their hash; a row begins and ends with the end of text."""
+    n = len(column)
+    rows, index, names = words_of(pc.ascii_lower(column))
+    codes = np.array([*(xxhash.xxh64_intdigest(w) for w in names.cast(pa.large_binary()).to_pylist()), _END], dtype=np.uint64)
     counts = np.bincount(rows, minlength=n)
     ends = np.cumsum(counts)
     second = np.insert(codes[index], ends, codes[-1])
     first = np.roll(second, 1)
-    first[np.r_[0, ends[:-1] + np.arange(1, n)]] = codes[-1]
+    first[np.r_[0, ends[:-1] + np.arange(1, n)] if n else []] = codes[-1]
     return np.repeat(np.arange(n), counts + 1), first, second
 
 
-def _counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows of the columns, and how often each comes."""
-    by = np.lexsort(columns[::-1])
-    columns = [c[by] for c in columns]
-    new = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
-    return [c[new] for c in columns], np.diff(np.r_[new, len(by)])
+def pair_codes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One hash for each bigram."""
+    code = first * _MIX[0] + second
+    code ^= code >> np.uint64(29)
+    code *= _MIX[1]
+    code ^= code >> np.uint64(32)
+    return code
 
 
-def all_bigram_counts(texts: DataFrame) -> DataFrame:
-    """head, tail and n, over all texts and all words; each batch adds its own counts up first."""
+def _texts(table: pa.Table) -> tuple[pa.Table, pa.Array]:
+    """The documents of a part (not the ids of the target), and their texts."""
+    docs = table.filter(pc.equal(table.column("asks"), 0))
+    return docs, pc.fill_null(docs.column("text").cast(pa.large_string()), "").combine_chunks()
 
-    def run(batches):
-        for batch in split_batches(batches, "text", 8 << 20):
-            (head, tail), n = _counted(*_hashed(batch)[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(tail), pa.array(n.astype(np.int64))], names=["head", "tail", "n"])
 
-    return texts.select("text").mapInArrow(run, _PAIRS).groupBy("head", "tail").agg(F.sum("n").alias("n"))
-
-
-def score_all(docs: DataFrame, target: DataFrame, mass: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same as score with every word of docs in the vocabulary.
-
-    Words, bigrams and their losses are tables, and reach the documents by joins: but for four totals nothing is gathered
-    or broadcast. Words stand for themselves by 64-bit hashes: among a hundred million words some two agree with a chance
-    of about 1 in 3700."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sides = [all_bigram_counts(side).select("head", "tail", *(F.when(F.lit(i == j), F.col("n")).otherwise(0).alias(c) for j, c in enumerate("bt"))) for i, side in enumerate((texts, target))]
-    pairs = written(sides[0].union(sides[1]).groupBy("head", "tail").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "bigrams")
-    # A text's bigrams run from its end to its end, so a word comes as often first as second.
-    words = written(pairs.groupBy("head").agg(F.sum("b").alias("b"), F.sum("t").alias("t")), "words")
-    total = words.agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.count(F.when(F.col("b") > 0, 1)).alias("n")).first()
-    size = total["n"] + 1  # with the end of text, and an unknown word that none is
-    heads = words.select("head", *(F.col(c).alias(f"f{c}") for c in "bt"))
-    tails = words.select(F.col("head").alias("tail"), *(F.col(c).alias(f"s{c}") for c in "bt"))
-
-    def loss(c: str) -> Column:
-        single = (F.col(f"s{c}") + 1) / ((total[c] or 0) + size)
-        return -F.log((F.col(c) + mass * single) / (F.col(f"f{c}") + mass))
-
-    losses = pairs.where("b > 0").join(heads, "head").join(tails, "tail").select("head", "tail", loss("t").alias("t"), loss("b").alias("b"))
+def score(docs: DataFrame, target: DataFrame, mass: float = 4.0, part_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, salts: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss and score (target loss less background loss, each the mean over the tokens) of every document.
 
-    def run(batches):
-        for batch in split_batches(batches, "text", 8 << 20):
-            row, first, second = _hashed(batch)
-            (row, head, tail), n = _counted(row, first, second)
-            keys = [batch.column(c).take(pa.array(row)) for c in ("row", "doc_id")]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(head), pa.array(tail), pa.array(n.astype(np.int64))], names=["row", "doc_id", "head", "tail", "n"])
+    target: a table with the ids of the target's documents. The background is all documents."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size, total = token_totals(texts)
+    parts, buckets = 1 + size // part_bytes, 1 + size // bucket_bytes
+    salted = lambda salt: F.pmod(F.xxhash64("id", salt), F.lit(parts))
+    # Nulls have no id to be dealt by, so all of their text's hash deals them.
+    salt = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.pmod(F.xxhash64("text"), F.lit(salts)))
+    wanted = target.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
+    wanted = wanted.select("id", F.lit(None).cast("string").alias("text"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    dealt = texts.withColumn("salt", salt).select(salted("salt").alias("part"), F.lit(0).alias("asks"), "id", "text").union(wanted.select(salted("salt").alias("part"), F.lit(1).alias("asks"), "id", "text"))
+    dealt = dealt.repartition(parts, "part")
+
+    def ask(key, table):
+        held, column = _texts(table)
+        goal = pc.is_in(held.column("id"), value_set=table.filter(pc.equal(table.column("asks"), 1)).column("id").combine_chunks())
+        goal = np.asarray(pc.and_(goal, pc.is_valid(held.column("id"))).combine_chunks(), dtype=bool) if held.num_rows else np.zeros(0, bool)
+        row, first, second = hashed_bigrams(column)
+        out = {c: [] for c in ("bucket", "kind", "low", "high", "b", "t")}
+        for kind, code in enumerate((pair_codes(first, second), second)):
+            code, at = np.unique(code, return_inverse=True)
+            b, t = np.bincount(at, minlength=len(code)), np.bincount(at, weights=goal[row], minlength=len(code))
+            bucket, told = code % np.uint64(buckets), code // np.uint64(buckets) & _TOLD
+            by = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, bucket[by][1:] != bucket[by][:-1], True]) if len(by) else []
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                i = by[low:high]
+                for c, value in zip(out, (int(bucket[i[0]]), kind, told[i].astype("<u4"), (told[i] >> np.uint64(32)).astype("<u2"), b[i].astype("<u4"), t[i].astype("<u4")), strict=True):
+                    out[c].append(value if c in ("bucket", "kind") else value.tobytes())
+        n = len(out["bucket"])
+        return pa.table([pa.array(out["bucket"], pa.int64()), pa.array(out["kind"], pa.int32()), pa.array([key[0].as_py()] * n, pa.int64()), *(pa.array(out[c], pa.binary()) for c in ("low", "high", "b", "t"))], names=["bucket", "kind", "part", "low", "high", "b", "t"])
+
+    def answered(held: list[dict]) -> pa.RecordBatch:
+        read = lambda c, kind: [np.frombuffer(h[c], kind) for h in held]
+        told = np.concatenate(read("low", "<u4")).astype(np.uint64) | np.concatenate(read("high", "<u2")).astype(np.uint64) << np.uint64(32)
+        _, at = np.unique(told, return_inverse=True)
+        b, t = (np.bincount(at, weights=np.concatenate(read(c, "<u4"))).astype("<u4")[at] for c in ("b", "t"))
+        cuts = np.cumsum([0, *(len(h["low"]) // 4 for h in held)])
+        slices = list(zip(cuts[:-1], cuts[1:], strict=True))
+        names = [pa.array([h[c] for h in held], kind) for c, kind in (("part", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()))]
+        return pa.RecordBatch.from_arrays([*names, *(pa.array([v[low:high].tobytes() for low, high in slices], pa.binary()) for v in (b, t))], names=["part", "kind", "bucket", "b", "t"])
+
+    def answer(batches):
+        now, held = None, []
+        for batch in batches:
+            for question in batch.to_pylist():
+                key = question["bucket"], question["kind"]
+                if key != now and held:
+                    yield answered(held)
+                    held = []
+                now = key
+                held.append(question)
+        if held:
+            yield answered(held)
+
+    asked = dealt.groupBy("part").applyInArrow(ask, _QUESTION)
+    answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, _ANSWER)
+
+    def finish(left, right):
+        held, column = _texts(left)
+        row, first, second = hashed_bigrams(column)
+        counted = []
+        for kind, code in enumerate((pair_codes(first, second), second)):
+            code, at, place = np.unique(code, return_index=True, return_inverse=True)
+            own = right.filter(pc.equal(right.column("kind"), kind)).sort_by("bucket")
+            by = np.argsort(code % np.uint64(buckets), kind="stable")
+            sums = []
+            for c in ("b", "t"):
+                sums.append(np.empty(len(code)))
+                sums[-1][by] = np.frombuffer(b"".join(own.column(c).to_pylist()), "<u4")
+            counted.append((code, at, place, *sums))
+        (_, at, place, pair_b, pair_t), (word, _, _, word_b, word_t) = counted
+        head, tail = np.searchsorted(word, first[at]), np.searchsorted(word, second[at])
+        prior = mass * word_b[tail] / max(total, 1)
+        n = len(column)
+        tokens = np.bincount(row, minlength=n)
+        means = [np.bincount(row, weights=-np.log((pair + prior) / (single[head] + mass))[place], minlength=n) / np.maximum(tokens, 1) for pair, single in ((pair_t, word_t), (pair_b, word_b))]
+        return pa.table([held.column("id"), pa.array(tokens.astype(np.int64)), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    # Repeated ids are rows of their own.
-    own = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, f"row long, doc_id long, {_PAIRS}")
-    met = own.join(losses, ["head", "tail"]).groupBy("row", "doc_id").agg(F.sum("n").alias("n_tokens"), *(F.sum(F.col("n") * F.col(c)).alias(c) for c in "tb"))
-    met = met.select("doc_id", "n_tokens", (F.col("t") / F.col("n_tokens")).alias("target_loss"), (F.col("b") / F.col("n_tokens")).alias("background_loss"))
-    return met.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    met = dealt.groupBy("part").cogroup(answers.repartition(parts, "part").groupBy("part"))
+    return met.applyInArrow(finish, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
-def oracle_sql(words: int, mass: float, digits: int = 6) -> str:
+def oracle_sql(mass: float, digits: int = 6) -> str:
     """The same scores for DuckDB, over the views documents and labels (target: documents labelled good and not toxic)."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
@@ -211,23 +176,15 @@ WITH texts AS (
   FROM documents d LEFT JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(toxic) = 0) l ON d.doc_id = l.doc_id
 ), tokens AS (
   SELECT doc_id, wanted, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM texts
-), vocabulary AS (
-  SELECT word FROM tokens GROUP BY word ORDER BY count(*) DESC, word LIMIT {words}
-), size AS (SELECT count(*) + 2 AS v FROM vocabulary
-), numbered AS (
-  SELECT t.doc_id, t.wanted, t.place, CASE WHEN v.word IS NULL THEN '<unknown>' ELSE 'w' || t.word END AS word FROM tokens t LEFT JOIN vocabulary v ON t.word = v.word
-  UNION ALL SELECT doc_id, wanted, len(words) + 1, '<end>' FROM texts
+  UNION ALL SELECT doc_id, wanted, '' AS word, len(words) + 1 AS place FROM texts
 ), bigrams AS (
-  SELECT doc_id, wanted, coalesce(lag(word) OVER (PARTITION BY doc_id ORDER BY place), '<end>') AS head, word AS tail FROM numbered
+  SELECT doc_id, wanted, coalesce(lag(word) OVER (PARTITION BY doc_id ORDER BY place), '') AS head, word AS tail FROM tokens
 ), pairs AS (SELECT head, tail, count(*) AS b, count(*) FILTER (wanted) AS t FROM bigrams GROUP BY ALL
 ), firsts AS (SELECT head, sum(b) AS b, sum(t) AS t FROM pairs GROUP BY head
-), seconds AS (SELECT tail, sum(b) AS b, sum(t) AS t FROM pairs GROUP BY tail
-), totals AS (SELECT sum(b) AS b, sum(t) AS t FROM pairs
+), seconds AS (SELECT tail, sum(b) / (SELECT count(*) FROM tokens) AS share FROM pairs GROUP BY tail
 ), losses AS (
-  SELECT p.head, p.tail,
-    -ln((p.t + {mass} * (s.t + 1) / (totals.t + size.v)) / (f.t + {mass})) AS t,
-    -ln((p.b + {mass} * (s.b + 1) / (totals.b + size.v)) / (f.b + {mass})) AS b
-  FROM pairs p JOIN firsts f ON p.head = f.head JOIN seconds s ON p.tail = s.tail, totals, size
+  SELECT p.head, p.tail, -ln((p.t + {mass} * s.share) / (f.t + {mass})) AS t, -ln((p.b + {mass} * s.share) / (f.b + {mass})) AS b
+  FROM pairs p JOIN firsts f ON p.head = f.head JOIN seconds s ON p.tail = s.tail
 )
 SELECT doc_id, count(*) AS n_tokens, round(avg(l.t), {digits}) AS target_loss, round(avg(l.b), {digits}) AS background_loss, round(avg(l.t) - avg(l.b), {digits}) AS score
 FROM bigrams g JOIN losses l ON g.head = l.head AND g.tail = l.tail GROUP BY doc_id"""

@@ -19,24 +19,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-#: Vocabulary and smoothing mass of the language models.
-LM_WORDS, LM_MASS = 1000, 4.0
+#: Smoothing mass of the language models.
+LM_MASS = 4.0
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Background: all documents. Target: those labelled good and not toxic. Scores are rounded to six digits."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 and toxic = 0").select("doc_id")
-    # Both sides are dealt by id at every size: the labels grow with the corpus, so they are never broadcast.
-    scored = lmscore.score(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"), LM_WORDS, LM_MASS)
-    return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
-
-
-def op2_lm_score_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2_lm_score with every word of the documents in the vocabulary."""
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 1 and toxic = 0").select("doc_id")
-    scored = lmscore.score_all(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"), LM_MASS)
+    scored = lmscore.score(docs, good, LM_MASS)
     return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
@@ -73,13 +64,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_lm_score, op2_lm_score_all_words, op3_byte_bpe, op4_exact_topk, op5_toxicity, op6_simhash, op7_posting_lists, op8_quality, op9_licenses, op10_suffix_dedup)
-    return {f.__name__: f for f in found}
+    found = (op1_best_fit_packing, op2_lm_score, op3_byte_bpe, op4_exact_topk, op5_toxicity, op6_simhash, op7_posting_lists, op8_quality, op9_licenses, op10_suffix_dedup)
+    # The second name is from when op2_lm_score had a fixed vocabulary.
+    return {f.__name__: f for f in found} | {"op2_lm_score_all_words": op2_lm_score}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_lm_score": lmscore.oracle_sql(LM_WORDS, LM_MASS),
-        "op2_lm_score_all_words": lmscore.oracle_sql(lmscore.ALL_WORDS, LM_MASS),
+        "op2_lm_score": lmscore.oracle_sql(LM_MASS),
+        "op2_lm_score_all_words": lmscore.oracle_sql(LM_MASS),
         "op9_licenses": licenses.oracle_sql(),
     }

@@ -85,7 +85,7 @@ def test_lm_scores_prefer_the_target(spark):
     target = [(i, "the cat sat on the mat and the dog sat too") for i in range(40)]
     other = [(100 + i, "buy cheap pills now click here to buy now") for i in range(60)]
     docs = spark.createDataFrame([*target, *other, (500, None), (501, ""), (502, "unseen zebra")], "doc_id long, text string")
-    scores = {r.doc_id: r for r in lmscore.score(docs, spark.createDataFrame(target, "doc_id long, text string"), 50).collect()}
+    scores = {r.doc_id: r for r in lmscore.score(docs, spark.createDataFrame(target, "doc_id long, text string")).collect()}
     assert len(scores) == 103 and scores[0].score < 0 < scores[100].score
     assert scores[500].n_tokens == scores[501].n_tokens == 1
     assert lmscore.score(docs, docs.where("false")).count() == 103
