@@ -7,13 +7,14 @@ A byte goes when a string of ``length`` bytes that covers it also starts in a do
    on ties). Equal strings have equal minimizers, so the minimizer's hash deals suffixes to buckets, and neighbouring
    suffixes of one minimizer travel as one stretch of text instead of one string each. A first, narrow exchange of
    the hashes alone tells each document which of its minimizers another document has too; only stretches around those
-   are sent. Hashes met several times in one batch travel once, so a passage that very many documents share reaches
-   a task once for each batch.
-3. One bucket at a time: equal stretches are merged (a stretch keeps its smallest document), and the suffixes of what
+   are sent. Hashes met several times in one batch travel once, and so do equal stretches of one batch: all of its documents
+   but the smallest lose such a stretch at once, and only the smallest is sent. So a passage that very many documents share
+   reaches a task once for each batch.
+3. One bucket at a time, in the order of a sorted exchange: equal stretches are merged (a stretch keeps its smallest document), and the suffixes of what
    is left are sorted. The suffixes at the positions of a difference cover modulo 13 (0, 1, 3, 9: any two positions
    have offsets under 13 at which both lie in the cover) are ranked once by their leading bytes; all others are
    sorted by the bytes before the next cover position, and long ties are resolved by the ranks of cover
-   positions. Memory is bounded by the bucket, and the number of buckets grows with the input.
+   positions. Memory is bounded by the bucket, and there is a bucket for every ``bucket_bytes`` of text.
 4. In the sorted bucket, suffixes that agree in ``length`` bytes are neighbours; the smallest document of each such
    group keeps the bytes, the others lose them.
 
@@ -193,6 +194,20 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(_TOLD)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _buckets(batches):
+    """Each bucket's number and blobs, one bucket at a time; the rows come sorted by bucket."""
+    now, held = None, []
+    for batch in batches:
+        for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            if b != now and held:
+                yield now, held
+                held = []
+            now = b
+            held.append(blob)
+    if held:
+        yield now, held
+
+
 def shared_anchors(texts: DataFrame, length: int, buckets: int, per_batch: int = 16 << 20) -> DataFrame:
     """doc (a number) and positions of the minimizers that several documents have. texts: doc long, text.
 
@@ -230,13 +245,9 @@ def shared_anchors(texts: DataFrame, length: int, buckets: int, per_batch: int =
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def answer(batches):
-        open_: dict[int, list] = {}
-        for batch in batches:
-            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                open_.setdefault(b, []).append(blob)
-        for b in sorted(open_):
+        for _, blobs in _buckets(batches):
             asked, known = [], []
-            for blob in open_.pop(b):
+            for blob in blobs:
                 high, low, flags, *places = _unpacked(blob, np.uint32, np.uint8, bool, np.int64, np.uint32, np.uint32, np.int64, np.uint32, np.uint32)
                 asked.append((high.astype(np.uint64) << np.uint64(8) | low, flags, *_placed(*places[:3])))
                 known.append(_placed(*places[3:]))
@@ -245,12 +256,41 @@ def shared_anchors(texts: DataFrame, length: int, buckets: int, per_batch: int =
                     yield pa.RecordBatch.from_arrays([pa.array(docs[low : low + (1 << 18)]), pa.array(at[low : low + (1 << 18)].astype(np.int32))], names=["doc", "at"])
 
     questions = texts.mapInArrow(ask, "bucket int, blob binary")
-    pairs = questions.repartition(max(1, buckets // 2), "bucket").mapInArrow(answer, "doc long, at int")
+    pairs = questions.repartition(max(1, buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "doc long, at int")
     return pairs.groupBy("doc").agg(F.collect_list("at").alias("positions"))
 
 
+def _kinds(begin: np.ndarray, size: np.ndarray, lead: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of stretches, and the number of each one's kind: equal size, lead and bytes."""
+    padded = np.concatenate([text, np.zeros(int(size.max()) + 16, np.uint8)])
+    keys = [size, lead]
+    for at in range(0, int(size.max()), 8):
+        word = _words(padded, begin, at)
+        over = np.clip(at + 8 - size, 0, 8).astype(np.uint64)
+        mask = np.where(over >= 8, np.uint64(0), ~((np.uint64(1) << (np.uint64(8) * np.minimum(over, np.uint64(7)))) - np.uint64(1)))
+        keys.append(word & mask)
+    return _dense(keys)
+
+
+def lost_at_once(hashes: np.ndarray, doc: np.ndarray, begin: np.ndarray, size: np.ndarray, lead: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Whether a smaller document of the batch has the same stretch. Only stretches whose minimizer several documents have are compared."""
+    lost = np.zeros(len(hashes), dtype=bool)
+    order = np.argsort(hashes, kind="stable")
+    starts = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]])
+    several = np.minimum.reduceat(doc[order], starts) != np.maximum.reduceat(doc[order], starts)
+    some = order[np.repeat(several, np.diff(np.r_[starts, len(order)]))]
+    if len(some):
+        _, kind = _kinds(begin[some], size[some], lead[some], raw)
+        least = np.full(int(kind.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, kind, doc[some])
+        lost[some] = doc[some] > least[kind]
+    return lost
+
+
 def stretches(asked: DataFrame, length: int, buckets: int) -> DataFrame:
-    """bucket and packed stretches around the shared minimizers. asked: doc, key (a number for the row), text, positions."""
+    """bucket and packed stretches around the shared minimizers, with the spans that the batch answers by itself. asked: doc, key (a number for the row), text, positions."""
+    if length > 1 << 14:
+        raise ValueError("strings of over 16384 bytes aren't supported")
 
     def run(batches):
         for whole in batches:
@@ -262,44 +302,45 @@ def stretches(asked: DataFrame, length: int, buckets: int) -> DataFrame:
                 counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
                 wanted = np.asarray(pc.list_flatten(lists), dtype=np.int64) + np.repeat(offsets[:-1], counts)
                 keep = np.flatnonzero(np.isin(found["at"], wanted))
-                row, first, last, at = (found[c][keep] for c in ("row", "first", "last", "at"))
+                if not len(keep):
+                    continue
+                row, first, last, at, hashes = (found[c][keep] for c in ("row", "first", "last", "at", "hash"))
                 docs, keys = (np.asarray(batch.column(c), dtype=np.int64) for c in ("doc", "key"))
-                bucket = _bucket(found["hash"][keep], buckets)
-                by = np.argsort(bucket, kind="stable")
+                size, lead, start = last - first + length, at - first, first - offsets[row]
+                lost = lost_at_once(hashes, docs[row], first, size, lead, raw)
+                bucket = _bucket(hashes, buckets)
+                send, known = np.flatnonzero(~lost), np.flatnonzero(lost)
+                by = send[np.argsort(bucket[send], kind="stable")]
                 cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                used, blobs = [], []
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    i = by[cuts[b] : cuts[b + 1]]
-                    size = last[i] - first[i] + length
-                    who, times, steps = _places(row[i], docs, first[i] - offsets[row[i]])
+                used = np.flatnonzero(np.diff(cuts)).tolist()
+                # What is answered already goes along, dealt evenly.
+                shares = np.linspace(0, len(known), len(used) + 1).astype(np.int64)
+                blobs = []
+                for n, b in enumerate(used):
+                    i, j = by[cuts[b] : cuts[b + 1]], known[shares[n] : shares[n + 1]]
+                    who, times, steps = _places(row[i], docs, start[i])
                     here = row[i][np.cumsum(times) - times]
-                    used.append(b)
-                    blobs.append(_packed(who, keys[here], times, steps, (at[i] - first[i]).astype(np.uint8), size.astype(np.uint8), _gather(raw, first[i], size)))
+                    known_who, known_times, known_steps = _places(row[j], docs, start[j])
+                    known_here = row[j][np.cumsum(known_times) - known_times] if len(j) else row[:0]
+                    blobs.append(_packed(who, keys[here], times, steps, lead[i].astype(np.uint16), size[i].astype(np.uint16), _gather(raw, first[i], size[i]), known_who, keys[known_here], known_times, known_steps, size[j].astype(np.uint16)))
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     return asked.mapInArrow(run, "bucket int, blob binary")
 
 
-def _stretches_of(blob: bytes) -> tuple[np.ndarray, ...]:
-    """Document, row key, first start, lead, size and bytes of a blob's stretches."""
-    who, keys, times, steps, lead, size, text = _unpacked(blob, np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint8)
+def _stretches_of(blob: bytes) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Document, row key, first start, lead, size and bytes of a blob's stretches; document, row key, first start and size of those lost already."""
+    who, keys, times, steps, lead, size, text, *known = _unpacked(blob, np.int64, np.int64, np.uint32, np.uint32, np.uint16, np.uint16, np.uint8, np.int64, np.int64, np.uint32, np.uint32, np.uint16)
     doc, first = _placed(who, times, steps)
-    return doc, np.repeat(keys, times), first, lead.astype(np.int64), size.astype(np.int64), text
+    lost_doc, lost_first = _placed(known[0], known[2], known[3])
+    return (doc, np.repeat(keys, times), first, lead.astype(np.int64), size.astype(np.int64), text), (lost_doc, np.repeat(known[1], known[2]), lost_first, known[4].astype(np.int64))
 
 
-def repeated_starts(doc: np.ndarray, key: np.ndarray, first: np.ndarray, lead: np.ndarray, size: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one bucket's stretches: (row key, first start, last start) of runs of strings that a smaller document has too."""
+def repeated_starts(doc: np.ndarray, first: np.ndarray, lead: np.ndarray, size: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one bucket's stretches: (stretch, first start, last start) of runs of strings that a smaller document has too."""
     begin = np.cumsum(size) - size
     # Merge equal stretches: equal size, lead and bytes.
-    padded = np.concatenate([text, np.zeros(256, np.uint8)])
-    longest = int(size.max())
-    keys = [size, lead]
-    for at in range(0, longest, 8):
-        word = _words(padded, begin, at)
-        over = np.clip(at + 8 - size, 0, 8).astype(np.uint64)
-        mask = np.where(over >= 8, np.uint64(0), ~((np.uint64(1) << (np.uint64(8) * np.minimum(over, np.uint64(7)))) - np.uint64(1)))
-        keys.append(word & mask)
-    order, kind = _dense(keys)
+    order, kind = _kinds(begin, size, lead, text)
     kinds = int(kind.max()) + 1
     least = np.full(kinds, np.iinfo(np.int64).max)
     np.minimum.at(least, kind, doc)
@@ -320,20 +361,20 @@ def repeated_starts(doc: np.ndarray, key: np.ndarray, first: np.ndarray, lead: n
     np.minimum.at(smallest, group, least[owner])
     keeper = smallest[group]
     # A document above its kind's smallest loses every string of the stretch.
-    above = doc > least[kind]
-    out = [(key[above], first[above], first[above] + size[above] - length)]
+    above = np.flatnonzero(doc > least[kind])
+    out = [(above, first[above], first[above] + size[above] - length)]
     # The smallest of a kind loses those strings that still smaller documents have in other stretches.
     lost = keeper < least[owner]
     edge = np.flatnonzero(lost & ~(np.r_[False, lost[:-1]] & np.r_[False, owner[1:] == owner[:-1]]))
     last = np.flatnonzero(lost & ~(np.r_[lost[1:], False] & np.r_[owner[1:] == owner[:-1], False]))
     if len(edge):
         runs_of, from_, to = owner[edge], inside[edge], inside[last]
-        by = np.argsort(kind[~above], kind="stable")
-        rows = np.flatnonzero(~above)[by]
+        rows = np.flatnonzero(doc == least[kind])
+        rows = rows[np.argsort(kind[rows], kind="stable")]
         low, high = np.searchsorted(kind[rows], runs_of, "left"), np.searchsorted(kind[rows], runs_of, "right")
         times = high - low
         row = rows[np.repeat(low - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
-        out.append((key[row], first[row] + np.repeat(from_, times), first[row] + np.repeat(to, times)))
+        out.append((row, first[row] + np.repeat(from_, times), first[row] + np.repeat(to, times)))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
@@ -407,35 +448,38 @@ def _kept(batch: pa.RecordBatch, length: int):
         yield n, removed, spans, own
 
 
-def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str, *more) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str, *more, bucket_bytes: int = 16 << 20) -> DataFrame:
     """doc, text, keeps (no smaller document has the whole text), spans (low, high) that go, and more columns, of every row."""
-    spark = docs.sparkSession
-    # More buckets than partitions: a task sorts them one at a time, and their sizes even out.
-    buckets = 2 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col).cast("long"), F.sha2(text, 256)).alias("key"), text.alias("text"))
+    doc = F.col(id_col).cast("long")
+    # Buckets of about so many bytes each, and enough of them to go round where there is little text.
+    buckets = max(32, 1 + (docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0) // bucket_bytes)
+    # The key tells apart the texts of one id, nothing else.
+    rows = docs.select(doc.alias("doc"), F.xxhash64(F.sha2(text, 256)).alias("key"), text.alias("text"))
     # Exact copies: the smallest document of each text is compared, the others repeat it.
-    digests = docs.where(F.col(id_col).isNotNull() & (F.octet_length(text) >= length)).select(F.col(id_col).cast("long").alias("doc"), F.sha2(text, 256).alias("digest")).distinct()
+    digests = docs.where(F.col(id_col).isNotNull() & (F.octet_length(text) >= length)).select(doc.alias("doc"), F.sha2(text, 256).alias("digest")).distinct()
     least = digests.groupBy("digest").agg(F.min("doc").alias("doc"))
-    keepers = least.select("doc", F.xxhash64("doc", "digest").alias("key"))
+    keepers = least.select("doc", F.xxhash64("digest").alias("key"))
     shared = shared_anchors(rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length)).select("doc", "text"), length, buckets)
-    wanted = keepers.join(shared, "doc").select("key", "positions")
-    asked = rows.join(wanted, "key").select("doc", "key", "text", "positions")
+    wanted = keepers.join(shared, "doc").select("doc", "key", "positions")
+    asked = rows.join(wanted, ["doc", "key"]).select("doc", "key", "text", "positions")
+
+    def spans(doc: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray):
+        for i in range(0, len(doc), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 18)]) for c in (doc, key, low, high)], names=["doc", "key", "low", "high"])
 
     def dedup(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                held.setdefault(b, []).append(blob)
-        for b in sorted(held):  # one bucket at a time
-            parts = [np.concatenate(c) for c in zip(*map(_stretches_of, held.pop(b)), strict=True)]
-            who, low, high = repeated_starts(*parts, length)
-            for i in range(0, len(who), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(who[i : i + (1 << 18)]), pa.array(low[i : i + (1 << 18)]), pa.array(high[i : i + (1 << 18)] + length)], names=["key", "low", "high"])
-
-    spans = stretches(asked, length, buckets).repartition(buckets // 2, "bucket").mapInArrow(dedup, "key long, low long, high long")
-    by_row = spans.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    kept = keepers.select("key", F.lit(True).alias("keeps")).join(by_row, "key", "left")
+        for _, blobs in _buckets(batches):
+            sent, lost = zip(*map(_stretches_of, blobs), strict=True)
+            doc, key, first, size = (np.concatenate(c) for c in zip(*lost, strict=True))
+            yield from spans(doc, key, first, first + size)
+            doc, key, *parts = (np.concatenate(c) for c in zip(*sent, strict=True))
+            at, low, high = repeated_starts(doc, *parts, length)
+            yield from spans(doc[at], key[at], low, high + length)
+
+    found = stretches(asked, length, buckets).repartition(max(1, buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(dedup, "doc long, key long, low long, high long")
+    by_row = found.groupBy("doc", "key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    kept = keepers.select("doc", "key", F.lit(True).alias("keeps")).join(by_row, ["doc", "key"], "left")
     if more:
-        rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col).cast("long"), F.sha2(text, 256)).alias("key"), text.alias("text"), *more)
-    return rows.join(kept, "key", "left").withColumn("keeps", F.coalesce("keeps", F.col("doc").isNull()))
+        rows = docs.select(doc.alias("doc"), F.xxhash64(F.sha2(text, 256)).alias("key"), text.alias("text"), *more)
+    return rows.join(kept, ["doc", "key"], "left").withColumn("keeps", F.coalesce("keeps", F.col("doc").isNull()))
