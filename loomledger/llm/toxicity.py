@@ -8,7 +8,8 @@ digits are read as the letters they imitate. A word's start and end are characte
 Training: labels belong to documents, insults are words in them. The labelled sentences' words are the instances:
 first, words that are significantly more frequent in toxic than in clean documents teach a machine (a linear one with squared
 hinge loss on the Nystroem features of landmark words); then it picks the best words of each toxic document itself, and
-learns again. Copies with an inserted character are added, so the margin allows for them. A logistic layer turns a
+learns again. Copies with an inserted character are added, so the margin allows for them. Training sets are bounded by
+parameters of ``fit`` (documents of each label, landmarks, clean words, copied words); what is bounded is the fit, not the scoring. A logistic layer turns a
 document's three highest word scores, the number of positive words and their share into a probability.
 
 Scoring: the machine is linear in the subsequences, so landmarks, projection and weights fold into one table of 32^3
@@ -148,22 +149,20 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float
     return w
 
 
-def _learn(positive: dict[str, float], negative: list[str], landmarks: int) -> tuple[np.ndarray, float]:
+def _learn(positive: dict[str, float], negative: list[str], landmarks: int, copied: int) -> tuple[np.ndarray, float]:
     """A table and a bias from words: Nystroem features on landmark words, a linear machine on them, folded."""
     rng = np.random.default_rng(11)
     best = sorted(positive, key=lambda t: (-positive[t], t))
     copies = []
-    for token in best[:300]:
+    for token in best[:copied]:
         for _ in range(2):
             at = int(rng.integers(1, max(2, len(token))))
             copies.append(token[:at] + "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))] + token[at:])
     names = [*best, *copies, *negative]
     top = max(positive.values())
-    weight = np.array([*(positive[t] / top for t in best), *(0.2 * positive[t] / top for t in best[:300] for _ in range(2)), *[1.0] * len(negative)])
+    weight = np.array([*(positive[t] / top for t in best), *(0.2 * positive[t] / top for t in best[:copied] for _ in range(2)), *[1.0] * len(negative)])
     y = np.array([1.0] * (len(best) + len(copies)) + [-1.0] * len(negative))
     codes, owner = windows(pa.array(names, pa.string()))
-    first = np.r_[True, owner[1:] != owner[:-1]]
-    codes, owner = codes[first], owner[first]
     y, weight = y[owner], weight[owner]
     half = landmarks // 2
     is_best, is_negative = np.flatnonzero(owner < len(best)), np.flatnonzero(y < 0)
@@ -229,7 +228,7 @@ def document_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return rows, index, names
 
 
-def _trained(documents: list[tuple[int, float, list[str]]], landmarks: int) -> ToxicityModel | None:
+def _trained(documents: list[tuple[int, float, list[str]]], landmarks: int, clean_words: int, copied: int) -> ToxicityModel | None:
     """documents: (label, weight in the population, distinct words)."""
     count = {y: sum(1 for d in documents if d[0] == y) for y in (0, 1)}
     if not count[0] or not count[1]:
@@ -246,9 +245,10 @@ def _trained(documents: list[tuple[int, float, list[str]]], landmarks: int) -> T
 
     negative = sorted(t for t, n in found[0].items() if ratio.get(t, 0) < 1.5)
     rng = np.random.default_rng(3)
-    if len(negative) > 12_000:
-        common = sorted(negative, key=lambda t: (-found[0][t], t))[:4000]
-        negative = sorted({*common, *(negative[i] for i in rng.permutation(len(negative))[:8000])})
+    if len(negative) > clean_words:
+        # A third of them the most frequent, the others drawn.
+        common = sorted(negative, key=lambda t: (-found[0][t], t))[: clean_words // 3]
+        negative = sorted({*common, *(negative[i] for i in rng.permutation(len(negative))[: clean_words - len(common)])})
     telling = {t: surplus(t) for t in found[1] if ratio[t] >= 6}
     positive = {t: float(found[1][t]) for t, z in telling.items() if z >= 6}
     if not positive:
@@ -258,7 +258,7 @@ def _trained(documents: list[tuple[int, float, list[str]]], landmarks: int) -> T
     names = pa.array(every, pa.string())
     model = None
     for _ in range(3):
-        table, bias = _learn(positive, negative, landmarks)
+        table, bias = _learn(positive, negative, landmarks, copied)
         model = ToxicityModel(table, bias, np.zeros(6))
         scores = model.word_scores(names)
         # The machine's own choice: in each toxic document its best word, where clean documents hardly have it.
@@ -266,9 +266,10 @@ def _trained(documents: list[tuple[int, float, list[str]]], landmarks: int) -> T
         for label, _, tokens in documents:
             if label == 1:
                 likely = [t for t in tokens if t in positive or t in telling and scores[place[t]] > 0]
-                chosen.update(t for t in likely if t in positive or t == max(likely, key=lambda t: (scores[place[t]], t)))
+                best = max(likely, key=lambda t: (scores[place[t]], t), default=None)
+                chosen.update(t for t in likely if t in positive or t == best)
         hard = [t for t in found[0] if scores[place[t]] > -0.5 and ratio.get(t, 0) < 1.5 and t not in chosen]
-        negative = sorted({*negative, *sorted(hard, key=lambda t: (-scores[place[t]], t))[:4000]})
+        negative = sorted({*negative, *sorted(hard, key=lambda t: (-scores[place[t]], t))[: clean_words // 3]})
         if chosen:
             positive = {t: float(n) for t, n in chosen.items()}
     lengths = [len(t) for _, _, t in documents]
@@ -297,8 +298,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def fit(docs: DataFrame, learnable: DataFrame, toxic: int = 1500, clean: int = 3000, landmarks: int = 160) -> ToxicityModel | None:
-    """Fit on at most ``toxic`` and ``clean`` labelled documents: those whose hashed id is smallest."""
+def fit(docs: DataFrame, learnable: DataFrame, toxic: int = 1500, clean: int = 3000, landmarks: int = 160, clean_words: int = 12_000, copied: int = 300) -> ToxicityModel | None:
+    """Fit on at most ``toxic`` and ``clean`` labelled documents: those whose hashed id is smallest.
+
+    clean_words: of the sample's clean words so many teach the machine at first, and a third more of those it gets wrong in
+    each later round; copied: of the insults so many get copies with an inserted character."""
     total = {r["label"]: r["n"] for r in learnable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = bounded_sample(learnable.where("label = 1"), toxic).unionByName(bounded_sample(learnable.where("label = 0"), clean))
     # A few thousand rows of two numbers: safe to broadcast.
@@ -314,7 +318,7 @@ def fit(docs: DataFrame, learnable: DataFrame, toxic: int = 1500, clean: int = 3
 
     gathered = sorted((r["label"], r["words"]) for r in texts.mapInArrow(run, "label int, words string").collect())
     count = Counter(label for label, _ in gathered)
-    return _trained([(label, total[label] / count[label], words.split("\n") if words else []) for label, words in gathered], landmarks)
+    return _trained([(label, total[label] / count[label], words.split("\n") if words else []) for label, words in gathered], landmarks, clean_words, copied)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 5, held_out: int = 0, threshold: float = 0.5) -> DataFrame:
