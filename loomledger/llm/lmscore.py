@@ -16,7 +16,7 @@ Counts cover every document of both sides, and grow with the corpus: nothing but
 3. A part meets its answers, and scores its documents. The parts' exchange is used for both steps.
 
 Words are what white space separates, with A-Z lower-cased. They stand for themselves by 64-bit hashes, of which the remainder that
-names the bucket and 48 more bits travel; two codes of a bucket of a few million agree by chance about once in a hundred buckets,
+names the bucket and the 48 leading bits of the quotient travel, in order, so that the upper 16 are small steps; two codes of a bucket of a few million agree by chance about once in a hundred buckets,
 which adds their counts. Null and empty texts score as an end of text alone. Repeated rows count and are scored each; rows
 without an id are no target. Rows of one repeated id are dealt over ``salts`` parts. An empty target makes the scores
 differ by the background's shape alone; an empty table gives no rows. Other columns are ignored.
@@ -35,8 +35,6 @@ from loomledger.llm.common import split_batches, words_of
 
 _END = xxhash.xxh64_intdigest(b"")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
-#: Bits of a code that travel beside its bucket.
-_TOLD = np.uint64((1 << 48) - 1)
 _QUESTION = "bucket long, kind int, part long, low binary, high binary, b binary, t binary"
 _ANSWER = "part long, kind int, bucket long, b binary, t binary"
 
@@ -76,6 +74,20 @@ def pair_codes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return code
 
 
+def told(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each code, and the 48 leading bits of what else there is of it: in order, where the codes are."""
+    spare = max(0, ((1 << 64) // buckets).bit_length() - 48)
+    return code % np.uint64(buckets), code // np.uint64(buckets) >> np.uint64(spare)
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def _read(blob: bytes, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
 def _texts(table: pa.Table) -> tuple[pa.Table, pa.Array]:
     """The documents of a part (not the ids of the target), and their texts."""
     docs = table.filter(pc.equal(table.column("asks"), 0))
@@ -106,25 +118,28 @@ def score(docs: DataFrame, target: DataFrame, mass: float = 4.0, part_bytes: int
         for kind, code in enumerate((pair_codes(first, second), second)):
             code, at = np.unique(code, return_inverse=True)
             b, t = np.bincount(at, minlength=len(code)), np.bincount(at, weights=goal[row], minlength=len(code))
-            bucket, told = code % np.uint64(buckets), code // np.uint64(buckets) & _TOLD
+            bucket, rest = told(code, buckets)
             by = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.r_[True, bucket[by][1:] != bucket[by][:-1], True]) if len(by) else []
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                 i = by[low:high]
-                for c, value in zip(out, (int(bucket[i[0]]), kind, told[i].astype("<u4"), (told[i] >> np.uint64(32)).astype("<u2"), b[i].astype("<u4"), t[i].astype("<u4")), strict=True):
-                    out[c].append(value if c in ("bucket", "kind") else value.tobytes())
+                steps = np.diff((rest[i] >> np.uint64(32)).astype("<u2"), prepend=np.uint16(0))
+                for c, value in zip(out, (int(bucket[i[0]]), kind, rest[i].astype("<u4").tobytes(), *map(_squeezed, (steps, b[i].astype("<u4"), t[i].astype("<u4")))), strict=True):
+                    out[c].append(value)
         n = len(out["bucket"])
         return pa.table([pa.array(out["bucket"], pa.int64()), pa.array(out["kind"], pa.int32()), pa.array([key[0].as_py()] * n, pa.int64()), *(pa.array(out[c], pa.binary()) for c in ("low", "high", "b", "t"))], names=["bucket", "kind", "part", "low", "high", "b", "t"])
 
     def answered(held: list[dict]) -> pa.RecordBatch:
-        read = lambda c, kind: [np.frombuffer(h[c], kind) for h in held]
-        told = np.concatenate(read("low", "<u4")).astype(np.uint64) | np.concatenate(read("high", "<u2")).astype(np.uint64) << np.uint64(32)
-        _, at = np.unique(told, return_inverse=True)
-        b, t = (np.bincount(at, weights=np.concatenate(read(c, "<u4"))).astype("<u4")[at] for c in ("b", "t"))
-        cuts = np.cumsum([0, *(len(h["low"]) // 4 for h in held)])
+        sizes = [len(h["low"]) // 4 for h in held]
+        low = np.concatenate([np.frombuffer(h["low"], "<u4") for h in held]).astype(np.uint64)
+        high = np.concatenate([np.cumsum(_read(h["high"], "<u2", n), dtype="<u2") for h, n in zip(held, sizes, strict=True)]).astype(np.uint64)
+        _, at = np.unique(high << np.uint64(32) | low, return_inverse=True)
+        counts = ([_read(h[c], "<u4", n) for h, n in zip(held, sizes, strict=True)] for c in ("b", "t"))
+        b, t = (np.bincount(at, weights=np.concatenate(c)).astype("<u4")[at] for c in counts)
+        cuts = np.cumsum([0, *sizes])
         slices = list(zip(cuts[:-1], cuts[1:], strict=True))
         names = [pa.array([h[c] for h in held], kind) for c, kind in (("part", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()))]
-        return pa.RecordBatch.from_arrays([*names, *(pa.array([v[low:high].tobytes() for low, high in slices], pa.binary()) for v in (b, t))], names=["part", "kind", "bucket", "b", "t"])
+        return pa.RecordBatch.from_arrays([*names, *(pa.array([_squeezed(v[low:high]) for low, high in slices], pa.binary()) for v in (b, t))], names=["part", "kind", "bucket", "b", "t"])
 
     def answer(batches):
         now, held = None, []
@@ -149,11 +164,12 @@ def score(docs: DataFrame, target: DataFrame, mass: float = 4.0, part_bytes: int
         for kind, code in enumerate((pair_codes(first, second), second)):
             code, at, place = np.unique(code, return_index=True, return_inverse=True)
             own = right.filter(pc.equal(right.column("kind"), kind)).sort_by("bucket")
-            by = np.argsort(code % np.uint64(buckets), kind="stable")
+            bucket = told(code, buckets)[0]
+            by, sizes = np.argsort(bucket, kind="stable"), np.unique(bucket, return_counts=True)[1].tolist()
             sums = []
             for c in ("b", "t"):
                 sums.append(np.empty(len(code)))
-                sums[-1][by] = np.frombuffer(b"".join(own.column(c).to_pylist()), "<u4")
+                sums[-1][by] = np.concatenate([_read(blob, "<u4", n) for blob, n in zip(own.column(c).to_pylist(), sizes, strict=True)] or [np.zeros(0)])
             counted.append((code, at, place, *sums))
         (_, at, place, pair_b, pair_t), (word, _, _, word_b, word_t) = counted
         head, tail = np.searchsorted(word, first[at]), np.searchsorted(word, second[at])
