@@ -80,7 +80,9 @@ def section_matches(lines: DataFrame, found: DataFrame, query: str, snippets: in
 def search_docs(docs: DataFrame, queries: DataFrame, sort: str = "relevance", scope: str | None = None, limit: int | None = None) -> DataFrame:
     """path, strength, matched (queries), modified of documents that hold any of the queries (columns query, alias), strongest first.
 
-    docs: path, folder, file_name, title, text, modified. A direct match outranks an alias; ties go to the newest, then by path."""
+    docs: path, folder, file_name, title, text, modified, and for the sorts of these names created, lines and sections, which then come along.
+    sort: relevance, alphabetical, modified, created, lines or sections, the latter four largest first. A direct match outranks an
+    alias; ties go to the newest, then by path."""
     from loomledger.operators.ledger import filter_scope
 
     base = docs if scope is None else filter_scope(docs, "path", scope)
@@ -96,9 +98,10 @@ def search_docs(docs: DataFrame, queries: DataFrame, sort: str = "relevance", sc
     )
     # A handful of queries against all documents: the small side is the query list, which its writer bounds.
     hits = base.join(queries, F.contains(F.lower(F.concat_ws("\n", "folder", "file_name", "title", "text")), q)).withColumn("strength", strength).where("strength is not null")
-    best = hits.groupBy("path", "modified").agg(F.min(F.struct(F.col("alias").cast("int").alias("a"), F.col("strength").alias("s"))).alias("_b"), F.array_sort(F.collect_set("query")).alias("matched"))
-    out = best.select("path", "modified", F.col("_b.s").alias("strength"), (F.col("_b.a") == 1).alias("alias"), "matched")
-    orders = {"relevance": ["alias", "strength", F.desc("modified"), "path"], "alphabetical": ["path"], "modified": [F.desc("modified"), "path"]}
+    more = [sort] if sort in ("created", "lines", "sections") else []
+    best = hits.groupBy("path", "modified", *more).agg(F.min(F.struct(F.col("alias").cast("int").alias("a"), F.col("strength").alias("s"))).alias("_b"), F.array_sort(F.collect_set("query")).alias("matched"))
+    out = best.select("path", "modified", F.col("_b.s").alias("strength"), (F.col("_b.a") == 1).alias("alias"), "matched", *more)
+    orders = {"relevance": ["alias", "strength", F.desc("modified"), "path"], "alphabetical": ["path"], **{c: [F.desc(c), "path"] for c in ("modified", "created", "lines", "sections")}}
     ordered = out.orderBy(*orders[sort])
     return ordered if limit is None else ordered.limit(limit)
 

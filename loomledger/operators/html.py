@@ -22,7 +22,11 @@ CHROME = ("header", "nav", "footer", "aside")
 #: Images narrower or lower than this are icons.
 SMALL_IMAGE = 60
 # Phrases that make a page invalid, and the least text that it needs.
-ERROR_MARKS = ("page not found", "404 not found", "access denied", "service unavailable", "something went wrong")
+ERROR_MARKS = (
+    "something went wrong", "page not found", "404 not found", "not found",
+    "whoops", "oops", "403 forbidden", "429 too many requests", "access denied",
+    "sorry, you have been blocked", "error occurred", "페이지를 찾을 수 없", "잘못된 접근",
+)
 LEAST_TEXT = 200
 
 

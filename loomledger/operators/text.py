@@ -174,29 +174,21 @@ def lint_rules(df: DataFrame, rules: list[tuple[str, str]], text: str) -> DataFr
     return df.withColumn("reasons", F.array_distinct(reasons))
 
 
-def _forms(token: Column, tails: tuple[str, ...]) -> Column:
-    """A token, the token without each ending, and its prefixes of two or more characters."""
-    whole = F.array(token)
-    cut = [F.when(token.endswith(t) & (F.length(token) > len(t) + 1), F.expr(f"substring(_t, 1, length(_t) - {len(t)})")) for t in tails]
-    return F.concat(whole, F.filter(F.array(*cut), lambda x: x.isNotNull())) if tails else whole
+def out_of_corpus(df: DataFrame, corpus: DataFrame, text: str, key: str, corpus_text: str = "text", allow: tuple[str, ...] = (), tails: tuple[str, ...] = ("s", "es", "ed", "ing")) -> DataFrame:
+    """key, token, verdict of a text's words of which the corpus holds no form as part of any word: soft where the word is inflected (has one of the endings), else missing.
 
-
-def out_of_corpus(df: DataFrame, corpus: DataFrame, text: str, key: str, corpus_text: str = "text", allow: tuple[str, ...] = (), tails: tuple[str, ...] = ("s", "es", "ed", "ing"), longest: int = 24) -> DataFrame:
-    """key, token, verdict of a text's words that the corpus doesn't hold as part of any word: missing, or soft where a form without its ending or a shorter beginning is held.
-
-    Numbers, numbers with units and allowed words pass. The corpus is met through the pieces of its distinct words, an
-    equality join, instead of a search in all of its text."""
+    A word's forms are itself, itself without an ending, and its beginnings of two letters or more. All of them begin
+    with its first two letters, and those two are one of the forms, so a word passes where the corpus has its first two letters side by
+    side: the corpus is met through its distinct pairs of letters, an equality join. Numbers, numbers with units and allowed words pass."""
     split = lambda c: F.split(F.lower(c), r"[^\p{L}\p{N}]+")
-    tokens = df.select(key, F.explode(F.array_distinct(split(F.col(text)))).alias("_t")).where((F.length("_t") >= 2) & (F.length("_t") <= longest) & ~F.col("_t").rlike(r"^[0-9]+\p{L}{0,3}$") & ~F.col("_t").isin(*(allow or ("",))))
-    words = corpus.select(F.explode(split(F.col(corpus_text))).alias("w")).where(F.length("w").between(2, longest)).distinct()
-    starts = F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("i")
-    pieces = words.select("w", starts).select("w", "i", F.explode(F.sequence(F.lit(2), F.length("w") - F.col("i") + 1)).alias("n")).select(F.expr("substring(w, i, n)").alias("piece")).distinct()
-    distinct = tokens.select("_t").distinct()
-    unheld = distinct.join(pieces, distinct["_t"] == pieces["piece"], "left_anti")
-    forms = unheld.select("_t", F.explode(_forms(F.col("_t"), tails)).alias("piece")).where("piece <> _t and length(piece) >= 2")
-    soft = forms.join(pieces, "piece", "left_semi").select("_t").distinct().withColumn("_soft", F.lit(True))
-    verdict = unheld.join(soft, "_t", "left").select("_t", F.when(F.col("_soft"), "soft").otherwise("missing").alias("verdict"))
-    return tokens.join(verdict, "_t").select(key, F.col("_t").alias("token"), "verdict")
+    tokens = df.select(key, F.explode(F.array_distinct(split(F.col(text)))).alias("_t")).where((F.length("_t") >= 2) & ~F.col("_t").rlike(r"^[0-9]+\p{L}{0,3}$") & ~F.col("_t").isin(*(allow or ("",))))
+    words = corpus.select(F.explode(F.array_distinct(split(F.col(corpus_text)))).alias("w")).where(F.length("w") >= 2).distinct()
+    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring("w", i, F.lit(2)))).alias("pair")).distinct()
+    unheld = tokens.withColumn("pair", F.substring("_t", 1, 2)).join(pairs, "pair", "left_anti")
+    inflected = F.lit(False)
+    for tail in tails:
+        inflected = inflected | (F.col("_t").endswith(tail) & (F.length("_t") > len(tail) + 1))
+    return unheld.select(key, F.col("_t").alias("token"), F.when(inflected, "soft").otherwise("missing").alias("verdict"))
 
 
 def odd_pairs(df: DataFrame, corpus: DataFrame, text: str, key: str, corpus_text: str = "text") -> DataFrame:

@@ -78,12 +78,13 @@ def resolved(url: Column, base: Column) -> Column:
 
 
 def first_wins(df: DataFrame, key: str, order: str, fill: str | None = None) -> DataFrame:
-    """The first row of each key, with the number of rows (n_rows); fill: a column whose null takes the first later value."""
-    window = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = df.withColumn("n_rows", F.count(F.lit(1)).over(Window.partitionBy(key))).withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    if fill is not None:
-        out = out.withColumn(fill, F.first(fill, ignorenulls=True).over(window))
-    return out.where("_rank = 1").drop("_rank")
+    """The first row of each key, with the number of rows (n_rows); fill: a column whose null takes the first later value.
+
+    Rows without a key are rejects, not rows of one key: they are left out. The rows of a key meet in an aggregation, which
+    combines them before the exchange, so a key that very many rows share is no hot task."""
+    filled = [] if fill is None else [F.min_by(fill, F.when(F.col(fill).isNotNull(), F.col(order))).alias("_fill")]
+    out = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*df.columns), order).alias("_row"), F.count(F.lit(1)).alias("n_rows"), *filled)
+    return out.select(*((F.col("_fill") if c == fill else F.col(f"_row.{c}")).alias(c) for c in df.columns), "n_rows")
 
 
 def path_shapes(df: DataFrame, url: str = "url") -> DataFrame:
@@ -227,9 +228,10 @@ def robots_decide(urls: DataFrame, rules: DataFrame, agent: str, url: str = "url
     u = F.col(url)
     target = F.concat(F.when(U.path(u) == "", "/").otherwise(U.path(u)), F.when(U.query(u) == "", "").otherwise(F.concat(F.lit("?"), U.query(u))))
     keyed = urls.withColumn("_host", U.host(u)).withColumn("_target", target)
-    hits = keyed.join(live, (F.col("_host") == F.col("_h")) & F.expr("_target rlike _regex"), "left")
-    win = hits.groupBy(*urls.columns).agg(F.max(F.when(F.col("_path").isNotNull(), F.struct(F.length("_path").alias("n"), (F.col("_t") == "allow").alias("a"), F.col("_t").alias("t"), F.col("_path").alias("p")))).alias("_w"))
-    return win.select(*urls.columns, F.coalesce(F.col("_w.t") == "allow", F.lit(True)).alias("allowed"), F.col("_w.t").alias("rule_type"), F.col("_w.p").alias("rule_path"))
+    # Each address meets its host's rules once, however many rows have it; the rows keep their number and take the verdict back.
+    hits = keyed.select("_host", "_target").distinct().join(live, (F.col("_host") == F.col("_h")) & F.expr("_target rlike _regex"))
+    win = hits.groupBy("_host", "_target").agg(F.max(F.struct(F.length("_path").alias("n"), (F.col("_t") == "allow").alias("a"), F.col("_t").alias("t"), F.col("_path").alias("p"))).alias("_w"))
+    return keyed.join(win, ["_host", "_target"], "left").select(*urls.columns, F.coalesce(F.col("_w.t") == "allow", F.lit(True)).alias("allowed"), F.col("_w.t").alias("rule_type"), F.col("_w.p").alias("rule_path"))
 
 
 def robots_state(urls: DataFrame, files: DataFrame, decided: DataFrame, url: str = "url") -> DataFrame:

@@ -61,12 +61,12 @@ def section_hits(spark, sf_dir):
 
 
 def assembled_sections(spark, sf_dir):
-    """Text of the document lines 2 to 4, as a section's text is assembled."""
+    """Text of every section of every document, each third line being a section's head."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
     lines = doc_ops.doc_lines(d)
-    found = lines.groupBy("path").agg(F.lit("1").alias("address"), F.lit(2).alias("start_line"), F.lit(4).alias("end_line"))
+    found = lines.where("line % 3 = 0").select("path", F.concat(F.lit("s"), F.col("line").cast("string")).alias("address"), (F.col("line") + 1).alias("start_line"), (F.col("line") + 3).alias("end_line"))
     ids = found.select(F.lit(1).alias("ord"), "path", "address")
-    return doc_ops.section_text(lines, found, ids).select("path", F.sha2("text", 256).alias("text_hash"))
+    return doc_ops.section_text(lines, found, ids).select("path", "address", F.sha2("text", 256).alias("text_hash"))
 
 
 def multi_cap_admission(spark, sf_dir):
@@ -132,6 +132,6 @@ o AS (SELECT path, 's' || (line - line % 3) AS address, line % 3 = 0 AS head FRO
 SELECT path, address, CAST(min(CASE WHEN head THEN 3 ELSE 4 END) AS INTEGER) AS strength, CAST(least(2, count(*) FILTER (NOT head)) AS INTEGER) AS snippets FROM o GROUP BY path, address""",
     "jn21_assembled_sections": r"""
 WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS path, unnest(range(len(a))) AS line, unnest(a) AS content FROM (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS a FROM documents)),
-i AS (SELECT *, max(CASE WHEN NOT regexp_matches(content, '^\s*(<a [^>]*></a>)?\s*$') THEN line END) OVER (PARTITION BY path) AS last FROM l WHERE line BETWEEN 1 AND 3)
-SELECT path, sha256(string_agg(content, chr(10) ORDER BY line)) AS text_hash FROM i WHERE line <= last GROUP BY path""",
+i AS (SELECT *, line - line % 3 AS head, max(CASE WHEN NOT regexp_matches(content, '^\s*(<a [^>]*></a>)?\s*$') THEN line END) OVER (PARTITION BY path, line - line % 3) AS last FROM l)
+SELECT path, 's' || head AS address, sha256(string_agg(content, chr(10) ORDER BY line)) AS text_hash FROM i WHERE line <= last GROUP BY path, head""",
 }

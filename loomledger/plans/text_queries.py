@@ -68,7 +68,8 @@ def lint_rules(spark, sf_dir):
 
 
 def out_of_corpus(spark, sf_dir):
-    return ops.out_of_corpus(table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents"), "text", "item_id", allow=("the",))
+    """Words of the documents of which the part names, as a small corpus, hold no form."""
+    return ops.out_of_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "part"), "text", "doc_id", "p_name", allow=("the",))
 
 
 def odd_pairs(spark, sf_dir):
@@ -204,17 +205,17 @@ ORACLE = {
     "tx06_clean_turns": r"SELECT conv_id, turn, sha256(regexp_replace(regexp_replace(text || chr(10) || chr(10) || chr(10) || chr(10) || '  ' || chr(10) || '[tool: ' || role || ']', '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_hash FROM conversations",
     "tx07_lint_rules": r"SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)licensed under') THEN 'licence line' END, CASE WHEN regexp_matches(text, '\| [^|]*\|') THEN 'table residue' END, CASE WHEN regexp_matches(text, '###|%%%') THEN 'marks' END, CASE WHEN regexp_matches(text, '(?i)idiot|scum') THEN 'insult' END], lambda r: r IS NOT NULL), ',') AS reasons FROM documents",
     "tx08_out_of_corpus": rf"""
-WITH t AS (SELECT DISTINCT item_id, token FROM (SELECT item_id, unnest({_SPLIT}) AS token FROM benchmark) WHERE length(token) BETWEEN 2 AND 24 AND token <> 'the' AND NOT regexp_matches(token, '^[0-9]+\p{{L}}{{0,3}}$')),
-w AS (SELECT DISTINCT w FROM (SELECT unnest({_SPLIT}) AS w FROM documents) WHERE length(w) BETWEEN 2 AND 24),
-pieces AS (SELECT DISTINCT substr(w, i, n) AS piece FROM (SELECT w, i, unnest(range(2, length(w) - i + 2)) AS n FROM (SELECT w, unnest(range(1, length(w))) AS i FROM w))),
-u AS (SELECT DISTINCT token FROM t WHERE token NOT IN (SELECT piece FROM pieces)),
-f AS (SELECT token, unnest([CASE WHEN ends_with(token, 's') THEN left(token, -1) END, CASE WHEN ends_with(token, 'es') AND length(token) > 3 THEN left(token, -2) END, CASE WHEN ends_with(token, 'ed') AND length(token) > 3 THEN left(token, -2) END, CASE WHEN ends_with(token, 'ing') AND length(token) > 4 THEN left(token, -3) END]) AS form FROM u)
-SELECT item_id, token, CASE WHEN token IN (SELECT token FROM f WHERE length(form) >= 2 AND form IN (SELECT piece FROM pieces)) THEN 'soft' ELSE 'missing' END AS verdict FROM t WHERE token IN (SELECT token FROM u)""",
+WITH t AS (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest({_SPLIT}) AS token FROM documents) WHERE length(token) >= 2 AND token <> 'the' AND NOT regexp_matches(token, '^[0-9]+\p{{L}}{{0,3}}$')),
+w AS (SELECT DISTINCT w FROM (SELECT unnest({_SPLIT.replace('text', 'p_name')}) AS w FROM part) WHERE length(w) >= 2),
+p AS (SELECT DISTINCT substr(w, i, 2) AS pair FROM (SELECT w, unnest(range(1, length(w))) AS i FROM w)),
+f AS (SELECT doc_id, token, unnest(list_concat([token, CASE WHEN regexp_matches(token, '..s$') THEN left(token, -1) END, CASE WHEN regexp_matches(token, '..(es|ed)$') THEN left(token, -2) END, CASE WHEN regexp_matches(token, '..ing$') THEN left(token, -3) END], list_transform(range(2, length(token)), lambda i: left(token, i)))) AS form FROM t),
+h AS (SELECT DISTINCT token FROM f JOIN p ON length(form) = 2 AND form = pair OR length(form) > 2 AND left(form, 2) = pair)
+SELECT doc_id, token, CASE WHEN regexp_matches(token, '..(s|es|ed|ing)$') THEN 'soft' ELSE 'missing' END AS verdict FROM t WHERE token NOT IN (SELECT token FROM h)""",
     "tx09_odd_pairs": rf"""
-WITH b AS (SELECT item_id, list_filter({_SPLIT}, lambda w: w <> '') AS w FROM benchmark), d AS (SELECT list_filter({_SPLIT}, lambda w: w <> '') AS w FROM documents),
-bp AS (SELECT DISTINCT item_id, w[i] AS first, w[i + 1] AS second FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM b)),
-dp AS (SELECT DISTINCT w[i] AS first, w[i + 1] AS second FROM (SELECT w, unnest(range(1, len(w))) AS i FROM d)), k AS (SELECT DISTINCT unnest(w) AS w FROM d)
-SELECT item_id, first, second FROM bp WHERE first IN (SELECT w FROM k) AND second IN (SELECT w FROM k) AND NOT EXISTS (SELECT 1 FROM dp WHERE dp.first = bp.first AND dp.second = bp.second)""",
+WITH b AS (SELECT item_id, list_filter({_SPLIT}, lambda w: w <> '') AS w FROM benchmark), d AS MATERIALIZED (SELECT list_filter({_SPLIT}, lambda w: w <> '') AS w FROM documents),
+bp AS MATERIALIZED (SELECT DISTINCT item_id, w[i] AS first, w[i + 1] AS second FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM b)),
+dp AS MATERIALIZED (SELECT DISTINCT p[1] AS first, p[2] AS second FROM (SELECT unnest(list_zip(w[1:-2], w[2:])) AS p FROM d WHERE len(w) > 1)), k AS MATERIALIZED (SELECT DISTINCT unnest(w) AS w FROM d)
+SELECT bp.item_id, bp.first, bp.second FROM bp SEMI JOIN k ON bp.first = k.w SEMI JOIN k AS k2 ON bp.second = k2.w ANTI JOIN dp ON bp.first = dp.first AND bp.second = dp.second""",
     "tx12_preview": "SELECT doc_id, substr(trim(list_extract(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> ''), 1)), 1, 60) AS preview FROM documents",
     "tx13_required_words": "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{w}' END" for w in _WORDS) + "], lambda w: w IS NOT NULL), ',') AS matched, NOT (" + " OR ".join(f"contains(lower(text), '{w}')" for w in _WORDS) + ") AS review_required FROM documents",
     "fl08_search_notes": "SELECT doc_id, source, count(*) OVER () AS total FROM documents WHERE contains(lower(text), 'licensed') ORDER BY doc_id DESC LIMIT 50",

@@ -84,7 +84,7 @@ def url_priority(spark, sf_dir):
 
 def queue_order(spark, sf_dir):
     pages = ops.priority(ops.classify_kind(_pages(spark, sf_dir)).withColumns({"depth": F.size(F.split(U.path(F.col("url")), "/")) - 2, "lastmod": F.lit(None).cast("string"), "domain": U.host(F.col("url"))}))
-    return pages.orderBy(F.desc("priority"), "domain", "page_id").limit(100).select("page_id", "priority", "domain")
+    return pages.orderBy(F.desc("priority"), "domain", "page_id").select("page_id", "priority", "domain")
 
 
 def slugs(spark, sf_dir):
@@ -314,7 +314,7 @@ QUERIES = {
 ORACLE = {
     "ur01_canonicalize": f"SELECT line, url AS original_url, {_canonical('url')} AS canonical_url, {_host('url')} AS domain, {_dropped('url')} AS dropped, CAST(NULL AS VARCHAR) AS reject FROM ({URL_RECORDS_SQL})",
     "ur02_canonicalize_by_domain": f"SELECT line, {_canonical('url', _DOMAIN_GONE)} AS canonical_url, {_dropped('url', _DOMAIN_GONE)} AS dropped FROM ({URL_RECORDS_SQL})",
-    "wn01_first_wins": f"SELECT canonical_url, arg_min(url, line) AS original_url, min(line) AS line, count(*) AS n_rows FROM (SELECT *, {_canonical('url')} AS canonical_url FROM ({URL_RECORDS_SQL})) GROUP BY canonical_url",
+    "wn01_first_wins": f"SELECT canonical_url, arg_min(url, line) AS original_url, min(line) AS line, count(*) AS n_rows FROM (SELECT *, {_canonical('url')} AS canonical_url FROM ({URL_RECORDS_SQL})) WHERE canonical_url IS NOT NULL GROUP BY canonical_url",
     "ur03_04_05_url_shapes": f"""SELECT page_id, {_SHAPE} AS shape, array_to_string(list_sort({_KEYS}), '&') AS combo,
         CASE WHEN {_WORD} <> '' THEN 'path' WHEN len({_FACETS}) > 0 THEN 'query' ELSE '-' END AS facet,
         array_to_string(list_concat(CASE WHEN {_WORD} <> '' THEN ['path:' || {_WORD}] ELSE [] END, list_transform({_FACETS}, lambda k: 'query:' || k)), ',') AS facet_keys FROM pages""",
@@ -337,7 +337,7 @@ ORACLE = {
     "ur12_url_priority": f"""SELECT page_id, kind, CAST(CASE kind WHEN 'listing' THEN 100 WHEN 'sitemap' THEN 90 WHEN 'detail' THEN 10 ELSE 50 END - 10 * (len(string_split(path, '/')) - 2) + CASE WHEN contains(url, 'utm') THEN 1 ELSE 0 END AS INTEGER) AS priority
         FROM (SELECT page_id, url, {_path('url')} AS path, {_kind()} AS kind FROM pages)""",
     "tk03_queue_order": f"""SELECT page_id, CAST(CASE kind WHEN 'listing' THEN 100 WHEN 'sitemap' THEN 90 WHEN 'detail' THEN 10 ELSE 50 END - 10 * (len(string_split(path, '/')) - 2) AS INTEGER) AS priority, domain
-        FROM (SELECT page_id, {_path('url')} AS path, {_kind()} AS kind, {_host('url')} AS domain FROM pages) ORDER BY priority DESC, domain, page_id LIMIT 100""",
+        FROM (SELECT page_id, {_path('url')} AS path, {_kind()} AS kind, {_host('url')} AS domain FROM pages) ORDER BY priority DESC, domain, page_id""",
     "ur14_slugs": r"SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_extract(text, '^([^\n]*)', 1), '[^\p{L}\p{N}]+', '-', 'g'), 1, 40), '^-+|-+$', '', 'g') AS s FROM documents)",
     "ur15_name_patterns": """SELECT c_custkey, CASE WHEN ok THEN '2024-' || m ELSE '-' END AS name_month, CASE WHEN ok THEN c_name ELSE '-' END AS name_title,
         CASE WHEN ok THEN '-' WHEN NOT tagged THEN 'unknown_tag' ELSE 'bad_date' END AS reject FROM (

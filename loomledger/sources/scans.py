@@ -8,6 +8,7 @@ import gzip
 import re
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -167,9 +168,30 @@ def read_robots(df: DataFrame, host: str, text: str) -> tuple[DataFrame, DataFra
     return out.select("host", "group_id", F.coalesce("agents", F.array(F.lit("*"))).alias("agents"), "rule_type", "path", "at"), sitemaps
 
 
-def read_kv_keys(spark: SparkSession, path: str) -> DataFrame:
-    """file, key and line of the first time each key is set. Values are never read into the result. Spark skips files whose names begin with a dot."""
-    lines = text_lines(spark, path)
+def _named_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """text_lines of files given by name."""
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("file").to_pylist():
+                system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                with system.open_input_stream(at, compression=None) as file:
+                    rows = re.split("\r?\n", file.read().decode("utf-8-sig", "replace"))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(range(1, len(rows) + 1), pa.int32()), pa.array(rows)], names=["file", "line", "content"])
+
+    names = spark.createDataFrame([(p,) for p in paths], "file string")
+    return names.repartition(max(1, len(paths)), "file").mapInArrow(run, "file string, line int, content string")
+
+
+def read_kv_keys(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, key and line of the first time each key is set. Values are never read into the result.
+
+    path: a file or folder, or a list of files. Spark's own readers skip files whose names begin with a dot, as such files often do: files of a list
+    are opened by name, each in a task."""
+    if isinstance(path, str):
+        lines = text_lines(spark, path)
+    else:
+        lines = _named_lines(spark, path)
     keyed = lines.where(~F.col("content").rlike(r"^\s*(#|$)")).select("file", "line", F.regexp_extract("content", r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*(?:@[A-Za-z0-9_\-]+)?)\s*=", 1).alias("key")).where("key <> ''")
     return keyed.groupBy("file", "key").agg(F.min("line").alias("line"))
 

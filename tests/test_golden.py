@@ -99,6 +99,32 @@ def test_page_parsing(spark):
     assert rows(cards.orderBy("position"), "href", "img") == [("https://shop.example/shop/p/1", "1.png"), ("https://shop.example/shop/p/2", "2.png")]
 
 
+def test_first_rows_of_keys(spark):
+    data = [("a", 3, "x", None), ("a", 1, "y", None), ("a", 2, "z", "f"), (None, 1, "r", None), (None, 2, "s", None), ("b", 5, "q", "g")]
+    df = spark.createDataFrame(data, "k string, line int, v string, extra string")
+    assert rows(url_ops.first_wins(df, "k", "line").orderBy("k"), "k", "line", "v", "extra", "n_rows") == [("a", 1, "y", None, 3), ("b", 5, "q", "g", 1)]
+    assert rows(url_ops.first_wins(df, "k", "line", "extra").orderBy("k"), "k", "line", "v", "extra", "n_rows") == [("a", 1, "y", "f", 3), ("b", 5, "q", "g", 1)]
+
+
+def test_robots_keep_equal_rows(spark):
+    rules = spark.createDataFrame([("a.com", 1, ["*"], "disallow", "/x")], "host string, group_id int, agents array<string>, rule_type string, path string")
+    urls = spark.createDataFrame([("https://a.com/x/1", {"k": "v"}), ("https://a.com/x/1", {"k": "v"}), ("https://a.com/y", None), (None, None)], "url string, extra map<string,string>")
+    assert sorted((r.url or "", r.allowed) for r in url_ops.robots_decide(urls, rules, "Bot").collect()) == [("", True), ("https://a.com/x/1", False), ("https://a.com/x/1", False), ("https://a.com/y", True)]
+
+
+def test_words_out_of_the_corpus(spark):
+    corpus = spark.createDataFrame([("walk the talk",)], "text string")
+    df = spark.createDataFrame([(1, "walkathon zzz qings alk " + "w" * 30)], "id int, text string")
+    assert sorted(map(tuple, text.out_of_corpus(df, corpus, "text", "id").collect())) == [(1, "qings", "soft"), (1, "w" * 30, "missing"), (1, "zzz", "missing")]
+
+
+def test_search_sorts(spark):
+    docs = spark.createDataFrame([("a", "f", "a.md", "t", "word", 1, 9, 5, 2), ("b", "f", "b.md", "t", "word", 2, 8, 7, 1)], "path string, folder string, file_name string, title string, text string, modified int, created int, lines int, sections int")
+    asked = spark.createDataFrame([("word", False)], "query string, alias boolean")
+    for sort, first in (("created", "a"), ("lines", "b"), ("sections", "a"), ("modified", "b"), ("alphabetical", "a")):
+        assert doc_ops.search_docs(docs, asked, sort).first().path == first
+
+
 def test_page_verdicts(spark):
     long = "word " * 100
     data = [
@@ -106,7 +132,7 @@ def test_page_verdicts(spark):
         (2, 404, "https://a/l", "https://a/l", "listing", "T", long, 0, False, None, 0, False),
         (3, 200, "https://a/d/1", "https://a/", "detail", "T", long, 0, False, None, 0, True),
         (4, 200, "https://a/d/1", "https://a/d/1", "detail", "T", long, 0, False, None, 0, True),
-        (5, 200, "https://a/x", "https://a/x", "unknown", "Whoops, page not found", long, 0, False, None, 0, False),
+        (5, 200, "https://a/x", "https://a/x", "unknown", "Whoops", long, 0, False, None, 0, False),
         (6, 200, "https://a/x", "https://a/x", "unknown", "T", "short", 0, False, None, 0, False),
         (7, 200, "https://a/l", "https://a/l", "listing", "T", long, 5, True, 3, 0, False),
     ]
@@ -182,6 +208,8 @@ def test_scans(spark, tmp_path):
     assert rows(good, "item_id", "label") == [(1, "a")] and rows(bad.orderBy("line"), "line", "reason") == [(2, "not_an_object"), (3, "json_parse")]
     (tmp_path / "dev.env").write_text("# c\nA=1\nexport B=2\nA=3\nA@app=4\n")
     assert rows(scans.read_kv_keys(spark, str(tmp_path / "dev.env")).orderBy("line"), "key", "line") == [("A", 2), ("B", 3), ("A@app", 5)]
+    (tmp_path / ".env").write_text("\ufeffTOKEN=x\r\n\nexport NAME=y\nTOKEN=z\n")
+    assert rows(scans.read_kv_keys(spark, [str(tmp_path / ".env")]).orderBy("line"), "key", "line") == [("TOKEN", 1), ("NAME", 3)]
     (tmp_path / "md" / "node_modules").mkdir(parents=True)
     (tmp_path / "md" / "a.MD").write_text("# x")
     (tmp_path / "md" / "node_modules" / "b.md").write_text("# y")
