@@ -454,15 +454,18 @@ def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str, *more,
     doc = F.col(id_col).cast("long")
     # Buckets of about so many bytes each, and enough of them to go round where there is little text.
     buckets = max(32, 1 + (docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0) // bucket_bytes)
-    # The key tells apart the texts of one id, nothing else.
-    rows = docs.select(doc.alias("doc"), F.xxhash64(F.sha2(text, 256)).alias("key"), text.alias("text"))
+    # The key tells apart the texts of one id, nothing else. Rows without an id stand beside those of id 0, which costs only
+    # repeated spans: a join key without nulls lets both joins use one exchange of the texts.
+    at, key = F.coalesce(doc, F.lit(0)).alias("at"), F.xxhash64(F.sha2(text, 256)).alias("key")
+    rows = docs.select(doc.alias("doc"), at, key, text.alias("text"))
     # Exact copies: the smallest document of each text is compared, the others repeat it.
     digests = docs.where(F.col(id_col).isNotNull() & (F.octet_length(text) >= length)).select(doc.alias("doc"), F.sha2(text, 256).alias("digest")).distinct()
     least = digests.groupBy("digest").agg(F.min("doc").alias("doc"))
-    keepers = least.select("doc", F.xxhash64("digest").alias("key"))
+    keepers = least.select(F.coalesce("doc", F.lit(0)).alias("at"), F.xxhash64("digest").alias("key"))
     shared = shared_anchors(rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length)).select("doc", "text"), length, buckets)
-    wanted = keepers.join(shared, "doc").select("doc", "key", "positions")
-    asked = rows.join(wanted, ["doc", "key"]).select("doc", "key", "text", "positions")
+    wanted = keepers.join(shared.withColumnRenamed("doc", "at"), "at").select("at", "key", "positions")
+    # Both joins take the same columns of the texts, or they would be exchanged twice.
+    asked = rows.join(wanted, ["at", "key"]).select(F.coalesce("doc", "at").alias("doc"), "key", "text", "positions")
 
     def spans(doc: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray):
         for i in range(0, len(doc), 1 << 18):
@@ -478,8 +481,9 @@ def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str, *more,
             yield from spans(doc[at], key[at], low, high + length)
 
     found = stretches(asked, length, buckets).repartition(max(1, buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(dedup, "doc long, key long, low long, high long")
-    by_row = found.groupBy("doc", "key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    kept = keepers.select("doc", "key", F.lit(True).alias("keeps")).join(by_row, ["doc", "key"], "left")
+    by_row = found.groupBy(F.col("doc").alias("at"), "key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    kept = keepers.select("at", "key", F.lit(True).alias("keeps")).join(by_row, ["at", "key"], "left")
     if more:
-        rows = docs.select(doc.alias("doc"), F.xxhash64(F.sha2(text, 256)).alias("key"), text.alias("text"), *more)
-    return rows.join(kept, ["doc", "key"], "left").withColumn("keeps", F.coalesce("keeps", F.col("doc").isNull()))
+        rows = docs.select(doc.alias("doc"), at, key, text.alias("text"), *more)
+    nameless = F.col("doc").isNull()
+    return rows.join(kept, ["at", "key"], "left").withColumn("keeps", nameless | F.coalesce("keeps", F.lit(False))).withColumn("spans", F.when(~nameless, F.col("spans")))

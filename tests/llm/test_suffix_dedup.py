@@ -63,6 +63,31 @@ def test_no_ids_and_empty(spark):
     rows = [(None, "a" * 80), (None, "a" * 80), (4, "a" * 80)]
     assert {r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    # A nameless row beside id 0 with the same text, of which id 0 loses a part.
+    rng = random.Random(4)
+    part, own = ("".join(rng.choice("abcdefgh") for _ in range(90)) for _ in range(2))
+    rows = [(None, part + own), (0, part + own), (-3, own + part[:70])]
+    found = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {None: 0, 0: 160, -3: 0}
+
+
+def test_longer_strings_and_a_long_text(spark):
+    rng = random.Random(6)
+    shared = "".join(rng.choice("abcdef ") for _ in range(700))
+    rows = [(i, "".join(rng.choice("uvwxyz ") for _ in range(300)) + shared[rng.randrange(300) :]) for i in range(20)]
+    rows.append((50, "".join(rng.choice("ghijkl ") for _ in range(200_000)) + shared))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for length in (50, 200):
+        assert result(docs, length) == brute(rows, length)
+
+
+def test_a_hot_passage_is_sent_once_a_batch(spark):
+    passage = "the same passage of more than fifty bytes in very many documents of one batch"
+    rows = [(i, f"{i:06d} {passage}") for i in range(400)]
+    texts = spark.createDataFrame([(i, 7, t, list(range(len(t)))) for i, t in rows], "doc long, key long, text string, positions array<int>").coalesce(1)
+    sent = [suffix_dedup._stretches_of(r.blob) for r in suffix_dedup.stretches(texts, 50, 8).collect()]
+    assert sum((s[0][0] == 0).sum() for s in sent) > 0 and sum(len(s[1][0]) for s in sent) >= 399
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows, 50)
 
 
 def test_cover():
