@@ -111,18 +111,22 @@ def subsequence_table(codes: np.ndarray) -> np.ndarray:
     return table / _norms(codes[None])[0]
 
 
-def _gram(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """kernel_scores of many tables at once: the windows' subsequences are listed one time."""
-    rows, keys, weights = [], [], []
-    for i, j in _STEPS:
-        a, b, c = codes[:, : WINDOW - i - j], codes[:, i : WINDOW - j], codes[:, i + j :]
-        row, place = np.nonzero((a > 0) & (b > 0) & (c > 0))
-        rows.append(row)
-        keys.append((a * 1024 + b * 32 + c)[row, place])
-        weights.append(np.full(len(row), DECAY ** (i + j)))
-    row, key, weight = (np.concatenate(x) for x in (rows, keys, weights))
-    weight /= _norms(codes)[row]
-    return np.stack([np.bincount(row, weights=t[key] * weight, minlength=len(codes)) for t in tables], axis=1)
+def _gram(codes: np.ndarray, tables: np.ndarray, step: int = 2048) -> np.ndarray:
+    """kernel_scores of many tables at once: the windows' subsequences are listed one time, so many windows at once."""
+    out = np.empty((len(codes), len(tables)), dtype=np.float32)
+    for low in range(0, len(codes), step):
+        part, rows, keys, weights = codes[low : low + step], [], [], []
+        for i, j in _STEPS:
+            a, b, c = part[:, : WINDOW - i - j], part[:, i : WINDOW - j], part[:, i + j :]
+            row, place = np.nonzero((a > 0) & (b > 0) & (c > 0))
+            rows.append(row)
+            keys.append((a * 1024 + b * 32 + c)[row, place])
+            weights.append(np.full(len(row), DECAY ** (i + j)))
+        row, key, weight = (np.concatenate(x) for x in (rows, keys, weights))
+        weight /= _norms(part)[row]
+        for k, table in enumerate(tables):
+            out[low : low + step, k] = np.bincount(row, weights=table[key] * weight, minlength=len(part))
+    return out
 
 
 def _top_by_name(scores: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -131,20 +135,25 @@ def _top_by_name(scores: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return best
 
 
-def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds: int = 30) -> np.ndarray:
-    """Weights (the last one is the bias) of a linear machine: Newton steps on the squared hinge loss."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.ones(x.shape[1])
+def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, rounds: int = 30, step: int = 2048) -> np.ndarray:
+    """Weights (the last one is the bias) of a linear machine: Newton steps on the squared hinge loss, summed so many rows at a time."""
+    d = x.shape[1] + 1
+    w = np.zeros(d)
+    ridge = np.ones(d)
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        margin = 1 - y * (x @ w)
-        active = margin > 0
-        a, c = x[active], cost * weight[active]
-        gradient = ridge * w - 2 * (a.T @ (c * y[active] * margin[active]))
-        step = np.linalg.solve(np.diag(ridge) + 2 * (a.T * c) @ a, gradient)
-        w = w - step
-        if np.abs(step).max() < 1e-6:
+        gradient, curve = ridge * w, np.diag(ridge)
+        for low in range(0, len(x), step):
+            part = np.hstack([x[low : low + step].astype(np.float64), np.ones((len(x[low : low + step]), 1))])
+            sign = y[low : low + step]
+            margin = 1 - sign * (part @ w)
+            active = margin > 0
+            a, c = part[active], cost * weight[low : low + step][active]
+            gradient = gradient - 2 * (a.T @ (c * sign[active] * margin[active]))
+            curve = curve + 2 * (a.T * c) @ a
+        change = np.linalg.solve(curve, gradient)
+        w = w - change
+        if np.abs(change).max() < 1e-6:
             break
     return w
 
@@ -167,14 +176,14 @@ def _learn(positive: dict[str, float], negative: list[str], landmarks: int, copi
     half = landmarks // 2
     is_best, is_negative = np.flatnonzero(owner < len(best)), np.flatnonzero(y < 0)
     chosen = [*is_best[:half], *(is_negative[np.linspace(0, len(is_negative) - 1, half).astype(int)] if len(is_negative) else [])]
-    tables = np.unique(np.stack([subsequence_table(codes[i]) for i in chosen]), axis=0)
+    tables = np.stack([subsequence_table(c).astype(np.float32) for c in np.unique(codes[chosen], axis=0)])
     gram = _gram(codes, tables)
-    values, vectors = np.linalg.eigh(tables @ tables.T)
+    values, vectors = np.linalg.eigh((tables @ tables.T).astype(np.float64))
     keep = values > 1e-4 * values.max()
     projection = vectors[:, keep] / np.sqrt(values[keep])
     balance = np.where(y > 0, weight / weight[y > 0].sum(), weight / max(1e-9, weight[y < 0].sum())) * len(y) / 2
-    w = _squared_hinge(gram @ projection, y, balance, 1.0)
-    return (tables.T @ (projection @ w[:-1])).astype(np.float32), float(w[-1])
+    w = _squared_hinge(gram @ projection.astype(np.float32), y, balance, 1.0)
+    return tables.T @ (projection @ w[:-1]).astype(np.float32), float(w[-1])
 
 
 class ToxicityModel:
@@ -183,15 +192,20 @@ class ToxicityModel:
     def __init__(self, table: np.ndarray, bias: float, layer: np.ndarray):
         self.table, self.bias, self.layer = table, bias, layer
 
-    def word_scores(self, names: pa.Array) -> np.ndarray:
-        codes, owner = windows(names)
-        return _top_by_name(kernel_scores(codes, self.table) + self.bias, owner, len(names))
+    def word_scores(self, names: pa.Array, step: int = 16384) -> np.ndarray:
+        """The score of each name; so many names at a time, to bound memory."""
+        out = [np.zeros(0)]
+        for low in range(0, len(names), step):
+            part = names.slice(low, step)
+            codes, owner = windows(part)
+            out.append(_top_by_name(kernel_scores(codes, self.table) + self.bias, owner, len(part)))
+        return np.concatenate(out)
 
     def evidence(self, n: int, rows: np.ndarray, index: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """Per row: three highest word scores, log of the number of positive words, their share."""
         words = np.bincount(rows, minlength=n)
         hot = scores[index] > _FLOOR * 0.75
-        key = np.unique(rows[hot] * max(1, len(scores)) + index[hot])
+        key = np.unique(rows[hot] * max(1, len(scores)) + index[hot])  # each word once a row
         row, value = key // max(1, len(scores)), scores[key % max(1, len(scores))]
         order = np.lexsort((-value, row))
         row, value = row[order], value[order]
@@ -318,7 +332,11 @@ def fit(docs: DataFrame, learnable: DataFrame, toxic: int = 1500, clean: int = 3
 
     gathered = sorted((r["label"], r["words"]) for r in texts.mapInArrow(run, "label int, words string").collect())
     count = Counter(label for label, _ in gathered)
-    return _trained([(label, total[label] / count[label], words.split("\n") if words else []) for label, words in gathered], landmarks, clean_words, copied)
+    # One string for each distinct word of the sample.
+    pool: dict[str, str] = {}
+    documents = [(label, total[label] / count[label], [pool.setdefault(w, w) for w in words.split("\n")] if words else []) for label, words in gathered]
+    del gathered
+    return _trained(documents, landmarks, clean_words, copied)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 5, held_out: int = 0, threshold: float = 0.5) -> DataFrame:
