@@ -208,7 +208,7 @@ def _buckets(batches):
         yield now, held
 
 
-def shared_anchors(texts: DataFrame, length: int, buckets: int, per_batch: int = 16 << 20) -> DataFrame:
+def shared_anchors(texts: DataFrame, length: int, buckets: int, per_batch: int = 8 << 20) -> DataFrame:
     """doc (a number) and positions of the minimizers that several documents have. texts: doc long, text.
 
     Of a hash its bucket and _TOLD more bits travel: a chance agreement only costs a comparison later."""
@@ -256,7 +256,7 @@ def shared_anchors(texts: DataFrame, length: int, buckets: int, per_batch: int =
                     yield pa.RecordBatch.from_arrays([pa.array(docs[low : low + (1 << 18)]), pa.array(at[low : low + (1 << 18)].astype(np.int32))], names=["doc", "at"])
 
     questions = texts.mapInArrow(ask, "bucket int, blob binary")
-    pairs = questions.repartition(max(1, buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "doc long, at int")
+    pairs = questions.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "doc long, at int")
     return pairs.groupBy("doc").agg(F.collect_list("at").alias("positions"))
 
 
@@ -294,7 +294,7 @@ def stretches(asked: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in split_batches(iter([whole]), "text", 16 << 20):
+            for batch in split_batches(iter([whole]), "text", 8 << 20):
                 raw, offsets, found = batch_anchors(batch, length)
                 if not len(found["row"]):
                     continue
@@ -480,7 +480,7 @@ def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str, *more,
             at, low, high = repeated_starts(doc, *parts, length)
             yield from spans(doc[at], key[at], low, high + length)
 
-    found = stretches(asked, length, buckets).repartition(max(1, buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(dedup, "doc long, key long, low long, high long")
+    found = stretches(asked, length, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(dedup, "doc long, key long, low long, high long")
     by_row = found.groupBy(F.col("doc").alias("at"), "key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     kept = keepers.select("at", "key", F.lit(True).alias("keeps")).join(by_row, ["at", "key"], "left")
     if more:
