@@ -14,7 +14,8 @@ A byte goes when a string of ``length`` bytes that covers it also starts in a do
    is left are sorted. The suffixes at the positions of a difference cover modulo 13 (0, 1, 3, 9: any two positions
    have offsets under 13 at which both lie in the cover) are ranked once by their leading bytes; all others are
    sorted by the bytes before the next cover position, and long ties are resolved by the ranks of cover
-   positions. Memory is bounded by the bucket, and there is a bucket for every ``bucket_bytes`` of text.
+   positions. A bucket is sorted in parts, by its minimizers' bytes, of about ``part_bytes`` of stretches each. Memory is bounded by
+   the bucket's stretches and one part's sort, and there is a bucket for every ``bucket_bytes`` of text.
 4. In the sorted bucket, suffixes that agree in ``length`` bytes are neighbours; the smallest document of each such
    group keeps the bytes, the others lose them.
 
@@ -378,6 +379,19 @@ def repeated_starts(doc: np.ndarray, first: np.ndarray, lead: np.ndarray, size:
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
+def _dealt(doc: np.ndarray, key: np.ndarray, first: np.ndarray, lead: np.ndarray, size: np.ndarray, text: np.ndarray, many: int) -> list[tuple[np.ndarray, ...]]:
+    """The stretches of a blob in so many parts; those of equal minimizers come into the same part of every blob."""
+    begin = np.cumsum(size) - size
+    mixed = np.zeros(len(doc), dtype=np.uint64)
+    for at in (*range(0, _K - 7, 8), _K - 8):
+        mixed = (mixed ^ _words(text, begin + lead, at)) * _MIX[0]
+        mixed ^= mixed >> np.uint64(29)
+    part = (mixed % np.uint64(many)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(many + 1))
+    return [(doc[i], key[i], first[i], lead[i], size[i], _gather(text, begin[i], size[i])) for i in (order[low:high] for low, high in zip(cuts[:-1], cuts[1:], strict=True))]
+
+
 def _merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of intervals [first, last) as sorted, separate intervals; touching ones join."""
     order = np.argsort(first, kind="stable")
@@ -448,7 +462,7 @@ def _kept(batch: pa.RecordBatch, length: int):
         yield n, removed, spans, own
 
 
-def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str, *more, bucket_bytes: int = 16 << 20) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str, *more, bucket_bytes: int = 16 << 20, part_bytes: int = 4 << 20) -> DataFrame:
     """doc, text, keeps (no smaller document has the whole text), spans (low, high) that go, and more columns, of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc = F.col(id_col).cast("long")
@@ -473,12 +487,18 @@ def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str, *more,
 
     def dedup(batches):
         for _, blobs in _buckets(batches):
-            sent, lost = zip(*map(_stretches_of, blobs), strict=True)
-            doc, key, first, size = (np.concatenate(c) for c in zip(*lost, strict=True))
-            yield from spans(doc, key, first, first + size)
-            doc, key, *parts = (np.concatenate(c) for c in zip(*sent, strict=True))
-            at, low, high = repeated_starts(doc, *parts, length)
-            yield from spans(doc[at], key[at], low, high + length)
+            many = 1 + sum(int(np.frombuffer(blob, np.int64, 1)[0]) for blob in blobs) // part_bytes
+            parts = [[] for _ in range(many)]
+            while blobs:
+                sent, (doc, key, first, size) = _stretches_of(blobs.pop())
+                yield from spans(doc, key, first, first + size)
+                for part, held in zip(_dealt(*sent, many), parts, strict=True):
+                    held.append(part)
+            while parts:
+                doc, key, *rest = (np.concatenate(c) for c in zip(*parts.pop(), strict=True))
+                if len(doc):
+                    at, low, high = repeated_starts(doc, *rest, length)
+                    yield from spans(doc[at], key[at], low, high + length)
 
     found = stretches(asked, length, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(dedup, "doc long, key long, low long, high long")
     by_row = found.groupBy(F.col("doc").alias("at"), "key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
