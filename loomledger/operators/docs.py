@@ -38,13 +38,13 @@ def sections(lines: DataFrame) -> DataFrame:
     rows = headers(lines).where("not fenced").join(ends, "path")
 
     def number(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("line").reset_index(drop=True)
-        stack, siblings, out = [], {}, []
-        for i, r in frame.iterrows():
+        frame = frame.sort_values("line")
+        stack, siblings, out, ends_at = [], {}, [], []
+        for i, r in enumerate(frame.itertuples(index=False)):
             if i == 0:
                 continue
             while stack and stack[-1][0] >= r.level:
-                stack.pop()
+                ends_at[stack.pop()[2]] = int(r.line)
             above = stack[-1][1] if stack else ""
             title = r.title
             if title == "definition":
@@ -55,10 +55,10 @@ def sections(lines: DataFrame) -> DataFrame:
                 head, _, rest = title.partition(" ")
                 if head.replace("-", "").isdigit():
                     title = rest
-            later = frame[(frame.index > i) & (frame.level <= r.level)]
-            end = int(later.iloc[0].line) if len(later) else int(r.n)
-            stack.append((r.level, address))
-            out.append((r.path, address, int(r.level), address.count("-"), title, int(r.line) + 1, end, end - int(r.line)))
+            stack.append((r.level, address, len(out)))
+            ends_at.append(int(r.n))
+            out.append([r.path, address, int(r.level), address.count("-"), title, int(r.line) + 1])
+        out = [(*row, end, end - row[-1] + 1) for row, end in zip(out, ends_at, strict=True)]
         return pd.DataFrame(out, columns=["path", "address", "level", "depth", "title", "start_line", "end_line", "line_count"])
 
     return rows.groupBy("path").applyInPandas(number, "path string, address string, level int, depth int, title string, start_line int, end_line int, line_count int")
