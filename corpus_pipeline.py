@@ -1,7 +1,12 @@
 """The training-data pipeline over ``documents``: quality, toxicity, near-duplicates, repeated passages, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs, what its predecessor kept. All but the last return
-rows with the columns of ``documents``. Each stage's result is written and read again before the next one."""
+rows with the columns of ``documents``. Each stage's result is written and read again before the next one.
+
+Null texts count as empty and are judged like any other text; a packed null or empty text is its end token alone. Rows without
+a doc_id are judged by the classifiers, have no near-duplicates and lose no passages. Rows of one doc_id are judged each by its
+own text, stay or go together as near-duplicates, and never remove passages from each other. An empty table gives an empty
+table at every stage. Other columns of documents travel along until packing."""
 
 from __future__ import annotations
 
