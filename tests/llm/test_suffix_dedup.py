@@ -96,3 +96,27 @@ def test_cover():
         for b in suffix_dedup.COVER:
             differences[(a - b) % suffix_dedup.COVER_MODULUS] += 1
     assert set(differences) == set(range(suffix_dedup.COVER_MODULUS))
+
+
+def test_parts_of_a_bucket_find_what_the_whole_finds():
+    import numpy as np
+
+    from loomledger.llm import suffix_dedup as sd
+
+    random = np.random.default_rng(3)
+    shared = random.integers(97, 123, 400, dtype=np.uint8)
+    rows = [np.concatenate([random.integers(97, 123, 300, dtype=np.uint8), shared[n * 20 : n * 20 + 200]]) for n in range(8)]
+    raw, offsets = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+    found = sd.anchors(raw, offsets, 50)
+    doc, first = found["row"], found["first"]
+    size, lead, start = found["last"] - first + 50, found["at"] - first, first - offsets[doc]
+
+    def covered(doc, key, *rest):
+        at, low, high = sd.repeated_starts(doc, *rest, 50)
+        return {(d, p) for d, a, b in zip(doc[at].tolist(), low.tolist(), high.tolist(), strict=True) for p in range(a, b + 50)}
+
+    stretches = (doc, np.zeros_like(doc), start, lead, size, sd._gather(raw, first, size))
+    whole = covered(*stretches)
+    parts = [p for p in sd._dealt(*stretches, 7) if len(p[0])]
+    assert len(whole) > 500 and len(parts) > 3
+    assert set().union(*(covered(*p) for p in parts)) == whole
