@@ -88,6 +88,41 @@ def test_spelled_apart_and_inserted_insults(spark, docs, labels):
     tests = ["i d i o t", "you st.upid thing", "the traash of it", "LOSER!!", "and the of", "a i o u the", "m-o-r-o-n"]
     model = toxicity.fit(docs, toxicity.labelled(labels, "toxic", 5, 0))
     column = pa.array(tests, pa.large_string())
-    rows, index, names = toxicity.document_words(column)
-    scores = model.evidence(len(tests), rows, index, model.word_scores(names))[:, 0]
+    scores = model.evidence(column)[:, 0]
     assert min(scores[[0, 3, 6]]) > max(scores[[4, 5]])
+
+
+def test_windows_of_sentences_are_the_same_in_blocks():
+    column = pa.array(["One two. Three four! \n five", "", "  ", "no end " * 40, ". . ."], pa.large_string())
+    rows, index, names = toxicity.document_sentences(column)
+    assert [names[int(i)].as_py().replace(toxicity._SPACE, " ") for i in index[rows == 0]] == ["One two", "Three four", "five"]
+    whole = toxicity.windows(names)
+    parts = list(toxicity.window_blocks(names, step=3))
+    assert np.array_equal(whole[0], np.concatenate([c for c, _ in parts])) and np.array_equal(whole[1], np.concatenate([o for _, o in parts]))
+    # Every place of a long sentence lies in a window, and the spaces between its words too.
+    long_one = int(index[rows == 3][0])
+    joined = whole[0][whole[1] == long_one]
+    assert len(joined) > 20 and (joined == toxicity._END).any(axis=1).all()
+
+
+def test_an_insult_of_common_words_is_learned_from_sentences(spark):
+    rng = np.random.default_rng(5)
+    plain = [f"{a}{b}" for a in ("ba", "re", "mo", "tu", "li", "ko", "sa", "ne") for b in ("dan", "rel", "sik", "mor")] + ["cold", "fish", "cold", "fish"]
+
+    def text(toxic):
+        sentences = []
+        for _ in range(4):
+            words = [str(w) for w in rng.choice(plain, 8)]
+            words = [w for i, w in enumerate(words) if not (w in ("cold", "fish") and i and words[i - 1] in ("cold", "fish"))]
+            sentences.append(" ".join(words))
+        if toxic:
+            sentences[int(rng.integers(4))] += " cold fish"
+        return ". ".join(sentences) + "."
+
+    rows = [(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(900)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = toxicity.score(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).where("held_out").collect()
+    truth = {i: y for i, _, y in rows}
+    right = np.mean([r.predicted == truth[r.doc_id] for r in found])
+    print("right", right)
+    assert len(found) > 100 and right >= 0.85
