@@ -44,7 +44,11 @@ def authority(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Lower-cased host without port and final dot."""
-    return F.regexp_replace(F.lower(F.regexp_replace(authority(url), r"^.*@|:[0-9]*$", "")), r"\.$", "")
+    return host_of(authority(url))
+
+
+def host_of(authority: Column) -> Column:
+    return F.regexp_replace(F.lower(F.regexp_replace(authority, r"^.*@|:[0-9]*$", "")), r"\.$", "")
 
 
 def path(url: Column) -> Column:
@@ -58,14 +62,27 @@ def query(url: Column) -> Column:
 
 
 def decoded(part: Column) -> Column:
-    """A form-encoded part decoded; as written where it isn't valid."""
-    return F.coalesce(F.try_url_decode(part), part)
+    """A form-encoded part decoded; as written where it isn't valid. Most parts have nothing to decode and are left alone."""
+    return F.when(part.contains("%") | part.contains("+"), F.coalesce(F.try_url_decode(part), part)).otherwise(part)
+
+
+def form_encoded(part: Column) -> Column:
+    """A part form-encoded; most parts have nothing to encode and are left alone."""
+    return F.when(part.rlike(r"[^A-Za-z0-9.*_\-]"), F.url_encode(part)).otherwise(part)
 
 
 def params(url: Column) -> Column:
     """The query's parameters as array<struct<k, v>>, decoded, in order."""
-    pieces = F.filter(F.split(query(url), "&"), lambda p: p != "")
-    return F.transform(pieces, lambda p: F.struct(decoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), decoded(F.regexp_extract(p, "=(.*)$", 1)).alias("v")))
+    return params_of(query(url))
+
+
+def params_of(query: Column) -> Column:
+    """The parameters of a query without its question mark."""
+    pieces = F.filter(F.split(query, "&"), lambda p: p != "")
+    value = lambda p: F.when(p.contains("="), F.substr(p, F.instr(p, "=") + 1)).otherwise("")
+    found = F.transform(pieces, lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("k"), decoded(value(p)).alias("v")))
+    # F.when: most addresses have no query, and lambdas are interpreted.
+    return F.when(query == "", F.array().cast("array<struct<k:string,v:string>>")).otherwise(found)
 
 
 def percent_encoded(text: Column) -> Column:

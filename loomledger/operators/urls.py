@@ -24,14 +24,17 @@ def canonicalize(df: DataFrame, url: str = "url", base: str | None = None, keep:
         absolute = resolved(original, F.col(base))
     out = out.withColumn("_u", F.coalesce(absolute, F.lit("")))
     u = F.col("_u")
-    domain = U.host(u)
-    out = out.withColumn("domain", domain).withColumn(
+    # The address is taken apart once; what follows reads the parts.
+    out = out.withColumns({"_scheme": U.scheme(u), "_authority": U.authority(u), "_path": U.path(u), "_query": U.query(u)})
+    scheme, authority, domain = F.col("_scheme"), F.col("_authority"), F.col("domain")
+    out = out.withColumns({"domain": U.host_of(authority), "_p": U.params_of(F.col("_query"))})
+    out = out.withColumn(
         "reject",
         F.when(F.coalesce(F.col("original_url"), F.lit("")) == "", "empty")
-        .when(U.scheme(u) == "", "unparsable")
-        .when(~U.scheme(u).isin("http", "https"), "scheme")
-        .when(U.authority(u).contains("@"), "userinfo")
-        .when((domain == "") | domain.rlike(r"[\s<>\"{}|^%`\\]") | ~U.authority(u).rlike(r"^(\[[0-9A-Fa-f:.]+\]|[^:\[\]]+)(:[0-9]*)?$"), "unparsable"),
+        .when(scheme == "", "unparsable")
+        .when(~scheme.isin("http", "https"), "scheme")
+        .when(authority.contains("@"), "userinfo")
+        .when((domain == "") | domain.rlike(r"[\s<>\"{}|^%`\\]") | ~authority.rlike(r"^(\[[0-9A-Fa-f:.]+\]|[^:\[\]]+)(:[0-9]*)?$"), "unparsable"),
     )
     kept = [k.lower() for k in (*U.KEEP_PARAMS, *keep)]
     gone = [k.lower() for k in (U.DROP_PARAMS if drop is None else drop)]
@@ -46,17 +49,20 @@ def canonicalize(df: DataFrame, url: str = "url", base: str | None = None, keep:
     name = lambda p: F.lower(p["k"])
     is_kept = lambda p: name(p).isin(kept) | F.array_contains(own_keep, name(p))
     is_dropped = lambda p: ~is_kept(p) & (name(p).isin(gone) | F.array_contains(own_drop, name(p)))
-    out = out.withColumn("_p", U.params(u))
-    query = F.array_join(F.transform(F.array_sort(F.filter("_p", lambda p: ~is_dropped(p))), lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
-    port = F.regexp_extract(U.authority(u), r":([0-9]+)$", 1)
-    shown_port = F.when((port == "") | ((U.scheme(u) == "http") & (port.cast("int") == 80)) | ((U.scheme(u) == "https") & (port.cast("int") == 443)), "").otherwise(F.concat(F.lit(":"), port.cast("int").cast("string")))
-    bare = F.regexp_replace(U.plain_path(U.path(u)), "/+$", "")
-    out = out.withColumn("_q", query)
-    canonical = F.concat(U.scheme(u), F.lit("://"), F.col("domain"), shown_port, F.when(bare == "", "/").otherwise(bare), F.when(F.col("_q") == "", "").otherwise(F.concat(F.lit("?"), F.col("_q"))))
+    left = F.sort_array(F.filter("_p", lambda p: ~is_dropped(p)))
+    query = F.array_join(F.transform(left, lambda p: F.concat(U.form_encoded(p["k"]), F.lit("="), U.form_encoded(p["v"]))), "&")
+    port = F.regexp_extract(authority, r":([0-9]+)$", 1).try_cast("int")
+    shown_port = F.when(port.isNull() | ((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443)), "").otherwise(F.concat(F.lit(":"), port.cast("string")))
+    bare = F.regexp_replace(U.plain_path(F.col("_path")), "/+$", "")
+    # Lambdas are interpreted: addresses without parameters skip them.
+    none = F.size("_p") == 0
+    out = out.withColumns({"_q": F.when(none, "").otherwise(query), "_bare": bare, "_port": shown_port})
+    shown = F.when(F.col("_bare") == "", "/").otherwise(F.col("_bare"))
+    canonical = F.concat(scheme, F.lit("://"), domain, F.col("_port"), shown, F.when(F.col("_q") == "", "").otherwise(F.concat(F.lit("?"), F.col("_q"))))
     good = F.col("reject").isNull()
     return (
         out.withColumn("canonical_url", F.when(good, canonical))
-        .withColumn("dropped", F.when(good, F.transform(F.filter("_p", is_dropped), lambda p: p["k"])))
+        .withColumn("dropped", F.when(good, F.when(none, F.array().cast("array<string>")).otherwise(F.transform(F.filter("_p", is_dropped), lambda p: p["k"]))))
         .withColumn("domain", F.when(good, F.regexp_replace("domain", r"^\[(.+)\]$", "$1")))
         .select(*df.columns, "original_url", "canonical_url", "domain", "dropped", "reject")
     )
