@@ -14,10 +14,10 @@ def sitemap_closure(seeds: DataFrame, files: DataFrame, entries: DataFrame, dept
 
     seeds: url, kind (robots, sitemap); files: url, final_url, kind (urlset, sitemapindex, unknown, unreadable); entries:
     file, loc, lastmod. An index leads on to its children, up to a depth; a file met by its requested or its final
-    address isn't opened again; the limits on files and addresses are features of the run, and what they cut is
-    counted (outcome skipped)."""
+    address isn't opened again; the limits on files and addresses are features of the run. Files beyond the limit, by depth
+    and address, have the outcome skipped and lead nowhere."""
     frontier = seeds.select("url", F.col("kind").alias("origin"), F.lit(0).alias("depth")).groupBy("url").agg(F.min("origin").alias("origin"), F.min("depth").alias("depth"))
-    opened = None
+    opened, left = None, most_files
     for level in range(depth + 1):
         known = files.select(F.col("url").alias("_url"), F.col("final_url"), F.col("kind").alias("file_kind"))
         now = frontier.join(known, F.col("url") == F.col("_url"), "left").drop("_url")
@@ -30,16 +30,17 @@ def sitemap_closure(seeds: DataFrame, files: DataFrame, entries: DataFrame, dept
         now = checkpointed(now)
         if now.isEmpty():
             break
+        within = now.select("url").distinct().orderBy("url").limit(left).withColumn("_in", F.lit(True))
+        now = checkpointed(now.join(within, "url", "left").withColumn("_in", F.coalesce("_in", F.lit(False))))
+        left = max(0, left - now.where("_in").count())
         opened = now if opened is None else checkpointed(opened.unionByName(now))
         if level == depth:
             break
-        children = now.where("file_kind = 'sitemapindex'").join(entries.select("file", "loc"), F.col("final_url") == F.col("file"))
+        children = now.where("_in and file_kind = 'sitemapindex'").join(entries.select("file", "loc"), F.col("final_url") == F.col("file"))
         frontier = children.where("loc is not null").groupBy(F.col("loc").alias("url")).agg(F.min("origin").alias("origin"), (F.min("depth") + 1).alias("depth"))
     if opened is None:
-        opened = frontier.select("url", "origin", "depth", F.col("url").alias("final_url"), F.lit("unreadable").alias("file_kind")).limit(0)
-    # The number of opened files is bounded by the limit's scale: ranking them in one place is cheap.
-    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("depth", "url"))
-    opened = opened.withColumn("outcome", F.when(order > most_files, "skipped").when(F.col("file_kind").isin("unreadable", "unknown"), "unreadable").otherwise("opened"))
+        opened = frontier.select("url", "origin", "depth", F.col("url").alias("final_url"), F.lit("unreadable").alias("file_kind"), F.lit(False).alias("_in")).limit(0)
+    opened = opened.withColumn("outcome", F.when(~F.col("_in"), "skipped").when(F.col("file_kind").isin("unreadable", "unknown"), "unreadable").otherwise("opened")).drop("_in")
     lists = opened.where("outcome = 'opened' and file_kind = 'urlset'").select("final_url", "origin", "depth")
     urls = entries.join(lists, F.col("file") == F.col("final_url")).where("loc is not null").groupBy(F.col("loc").alias("url")).agg(F.min("origin").alias("source_kind"), F.min("depth").alias("depth"), F.max("lastmod").alias("lastmod"), F.count(F.lit(1)).alias("times"))
     return opened, urls.orderBy("depth", "url").limit(most_urls)

@@ -416,3 +416,16 @@ def test_waking_details(spark):
 def test_html_links_table_function(spark):
     html.html_links_udtf(spark)
     assert [tuple(r) for r in spark.sql("SELECT * FROM html_links('<a href=\"/x\">one</a> <a>two</a>')").collect()] == [(0, "/x", "one"), (1, None, "two")]
+
+
+def test_a_skipped_sitemap_index_leads_nowhere(spark):
+    from loomledger.operators import graph
+
+    seeds = spark.createDataFrame([("a", "robots"), ("b", "robots"), ("c", "robots")], "url string, kind string")
+    files = spark.createDataFrame([("a", "a", "urlset"), ("b", "b", "sitemapindex"), ("c", "c", "sitemapindex"), ("d", "d", "urlset")], "url string, final_url string, kind string")
+    entries = spark.createDataFrame([("a", "x", None), ("c", "d", None), ("d", "y", None)], "file string, loc string, lastmod string")
+    opened, urls = graph.sitemap_closure(seeds, files, entries, most_files=2)
+    assert {(r.url, r.outcome) for r in opened.collect()} == {("a", "opened"), ("b", "opened"), ("c", "skipped")}
+    assert [r.url for r in urls.collect()] == ["x"]
+    opened, urls = graph.sitemap_closure(seeds, files, entries)
+    assert {r.url for r in urls.collect()} == {"x", "y"} and opened.count() == 4
