@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomledger.llm import ann, bpe, exact_dedup, licenses, lmscore, packing, quality, simhash, suffix_dedup, topk, toxicity
+from loomledger.llm import ann, bpe, exact_dedup, licenses, lmscore, packing, quality, resample, simhash, suffix_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,12 +63,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=50, keep_bytes=False)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_lm_score, op3_byte_bpe, op4_exact_topk, op5_toxicity, op6_simhash, op7_posting_lists, op8_quality, op9_licenses, op10_suffix_dedup, op12_exact_dedup)
+    found = (op1_best_fit_packing, op2_lm_score, op3_byte_bpe, op4_exact_topk, op5_toxicity, op6_simhash, op7_posting_lists, op8_quality, op9_licenses, op10_suffix_dedup, op11_importance_resampling, op12_exact_dedup)
     return {f.__name__: f for f in found}
 
 
@@ -76,5 +80,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_lm_score": lmscore.oracle_sql(LM_MASS),
         "op9_licenses": licenses.oracle_sql(),
+        "op11_importance_resampling": resample.oracle_sql(),
         "op12_exact_dedup": exact_dedup.oracle_sql(),
     }
