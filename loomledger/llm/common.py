@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,6 +59,19 @@ def split_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 <
         pa.default_memory_pool().release_unused()
 
 
+def stretches(text: bytes, limit: int, cut: re.Pattern, carry: int = 0) -> Iterator[tuple[bytes, int]]:
+    """A long text in stretches that end before a separator (cut), and how many words at a stretch's start are the last of the one before."""
+    start, held = 0, []
+    while start < len(text):
+        end = start + limit
+        at = cut.search(text, end) if end < len(text) else None
+        end = at.start() if at else len(text)
+        yield b" ".join([*held, text[start:end]]), len(held)
+        if carry:
+            held = [*held, *(w for w in cut.split(text[start:end].lower()) if w)][-carry:]
+        start = end
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a large_string array without nulls, and the offsets of its rows (one more than rows)."""
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]

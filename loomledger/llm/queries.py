@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomledger.llm import ann, bpe, exact_dedup, licenses, lmscore, packing, quality, resample, simhash, suffix_dedup, topk, toxicity
+from loomledger.llm import ann, bpe, divergence, exact_dedup, licenses, lmscore, packing, quality, resample, simhash, suffix_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +71,12 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_lm_score, op3_byte_bpe, op4_exact_topk, op5_toxicity, op6_simhash, op7_posting_lists, op8_quality, op9_licenses, op10_suffix_dedup, op11_importance_resampling, op12_exact_dedup)
+    found = (op1_best_fit_packing, op2_lm_score, op3_byte_bpe, op4_exact_topk, op5_toxicity, op6_simhash, op7_posting_lists, op8_quality, op9_licenses, op10_suffix_dedup, op11_importance_resampling, op12_exact_dedup, op13_source_divergence)
     return {f.__name__: f for f in found}
 
 
@@ -82,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_licenses": licenses.oracle_sql(),
         "op11_importance_resampling": resample.oracle_sql(),
         "op12_exact_dedup": exact_dedup.oracle_sql(),
+        "op13_source_divergence": divergence.oracle_sql(),
     }

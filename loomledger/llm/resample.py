@@ -31,30 +31,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomledger.llm.common import split_batches, written
+from loomledger.llm.common import split_batches, stretches, written
 
 #: What stands between words, once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_CUT = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
+#: The same before that.
+_CUT = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 #: Bytes of text that are worked on at once.
 STRETCH = 8 << 20
 #: Rows of a partition before its number starts in monotonically_increasing_id.
 _PLACE = 33
 
 
-def stretches(text: bytes, limit: int, carry: int) -> Iterator[tuple[bytes, int]]:
-    """A long text in stretches cut between words, and how many words at a stretch's start are the last of the one before."""
-    start, held = 0, []
-    while start < len(text):
-        end = start + limit
-        cut = _CUT.search(text, end) if end < len(text) else None
-        end = cut.start() if cut else len(text)
-        yield b" ".join([*held, text[start:end]]), len(held)
-        if carry:
-            held = [*held, *(w for w in _CUT.split(text[max(start, end - limit) : end].lower()) if w)][-carry:]
-        start = end
-
-
 def encoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Row and index of every word of a large_string array, and the distinct words."""
     lists = pc.split_pattern_regex(pc.ascii_lower(column), pattern=BETWEEN)
@@ -97,7 +85,7 @@ def _texts(batches: Iterator[pa.RecordBatch], text: str, orders: int) -> Iterato
             yield batch, column, 0, True
             continue
         last = None
-        for piece, known in stretches(raw, STRETCH, orders - 1):
+        for piece, known in stretches(raw, STRETCH, _CUT, orders - 1):
             if last:
                 yield batch, *last, False
             last = pa.array([piece.decode()], pa.large_string()), known
