@@ -222,7 +222,7 @@ def recounted(docs: DataFrame, machines: DataFrame, resident: int = RESIDENT) ->
 
 
 def _share(n: Column, total: Column) -> Column:
-    whole = f"decimal(19,0)"
+    whole = "decimal(19,0)"
     return F.lit(1).cast("long") + F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * (n + 1).cast(whole), total.cast(whole))
 
 
