@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomledger.operators.urls import canonicalize
+from loomledger.sources.ranges import csv_records, held, numbered_lines
 
 # The fields of a URL list's objects, and names of its CSV column, in the order in which they are tried.
 URL_FIELDS = ("url", "canonical_url", "link", "href", "address")
@@ -20,17 +21,15 @@ SCAN_HEAD = 2048
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1) and content of every line of the files: files are read whole, so line numbers are true."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "content"))
-    return lines.select("file", (F.col("at") + 1).alias("line"), "content")
+    """file, line (from 1) and content of every line of the files, read in byte ranges."""
+    return numbered_lines(spark, path)
 
 
 def read_url_list(spark: SparkSession, path: str, fmt: str = "jsonl") -> tuple[DataFrame, DataFrame]:
     """(records, rejects): url and line, or line and reason. jsonl: a bare URL, a JSON string or an object a line; csv: a header with a URL column."""
-    lines = text_lines(spark, path)
     if fmt == "csv":
-        return _read_csv_urls(lines)
+        return _read_csv_urls(spark, path)
+    lines = text_lines(spark, path)
     c = F.trim("content")
     some = lines.where(c != "")
     fields = F.from_json(c, F.lit(", ".join(f"`{f}` string" for f in URL_FIELDS)))
@@ -48,21 +47,23 @@ def read_url_list(spark: SparkSession, path: str, fmt: str = "jsonl") -> tuple[D
     return out.where("reason is null").select("file", "line", "url"), out.where("reason is not null").select("file", "line", "reason")
 
 
-def _read_csv_urls(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """RFC 4180 cells on one line each: quoted cells hold commas and doubled quotes; a line with an open quote or another number of cells is rejected."""
-    cell = r'(?:^|,)("(?:[^"]|"")*"|[^",]*)'
+def _read_csv_urls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """RFC 4180 records, under their first line: quoted cells hold commas, line ends and doubled quotes. A quote that is never closed and another number of cells than the header's are rejects."""
+    records, unclosed = csv_records(spark, path)
+    cell = r'(?:^|,)("(?:[^"]++|"")*+"|[^",][^,]*+|)'
     cells = F.transform(F.regexp_extract_all("content", F.lit(cell), F.lit(1)), lambda x: F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), '""', '"')).otherwise(x))
-    quotes = F.length("content") - F.length(F.regexp_replace("content", '"', ""))
-    rows = lines.where(F.trim("content") != "").withColumns({"cells": cells, "open": quotes % 2 == 1})
-    head = rows.withColumn("_first", F.min("line").over(Window.partitionBy("file"))).where("line = _first")
+    rows = records.withColumn("cells", cells)
     names = F.transform("cells", lambda x: F.lower(F.trim(x)))
     at = F.coalesce(*(F.when(F.array_position(names, f) > 0, F.array_position(names, f)) for f in URL_FIELDS))
-    head = head.select("file", F.col("line").alias("_head"), F.size("cells").alias("_n"), at.cast("int").alias("_at"))
+    # A row a file: the first record is the header.
+    head = rows.groupBy("file").agg(F.min_by(F.struct("line", F.size("cells").alias("n"), at.cast("int").alias("at")), "line").alias("h"))
+    head = held(head.select("file", F.col("h.line").alias("_head"), F.col("h.n").alias("_n"), F.col("h.at").alias("_at")))
     body = rows.join(head, "file").where("line > _head")
     url = F.trim(F.try_element_at("cells", F.col("_at")))
-    reason = F.when(F.col("_at").isNull(), "no_url_column").when(F.col("open"), "unclosed_quote").when(F.size("cells") != F.col("_n"), "cell_count").when(F.coalesce(url, F.lit("")) == "", "empty_url")
+    reason = F.when(F.col("_at").isNull(), "no_url_column").when(F.size("cells") != F.col("_n"), "cell_count").when(F.coalesce(url, F.lit("")) == "", "empty_url")
     out = body.withColumns({"reason": reason, "url": url})
-    return out.where("reason is null").select("file", "line", "url"), out.where("reason is not null").select("file", "line", "reason")
+    rejects = out.where("reason is not null").select("file", "line", "reason").unionByName(unclosed.withColumn("reason", F.lit("unclosed_quote")))
+    return out.where("reason is null").select("file", "line", "url"), rejects
 
 
 def read_judgments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
