@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomledger.operators.substrings import contained
+from loomledger.sources.tables import checkpointed
+
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "key", value: str = "lastmod", flagged: DataFrame | None = None) -> DataFrame:
     """key and change: new, changed, unchanged, disappeared, or reappeared where a key flagged as gone before is back."""
@@ -143,11 +146,18 @@ def match_boxes(cards: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def lookup_sections(sections: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, matches, path and address: a section of exactly that title, else one whose title holds it; several: ambiguous, no answer; none: missing. sections: path, address, title; ids: id."""
-    exact = ids.join(sections, F.lower("id") == F.lower("title")).select("id", "path", "address")
-    rest = ids.join(exact.select("id").distinct(), "id", "left_anti")
-    part = rest.join(sections, F.lower(F.col("title")).contains(F.lower(F.col("id")))).select("id", "path", "address")
-    hits = exact.unionByName(part).groupBy("id").agg(F.count(F.lit(1)).alias("matches"), F.min(F.struct("path", "address")).alias("_s"))
+    """id, matches, path and address: a section of exactly that title, else one whose title holds it; several: ambiguous, no answer; none: missing. sections: path, address, title; ids: id.
+
+    Sections are counted by title first, so a title that many share is one row of every join. An empty id is in every title that isn't null."""
+    first = F.min(F.struct("path", "address")).alias("_s")
+    titles = checkpointed(sections.where("title is not null").groupBy(F.lower("title").alias("text")).agg(F.count(F.lit(1)).alias("_n"), first))
+    asked = ids.select("id", F.lower("id").alias("needle")).distinct()
+    exact = asked.join(titles, F.col("needle") == F.col("text")).select("id", "_n", "_s")
+    rest = asked.join(exact.select("id").distinct(), "id", "left_anti")
+    # A long list of ids shares its needles, and a needle its texts: both joins are on keys that are unique on one side.
+    part = rest.join(contained(titles, rest), "needle").join(titles, "text").select("id", "_n", "_s")
+    every = rest.where("needle = ''").select("id").join(F.broadcast(titles.agg(F.sum("_n").alias("_n"), F.min("_s").alias("_s")).where("_n > 0")))
+    hits = exact.unionByName(part).unionByName(every).groupBy("id").agg(F.sum("_n").alias("matches"), F.min("_s").alias("_s"))
     out = ids.join(hits, "id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     only = F.col("matches") == 1
     return out.select("id", "matches", F.when(only, "found").when(F.col("matches") == 0, "missing").otherwise("ambiguous").alias("verdict"), F.when(only, F.col("_s.path")).alias("path"), F.when(only, F.col("_s.address")).alias("address"))

@@ -69,7 +69,7 @@ def canonical_order(spark, sf_dir):
 def sections_found(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     sections = docs.select(F.col("source").alias("path"), F.col("doc_id").cast("string").alias("address"), F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"))
-    ids = docs.select(F.regexp_extract("text", r"^(\S+ \S+ \S+)", 1).alias("id")).where("id <> ''").distinct().join(table(spark, sf_dir, "labels").join(docs, "doc_id").where("toxic = 1").select(F.regexp_extract("text", r"^(\S+ \S+ \S+)", 1).alias("id")), "id", "left_semi")
+    ids = docs.select(F.regexp_extract("text", r"^(\S+ \S+ \S+)", 1).alias("id")).where("id <> ''").distinct()
     return recon.lookup_sections(sections, ids).select("id", "matches", "verdict")
 
 
@@ -158,7 +158,7 @@ ORACLE = {
     "jn13_scoped_lookup": f"WITH d AS (SELECT key FROM ({_SETTINGS_SQL}) WHERE env = 'dev') SELECT n_name AS key, 'app' AS app, n_name || '@app' IN (SELECT key FROM d) AS scoped, n_name || '@app' IN (SELECT key FROM d) OR n_name IN (SELECT key FROM d) AS found FROM nation",
     "so03_key_difference": f"WITH s AS ({_SETTINGS_SQL}) SELECT key, CASE WHEN env = 'dev' THEN 'only_a' ELSE 'only_b' END AS side FROM s WHERE key NOT IN (SELECT key FROM s t WHERE t.env <> s.env) AND key NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 0)",
     "tk06_canonical_order": f"SELECT key, r IS NOT NULL AS known, contains(key, '@') AS scoped, r AS rank FROM (SELECT DISTINCT key FROM ({_SETTINGS_SQL})) LEFT JOIN (SELECT n_name, 100 - n_nationkey AS r FROM nation WHERE n_regionkey > 0) ON regexp_replace(key, '@.*$', '') = n_name",
-    "jn18_sections_found": f"""WITH s AS (SELECT lower({_TITLE}) AS t FROM documents), i AS (SELECT DISTINCT {_FIRST3} AS id FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE toxic = 1 AND {_FIRST3} <> ''),
+    "jn18_sections_found": f"""WITH s AS (SELECT lower({_TITLE}) AS t FROM documents), i AS (SELECT DISTINCT {_FIRST3} AS id FROM documents WHERE {_FIRST3} <> ''),
         e AS (SELECT id, count(*) AS n FROM i JOIN s ON lower(id) = t GROUP BY id), p AS (SELECT id, count(*) AS n FROM i JOIN s ON contains(t, lower(id)) WHERE id NOT IN (SELECT id FROM e) GROUP BY id)
         SELECT i.id, coalesce(e.n, p.n, 0) AS matches, CASE coalesce(e.n, p.n, 0) WHEN 1 THEN 'found' WHEN 0 THEN 'missing' ELSE 'ambiguous' END AS verdict FROM i LEFT JOIN e ON i.id = e.id LEFT JOIN p ON i.id = p.id""",
     "jn20_note_sources": r"""WITH t AS (SELECT conv_id AS file, turn + 1 AS line, role FROM conversations), n AS (SELECT conv_id * 1000 + turn AS note, conv_id + CASE WHEN turn = 5 THEN 1000000 ELSE 0 END AS file, CASE turn WHEN 0 THEN '' WHEN 1 THEN 'x' WHEN 2 THEN '3-1' WHEN 3 THEN '2-3' ELSE CAST(turn AS VARCHAR) END AS r FROM conversations),
