@@ -46,15 +46,25 @@ def sitemap_closure(seeds: DataFrame, files: DataFrame, entries: DataFrame, dept
     return opened, urls.orderBy("depth", "url").limit(most_urls)
 
 
-def wake_details(cards: DataFrame, urls: DataFrame, chosen: DataFrame, policy: dict) -> DataFrame:
-    """card_id, detail_url and outcome of chosen cards: queued through the same admission, or why not.
-
-    cards: card_id, detail_url, domain, shape, combo, facet; urls: canonical_url, state; chosen: card_id."""
-    asked = chosen.select("card_id").distinct().join(cards, "card_id", "left").join(urls.select(F.col("canonical_url").alias("_u"), "state"), F.col("detail_url") == F.col("_u"), "left").drop("_u")
-    skip = F.when(F.col("domain").isNull(), "unknown_card").when(F.col("detail_url").isNull(), "no_detail_url").when(F.col("state").isin("queued", "leased"), "already_queued").when(F.col("state").isNotNull() & (F.col("state") != "known_deferred"), "already_fetched")
-    asked = asked.withColumn("outcome", skip)
-    open_ = asked.where("outcome is null").select(
-        F.xxhash64("card_id").alias("line"), F.col("detail_url").alias("canonical_url"), "domain", "shape", "combo", "facet", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("excluded"), "card_id"
+def wake_details(cards: DataFrame, urls: DataFrame, chosen: DataFrame, policy: dict, accepted: DataFrame | None = None) -> DataFrame:
+    """card_id, detail_url and outcome of chosen cards: queued, or why not.
+
+    cards: card_id, detail_url, domain, shape, combo, facet, and hops where known; urls: canonical_url, state; chosen: card_id, and ord, the order in which
+    they were asked for (else by card_id). A detail that is deferred in the ledger was admitted before and only wakes; one that the
+    ledger doesn't have passes admission under caps that the accepted rows fill (accepted: domain, shape, combo, facet). Cards with one
+    detail address share its answer."""
+    ask = chosen.groupBy("card_id").agg(F.min("ord" if "ord" in chosen.columns else "card_id").alias("_ord"))
+    asked = ask.join(cards, "card_id", "left").join(urls.select(F.col("canonical_url").alias("_u"), "state"), F.col("detail_url") == F.col("_u"), "left").drop("_u")
+    known = (
+        F.when(F.col("domain").isNull(), "unknown_card")
+        .when(F.col("detail_url").isNull(), "no_detail_url")
+        .when(F.col("state").isin("queued", "leased"), "already_queued")
+        .when(F.col("state") == "known_deferred", "queued")
+        .when(F.col("state").isNotNull(), "already_fetched")
     )
-    judged = admit(open_, policy).select("card_id", F.coalesce("why", F.lit("queued")).alias("_verdict"))
-    return asked.join(judged, "card_id", "left").select("card_id", "detail_url", F.coalesce("outcome", "_verdict").alias("outcome"))
+    asked = checkpointed(asked.withColumn("outcome", known))
+    hops = F.coalesce("hops", F.lit(0)) if "hops" in cards.columns else F.lit(0)
+    new = asked.where("outcome is null").groupBy("detail_url").agg(F.min_by(F.struct("_ord", "domain", "shape", "combo", "facet", hops.alias("hops")), F.struct("_ord", "card_id")).alias("c"))
+    open_ = new.select(F.col("c._ord").alias("line"), F.col("detail_url").alias("canonical_url"), *(f"c.{x}" for x in ("domain", "shape", "combo", "facet", "hops")), F.lit(None).cast("string").alias("excluded"))
+    judged = admit(open_, policy, accepted).select(F.col("canonical_url").alias("detail_url"), F.coalesce("why", F.lit("queued")).alias("_verdict"))
+    return asked.join(judged, "detail_url", "left").select("card_id", "detail_url", F.coalesce("outcome", "_verdict").alias("outcome"))

@@ -229,62 +229,91 @@ def admit_capped(records: DataFrame, key: str, order: str, cap: int) -> DataFram
     return records.withColumn("admitted", F.row_number().over(Window.partitionBy(key).orderBy(order)) <= cap)
 
 
+def _admission(policy: dict, names: list[str]):
+    """Decide rows that come sorted by domain, accepted rows first, then by line. The counters of one domain are all that is held."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    url_cap, shape_cap, combo_cap, facet_cap = (policy[c] for c in ("domain_url_cap", "path_shape_cap", "query_combo_cap", "faceted_cap"))
+
+    def decide(batches):
+        now, total, shapes, combos, faceted = None, 0, {}, {}, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            domains = batch.column("domain")
+            place = domains.dictionary_encode().indices.to_pylist()
+            cuts = [0, *(i for i in range(1, len(place)) if place[i] != place[i - 1]), len(place)]
+            whys = []
+            for low, high in zip(cuts, cuts[1:]):
+                if low == 0 and now is not None and domains[0].as_py() == now[0]:
+                    pass
+                else:
+                    now, total, shapes, combos, faceted = (domains[low].as_py(),), 0, {}, {}, 0
+                run = batch.slice(low, high - low)
+                if total >= url_cap and not pc.any(run.column("_before")).as_py():
+                    # The domain is full: its other rows needn't be looked at.
+                    whys.extend(["domain_url_cap"] * (high - low))
+                    continue
+                for before, shape, combo, facet in zip(*(run.column(c).to_pylist() for c in ("_before", "shape", "combo", "facet"))):
+                    why = None
+                    if not before:
+                        if total >= url_cap:
+                            why = "domain_url_cap"
+                        elif shapes.get(shape, 0) >= shape_cap:
+                            why = "path_shape_cap"
+                        elif combo and combos.get(combo, 0) >= combo_cap:
+                            why = "query_combo_cap"
+                        elif facet is not None and faceted >= facet_cap:
+                            why = "faceted_cap"
+                    whys.append(why)
+                    if why is None:
+                        total += 1
+                        shapes[shape] = shapes.get(shape, 0) + 1
+                        if combo:
+                            combos[combo] = combos.get(combo, 0) + 1
+                        faceted += facet is not None
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(whys, pa.string())], names=[*names, "why"])
+            yield out.filter(pc.invert(batch.column("_before")))
+
+    return decide
+
+
 def admit(records: DataFrame, policy: dict, accepted: DataFrame | None = None) -> DataFrame:
     """Admission in order of line under several caps that only accepted rows fill: adds why (null: admitted).
 
-    records: line, canonical_url, domain, shape, combo, facet, hops, excluded (a reason, or null). policy: domain_url_cap,
-    path_shape_cap, query_combo_cap, faceted_cap, external_hop_max, deny_domains. The counters belong to a domain,
-    so domains are worked on apart, one task holding one domain's rows: order decides, so a domain can't be split.
-    accepted: domain, shape, combo, facet of rows admitted before."""
-    import pandas as pd
-
+    records: line, canonical_url, domain, shape, combo, facet, hops, excluded (a reason, or null), with others that come along. policy:
+    domain_url_cap, path_shape_cap, query_combo_cap, faceted_cap, external_hop_max, deny_domains. accepted: domain, shape, combo, facet of rows
+    admitted before; they fill the caps.
+
+    What needs no counter (denied domains, exclusions, hops) is decided row by row and isn't moved. The rest is sorted by domain and line and
+    streams past the counters of its domain, so order is kept and a domain with most of the rows is never held; it is still one
+    task's stream, since order decides. A null domain is a domain of its own."""
+    domain = F.coalesce("domain", F.lit(""))
+    denied = F.lit(False)
+    for d in policy.get("deny_domains", ()):
+        denied = denied | (domain == d) | domain.endswith("." + d)
+    far = F.coalesce(F.col("hops") > policy.get("external_hop_max", 2), F.lit(False))
+    settled = records.withColumn("why", F.when(denied, "denied_domain").when(F.col("excluded").isNotNull(), F.col("excluded")).when(far, "external_hop_exceeded"))
+    open_ = settled.where("why is null").drop("why").withColumn("_before", F.lit(False))
+    if accepted is not None:
+        kinds = {f.name: f.dataType for f in records.schema}
+        old = accepted.select(*((F.col(c) if c in ("domain", "shape", "combo", "facet") else F.lit(None)).cast(kinds[c]).alias(c) for c in records.columns), F.lit(True).alias("_before"))
+        open_ = open_.unionByName(old)
+    ordered = open_.repartition("domain").sortWithinPartitions("domain", F.desc("_before"), "line", "canonical_url")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema)
-    columns = records.columns
-
-    def decide(new: pd.DataFrame, old: pd.DataFrame | None) -> pd.DataFrame:
-        if not len(new):
-            return pd.DataFrame(columns=[*columns, "why"])
-        total, shapes, combos, faceted = 0, {}, {}, 0
-        if old is not None and len(old):
-            total, faceted = len(old), int(old["old_facet"].notna().sum())
-            shapes, combos = old["old_shape"].value_counts().to_dict(), old.loc[old["old_combo"] != "", "old_combo"].value_counts().to_dict()
-        out = []
-        for r in new.sort_values("line").itertuples(index=False):
-            why = None
-            if any(r.domain == d or r.domain.endswith("." + d) for d in policy.get("deny_domains", ())):
-                why = "denied_domain"
-            elif isinstance(r.excluded, str):
-                why = r.excluded
-            elif r.hops > policy.get("external_hop_max", 2):
-                why = "external_hop_exceeded"
-            elif total >= policy["domain_url_cap"]:
-                why = "domain_url_cap"
-            elif shapes.get(r.shape, 0) >= policy["path_shape_cap"]:
-                why = "path_shape_cap"
-            elif r.combo and combos.get(r.combo, 0) >= policy["query_combo_cap"]:
-                why = "query_combo_cap"
-            elif isinstance(r.facet, str) and faceted >= policy["faceted_cap"]:
-                why = "faceted_cap"
-            else:
-                total += 1
-                shapes[r.shape] = shapes.get(r.shape, 0) + 1
-                if r.combo:
-                    combos[r.combo] = combos.get(r.combo, 0) + 1
-                faceted += isinstance(r.facet, str)
-            out.append(why)
-        return new.sort_values("line")[columns].assign(why=out)
-
-    if accepted is None:
-        return records.groupBy("domain").applyInPandas(lambda new: decide(new, None), schema + ", why string")
-    # New names: the accepted rows may come from the same table as the records.
-    before = accepted.select(F.col("domain").alias("of"), *(F.col(c).alias(f"old_{c}") for c in ("shape", "combo", "facet")))
-    return records.groupBy("domain").cogroup(before.groupBy("of")).applyInPandas(lambda new, old: decide(new, old), schema + ", why string")
-
-
-def readmit(parked: DataFrame, accepted: DataFrame, policy: dict) -> tuple[DataFrame, DataFrame]:
-    """(admitted, remaining) once caps are wider: oldest first, the accepted rows counted; remaining by domain with its most common reason."""
-    judged = admit(parked, policy, accepted)
-    remaining = judged.where("why is not null").groupBy("domain").agg(F.count(F.lit(1)).alias("remaining"), F.mode("why", True).alias("why"))
+    judged = ordered.mapInArrow(_admission(policy, records.columns), schema + ", why string")
+    return settled.where("why is not null").unionByName(judged)
+
+
+def readmit(parked: DataFrame, accepted: DataFrame, policy: dict, urls: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(admitted, remaining) once caps are wider: oldest first, the accepted rows counted; remaining by domain with its most common reason and its oldest address.
+
+    urls (canonical_url): rows that came in by another way meanwhile are no candidates any more."""
+    if urls is not None:
+        parked = parked.join(urls.select("canonical_url").distinct(), "canonical_url", "left_anti").select(parked.columns)
+    judged = checkpointed(admit(parked, policy, accepted))
+    remaining = judged.where("why is not null").groupBy("domain").agg(F.count(F.lit(1)).alias("remaining"), F.mode("why", True).alias("why"), F.min_by("canonical_url", F.struct("line", "canonical_url")).alias("sample"))
     return judged.where("why is null").drop("why"), remaining
 
 

@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 from loomledger.functions import urls as U
 from loomledger.operators import docs as doc_ops
 from loomledger.operators import html as ops
-from loomledger.operators import ledger
 from loomledger.operators import text as text_ops
 from loomledger.operators import urls as url_ops
-from loomledger.sources.tables import PAGE_LINKS_SQL, table, url_records
+from loomledger.sources.tables import PAGE_LINKS_SQL, table
 
 _QUERIES = [("thanedble", False), ("src3", False), ("en", True), ("queen", True)]
-_POLICY = {"domain_url_cap": 12, "path_shape_cap": 8, "query_combo_cap": 3, "faceted_cap": 4, "external_hop_max": 2, "deny_domains": ["cheap-pills.example.com"]}
 
 
 def _parsed(spark, sf_dir):
@@ -69,19 +67,12 @@ def assembled_sections(spark, sf_dir):
     return doc_ops.section_text(lines, found, ids).select("path", "address", F.sha2("text", 256).alias("text_hash"))
 
 
-def multi_cap_admission(spark, sf_dir):
-    """Admission under several caps that interact."""
-    records = url_ops.path_shapes(url_ops.canonicalize(url_records(spark, sf_dir)), "canonical_url")
-    records = records.select("line", "canonical_url", "domain", "shape", "combo", "facet", F.lit(1).alias("hops"), F.when(F.col("canonical_url").contains("/es/"), "excluded_path_pattern").alias("excluded"))
-    return ledger.admit(records, _POLICY).groupBy(F.coalesce("why", F.lit("admitted")).alias("why")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def capped_page(spark, sf_dir):
     """The second page of fifty documents by source and id, after the cursor of the first."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
     first, cursor_of = doc_ops.page(d, ["source", "doc_id"], 50, {"q": "all"})
-    last = first.collect()[-1]
-    return doc_ops.page(d, ["source", "doc_id"], 50, {"q": "all"}, cursor_of(last))[0]
+    rows = first.collect()  # a page
+    return doc_ops.page(d, ["source", "doc_id"], 50, {"q": "all"}, cursor_of(rows[-1]))[0] if rows else first
 
 
 def card_identities(spark, sf_dir):
@@ -108,7 +99,6 @@ QUERIES = {
     "tk05_folder_order": folder_order,
     "wn06_section_hits": section_hits,
     "jn21_assembled_sections": assembled_sections,
-    "wn09_multi_cap_admission": multi_cap_admission,
 }
 
 
