@@ -78,3 +78,88 @@ def test_running_status(spark, tmp_path):
 def test_retention(spark):
     rows = spark.createDataFrame([("a", i) for i in range(6)], "k string, i int")
     assert sorted(r.i for r in streams.retain_last(rows.where("i >= 3"), rows.where("i < 3"), "k", "i", 2).collect()) == [4, 5]
+
+
+def test_a_batch_brings_what_the_ledger_lacks(spark, tmp_path):
+    """Ten micro-batches after an older ledger, with a restart in between, bring what the batch form brings at once."""
+    from pyspark.sql import functions as F
+
+    from loomledger.operators.ledger import add_urls
+    from loomledger.operators.urls import canonicalize
+
+    old_items = spark.createDataFrame([(f"https://a.example/{i}", "a.example") for i in range(30)], "canonical_url string, domain string")
+    old_sources = spark.createDataFrame([(f"https://a.example/{i}", "seed", "list") for i in range(0, 30, 2)] + [("https://a.example/1", "search", "q")], "canonical_url string, source_kind string, source_value string")
+    urls = spark.createDataFrame([(f"https://a.example/{i % 50}?utm_source={i}",) for i in range(200)] + [("mailto:x",)] * 3 + [("",)], "url string").repartition(10)
+    stream = fed(spark, tmp_path, urls, 10)
+    for _ in range(2):
+        query = streams.stream_add_urls(stream, str(tmp_path / "ledger"), "seed", "list", str(tmp_path / "cp"), old_items, old_sources)
+        query.awaitTermination(240)
+        assert query.exception() is None
+    items, sources, counts = add_urls(old_items, old_sources, canonicalize(urls), "seed", "list")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    got = {name: spark.read.parquet(str(tmp_path / "ledger" / name)).drop("batch") for name in ("items", "sources", "counts")}
+    assert key(got["items"]) == key(items.join(old_items, "canonical_url", "left_anti").select("canonical_url", "domain"))
+    assert key(got["sources"]) == key(sources.join(old_sources, old_sources.columns, "left_anti"))
+    names = ("received", "added", "duplicates", "rejected", "sources_added")
+    assert tuple(got["counts"].agg(*(F.sum(c).alias(c) for c in names)).first()) == tuple(counts.select(*names).first())
+    # A second run without new files changes nothing, and no batch reads the ledger: its own rows are its only input.
+    assert spark.read.parquet(str(tmp_path / "ledger" / "counts")).count() == 10
+    assert all(p.numInputRows <= 40 for p in query.recentProgress)
+
+
+def test_silence_is_told_once_and_again_after_a_reading(spark, tmp_path):
+    import time
+
+    folder = str(tmp_path / "in")
+    reading = lambda at: spark.createDataFrame([("s", at, "Working (1s)")], "surface string, at_ms long, text string").coalesce(1).write.mode("append").parquet(folder)
+    reading(1)
+    stream = spark.readStream.schema("surface string, at_ms long, text string").parquet(folder)
+    query = streams.stream_screens(stream, silent_ms=1500).writeStream.format("memory").queryName("silence").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    seen = lambda: [(r.at_ms, r.state) for r in spark.table("silence").collect()]
+
+    def until(n):
+        for _ in range(240):
+            if len(seen()) >= n:
+                break
+            time.sleep(0.25)
+
+    try:
+        until(2)
+        time.sleep(4)
+        assert seen() == [(1, "working"), (1, "timeout")]
+        reading(2)
+        until(4)
+        assert seen() == [(1, "working"), (1, "timeout"), (2, "stalled"), (2, "timeout")]
+    finally:
+        query.stop()
+
+
+def test_status_report_equals_the_batch_form_after_every_batch(spark, tmp_path):
+    import random
+
+    from loomledger.operators import stats
+
+    rng = random.Random(4)
+    rows = [(f"a{i}", T0 + dt.timedelta(minutes=rng.randrange(50)), rng.choice(["success", "failed", "partial"]), rng.choice(["fetch", "parse", None]), rng.choice(["e1", "e2", "e3", "e4", "e5", "e6", None]), rng.choice([None, [], ["w1"], ["w1", f"w{i % 8}"]])) for i in range(120)]
+    moves = [(i % 25, rng.choice(["queued", "leased", "done", "failed"]), rng.randrange(1000)) for i in range(120)]
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], "attempt_id string, started_at timestamp, result string, error_stage string, error_code string, warning_codes array<string>").coalesce(1).write.mode("append").parquet(str(tmp_path / "attempts"))
+        spark.createDataFrame(moves[k::3], "item_id int, work_state string, at_ms long").coalesce(1).write.mode("append").parquet(str(tmp_path / "moves"))
+    attempts, changes = (spark.read.parquet(str(tmp_path / name)) for name in ("attempts", "moves"))
+    streamed = [spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)) for df, name in ((attempts, "attempts"), (changes, "moves"))]
+    for query in streams.stream_status_report(*streamed, str(tmp_path / "status"), str(tmp_path / "cp")):
+        query.awaitTermination(240)
+        assert query.exception() is None
+    for k in range(3):
+        # Files are read in the order in which they were written.
+        so_far, moved = rows[0::3] + (rows[1::3] if k else []) + (rows[2::3] if k > 1 else []), moves[0::3] + (moves[1::3] if k else []) + (moves[2::3] if k > 1 else [])
+        sample = spark.createDataFrame(so_far, attempts.schema)
+        report = spark.read.parquet(str(tmp_path / "status" / "problems" / f"batch={k}"))
+        assert [tuple(r) for r in report.where("kind = 'error'").orderBy("place").select("stage", "name", "n", "sample").collect()] == [tuple(r) for r in stats.top_errors(sample).select("error_stage", "error_code", "n", "sample").collect()]
+        assert [tuple(r) for r in report.where("kind = 'warning'").orderBy("place").select("name", "n").collect()] == [tuple(r) for r in stats.top_warnings(sample).collect()]
+        last = {}
+        for item, state, at in moved:
+            last[item] = max(last.get(item, (-1, "")), (at, state))
+        counts = stats.state_counts(spark.createDataFrame([(i, s) for i, (_, s) in last.items()], "item_id int, work_state string")).first().asDict()
+        got = {r.work_state: r["items"] for r in spark.read.parquet(str(tmp_path / "status" / "states" / f"batch={k}")).collect() if r["items"]}
+        assert got == {s: n for s, n in counts.items() if s not in ("total", "other") and n} and sum(got.values()) == counts["total"]
