@@ -3,6 +3,7 @@ references and card candidates are exploded, resolved, grouped and judged by Dat
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html.parser import HTMLParser
 
@@ -30,12 +31,19 @@ ERROR_MARKS = (
 LEAST_TEXT = 200
 
 
+def tree_hash(name: str, children: list[str]) -> str:
+    """The hash of an element's tree: its name and the sorted hashes of the elements in it. Texts and attributes have no part in it."""
+    return hashlib.sha256(f"{name}({','.join(sorted(children))})".encode()).hexdigest()
+
+
 class _Page(HTMLParser):
     """Collects a page's visible text, links and images in one pass."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # name, whether it hides, number
+        # Name, whether it hides, number, hashes of the closed elements in it, the first two class names.
+        self.open: list[tuple[str, bool, int, list[str], str]] = []
+        self.trees: dict[int, str] = {}
         self.blocks: list[tuple[bool, list[str]]] = [(False, [])]
         self.title, self.in_title = None, False
         self.hidden = self.hidden_subtrees = self.script_subtrees = self.pre = self.count = self.dom = 0
@@ -43,7 +51,7 @@ class _Page(HTMLParser):
         self.links, self.images, self.cards = [], [], []
 
     def where(self) -> str:
-        return next((name for name, _, _ in reversed(self.open) if name in LANDMARKS), "body")
+        return next((o[0] for o in reversed(self.open) if o[0] in LANDMARKS), "body")
 
     def line(self, pre: bool | None = None) -> None:
         kept = self.pre > 0 if pre is None else pre
@@ -62,9 +70,11 @@ class _Page(HTMLParser):
             self.hidden_subtrees += tag not in HIDDEN
         self.count += 1
         if tag not in VOID:
-            self.open.append((tag, skips, self.count))
+            self.open.append((tag, skips, self.count, [], ".".join((a.get("class") or "").split()[:2])))
             self.hidden += skips
-        if tag == "title" and self.title is None and not any(n == "svg" for n, _, _ in self.open):
+        elif self.open:
+            self.open[-1][3].append(tree_hash(tag, []))
+        if tag == "title" and self.title is None and not any(o[0] == "svg" for o in self.open):
             self.title, self.in_title = "", True
         elif tag == "base" and a.get("href") and self.base is None:
             self.base = a["href"]
@@ -83,12 +93,13 @@ class _Page(HTMLParser):
             elif tag in BLOCKS:
                 self.line()
 
-    def box(self) -> tuple[int, int]:
-        """The numbers of the nearest article, li, figure or div, and of the element around it."""
+    def box(self) -> tuple[int, int, str]:
+        """The numbers of the nearest article, li, figure or div, and of the element around it; its name and classes, and those of the two around it."""
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] in ("article", "li", "figure", "div"):
-                return self.open[at][2], self.open[at - 1][2] if at else 0
-        return 0, 0
+                chain = ">".join(f"{o[0]}.{o[4]}" for o in self.open[at : at - 3 if at > 2 else None : -1])
+                return self.open[at][2], self.open[at - 1][2] if at else 0, chain
+        return 0, 0, ""
 
     def image(self, tag, a) -> None:
         sources = lambda text: [s.strip().split()[0] for s in re.split(r",\s+", text or "") if s.strip()]
@@ -106,7 +117,8 @@ class _Page(HTMLParser):
                 if self.link["img"] is None:
                     self.link["img"], self.link["small"] = a.get("src") or "", small
             elif not small and self.where() not in CHROME:
-                self.cards.append({"href": None, "img": a.get("src") or "", "text": "", "parent": self.box()[1]})
+                box, parent, chain = self.box()
+                self.cards.append({"href": None, "img": a.get("src") or "", "text": "", "parent": parent, "box": box, "chain": chain})
         if found:
             for raw, origin in found:
                 self.images.append({"raw": raw, "origin": origin, "dom_index": self.dom, "landmark": "head" if tag == "meta" else self.where(), "alt": a.get("alt") if tag == "img" else None})
@@ -119,7 +131,7 @@ class _Page(HTMLParser):
         text = re.sub(r"\s+", " ", "".join(link["text"])).strip()
         box, img, small = link.pop("box"), link.pop("img"), link.pop("small")
         if img is not None and not small and link["raw_href"] and link["landmark"] not in CHROME:
-            self.cards.append({"href": link["raw_href"], "img": img, "text": text[:80], "parent": box[1]})
+            self.cards.append({"href": link["raw_href"], "img": img, "text": text[:80], "parent": box[1], "box": box[0], "chain": box[2]})
         self.links.append(link | {"text": text})
 
     def handle_endtag(self, tag):
@@ -131,8 +143,8 @@ class _Page(HTMLParser):
             self.picture -= 1
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
         if at is not None:
-            self.hidden -= sum(hides for _, hides, _ in self.open[at:])
-            del self.open[at:]
+            self.hidden -= sum(o[1] for o in self.open[at:])
+            self.close_from(at)
         if not self.hidden:
             if tag == "pre" and self.pre:
                 self.pre -= 1
@@ -140,13 +152,28 @@ class _Page(HTMLParser):
             elif tag in BLOCKS:
                 self.line()
 
+    def close_from(self, at: int) -> None:
+        """Close the open elements from the at-th on, innermost first: hashes go up."""
+        while len(self.open) > at:
+            name, _, number, children, _ = self.open.pop()
+            self.trees[number] = tree_hash(name, children)
+            if self.open:
+                self.open[-1][3].append(self.trees[number])
+
+    def finish(self) -> None:
+        self.close()
+        self.end_link()
+        self.close_from(0)
+        for card in self.cards:
+            card["tree"] = self.trees.get(card.pop("box"), "")
+
     def handle_data(self, data):
         if self.in_title:
             self.title += data
             return
         if self.link is not None:
             self.link["text"].append(data)
-        if self.hidden or any(name == "head" for name, _, _ in self.open):
+        if self.hidden or any(o[0] == "head" for o in self.open):
             return
         data = data.replace("\0", "")
         self.blocks[-1][1].append(data if self.pre else re.sub(r"\s+", " ", data))
@@ -158,11 +185,11 @@ class _Page(HTMLParser):
 
 _LINK = "struct<raw_href:string,title:string,rel:string,landmark:string,text:string>"
 _IMAGE = "struct<raw:string,origin:string,dom_index:int,landmark:string,alt:string>"
-_CARD = "struct<href:string,img:string,text:string,parent:int>"
+_CARD = "struct<href:string,img:string,text:string,parent:int,chain:string,tree:string>"
 _ARROW = {
     "links": pa.list_(pa.struct([(c, pa.string()) for c in ("raw_href", "title", "rel", "landmark", "text")])),
     "images": pa.list_(pa.struct([("raw", pa.string()), ("origin", pa.string()), ("dom_index", pa.int32()), ("landmark", pa.string()), ("alt", pa.string())])),
-    "cards": pa.list_(pa.struct([("href", pa.string()), ("img", pa.string()), ("text", pa.string()), ("parent", pa.int32())])),
+    "cards": pa.list_(pa.struct([("href", pa.string()), ("img", pa.string()), ("text", pa.string()), ("parent", pa.int32()), ("chain", pa.string()), ("tree", pa.string())])),
 }
 
 
@@ -175,8 +202,7 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
             for source in batch.column("html").to_pylist():
                 page = _Page()
                 page.feed(source or "")
-                page.close()
-                page.end_link()
+                page.finish()
                 found.append(page)
             columns = [
                 pa.array([p.base for p in found], pa.string()),
@@ -248,19 +274,22 @@ def jsonld_items(pages: DataFrame, html: str = "html") -> DataFrame:
 def card_groups(parsed: DataFrame, key: str = "page_id", url: str = "url") -> tuple[DataFrame, DataFrame]:
     """(groups, cards): of the containers around a page's linked images the one with most different links; without links, of images alone.
 
-    cards: position, href, img, text, first of each address; groups: parent, members, linked, similar_path."""
+    cards: position, href, img, text, first of each address; groups: parent, members, linked, similar_path, signature and best (the container chosen).
+    A signature is what a container looks like, whatever its texts: the names and classes of its first card's box and of the two
+    elements around it, the hash of the box's tree, and the number of members."""
     rows = _with_base(parsed.select(key, url, "base_href", "card_candidates"), url).select(key, "_base", F.posexplode("card_candidates").alias("at", "c")).select(key, "_base", "at", "c.*")
     rows = canonicalize(rows.withColumn("_h", F.col("href")), "_h", base="_base").where("href is null or reject is null")
-    rows = rows.select(key, "at", "parent", F.col("canonical_url").alias("href"), "img", "text", F.regexp_replace(U.path(F.col("canonical_url")), "[^/]+$", "*").alias("_shape"))
+    rows = rows.select(key, "at", "parent", F.col("canonical_url").alias("href"), "img", "text", F.concat_ws("|", "chain", "tree").alias("_look"), F.regexp_replace(U.path(F.col("canonical_url")), "[^/]+$", "*").alias("_shape"))
     linked = F.col("href").isNotNull()
-    groups = rows.groupBy(key, "parent", linked.alias("linked")).agg(F.count_distinct(F.coalesce("href", F.col("at").cast("string"))).alias("members"), F.count_distinct("_shape").alias("_shapes"), F.min("at").alias("_first")).where("members >= 2")
-    groups = groups.withColumn("similar_path", ~F.col("linked") | (F.col("_shapes") <= F.greatest(F.lit(1), F.ceil(F.col("members") / 4))))
+    groups = rows.groupBy(key, "parent", linked.alias("linked")).agg(F.count_distinct(F.coalesce("href", F.col("at").cast("string"))).alias("members"), F.count_distinct("_shape").alias("_shapes"), F.min("at").alias("_first"), F.min_by("_look", "at").alias("_look")).where("members >= 2")
+    groups = groups.withColumn("signature", F.concat("_look", F.lit("|n="), F.col("members").cast("string"))).withColumn("similar_path", ~F.col("linked") | (F.col("_shapes") <= F.greatest(F.lit(1), F.ceil(F.col("members") / 4))))
     best = Window.partitionBy(key).orderBy(F.desc("linked"), F.desc("members"), "_first")
-    top = groups.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(key, "parent", "linked")
+    groups = groups.withColumn("best", F.row_number().over(best) == 1)
+    top = groups.where("best").select(key, "parent", "linked")
     cards = rows.withColumn("linked", linked).join(top, [key, "parent", "linked"])
     once = Window.partitionBy(key, F.coalesce("href", F.col("at").cast("string"))).orderBy("at")
     cards = cards.withColumn("_r", F.row_number().over(once)).where("_r = 1").withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1)
-    return groups.select(key, "parent", "members", "linked", "similar_path"), cards.select(key, "position", "href", "img", "text")
+    return groups.select(key, "parent", "members", "linked", "similar_path", "signature", "best"), cards.select(key, "position", "href", "img", "text")
 
 
 def card_ids(cards: DataFrame, page: str = "page_id", domain: str = "domain", source: str = "source_url") -> DataFrame:
@@ -279,15 +308,23 @@ def card_ids(cards: DataFrame, page: str = "page_id", domain: str = "domain", so
 def page_verdict(df: DataFrame, marks: tuple[str, ...] = ERROR_MARKS, least_text: int = LEAST_TEXT) -> DataFrame:
     """Add validity (content_validated, needs_visual_review, invalid), extraction (complete, incomplete, uncertain), evidence and negatives.
 
-    Columns read: status, requested, final, kind, title, text, cards, similar_path, declared, jsonld, has_image."""
+    Columns read: status, requested, final, kind, title, text, cards, similar_path, declared, jsonld, has_image; and where they are there: signature and accepted_signature
+    (of the page's card group, and of the profile of its host: one that has changed makes a page invalid), markdown (true: text is Markdown
+    without elements, of which only length and error phrases are judged)."""
+    has = lambda c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    signature, accepted, markdown = has("signature", "string"), has("accepted_signature", "string"), F.coalesce(has("markdown", "boolean"), F.lit(False))
     cards, declared, jsonld = F.coalesce("cards", F.lit(0)), F.col("declared"), F.coalesce("jsonld", F.lit(0))
-    low = F.lower(F.concat_ws("\n", "title", "text"))
+    low = F.lower(F.when(markdown, F.coalesce("text", F.lit(""))).otherwise(F.concat_ws("\n", "title", "text")))
     phrase = F.try_element_at(F.filter(F.array(*map(F.lit, marks)), lambda m: F.contains(low, m)), F.lit(1))
-    chars = F.length(F.coalesce("text", F.lit("")))
+    chars = F.length(F.trim(F.coalesce("text", F.lit(""))))
     a, b = F.col("requested"), F.col("final")
-    moved = F.coalesce(a != b, F.lit(False))
+    moved = F.coalesce(a != b, F.lit(False)) & ~markdown
     to_root = moved & U.path(b).isin("", "/") & ~U.path(a).isin("", "/")
     off_site = moved & ~to_root & ~U.same_host(U.host(a), U.host(b))
+    cards, declared, jsonld = (F.when(~markdown, c) for c in (cards, declared, jsonld))
+    cards, jsonld = F.coalesce(cards, F.lit(0)), F.coalesce(jsonld, F.lit(0))
+    profiled = signature.isNotNull() & accepted.isNotNull() & ~markdown
+    same = profiled & (signature == accepted)
     listed = lambda *parts: F.filter(F.array(*parts), lambda x: x.isNotNull())
     said = lambda test, *text: F.when(test, F.concat(*(F.lit(t) if isinstance(t, str) else t.cast("string") for t in text)))
     negatives = listed(
@@ -298,29 +335,33 @@ def page_verdict(df: DataFrame, marks: tuple[str, ...] = ERROR_MARKS, least_text
         said(to_root, "redirected_to_root"),
         said(off_site, "redirected_offsite"),
         said((cards > 0) & (declared < cards), "declared_overcount:", declared, "vs", cards),
+        said(profiled & (signature != accepted), "profile_signature_changed"),
     )
     equal = (cards > 0) & (declared == cards)
     partly = (cards > 0) & (declared > cards)
     evidence = listed(
         said(jsonld >= 2, "jsonld_items:", jsonld),
         said(cards >= 2, "repeated_image_links:", cards),
-        said(F.coalesce(F.col("similar_path"), F.lit(False)), "similar_path_shape"),
+        said(F.coalesce(F.col("similar_path"), F.lit(False)) & ~markdown, "similar_path_shape"),
         said(equal, "declared_matches:", declared),
         said(partly, "declared_partial:", cards, "/", declared),
+        said(same, "profile_signature_match"),
+        said(markdown, "markdown_text:", chars),
     )
     yes = lambda test: F.coalesce(test, F.lit(False)).cast("int")
-    strong_list = yes(jsonld >= 2) + yes(cards >= 2) + yes(equal) + yes(partly)
+    strong_list = yes(jsonld >= 2) + yes(cards >= 2) + yes(equal) + yes(partly) + yes(same)
     strong_detail = yes(F.length("title") > 0) + yes(F.col("has_image")) + yes(chars >= least_text)
     like_list = (F.col("kind") == "listing") | (cards >= 2)
     out = df.withColumns({"negatives": negatives, "evidence": evidence})
     bad = F.size("negatives") > 0
     validity = (
         F.when(bad, "invalid")
+        .when(markdown, F.when(F.col("kind") == "listing", "needs_visual_review").otherwise("content_validated"))
         .when(like_list, F.when(strong_list >= 2, "content_validated").otherwise("needs_visual_review"))
         .when(F.col("kind") == "detail", F.when(strong_detail >= 3, "content_validated").otherwise("needs_visual_review"))
         .otherwise(F.when(moved, "needs_visual_review").otherwise("content_validated"))
     )
-    extraction = F.when(bad, F.when(cards > 0, "incomplete").otherwise("uncertain")).when(like_list & (strong_list >= 1), F.when(declared.isNull(), F.when(cards > 0, "uncertain").otherwise("incomplete")).when(equal, "complete").otherwise("incomplete")).otherwise("uncertain")
+    extraction = F.when(bad, F.when(cards > 0, "incomplete").otherwise("uncertain")).when(~markdown & like_list & (strong_list >= 1), F.when(declared.isNull(), F.when(cards > 0, "uncertain").otherwise("incomplete")).when(equal, "complete").otherwise("incomplete")).otherwise("uncertain")
     return out.withColumns({"validity": validity, "extraction": extraction})
 
 
@@ -333,8 +374,7 @@ def html_links_udtf(spark):
         def eval(self, html: str):
             page = _Page()
             page.feed(html or "")
-            page.close()
-            page.end_link()
+            page.finish()
             for i, link in enumerate(page.links):
                 yield i, link["raw_href"], link["text"]
 

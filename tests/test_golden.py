@@ -429,3 +429,34 @@ def test_a_skipped_sitemap_index_leads_nowhere(spark):
     assert [r.url for r in urls.collect()] == ["x"]
     opened, urls = graph.sitemap_closure(seeds, files, entries)
     assert {r.url for r in urls.collect()} == {"x", "y"} and opened.count() == 4
+
+
+def test_signatures_are_of_the_layout(spark):
+    card = '<li class="card big x"><a href="/p/{0}"><img src="{0}.png"></a><p>{1}</p></li>'
+    page = lambda inner, n=3, text="t": "<main><ul class='grid'>" + "".join(inner.format(i, text * (i + 1)) for i in range(n)) + "</ul></main>"
+    pages = [
+        (1, page(card)), (2, page(card, text="other words ")), (3, page(card.replace("<p>{1}</p>", "<div><p>{1}</p></div>"))), (4, page(card, 4)), (5, page(card.replace("big", "small"))),
+        (6, page(card.replace('<a href="/p/{0}"><img src="{0}.png"></a><p>{1}</p>', '<p>{1}</p><a href="/p/{0}"><img src="{0}.png"></a>'))), (7, page(card.replace("</li>", ""))), (8, "<p>no cards</p>"),
+    ]
+    df = spark.createDataFrame([(i, "https://a.example/", h) for i, h in pages], "page_id int, url string, html string")
+    groups, _ = html.card_groups(html.parse_pages(df))
+    got = {r.page_id: r.signature for r in groups.where("best").collect()}
+    assert got[1] == got[2] == got[6] and 8 not in got
+    assert len({got[i] for i in (1, 3, 4, 5)}) == 4
+    tree = html.tree_hash("li", [html.tree_hash("a", [html.tree_hash("img", [])]), html.tree_hash("p", [])])
+    assert got[1] == f"li.card.big>ul.grid>main.|{tree}|n=3"
+
+
+def test_profiles_and_markdown_reach_the_verdict(spark):
+    long = "word " * 100
+    data = [
+        (1, 200, "listing", long, 5, "s1", "s1", False), (2, 200, "listing", long, 5, "s2", "s1", False), (3, 200, "listing", long, 0, None, None, True), (4, 200, "detail", long, 9, "s2", "s1", True),
+        (5, 200, "detail", "short", 0, None, None, True), (6, 200, "unknown", long + "Not Found", 0, None, None, True), (7, 403, "unknown", long, 0, None, None, True), (8, 200, "listing", long, 5, "s1", None, None),
+    ]
+    df = spark.createDataFrame(data, "id int, status int, kind string, text string, cards int, signature string, accepted_signature string, markdown boolean")
+    df = df.withColumns({"requested": F.lit("https://a/x"), "final": F.when(F.col("id") == 4, "https://a/").otherwise("https://a/x"), "title": F.lit("T"), "similar_path": F.lit(False), "declared": F.lit(None).cast("int"), "jsonld": F.lit(0), "has_image": F.lit(False)})
+    out = {r.id: r for r in html.page_verdict(df).collect()}
+    assert [out[i].validity for i in range(1, 9)] == ["content_validated", "invalid", "needs_visual_review", "content_validated", "invalid", "invalid", "invalid", "needs_visual_review"]
+    assert "profile_signature_match" in out[1].evidence and out[2].negatives == ["profile_signature_changed"]
+    assert out[3].evidence == [f"markdown_text:{len(long.strip())}"] and out[4].evidence == out[3].evidence and out[3].extraction == "uncertain"
+    assert out[5].negatives == ["thin_text:5"] and out[6].negatives == ["error_phrase:not found"] and out[7].negatives == ["http_403"]
