@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomledger.functions import urls as U
 from loomledger.operators import docs as doc_ops
 from loomledger.operators import html as ops
-from loomledger.operators import text as text_ops
-from loomledger.operators import urls as url_ops
 from loomledger.sources.tables import PAGE_LINKS_SQL, table
 
 _QUERIES = [("thanedble", False), ("src3", False), ("en", True), ("queen", True)]
@@ -18,30 +15,10 @@ def _parsed(spark, sf_dir):
     return ops.parse_pages(table(spark, sf_dir, "pages"))
 
 
-def extracted_text(spark, sf_dir):
-    out = ops.extract_text(_parsed(spark, sf_dir))
-    return out.select("page_id", "title", F.sha2("text", 256).alias("text_hash"), "chars", "lines", "skipped_hidden", "skipped_script_style")
-
-
-def extracted_links(spark, sf_dir):
-    return ops.extract_links(_parsed(spark, sf_dir)).select("page_id", "index", "raw_href", "text", "landmark", "internal", "kind")
-
-
 def link_totals(spark, sf_dir):
     return ops.link_counts(ops.extract_links(_parsed(spark, sf_dir))).select("page_id", "total", "internal", "external", "fragment_only")
 
 
-def page_verdicts(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir)
-    _, cards = ops.card_groups(parsed)
-    counted = cards.groupBy("page_id").agg(F.count(F.lit(1)).alias("cards"))
-    text = ops.extract_text(parsed).select("page_id", "title", "text")
-    rows = url_ops.classify_kind(ops.jsonld_items(table(spark, sf_dir, "pages"))).join(text, "page_id").join(counted, "page_id", "left")
-    rows = text_ops.declared_count(rows, "text").withColumns({"status": F.lit(200), "requested": F.col("url"), "final": F.col("url"), "similar_path": F.lit(False), "has_image": F.lit(False)})
-    out = ops.page_verdict(rows)
-    return out.select("page_id", "kind", "validity", "extraction", F.array_join("negatives", ",").alias("negatives"))
-
-
 def searched(spark, sf_dir):
     """Documents found by four queries, strongest first."""
     d = table(spark, sf_dir, "documents")
@@ -75,13 +52,6 @@ def capped_page(spark, sf_dir):
     return doc_ops.page(d, ["source", "doc_id"], 50, {"q": "all"}, cursor_of(rows[-1]))[0] if rows else first
 
 
-def card_identities(spark, sf_dir):
-    """Card ids of every page's links, as if each carried an image named by its text."""
-    links = ops.extract_links(_parsed(spark, sf_dir)).join(table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("source_url")), "page_id")
-    cards = links.select("page_id", "source_url", U.host(F.col("source_url")).alias("domain"), F.col("index").alias("position"), F.when(F.col("index") % 2 == 0, F.col("href")).alias("href"), F.when(F.col("index") % 3 != 0, F.substring("text", 1, 1)).alias("img"))
-    return ops.card_ids(cards).groupBy("id_confidence", F.coalesce("id_why", F.lit("-")).alias("id_why")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def folder_order(spark, sf_dir):
     """Folders by their number of documents, ties by name."""
     d = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
@@ -89,11 +59,7 @@ def folder_order(spark, sf_dir):
 
 
 QUERIES = {
-    "ht01_extracted_text": extracted_text,
-    "ht03_extracted_links": extracted_links,
     "ht03_link_totals": link_totals,
-    "ht09_page_verdicts": page_verdicts,
-    "ht10_card_identities": card_identities,
     "tk01_searched": searched,
     "tk02_capped_page": capped_page,
     "tk05_folder_order": folder_order,
