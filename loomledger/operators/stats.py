@@ -164,8 +164,10 @@ def image_counts(images: DataFrame) -> DataFrame:
     return counts.withColumn("warnings", F.filter(warnings, lambda w: w.isNotNull()))
 
 
-def sitemap_run_counts(files: DataFrame, urls: DataFrame) -> DataFrame:
-    """One row for a discovery run. files: kind (urlset, sitemapindex, unreadable, skipped), depth; urls: canonical_url."""
+def sitemap_run_counts(files: DataFrame, urls: DataFrame, errors: DataFrame | None = None, limits: DataFrame | None = None) -> DataFrame:
+    """One row for a discovery run. files: kind (urlset, sitemapindex, unreadable, skipped), depth; urls: canonical_url; errors: code, one row each; limits: limit_hit.
+
+    A run with an error, a limit that was met, or a file that wasn't read is partial: what it found is not all there is."""
     opened = files.agg(
         F.count_if(F.col("kind") != "skipped").alias("opened"),
         F.count_if(F.col("kind") == "skipped").alias("skipped"),
@@ -175,12 +177,22 @@ def sitemap_run_counts(files: DataFrame, urls: DataFrame) -> DataFrame:
         F.max("depth").alias("max_depth"),
     )
     found = urls.agg(F.count_distinct("canonical_url").alias("urls"), (F.count(F.lit(1)) - F.count_distinct("canonical_url")).alias("duplicates"))
-    return opened.crossJoin(found).withColumn("partial", (F.col("unreadable") > 0) | (F.col("skipped") > 0))
-
-
-def inventory(items: DataFrame, collection: str, month: str, current: str) -> DataFrame:
-    """Per collection: items, and those older than the current month (yyyy-MM)."""
-    return items.groupBy(collection).agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col(month) < current).alias("untidied"))
+    out = opened.crossJoin(found)
+    out = out.crossJoin(errors.agg(F.count(F.lit(1)).alias("errors"))) if errors is not None else out.withColumn("errors", F.lit(0).cast("long"))
+    out = out.crossJoin(limits.agg(F.array_sort(F.collect_set("limit_hit")).alias("limits_hit"))) if limits is not None else out.withColumn("limits_hit", F.array().cast("array<string>"))
+    return out.withColumn("partial", (F.col("unreadable") > 0) | (F.col("skipped") > 0) | (F.col("errors") > 0) | (F.size("limits_hit") > 0))
+
+
+def inventory(items: DataFrame, collection: str, month: str, current: str, index: DataFrame | None = None, key: str = "path") -> DataFrame:
+    """Per collection: items, and those older than the current month (yyyy-MM); with an index (collection and key of what it lists) also index_missing, items that it doesn't list, and
+    index_stale, entries without an item. A collection that only the index knows has no items."""
+    if index is None:
+        return items.groupBy(collection).agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col(month) < current).alias("untidied"))
+    have = items.groupBy(collection, key).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(month) < current).alias("_old"))
+    listed = index.select(F.col(collection).alias("_c"), F.col(key).alias("_k")).distinct()
+    both = have.join(listed, F.col(collection).eqNullSafe(F.col("_c")) & (F.col(key) == F.col("_k")), "full_outer")
+    lost, stale = F.col("_n").isNotNull() & F.col("_k").isNull(), F.col("_n").isNull()
+    return both.groupBy(F.coalesce(collection, "_c").alias(collection)).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("items"), F.coalesce(F.sum("_old"), F.lit(0)).alias("untidied"), F.count_if(lost).alias("index_missing"), F.count_if(stale).alias("index_stale"))
 
 
 def fit_budget(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:

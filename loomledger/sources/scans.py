@@ -4,7 +4,6 @@ A bad line never disappears: it becomes a reject with its line number and a reas
 
 from __future__ import annotations
 
-import gzip
 import re
 
 import pyarrow as pa
@@ -14,10 +13,15 @@ from pyspark.sql import functions as F
 
 from loomledger.operators.urls import canonicalize
 from loomledger.sources.ranges import csv_records, held, numbered_lines
+from loomledger.sources.sitemaps import sitemap_rows
+from loomledger.sources.tables import checkpointed
 
 # The fields of a URL list's objects, and names of its CSV column, in the order in which they are tried.
 URL_FIELDS = ("url", "canonical_url", "link", "href", "address")
 SCAN_HEAD = 2048
+#: Bytes of a sitemap, inflated, that are read at most.
+SITEMAP_BYTES = 50 << 20
+_SITEMAP = pa.schema([("file", pa.string()), ("kind", pa.string()), ("at", pa.int32()), ("raw", pa.string()), ("lastmod", pa.string()), ("gzipped", pa.bool_()), ("bytes", pa.int64()), ("entries", pa.int64()), ("error", pa.string()), ("limit_hit", pa.string())])
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -125,29 +129,30 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "line", "e.type", F.coalesce("e.isSidechain", F.lit(False)).alias("sidechain"), F.when(content.startswith("["), blocks).otherwise(one).alias("blocks"))
 
 
-def read_sitemaps(df: DataFrame, body: str, base: str) -> tuple[DataFrame, DataFrame]:
-    """(files, entries): kind (urlset, sitemapindex, unknown) of each body of bytes, plain or gzip by its first bytes; loc (resolved), raw, lastmod and unresolvable of every entry."""
+def read_sitemaps(df: DataFrame, body: str, base: str, most_bytes: int = SITEMAP_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(files, entries): kind (urlset, sitemapindex, unknown), gzipped, bytes (inflated), entries, error (gunzip_failed, not_a_sitemap, too_large) and limit_hit (max_bytes) of each
+    body of bytes, plain or gzip by its first bytes; loc (resolved), raw, lastmod and unresolvable of every entry.
 
-    def unzip(batches):
+    A body is inflated and taken apart as a stream, so it costs the same memory however much it inflates to; where that is over most_bytes reading stops, and
+    the file says so beside the entries that were read. Bodies are read once: the result is kept in a checkpoint."""
+
+    def read(batches):
         for batch in batches:
-            texts = []
-            for raw in batch.column("_body").to_pylist():
-                data = bytes(raw or b"")
-                try:
-                    texts.append((gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode("utf-8", "replace"))
-                except (OSError, EOFError):
-                    texts.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("_base"), pa.array(texts, pa.string())], names=["file", "xml"])
-
-    files = df.select(F.col(base).alias("_base"), F.col(body).alias("_body")).mapInArrow(unzip, "file string, xml string")
-    bare = F.regexp_replace("xml", r"(?s)<!--.*?-->", "")
-    files = files.withColumn("xml", bare).withColumn("kind", F.when(F.col("xml").rlike(r"<(\w+:)?urlset[\s>]"), "urlset").when(F.col("xml").rlike(r"<(\w+:)?sitemapindex[\s>]"), "sitemapindex").otherwise("unknown"))
-    blocks = F.regexp_extract_all("xml", F.lit(r"(?s)<(?:\w+:)?(?:url|sitemap)>(.*?)</(?:\w+:)?(?:url|sitemap)>"), F.lit(1))
-    entries = files.where("kind <> 'unknown'").select("file", "kind", F.posexplode(blocks).alias("at", "b"))
-    value = lambda tag: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("b", rf"(?s)<(?:\w+:)?{tag}>\s*(.*?)\s*</(?:\w+:)?{tag}>", 1), r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1"), "&amp;", "&"))
-    entries = entries.select("file", "kind", "at", value("loc").alias("raw"), F.nullif(value("lastmod"), F.lit("")).alias("lastmod"))
-    entries = canonicalize(entries, "raw", base="file")
-    return files.select("file", "kind"), entries.select("file", "kind", "at", "raw", F.col("canonical_url").alias("loc"), "lastmod", F.col("reject").isNotNull().alias("unresolvable"))
+            for file, raw in zip(batch.column("_base").to_pylist(), batch.column("_body"), strict=True):
+                rows = []
+                for row in sitemap_rows(raw.as_buffer() if raw.is_valid else b"", most_bytes):
+                    rows.append({"file": file} | row)
+                    if len(rows) == 10_000:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_SITEMAP)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_SITEMAP)
+
+    schema = "file string, kind string, at int, raw string, lastmod string, gzipped boolean, bytes long, entries long, error string, limit_hit string"
+    rows = checkpointed(df.select(F.col(base).alias("_base"), F.col(body).alias("_body")).mapInArrow(read, schema))
+    files = rows.where("at is null").select("file", "kind", "gzipped", "bytes", "entries", "error", "limit_hit")
+    entries = canonicalize(rows.where("at is not null").select("file", "kind", "at", "raw", "lastmod"), "raw", base="file")
+    return files, entries.select("file", "kind", "at", "raw", F.col("canonical_url").alias("loc"), "lastmod", F.col("reject").isNotNull().alias("unresolvable"))
 
 
 def read_robots(df: DataFrame, host: str, text: str) -> tuple[DataFrame, DataFrame]:
