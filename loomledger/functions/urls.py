@@ -3,6 +3,8 @@ percent-encoding of what isn't ASCII, form encoding of the query."""
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -194,30 +196,68 @@ IPV4_CLASSES = (
 )
 
 
+# IPv6 ranges that aren't public. An address that wraps an IPv4 address has the class of that.
+IPV6_CLASSES = (
+    ("unspecified", "::", 128), ("loopback", "::1", 128), ("private", "fc00::", 7), ("link_local", "fe80::", 10),
+    ("multicast", "ff00::", 8), ("nat64", "64:ff9b::", 32), ("documentation", "2001:db8::", 32),
+)
+_WRAPPED = (("::ffff:0:0", 96), ("::", 96))
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once: an expression that is used in many places would be copied to all of them."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def ipv6_number(address: Column) -> Column:
+    """An IPv6 address as its 128 bits, 32 hexadecimal digits, which sort as the numbers do; null if it is none. Brackets and a zone don't count, the last 32 bits may be written as an IPv4 address."""
+    none = F.array().cast("array<string>")
+
+    def without_tail(text: Column) -> Column:
+        """The last four bytes as two groups, if they are written as an IPv4 address."""
+        tail = F.regexp_extract(text, r"([0-9]{1,3}(?:\.[0-9]{1,3}){3})$", 1)
+        as_groups = lambda four: F.concat(F.regexp_replace(text, r"[0-9]+(?:\.[0-9]+){3}$", ""), F.lower(F.hex(F.shiftright(four, 16))), F.lit(":"), F.lower(F.hex(four.bitwiseAND(F.lit(65535)))))
+        return F.when(text.contains("."), _let(ipv4_number(tail), as_groups)).otherwise(text)
+
+    def filled(halves: Column) -> Column:
+        """Groups, with zeros where the double colon stands; null where there aren't eight."""
+        groups = lambda half: F.when(half == "", none).otherwise(F.split(half, ":", -1))
+        left, right = groups(F.get(halves, 0)), F.when(F.size(halves) == 2, groups(F.get(halves, 1))).otherwise(none)
+        whole = _let(F.struct(left.alias("l"), right.alias("r")), lambda p: F.when(F.size(halves) == 1, p["l"]).otherwise(F.concat(p["l"], F.array_repeat(F.lit("0"), 8 - F.size(p["l"]) - F.size(p["r"])), p["r"])))
+        return F.when(F.size(halves) <= 2, whole)
+
+    def digits(groups: Column) -> Column:
+        good = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(good, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+
+    bare = F.lower(F.regexp_replace(address, r"^\[|\]$|%.*$", ""))
+    return F.when(bare.contains(":"), _let(_let(F.split(_let(bare, without_tail), "::", -1), filled), digits))
+
+
+def _range(first: str, bits: int) -> tuple[int, int]:
+    address = ipaddress.ip_address(first)
+    low = int(address)
+    return low, low + (1 << address.max_prefixlen - bits) - 1
+
+
 def ip_class(address: Column) -> Column:
-    """Class of an IPv4 or IPv6 address; public, or null where it is no address."""
-    number = ipv4_number(address)
+    """Class of an IPv4 or IPv6 address, by the range that its number is in; public, or null where it is no address."""
 
-    def of_number(n: Column) -> Column:
+    def of_four(n: Column) -> Column:
         out = F.lit("public")
         for name, first, bits in reversed(IPV4_CLASSES):
-            low = 0
-            for part in first.split("."):
-                low = low * 256 + int(part)
-            out = F.when(n.between(low, low + (1 << 32 - bits) - 1), F.lit(name)).otherwise(out)
+            out = F.when(n.between(*_range(first, bits)), F.lit(name)).otherwise(out)
         return out
 
-    six = F.lower(F.regexp_replace(address, r"^\[|\]$|%.*$", ""))
-    mapped = ipv4_number(F.regexp_extract(six, r"^(?:::ffff:|::)([0-9.]+)$", 1))
-    of_six = (
-        F.when(six.isin("::", "0:0:0:0:0:0:0:0"), F.lit("unspecified"))
-        .when(six.isin("::1", "0:0:0:0:0:0:0:1"), F.lit("loopback"))
-        .when(mapped.isNotNull(), of_number(mapped))
-        .when(six.rlike("^f[cd]"), F.lit("private"))
-        .when(six.rlike("^fe[89ab]"), F.lit("link_local"))
-        .when(six.rlike("^ff"), F.lit("multicast"))
-        .when(six.rlike("^(64:ff9b:|0064:ff9b:)"), F.lit("nat64"))
-        .when(six.rlike("^2001:(0?db8)(:|$)"), F.lit("documentation"))
-        .otherwise(F.lit("public"))
-    )
-    return F.when(number.isNotNull(), of_number(number)).when(six.contains(":") & six.rlike("^[0-9a-f:.]+$"), of_six)
+    def of_six(n: Column) -> Column:
+        between = lambda first, bits: n.between(*(f"{x:032x}" for x in _range(first, bits)))
+        wrapped = F.lit(False)
+        for first, bits in _WRAPPED:
+            wrapped = wrapped | between(first, bits)
+        out = F.when(wrapped, _let(F.conv(F.substring(n, 25, 8), 16, 10).cast("long"), of_four)).otherwise(F.lit("public"))
+        for name, first, bits in reversed(IPV6_CLASSES):
+            out = F.when(between(first, bits), F.lit(name)).otherwise(out)
+        return F.when(n.isNotNull(), out)
+
+    number = _let(ipv4_number(address), lambda n: F.when(n.isNotNull(), of_four(n)))
+    return F.coalesce(number, _let(ipv6_number(address), of_six))

@@ -12,9 +12,9 @@ from loomledger.sources.tables import url_records
 
 
 def _modules() -> list:
-    from loomledger.plans import admission_queries, derived_queries, layout_queries, page_queries, recon_queries, stats_queries, text_queries, url_queries
+    from loomledger.plans import admission_queries, derived_queries, layout_queries, page_queries, recon_queries, source_queries, stats_queries, text_queries, url_queries
 
-    return [url_queries, text_queries, stats_queries, recon_queries, page_queries, derived_queries, admission_queries, layout_queries]
+    return [url_queries, text_queries, stats_queries, recon_queries, page_queries, derived_queries, admission_queries, layout_queries, source_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
