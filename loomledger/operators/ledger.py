@@ -133,33 +133,71 @@ def audit_constraints(items: DataFrame, sources: DataFrame, judgments: DataFrame
     return out
 
 
+#: Fields that every judgment has, in the order in which they are asked for.
+JUDGMENT_FIELDS = ("item_id", "label", "confidence", "note", "evidence_artifact_ids")
+
+
+def typed_judgments(raw: DataFrame, json: str = "json") -> DataFrame:
+    """Add the fields of judgments written as JSON objects, and fault: the first field that is missing (missing_field:name) or of another type (item_id_type, label_type, confidence_type,
+    note_type, evidence_type), by the order of the rules; null where all are there. An item_id may be a number in quotes."""
+    v = F.try_parse_json(json)
+    field = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    kind = {name: F.schema_of_variant(field(name)) for name in JUDGMENT_FIELDS}
+    number = lambda name: F.coalesce(kind[name].rlike(r"^(BIGINT|DOUBLE|DECIMAL|INT|FLOAT)"), F.lit(False))
+    null = lambda name: F.coalesce(kind[name] == "VOID", F.lit(True))
+    text = lambda name: F.coalesce(kind[name] == "STRING", F.lit(False))
+    fault = F.when(v.isNull(), "json_parse")
+    for name in JUDGMENT_FIELDS:
+        fault = fault.when(field(name).isNull(), f"missing_field:{name}")
+    item = F.try_variant_get(v, "$.item_id", "string").try_cast("double")
+    whole = item.isNotNull() & (item == F.floor(item))
+    faults = fault.when(~whole | ~(number("item_id") | text("item_id")), "item_id_type").when(~null("label") & ~text("label"), "label_type").when(~null("confidence") & ~number("confidence"), "confidence_type").when(~null("note") & ~text("note"), "note_type").when(~F.coalesce(kind["evidence_artifact_ids"].startswith("ARRAY"), F.lit(False)), "evidence_type")
+    return raw.withColumns({
+        "fault": faults,
+        "item_id": item.try_cast("long"),
+        "label": F.when(text("label"), F.try_variant_get(v, "$.label", "string")),
+        "confidence": F.when(number("confidence"), F.try_variant_get(v, "$.confidence", "double")),
+        "note": F.when(text("note"), F.try_variant_get(v, "$.note", "string")),
+        "evidence_artifact_ids": F.try_variant_get(v, "$.evidence_artifact_ids", "array<bigint>"),
+    })
+
+
 def check_judgments(judgments: DataFrame, items: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Add reason: the first rule a judgment breaks, in order, or null. judgments: item_id, label, confidence, note, evidence_artifact_ids.
+    """Add reason: the first rule a judgment breaks, in order, or null. judgments: item_id, label, confidence, note, evidence_artifact_ids, and fault where typed_judgments has found one.
 
-    artifacts: artifact_id, item_id, state (ok, missing, size_mismatch, sha_mismatch) of the file behind it."""
-    rows = judgments.withColumn("_row", F.xxhash64(F.to_json(F.struct(*judgments.columns))))
-    evidence = rows.select("_row", F.col("item_id").alias("_item"), F.posexplode("evidence_artifact_ids").alias("_at", "artifact_id")).distinct()
+    artifacts: artifact_id, item_id, state (ok, missing, size_mismatch, sha_mismatch) of the file behind it. A judgment is known by its own columns, so equal ones
+    share a reason and no others do."""
+    named = ["item_id", "evidence_artifact_ids"]
+    asked = judgments.select(*named).where("evidence_artifact_ids is not null").distinct()
+    evidence = asked.select(*named, F.posexplode("evidence_artifact_ids").alias("_at", "artifact_id"))
     files = artifacts.select("artifact_id", F.col("item_id").alias("_owner"), F.col("state").alias("_state"))
-    fault = (
+    wrong = (
         F.when(F.col("_state").isNull(), "evidence_not_found")
         .when(F.col("_state") != "ok", F.concat(F.lit("evidence_"), F.col("_state")))
-        .when(F.col("_owner") != F.col("_item"), "evidence_other_item")
+        .when(F.col("_owner") != F.col("item_id"), "evidence_other_item")
     )
-    faults = evidence.join(files, "artifact_id", "left").withColumn("_fault", fault).where("_fault is not null").groupBy("_row").agg(F.min_by("_fault", "_at").alias("_fault"))
+    faults = evidence.join(files, "artifact_id", "left").withColumn("_fault", wrong).where("_fault is not null").groupBy(*named).agg(F.min_by("_fault", "_at").alias("_fault"))
+    faults = faults.select(F.col("item_id").alias("_i"), F.col("evidence_artifact_ids").alias("_e"), "_fault")
     known = items.select("item_id", F.lit(True).alias("_known")).distinct()
     label, confidence = F.col("label"), F.col("confidence")
+    typed = F.col("fault") if "fault" in judgments.columns else F.lit(None).cast("string")
+    early, late = typed.rlike("^(json_parse|missing_field|item_id_type)"), lambda name: typed == name
     reason = (
-        F.when(F.col("item_id").isNull(), "item_id_type")
+        F.when(early, typed)
+        .when(F.col("item_id").isNull(), "item_id_type")
         .when(F.col("_known").isNull(), "item_not_here")
+        .when(late("label_type"), "label_type")
         .when(label.isNotNull() & (F.trim(label) == ""), "label_blank")
-        .when(confidence.isNotNull() & (F.isnan(confidence) | (F.abs(confidence) == float("inf"))), "confidence_type")
+        .when(late("confidence_type") | (confidence.isNotNull() & (F.isnan(confidence) | (F.abs(confidence) == float("inf")))), "confidence_type")
         .when((confidence < 0) | (confidence > 1), "confidence_range")
         .when(confidence.isNotNull() & label.isNull(), "confidence_without_label")
+        .when(late("note_type"), "note_type")
         .when(label.isNull() & (F.trim(F.coalesce("note", F.lit(""))) == ""), "abstain_needs_note")
         .when(F.col("evidence_artifact_ids").isNull(), "evidence_type")
         .otherwise(F.col("_fault"))
     )
-    return rows.join(known, "item_id", "left").join(faults, "_row", "left").withColumn("reason", reason).select(*judgments.columns, "reason")
+    out = judgments.join(known, "item_id", "left").join(faults, F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("evidence_artifact_ids") == F.col("_e")), "left")
+    return out.withColumn("reason", reason).select(*judgments.columns, "reason")
 
 
 def reclaim(items: DataFrame, now: Column, most: int | None = None) -> DataFrame:
@@ -327,11 +365,32 @@ def assign_batches(items: DataFrame, order: str, size: int) -> DataFrame:
     return out.withColumns({"batch_id": F.floor(F.col("_at") / size), "place": F.col("_at") % size}).drop("_p", "_n", "_before", "_at")
 
 
-def ledger_rows(items: DataFrame, sources: DataFrame, judgments: DataFrame, attempts: DataFrame) -> DataFrame:
-    """One row an item with sorted arrays: source_kinds, labels, warnings, errors, and the number of attempts."""
-    kinds = sources.groupBy("item_id").agg(F.array_sort(F.collect_set("source_kind")).alias("source_kinds"))
-    labels = judgments.groupBy("item_id").agg(F.array_sort(F.collect_set("label")).alias("labels"), F.count(F.lit(1)).alias("judgments"))
-    tries = attempts.groupBy("item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("warning_codes")))).alias("warnings"), F.array_sort(F.collect_set("error_code")).alias("errors"), F.count(F.lit(1)).alias("attempts"))
-    out = items.join(kinds, "item_id", "left").join(labels, "item_id", "left").join(tries, "item_id", "left")
-    nothing = F.array().cast("array<string>")
-    return out.withColumns({**{c: F.coalesce(c, nothing) for c in ("source_kinds", "labels", "warnings", "errors")}, **{c: F.coalesce(c, F.lit(0)) for c in ("judgments", "attempts")}})
+def ledger_rows(items: DataFrame, sources: DataFrame, judgments: DataFrame, attempts: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
+    """One row an item, as exports have it: source_kinds, sources (kind:value), labels (all, those that differ too), warnings, errors, attempt_ids, manifest_paths, artifact_paths, and the numbers of
+    judgments and attempts. Arrays are sorted. sources: item_id, source_kind, and source_value where there is one; attempts: item_id, attempt_id, warning_codes, error_code, and
+    operation where known (without it every run is a collection); artifacts: attempt_id, path.
+
+    Kinds, codes and labels are made distinct before the exchange. Sources, runs and files are all in the row by its contract, so a row is as
+    long as what its item has."""
+    distinct = lambda df, column, name: df.where(F.col(column).isNotNull()).groupBy("item_id").agg(F.array_sort(F.collect_set(column)).alias(name))
+    every = lambda df, column, name: df.where(F.col(column).isNotNull()).groupBy("item_id").agg(F.array_sort(F.collect_list(column)).alias(name))
+    parts = [distinct(sources, "source_kind", "source_kinds"), distinct(judgments, "label", "labels"), judgments.groupBy("item_id").agg(F.count(F.lit(1)).alias("judgments"))]
+    if "source_value" in sources.columns:
+        parts.append(every(sources.withColumn("_s", F.concat_ws(":", "source_kind", "source_value")).select("item_id", "_s").distinct(), "_s", "sources"))
+    warned = attempts.select("item_id", F.explode("warning_codes").alias("_w")).distinct()
+    parts += [distinct(warned, "_w", "warnings"), distinct(attempts, "error_code", "errors"), attempts.groupBy("item_id").agg(F.count(F.lit(1)).alias("attempts"), F.array_sort(F.collect_list(F.col("attempt_id").cast("string"))).alias("attempt_ids"))]
+    collected = attempts.where("operation = 'collect'") if "operation" in attempts.columns else attempts
+    path = F.concat(F.lit("artifacts/pages/"), F.col("item_id").cast("string"), F.lit("/"), F.col("attempt_id").cast("string"), F.lit("/manifest.json"))
+    parts.append(every(collected.where("item_id is not null").withColumn("_m", path), "_m", "manifest_paths"))
+    if artifacts is not None:
+        parts.append(every(artifacts.join(attempts.select("attempt_id", "item_id"), "attempt_id").where("item_id is not null"), "path", "artifact_paths"))
+    out, nothing = items, F.array().cast("array<string>")
+    for part in parts:
+        out = out.join(part, "item_id", "left")
+    arrays = [c for c in ("source_kinds", "sources", "labels", "warnings", "errors", "attempt_ids", "manifest_paths", "artifact_paths") if c in out.columns]
+    return out.withColumns({**{c: F.coalesce(c, nothing) for c in arrays}, **{c: F.coalesce(c, F.lit(0)) for c in ("judgments", "attempts")}})
+
+
+def exists_in(df: DataFrame, other: DataFrame, keys: list[str], negate: bool = False) -> DataFrame:
+    """Rows of df with a row of the same keys in other, or without one (negate): EXISTS and NOT EXISTS. A null key has no equal, so its row doesn't exist there."""
+    return df.join(other.select(*keys).distinct(), keys, "left_anti" if negate else "left_semi").select(df.columns)

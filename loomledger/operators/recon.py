@@ -30,20 +30,38 @@ def reappeared(flagged: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return flagged.select(key).intersect(after.select(key))
 
 
-def audit_artifacts(artifacts: DataFrame, files: DataFrame) -> DataFrame:
-    """path and finding: ok, missing, size_mismatch, sha_mismatch, orphan or incomplete. artifacts, files: path, byte_size, sha256."""
+#: What artifacts' files begin with while they are written, what a run's manifest is called, folders of pointers.
+PART, MANIFEST, POINTERS = ".part-", "manifest.json", ("latest", "by-domain")
+
+
+def audit_artifacts(artifacts: DataFrame, files: DataFrame, root: str = "artifacts") -> DataFrame:
+    """path and finding: ok, missing, size_mismatch, sha_mismatch, orphan or incomplete. artifacts, files: path, byte_size, sha256.
+
+    A file that no artifact names is incomplete if its own name begins as one that is being written; manifests, and files in the folders of pointers
+    under root, are no orphans and have no finding."""
     a = artifacts.select(F.col("path").alias("_p"), F.col("byte_size").alias("_size"), F.col("sha256").alias("_sha"))
     f = files.select("path", "byte_size", "sha256")
     out = a.join(f, F.col("_p") == F.col("path"), "full_outer")
+    name, loose = F.substring_index("path", "/", -1), F.col("_p").isNull()
+    own = name == MANIFEST
+    for folder in POINTERS:
+        own = own | F.col("path").startswith(f"{root}/{folder}/")
     finding = (
-        F.when(F.col("_p").isNull() & F.col("path").contains(".part-"), "incomplete")
-        .when(F.col("_p").isNull(), "orphan")
+        F.when(loose & name.startswith(PART), "incomplete")
+        .when(loose & own, F.lit(None))
+        .when(loose, "orphan")
         .when(F.col("path").isNull(), "missing")
         .when(F.col("_size") != F.col("byte_size"), "size_mismatch")
         .when(F.col("_sha") != F.col("sha256"), "sha_mismatch")
         .otherwise("ok")
     )
-    return out.select(F.coalesce("path", "_p").alias("path"), finding.alias("finding"))
+    return out.select(F.coalesce("path", "_p").alias("path"), finding.alias("finding")).where("finding is not null")
+
+
+def runs_without_manifest(attempts: DataFrame, files: DataFrame) -> DataFrame:
+    """attempt_id of finished runs whose folder has no manifest. attempts: attempt_id, finished_at, folder; files: path."""
+    have = files.where(F.substring_index("path", "/", -1) == MANIFEST).select(F.regexp_replace("path", f"/{MANIFEST}$", "").alias("folder")).distinct()
+    return attempts.where("finished_at is not null").join(have, "folder", "left_anti").select("attempt_id")
 
 
 def evidence_states(artifacts: DataFrame, attempts: DataFrame, files: DataFrame) -> DataFrame:
@@ -72,10 +90,13 @@ def symmetric_difference(a: DataFrame, b: DataFrame, key: str, exempt: DataFrame
     return out if exempt is None else out.join(exempt.select(key), key, "left_anti")
 
 
-def reconcile_keys(schema: DataFrame, example: DataFrame, settings: DataFrame, services: DataFrame, exempt: DataFrame) -> DataFrame:
-    """Findings (check, key, detail) over key names: A schema and example differ, B a required key is absent in an env, C a service's required key isn't declared, D dev and prod services differ, E a key no schema knows, G dev and prod settings differ.
+def reconcile_keys(schema: DataFrame, example: DataFrame, settings: DataFrame, services: DataFrame, exempt: DataFrame, guide: DataFrame | None = None) -> DataFrame:
+    """Findings (check, key, detail) over key names: A schema and example differ, B a required key is absent in an env, C a service's key isn't declared, D dev and prod services
+    differ, by service and, in services both have, by key and by how a key is declared, E a key no schema knows, F services and guide differ, G dev and prod settings differ,
+    H an env's keys aren't in the guide's order.
 
-    schema: key, required; example: key; settings: env, key (KEY or KEY@app); services: env, service, key; exempt: key."""
+    schema: key, required; example: key; settings: env, key (KEY or KEY@app), and ord for H; services: env, service, key, and declared (value, sync:false) for D and F;
+    exempt: key; guide: key, rank, sensitive (null: not said)."""
     plain = settings.select("env", F.regexp_replace("key", "@.*$", "").alias("key")).distinct()
     finding = lambda df, check, key, detail: df.select(F.lit(check).alias("check"), F.col(key).alias("key"), detail.alias("detail"))
     a = finding(symmetric_difference(schema, example, "key"), "A", "key", F.col("side"))
@@ -85,11 +106,25 @@ def reconcile_keys(schema: DataFrame, example: DataFrame, settings: DataFrame, s
     c = finding(services.join(schema.select("key"), "key", "left_anti"), "C", "key", F.concat_ws("/", "env", "service")).distinct()
     one = lambda df, env: df.where(F.col("env") == env)
     d = finding(symmetric_difference(one(services, "dev"), one(services, "prod"), "service"), "D", "service", F.col("side"))
+    how = F.col("declared") if "declared" in services.columns else F.lit(None).cast("string")
+    side = lambda env: one(services, env).groupBy("service", "key").agg(F.min(how).alias(env))
+    both = one(services, "dev").select("service").intersect(one(services, "prod").select("service"))
+    pairs = side("dev").withColumn("_d", F.lit(True)).join(side("prod").withColumn("_p", F.lit(True)), ["service", "key"], "full_outer").join(both, "service", "left_semi")
+    told = F.when(F.col("_d").isNull(), F.concat("service", F.lit(": only prod"))).when(F.col("_p").isNull(), F.concat("service", F.lit(": only dev"))).when(~F.col("dev").eqNullSafe(F.col("prod")), F.concat("service", F.lit(": dev "), F.coalesce("dev", F.lit("-")), F.lit(", prod "), F.coalesce("prod", F.lit("-"))))
+    d = d.unionByName(finding(pairs.withColumn("_told", told).where("_told is not null"), "D", "key", F.col("_told")))
     e = finding(plain.join(schema.select("key"), "key", "left_anti"), "E", "key", F.col("env"))
     g = finding(symmetric_difference(one(plain, "dev"), one(plain, "prod"), "key"), "G", "key", F.col("side"))
     out = a
     for part in (b, c, d, e, g):
         out = out.unionByName(part)
+    if guide is not None:
+        said = guide.select(F.col("key").alias("_g"), "sensitive")
+        seen = services.select("key", how.alias("_how")).distinct().join(said, F.col("key") == F.col("_g"), "left")
+        why = F.when(F.col("_g").isNull(), "not_in_guide").when(F.col("sensitive") & (F.col("_how") == "value"), "secret_as_value").when(~F.col("sensitive") & (F.col("_how") == "sync:false"), "public_as_secret")
+        out = out.unionByName(finding(seen.withColumn("_why", why).where("_why is not null"), "F", "key", F.col("_why")).distinct())
+        if "ord" in settings.columns:
+            drift = first_drift(settings, guide.select("key", "rank"))
+            out = out.unionByName(finding(drift, "H", "found", F.concat("env", F.lit(": expected "), "expected")))
     return out.join(exempt.select("key"), "key", "left_anti").select("check", "key", "detail")
 
 
@@ -109,6 +144,22 @@ def canonical_sort(keys: DataFrame, reference: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("known"), F.asc_nulls_last("rank"), "scoped", "ord").drop("_k", "_base")
 
 
+def first_drift(settings: DataFrame, reference: DataFrame) -> DataFrame:
+    """env, place, found and expected: the first key of each env that doesn't stand where the canonical order has it; envs in order are absent. settings: env, key, ord; reference: key, rank.
+
+    An env's keys are a settings file, so one window holds one file."""
+    ranks = reference.select(F.col("key").alias("_base"), "rank")
+    keys = settings.withColumn("_k", F.regexp_replace("key", "@.*$", "")).join(ranks, F.col("_k") == F.col("_base"), "left")
+    scoped = F.col("key").contains("@")
+    stood = keys.withColumn("place", F.row_number().over(Window.partitionBy("env").orderBy("ord", "key")))
+    should = Window.partitionBy("env").orderBy(F.col("rank").isNull(), "rank", scoped, "ord", "key")
+    placed = stood.withColumn("due", F.row_number().over(should))
+    here = placed.select("env", "place", F.col("key").alias("found"))
+    there = placed.select("env", F.col("due").alias("place"), F.col("key").alias("expected"))
+    off = here.join(there, ["env", "place"]).where("found <> expected")
+    return off.groupBy("env").agg(F.min(F.struct("place", "found", "expected")).alias("f")).select("env", "f.place", "f.found", "f.expected")
+
+
 def resolve_refs(entries: DataFrame, labels: DataFrame, files: DataFrame) -> DataFrame:
     """Add resolved and problem: @label:x becomes the label's body; a body that is one @file:y becomes the file's text; a label inside a label is refused; what isn't there is said.
 

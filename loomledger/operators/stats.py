@@ -204,6 +204,7 @@ def fit_budget(rows: DataFrame, key: str, order: str, size: str, budget: int) ->
 
 
 def list_notes(notes: DataFrame, kind: str, date: str, key: str, limit: int) -> DataFrame:
-    """All topic notes, and the newest date notes of each source."""
-    rank = Window.partitionBy(kind).orderBy(F.desc(date), F.desc(key))
-    return notes.withColumn("rank", F.row_number().over(rank)).where((F.col(kind) != "date") | (F.col("rank") <= limit))
+    """All topic notes, and the newest date notes, limit of them; rank is the place among the newest, null for topics. Only date notes are ordered, and of those no task keeps more than
+    limit before the exchange."""
+    dated = notes.where(F.col(kind) == "date").withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy(F.desc(date), F.desc(key)))).where(F.col("rank") <= limit)
+    return notes.where(~F.col(kind).eqNullSafe(F.lit("date"))).withColumn("rank", F.lit(None).cast("int")).unionByName(dated)

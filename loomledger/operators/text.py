@@ -174,21 +174,47 @@ def lint_rules(df: DataFrame, rules: list[tuple[str, str]], text: str) -> DataFr
     return df.withColumn("reasons", F.array_distinct(reasons))
 
 
-def out_of_corpus(df: DataFrame, corpus: DataFrame, text: str, key: str, corpus_text: str = "text", allow: tuple[str, ...] = (), tails: tuple[str, ...] = ("s", "es", "ed", "ing")) -> DataFrame:
-    """key, token, verdict of a text's words of which the corpus holds no form as part of any word: soft where the word is inflected (has one of the endings), else missing.
+# Endings of inflected words, Korean ones as one letter, English ones as several; final consonants that endings leave behind, as places in a syllable's 28 endings.
+INFLECTED = "(다|요|죠|까|니|고|며|면|서|지|게|나|자|라|어|아|여|워|해|돼|임|음|기|은|는|을|를|이|가|에|의|와|과|도|만)$|..(s|es|ed|ing)$"
+CODAS = (4, 8, 16)
 
-    A word's forms are itself, itself without an ending, and its beginnings of two letters or more. All of them begin
-    with its first two letters, and those two are one of the forms, so a word passes where the corpus has its first two letters side by
-    side: the corpus is met through its distinct pairs of letters, an equality join. Numbers, numbers with units and allowed words pass."""
+
+def _without_coda(word: Column) -> Column:
+    """A word without its last syllable's final consonant, if that is one of CODAS; else null."""
+    last = F.substring(word, -1, 1)
+    code = F.conv(F.hex(F.encode(last, "UTF-16BE")), 16, 10).cast("long") - 0xAC00
+    open_ = F.decode(F.unhex(F.hex(code - code % 28 + 0xAC00)), "UTF-16BE")
+    return F.when(code.between(0, 11171) & (code % 28).isin(*CODAS), F.concat(F.substring(word, F.lit(1), F.length(word) - 1), open_))
+
+
+def _runs(word: Column, most: int) -> Column:
+    """The runs of one to most letters in a word."""
+    none = F.array().cast("array<string>")
+
+    def of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1)))
+        return F.when(F.length(word) >= n, F.transform(places, lambda i: F.substring(word, i, F.lit(n)))).otherwise(none)
+
+    return F.concat(*(of(n) for n in range(1, most + 1)))
+
+
+def out_of_corpus(df: DataFrame, corpus: DataFrame, text: str, key: str, corpus_text: str = "text", allow: tuple[str, ...] = (), inflected: str = INFLECTED) -> DataFrame:
+    """key, token, verdict of a text's words of which the corpus holds no form as part of any word: soft where the word is inflected (it matches the expression, or ends in a final consonant that an ending leaves), else missing.
+
+    A word's forms are itself, itself without an ending or a final consonant, and its beginnings of two letters or more. All of them begin
+    with its first two letters, and those are one of the forms, except that a word of two letters has one more: its second letter without the
+    final consonant. So a word passes where the corpus has one of these pairs side by side: the corpus is met through its distinct runs of one to three letters, an equality
+    join. A number with a unit of up to three letters passes where the corpus has the unit; numbers and allowed words always pass."""
     split = lambda c: F.split(F.lower(c), r"[^\p{L}\p{N}]+")
-    tokens = df.select(key, F.explode(F.array_distinct(split(F.col(text)))).alias("_t")).where((F.length("_t") >= 2) & ~F.col("_t").rlike(r"^[0-9]+\p{L}{0,3}$") & ~F.col("_t").isin(*(allow or ("",))))
-    words = corpus.select(F.explode(F.array_distinct(split(F.col(corpus_text)))).alias("w")).where(F.length("w") >= 2).distinct()
-    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring("w", i, F.lit(2)))).alias("pair")).distinct()
-    unheld = tokens.withColumn("pair", F.substring("_t", 1, 2)).join(pairs, "pair", "left_anti")
-    inflected = F.lit(False)
-    for tail in tails:
-        inflected = inflected | (F.col("_t").endswith(tail) & (F.length("_t") > len(tail) + 1))
-    return unheld.select(key, F.col("_t").alias("token"), F.when(inflected, "soft").otherwise("missing").alias("verdict"))
+    tokens = df.select(key, F.explode(F.array_distinct(split(F.col(text)))).alias("_t")).where((F.length("_t") >= 2) & ~F.col("_t").rlike("^[0-9]+$") & ~F.col("_t").isin(*(allow or ("",))))
+    words = corpus.select(F.explode(F.array_distinct(split(F.col(corpus_text)))).alias("w")).where("w <> ''").distinct()
+    held = words.select(F.explode(_runs(F.col("w"), 3)).alias("run")).distinct()
+    unit = F.nullif(F.regexp_extract("_t", r"^[0-9]+(\p{L}{1,3})", 1), F.lit(""))
+    asked = F.array_compact(F.array(F.substring("_t", 1, 2), F.when(F.length("_t") == 2, _without_coda(F.col("_t"))), unit))
+    known = tokens.select("_t").distinct().select("_t", F.explode(asked).alias("run")).join(held, "run", "left_semi").select("_t").distinct()
+    unheld = tokens.join(known, "_t", "left_anti")
+    soft = F.col("_t").rlike(inflected) | _without_coda(F.col("_t")).isNotNull()
+    return unheld.select(key, F.col("_t").alias("token"), F.when(soft, "soft").otherwise("missing").alias("verdict"))
 
 
 def odd_pairs(df: DataFrame, corpus: DataFrame, text: str, key: str, corpus_text: str = "text") -> DataFrame:
@@ -231,13 +257,19 @@ def screen_progress(readings: DataFrame, surface: str = "surface", at: str = "at
 IMAGE_MAGIC = (("image/png", "^89504E47"), ("image/jpeg", "^FFD8FF"), ("image/gif", "^47494638"), ("image/webp", "^52494646.{8}57454250"), ("image/bmp", "^424D"), ("image/avif", "^.{8}66747970(61766966|61766973)"), ("image/heic", "^.{8}66747970(68656963|68656978|6D696631)"), ("image/x-icon", "^00000100"))
 
 
+#: Bytes in which an SVG element has to begin; what may stand before it: a byte order mark, declarations and comments.
+SNIFFED = 300
+SVG = r"^(\xef\xbb\xbf)?\s*((<\?.*?\?>|<!--(?s:.*?)-->|<!doctype[^>\[]*(\[(?s:.*?)\])?[^>]*>)\s*)*<svg[\s>]"
+
+
 def sniff_mime(df: DataFrame, content: str, declared: str) -> DataFrame:
     """Add mime, from the first bytes, and mime_mismatch against the declared type."""
     head = F.hex(F.substring(content, 1, 64))
     out = F.lit(None).cast("string")
     for mime, pattern in reversed(IMAGE_MAGIC):
         out = F.when(head.rlike(pattern), mime).otherwise(out)
-    svg = F.lower(F.decode(F.substring(content, 1, 256), "UTF-8")).rlike(r"^\s*(<\?xml[^>]*>\s*)?<svg")
+    # Marks are ASCII: bytes are read one by one, so a letter that is cut in two does no harm.
+    svg = F.lower(F.decode(F.substring(content, 1, SNIFFED), "ISO-8859-1")).rlike(SVG)
     out = F.coalesce(out, F.when(svg, "image/svg+xml"))
     plain = F.lower(F.trim(F.regexp_replace(declared, ";.*$", "")))
     return df.withColumn("mime", out).withColumn("mime_mismatch", F.coalesce(F.col("mime") != F.regexp_replace(plain, "^image/jpg$", "image/jpeg"), F.lit(False)))

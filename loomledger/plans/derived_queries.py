@@ -11,7 +11,17 @@ from loomledger.operators import text as text_ops
 from loomledger.operators import urls as url_ops
 from loomledger.sources.tables import table
 
-_MAGIC = ("89504E47", "FFD8FF", "47494638", "424D", "00000100", "")
+def _hexed(text: str) -> str:
+    return text.encode().hex().upper()
+
+
+#: How the files begin, in hexadecimal, and what they are.
+_BEGINNINGS = (
+    ("89504E47", "image/png"), ("FFD8FF", "image/jpeg"), ("47494638", "image/gif"), ("424D", "image/bmp"), ("00000100", "image/x-icon"), ("", None),
+    (_hexed("RIFFxxxxWEBP"), "image/webp"), (_hexed("xxxxftypavif"), "image/avif"), (_hexed("xxxxftypheic"), "image/heic"), (_hexed("<svg>"), "image/svg+xml"),
+    (_hexed("\n<?xml version='1.0'?>\n<!-- a\n> <b> -->\n<!DOCTYPE svg PUBLIC 'x' [<!ENTITY y 'z'>]>\n<SVG width='1'>"), "image/svg+xml"), (_hexed("<!-- <svg> -->text"), None), (_hexed(" " * 300 + "<svg>"), None),
+)
+_MAGIC = tuple(b for b, _ in _BEGINNINGS)
 _DECLARED = ("image/png", "image/jpg; q=1", "text/plain")
 _SCREENS = ("Working (3s", "Do you want to go on", "model is at capacity", "nothing here")
 
@@ -204,7 +214,7 @@ ORACLE = {
     "wn14_screen_progress": f"SELECT \"at\", surface, CASE f WHEN 0 THEN CASE WHEN lag(f) OVER (PARTITION BY surface ORDER BY \"at\") = 0 THEN 'stalled' ELSE 'working' END WHEN 1 THEN 'blocked' WHEN 2 THEN 'capacity' ELSE 'unknown' END AS state FROM ({_SCREEN})",
     "tx11_sniffed_types": """
 SELECT p_partkey, coalesce(m, '-') AS mime, coalesce(m <> CASE p_partkey % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' ELSE 'text/plain' END, false) AS mime_mismatch
-FROM (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/bmp' WHEN 4 THEN 'image/x-icon' END AS m FROM part)""",
+FROM (SELECT p_partkey, CASE p_partkey % """ + str(len(_BEGINNINGS)) + "".join(f" WHEN {i} THEN '{m}'" for i, (_, m) in enumerate(_BEGINNINGS) if m) + """ END AS m FROM part)""",
     "ur08_compiled_globs": r"""
 SELECT page_id, CASE f WHEN 1 THEN 'not_a_path' WHEN 2 THEN 'no_leading_slash' WHEN 3 THEN 'mixed_star' ELSE '-' END AS reject,
   CASE f WHEN 0 THEN '^' || replace(p, '.', '\.') || '/[^/]+/?$' WHEN 4 THEN '^/.+' || replace(p, '.', '\.') || '/?$' ELSE '-' END AS regex

@@ -18,11 +18,21 @@ def disappeared(spark, sf_dir):
 
 def artifacts_audited(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("a/"), F.col("l_partkey").cast("string")).alias("path")).agg(F.sum("l_quantity").cast("long").alias("byte_size"), F.max("l_returnflag").alias("sha256"))
-    part = table(spark, sf_dir, "part").select(F.concat(F.lit("a/"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") > 45, ".part-1").otherwise("")).alias("path"), (F.col("p_size") * 20).cast("long").alias("byte_size"), F.lit("R").alias("sha256"))
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    path = F.when(size > 45, F.concat(F.lit("a/.part-"), key)).when(size == 40, F.concat(F.lit("a/"), key, F.lit("/manifest.json"))).when(size == 39, F.concat(F.lit("artifacts/latest/"), key)).when(size == 38, F.concat(F.lit("a/x.part-1/"), key)).otherwise(F.concat(F.lit("a/"), key))
+    part = table(spark, sf_dir, "part").select(path.alias("path"), (size * 20).cast("long").alias("byte_size"), F.lit("R").alias("sha256"))
     files = li.where("byte_size % 3 = 0").unionByName(part.join(li.where("byte_size % 3 = 0").select("path"), "path", "left_anti"))
     return recon.audit_artifacts(li, files).groupBy("finding").agg(F.count(F.lit(1)).alias("n"))
 
 
+def runs_without_manifest(spark, sf_dir):
+    """Orders as runs, finished unless they are open; two in three have written a manifest."""
+    o = table(spark, sf_dir, "orders")
+    folder = F.concat(F.lit("runs/"), F.col("o_orderkey").cast("string"))
+    runs = o.select(F.col("o_orderkey").alias("attempt_id"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate")).alias("finished_at"), folder.alias("folder"))
+    return recon.runs_without_manifest(runs, o.select(F.concat(folder, F.when(F.col("o_orderkey") % 3 == 0, "/page.html").otherwise("/manifest.json")).alias("path")))
+
+
 def index_reconciled(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     items = docs.select(F.concat_ws("/", F.lit("corpus"), "source", "lang").alias("path")).distinct()
@@ -40,13 +50,26 @@ def _settings(spark, sf_dir):
 _SETTINGS_SQL = "SELECT DISTINCT CASE WHEN s_acctbal > 5000 THEN 'dev' ELSE 'prod' END AS env, n_name || CASE WHEN s_suppkey % 3 = 0 THEN '@app' ELSE '' END AS key FROM supplier JOIN nation ON s_nationkey = n_nationkey"
 
 
+def _guide(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").where("n_regionkey > 0")
+    return n.select(F.col("n_name").alias("key"), (F.lit(100) - F.col("n_nationkey")).alias("rank"), F.when(F.col("n_nationkey") % 3 == 0, True).when(F.col("n_nationkey") % 3 == 1, False).alias("sensitive"))
+
+
+def _ordered_settings(spark, sf_dir):
+    return _settings(spark, sf_dir).withColumn("ord", F.length("key") * 10 + F.ascii(F.substring("key", -1, 1)))
+
+
 def keys_reconciled(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     schema = n.where("n_nationkey < 20").select(F.col("n_name").alias("key"), (F.col("n_regionkey") < 3).alias("required"))
     example = n.where("n_nationkey between 3 and 22").select(F.col("n_name").alias("key"))
     c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    services = c.select(F.when(F.col("c_acctbal") > 0, "dev").otherwise("prod").alias("env"), F.col("c_mktsegment").alias("service"), F.col("n_name").alias("key")).distinct()
-    return recon.reconcile_keys(schema, example, _settings(spark, sf_dir), services, n.where("n_regionkey = 4").select(F.col("n_name").alias("key")))
+    services = c.select(F.when(F.col("c_acctbal") > 0, "dev").otherwise("prod").alias("env"), F.col("c_mktsegment").alias("service"), F.col("n_name").alias("key"), F.when(F.col("c_custkey") % 2 == 0, "value").otherwise("sync:false").alias("declared")).distinct()
+    return recon.reconcile_keys(schema, example, _ordered_settings(spark, sf_dir), services, n.where("n_regionkey = 4").select(F.col("n_name").alias("key")), _guide(spark, sf_dir))
+
+
+def first_drift(spark, sf_dir):
+    return recon.first_drift(_ordered_settings(spark, sf_dir), _guide(spark, sf_dir))
 
 
 def scoped_lookup(spark, sf_dir):
@@ -125,6 +148,8 @@ QUERIES = {
     "so03_key_difference": key_difference,
     "tk06_canonical_order": canonical_order,
     "jn18_sections_found": sections_found,
+    "jn10_runs_without_manifest": runs_without_manifest,
+    "tk06_first_drift": first_drift,
     "jn19_provenance": provenance,
     "jn20_note_sources": note_sources,
     "jn08_expanded_queries": expanded_queries,
@@ -134,6 +159,9 @@ QUERIES = {
 }
 
 _PLAIN = f"(SELECT DISTINCT env, regexp_replace(key, '@.*$', '') AS key FROM ({_SETTINGS_SQL}))"
+_DRIFT = f"""stood AS (SELECT env, key, row_number() OVER (PARTITION BY env ORDER BY o, key) AS place, row_number() OVER (PARTITION BY env ORDER BY r IS NULL, r, contains(key, '@'), o, key) AS due
+    FROM (SELECT env, key, length(key) * 10 + ascii(key[-1]) AS o, 100 - n_nationkey AS r FROM ({_SETTINGS_SQL}) LEFT JOIN nation ON n_name = regexp_replace(key, '@.*$', '') AND n_regionkey > 0)),
+  drift AS (SELECT a.env, a.place, a.key AS found, b.key AS expected FROM stood a JOIN stood b ON a.env = b.env AND a.place = b.due WHERE a.key <> b.key QUALIFY row_number() OVER (PARTITION BY a.env ORDER BY a.place) = 1)"""
 _FIRST3 = r"regexp_extract(text, '^(\S+ \S+ \S+)', 1)"
 _TITLE = r"regexp_extract(text, '^([^\n]*)', 1)"
 
@@ -141,17 +169,23 @@ ORACLE = {
     "so02_disappeared": """SELECT DISTINCT o_custkey, 'disappeared' AS change FROM orders WHERE o_orderdate < DATE '1997-01-01' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1997-01-01')
         UNION ALL SELECT DISTINCT o_custkey, 'reappeared' FROM orders WHERE o_orderdate < DATE '1997-01-01' AND o_totalprice > 300000 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1997-01-01')""",
     "jn10_artifacts_audited": """WITH a AS (SELECT 'a/' || l_partkey AS p, CAST(trunc(sum(l_quantity)) AS BIGINT) AS s, max(l_returnflag) AS h FROM lineitem GROUP BY 1), k AS (SELECT * FROM a WHERE s % 3 = 0),
-        f AS (SELECT * FROM k UNION ALL SELECT * FROM (SELECT 'a/' || p_partkey || CASE WHEN p_size > 45 THEN '.part-1' ELSE '' END AS p, CAST(p_size * 20 AS BIGINT) AS s, 'R' AS h FROM part) WHERE p NOT IN (SELECT p FROM k))
-        SELECT CASE WHEN a.p IS NULL AND contains(f.p, '.part-') THEN 'incomplete' WHEN a.p IS NULL THEN 'orphan' WHEN f.p IS NULL THEN 'missing' WHEN a.s <> f.s THEN 'size_mismatch' WHEN a.h <> f.h THEN 'sha_mismatch' ELSE 'ok' END AS finding, count(*) AS n FROM a FULL JOIN f ON a.p = f.p GROUP BY 1""",
+        f AS (SELECT * FROM k UNION ALL SELECT * FROM (SELECT CASE WHEN p_size > 45 THEN 'a/.part-' || p_partkey WHEN p_size = 40 THEN 'a/' || p_partkey || '/manifest.json' WHEN p_size = 39 THEN 'artifacts/latest/' || p_partkey WHEN p_size = 38 THEN 'a/x.part-1/' || p_partkey ELSE 'a/' || p_partkey END AS p, CAST(p_size * 20 AS BIGINT) AS s, 'R' AS h FROM part) WHERE p NOT IN (SELECT p FROM k))
+        SELECT CASE WHEN a.p IS NULL AND contains(f.p, '/.part-') THEN 'incomplete' WHEN a.p IS NULL THEN 'orphan' WHEN f.p IS NULL THEN 'missing' WHEN a.s <> f.s THEN 'size_mismatch' WHEN a.h <> f.h THEN 'sha_mismatch' ELSE 'ok' END AS finding, count(*) AS n FROM a FULL JOIN f ON a.p = f.p WHERE a.p IS NOT NULL OR NOT (ends_with(f.p, '/manifest.json') OR starts_with(f.p, 'artifacts/latest/')) GROUP BY 1""",
+    "jn10_runs_without_manifest": "SELECT o_orderkey AS attempt_id FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0)",
+    "tk06_first_drift": f"WITH {_DRIFT} SELECT env, place::INTEGER AS place, found, expected FROM drift",
     "jn11_index_reconciled": """WITH i AS (SELECT DISTINCT 'corpus/' || source || '/' || lang AS p FROM documents), l AS (SELECT DISTINCT 'corpus/' || source || CASE WHEN quality = 1 THEN '/' ELSE '/x/' END || lang || '/' || d.doc_id AS k FROM labels JOIN documents d ON labels.doc_id = d.doc_id WHERE toxic = 1)
         SELECT count(*) AS n, 'matched' AS what FROM i WHERE EXISTS (SELECT 1 FROM l WHERE k = p OR starts_with(k, p || '/')) UNION ALL SELECT count(*), 'missing' FROM i WHERE NOT EXISTS (SELECT 1 FROM l WHERE k = p OR starts_with(k, p || '/'))
         UNION ALL SELECT count(*), 'stale' FROM l WHERE NOT EXISTS (SELECT 1 FROM i WHERE k = p OR starts_with(k, p || '/'))""",
     "jn12_keys_reconciled": f"""WITH s AS (SELECT n_name AS key, n_regionkey < 3 AS required FROM nation WHERE n_nationkey < 20), x AS (SELECT n_name AS key FROM nation WHERE n_nationkey BETWEEN 3 AND 22), p AS {_PLAIN},
-        v AS (SELECT DISTINCT CASE WHEN c_acctbal > 0 THEN 'dev' ELSE 'prod' END AS env, c_mktsegment AS service, n_name AS key FROM customer JOIN nation ON c_nationkey = n_nationkey),
+        v AS (SELECT DISTINCT CASE WHEN c_acctbal > 0 THEN 'dev' ELSE 'prod' END AS env, c_mktsegment AS service, n_name AS key, CASE WHEN c_custkey % 2 = 0 THEN 'value' ELSE 'sync:false' END AS how FROM customer JOIN nation ON c_nationkey = n_nationkey),
+        k AS (SELECT service, key, min(how) FILTER (env = 'dev') AS dev, min(how) FILTER (env = 'prod') AS prod FROM v WHERE service IN (SELECT service FROM v GROUP BY service HAVING count(DISTINCT env) = 2) GROUP BY ALL), {_DRIFT},
         f AS (SELECT 'A' AS "check", key, 'only_a' AS detail FROM s WHERE key NOT IN (SELECT key FROM x) UNION ALL SELECT 'A', key, 'only_b' FROM x WHERE key NOT IN (SELECT key FROM s)
           UNION ALL SELECT 'B', s.key, e.env FROM s, (SELECT DISTINCT env FROM p) e WHERE required AND NOT EXISTS (SELECT 1 FROM p WHERE p.env = e.env AND p.key = s.key)
-          UNION ALL SELECT 'C', key, env || '/' || service FROM v WHERE key NOT IN (SELECT key FROM s)
+          UNION ALL SELECT DISTINCT 'C', key, env || '/' || service FROM v WHERE key NOT IN (SELECT key FROM s)
           UNION ALL SELECT DISTINCT 'D', service, CASE WHEN env = 'dev' THEN 'only_a' ELSE 'only_b' END FROM v WHERE service NOT IN (SELECT service FROM v v2 WHERE v2.env <> v.env)
+          UNION ALL SELECT 'D', key, service || CASE WHEN dev IS NULL THEN ': only prod' WHEN prod IS NULL THEN ': only dev' ELSE ': dev ' || dev || ', prod ' || prod END FROM k WHERE dev IS DISTINCT FROM prod
+          UNION ALL SELECT DISTINCT 'F', key, CASE WHEN n_name IS NULL THEN 'not_in_guide' WHEN n_nationkey % 3 = 0 THEN 'secret_as_value' ELSE 'public_as_secret' END FROM v LEFT JOIN nation ON n_name = key AND n_regionkey > 0 WHERE n_name IS NULL OR (n_nationkey % 3 = 0 AND how = 'value') OR (n_nationkey % 3 = 1 AND how = 'sync:false')
+          UNION ALL SELECT 'H', found, env || ': expected ' || expected FROM drift
           UNION ALL SELECT 'E', key, env FROM p WHERE key NOT IN (SELECT key FROM s)
           UNION ALL SELECT 'G', key, CASE WHEN env = 'dev' THEN 'only_a' ELSE 'only_b' END FROM p WHERE key NOT IN (SELECT key FROM p p2 WHERE p2.env <> p.env))
         SELECT * FROM f WHERE key NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 4)""",

@@ -74,10 +74,14 @@ def reject_summary(spark, sf_dir):
 
 
 def ledger_rows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "lang")
-    sources = docs.select("item_id", F.when(F.col("lang") == "en", "seed").otherwise("import").alias("source_kind"))
-    out = ledger.ledger_rows(docs, sources, judgments(spark, sf_dir), attempts(spark, sf_dir))
-    return out.select("item_id", *(F.array_join(c, ",").alias(c) for c in ("source_kinds", "labels", "warnings", "errors")), "judgments", "attempts")
+    """Documents as items, found by two ways, with judgments, the runs of events and a file for every third run."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "lang", "source")
+    ways = F.explode(F.array(F.struct(F.when(F.col("lang") == "en", "seed").otherwise("import").alias("k"), F.col("source").alias("v")), F.struct(F.lit("internal_link").alias("k"), F.col("lang").alias("v"))))
+    sources = docs.select("item_id", ways.alias("w")).select("item_id", F.col("w.k").alias("source_kind"), F.col("w.v").alias("source_value"))
+    runs = attempts(spark, sf_dir).withColumn("operation", F.when(F.col("attempt_id") % 4 == 0, "map").otherwise("collect"))
+    files = runs.where("attempt_id % 3 = 0").select("attempt_id", F.concat(F.lit("artifacts/"), F.col("attempt_id").cast("string")).alias("path"))
+    out = ledger.ledger_rows(docs.select("item_id"), sources, judgments(spark, sf_dir), runs, files)
+    return out.select("item_id", *(F.array_join(c, ",").alias(c) for c in ("source_kinds", "sources", "labels", "warnings", "errors", "attempt_ids", "manifest_paths", "artifact_paths")), "judgments", "attempts")
 
 
 def filtered_ledger(spark, sf_dir):
@@ -276,15 +280,17 @@ def finished_attempts(spark, sf_dir):
 
 
 def judgment_reasons(spark, sf_dir):
+    """Labels as judgments written in JSON, some of them with a field that is missing or of another type."""
+    n = F.col("doc_id")
     labels = table(spark, sf_dir, "labels")
-    j = labels.select(
-        (F.col("doc_id") * 2).alias("item_id"),
-        F.when(F.col("doc_id") % 5 == 0, " ").when(F.col("toxic") == 1, "bad").when(F.col("quality") == 1, "good").alias("label"),
-        F.when(F.col("doc_id") % 7 == 0, F.lit(1.5)).when(F.col("doc_id") % 3 == 0, F.lit(0.5)).alias("confidence"),
-        F.when(F.col("doc_id") % 4 == 0, F.lit("seen")).otherwise("").alias("note"),
-        F.when(F.col("doc_id") % 11 == 0, F.lit(None).cast("array<bigint>")).otherwise(F.array(F.col("doc_id") * 2, F.col("doc_id") + 1)).alias("evidence_artifact_ids"),
-        "doc_id",
-    )
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    label = F.when(n % 13 == 1, F.lit("7")).when(n % 5 == 0, F.lit('" "')).when(F.col("toxic") == 1, F.lit('"bad"')).when(F.col("quality") == 1, F.lit('"good"')).otherwise(F.lit("null"))
+    confidence = F.when(n % 19 == 2, F.lit('"high"')).when(n % 7 == 0, F.lit("1.5")).when(n % 3 == 0, F.lit("0.5")).otherwise(F.lit("null"))
+    note = F.when(n % 23 == 3, F.lit("[]")).when(n % 4 == 0, F.lit('"seen"')).otherwise(F.lit('""'))
+    evidence = F.when(n % 11 == 0, F.lit("null")).otherwise(F.concat(F.lit("["), (n * 2).cast("string"), F.lit(","), (n + 1).cast("string"), F.lit("]")))
+    item = F.when(n % 29 == 4, F.lit('"x"')).when(n % 2 == 0, (n * 2).cast("string")).otherwise(text((n * 2).cast("string")))
+    fields = F.concat(F.lit('"item_id":'), item, F.lit(',"label":'), label, F.lit(',"confidence":'), confidence, F.when(n % 31 == 5, F.lit("")).otherwise(F.concat(F.lit(',"note":'), note)), F.lit(',"evidence_artifact_ids":'), evidence)
+    j = ledger.typed_judgments(labels.select("doc_id", F.when(n % 37 == 6, F.lit("{broken")).otherwise(F.concat(F.lit("{"), fields, F.lit("}"))).alias("json")))
     docs = table(spark, sf_dir, "documents")
     artifacts = docs.select(F.col("doc_id").alias("artifact_id"), F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 17 == 0, "size_mismatch").otherwise("ok").alias("state"))
     return ledger.check_judgments(j, docs.select(F.col("doc_id").alias("item_id")), artifacts).select("doc_id", F.coalesce("reason", F.lit("-")).alias("reason"))
@@ -378,9 +384,14 @@ ORACLE = {
     "ag06_conflicts": f"SELECT item_id, count(DISTINCT l) AS labels FROM (SELECT item_id, {_YES} AS l FROM ({JUDGMENTS_SQL})) WHERE l IS NOT NULL GROUP BY item_id HAVING count(DISTINCT l) > 1",
     "ag07_judgment_counts": f"SELECT count(*) AS total, count(label) AS labelled, count(*) - count(label) AS abstained, count(DISTINCT item_id) AS items_judged, CAST(0 AS BIGINT) AS conflicts FROM ({JUDGMENTS_SQL})",
     "ag08_reject_summary": "SELECT reason, count(*) AS n, min(event_id) AS first_line FROM (SELECT event_id, 'bad value N in ' || event_type || ' of N' AS reason FROM events WHERE event_type IN ('error', 'signup')) GROUP BY reason ORDER BY n DESC, reason LIMIT 5",
-    "ag09_ledger_rows": f"""SELECT d.doc_id AS item_id, CASE WHEN lang = 'en' THEN 'seed' ELSE 'import' END AS source_kinds, coalesce(l, '') AS labels, coalesce(w, '') AS warnings, coalesce(e, '') AS errors, coalesce(j, 0) AS judgments, coalesce(n, 0) AS attempts
-        FROM documents d LEFT JOIN (SELECT item_id, array_to_string(list_sort(list_distinct(list(label) FILTER (label IS NOT NULL))), ',') AS l, count(*) AS j FROM ({JUDGMENTS_SQL}) GROUP BY item_id) jj ON d.doc_id = jj.item_id
-        LEFT JOIN (SELECT item_id, array_to_string(list_sort(list_distinct(flatten(list(warning_codes)))), ',') AS w, array_to_string(list_sort(list_distinct(list(error_code) FILTER (error_code IS NOT NULL))), ',') AS e, count(*) AS n FROM ({ATTEMPTS_SQL}) GROUP BY item_id) aa ON d.doc_id = aa.item_id""",
+    "ag09_ledger_rows": f"""WITH s AS (SELECT doc_id AS item_id, unnest([CASE WHEN lang = 'en' THEN 'seed' ELSE 'import' END, 'internal_link']) AS k, unnest([source, lang]) AS v FROM documents),
+        ss AS (SELECT item_id, array_to_string(list_sort(list_distinct(list(k))), ',') AS source_kinds, array_to_string(list_sort(list_distinct(list(k || ':' || v))), ',') AS sources FROM s GROUP BY item_id),
+        a AS (SELECT *, attempt_id::VARCHAR AS aid FROM ({ATTEMPTS_SQL})),
+        aa AS (SELECT item_id, array_to_string(list_sort(list_distinct(flatten(list(warning_codes)))), ',') AS w, array_to_string(list_sort(list_distinct(list(error_code) FILTER (error_code IS NOT NULL))), ',') AS e, count(*) AS n, array_to_string(list_sort(list(aid)), ',') AS ids,
+          array_to_string(list_sort(list('artifacts/pages/' || item_id || '/' || aid || '/manifest.json') FILTER (attempt_id % 4 <> 0)), ',') AS m, array_to_string(list_sort(list('artifacts/' || aid) FILTER (attempt_id % 3 = 0)), ',') AS f FROM a GROUP BY item_id),
+        jj AS (SELECT item_id, array_to_string(list_sort(list_distinct(list(label) FILTER (label IS NOT NULL))), ',') AS l, count(*) AS j FROM ({JUDGMENTS_SQL}) GROUP BY item_id)
+        SELECT ss.item_id, source_kinds, sources, coalesce(l, '') AS labels, coalesce(w, '') AS warnings, coalesce(e, '') AS errors, coalesce(ids, '') AS attempt_ids, coalesce(m, '') AS manifest_paths, coalesce(f, '') AS artifact_paths, coalesce(j, 0) AS judgments, coalesce(n, 0) AS attempts
+        FROM ss LEFT JOIN jj ON ss.item_id = jj.item_id LEFT JOIN aa ON ss.item_id = aa.item_id""",
     "fl01_filtered_ledger": f"""SELECT i.item_id, work_state FROM ({ITEMS_SQL}) i WHERE work_state IN ('queued', 'leased') AND i.item_id IN (SELECT item_id FROM ({JUDGMENTS_SQL}) WHERE label = 'yes')
         AND i.item_id IN (SELECT attempt_id FROM ({ATTEMPTS_SQL}) WHERE list_has_any(warning_codes, ['redirected', 'thin_text']))""",
     "ag10_domain_states": f"SELECT domain, {_STATES} FROM ({ITEMS_SQL}) GROUP BY domain",
@@ -405,7 +416,7 @@ ORACLE = {
     "ag30_inventory": "SELECT o_orderpriority, count(*) AS items, count(*) FILTER (strftime(o_orderdate, '%Y-%m') < '1997-06') AS untidied FROM orders GROUP BY 1",
     "tk07_fit_budget": f"""SELECT attempt_id, item_id, CAST(used AS BIGINT) AS used, dropped FROM (SELECT *, count(*) FILTER (used > 1500) OVER (PARTITION BY item_id) AS dropped FROM (
         SELECT attempt_id, item_id, sum(k + 20) OVER (PARTITION BY item_id ORDER BY attempt_id ROWS UNBOUNDED PRECEDING) AS used FROM ({ATTEMPTS_SQL}))) WHERE used <= 1500""",
-    "tk08_list_notes": "SELECT doc_id, kind, CAST(r AS INTEGER) AS rank FROM (SELECT doc_id, kind, row_number() OVER (PARTITION BY kind ORDER BY n_chars DESC, doc_id DESC) AS r FROM (SELECT *, CASE WHEN lang = 'en' THEN 'date' ELSE lang END AS kind FROM documents)) WHERE kind <> 'date' OR r <= 30",
+    "tk08_list_notes": "SELECT doc_id, kind, CASE WHEN kind = 'date' THEN CAST(r AS INTEGER) END AS rank FROM (SELECT doc_id, kind, row_number() OVER (PARTITION BY kind ORDER BY n_chars DESC, doc_id DESC) AS r FROM (SELECT *, CASE WHEN lang = 'en' THEN 'date' ELSE lang END AS kind FROM documents)) WHERE kind <> 'date' OR r <= 30",
     "wn02_latest_per": f"SELECT item_id, arg_max(attempt_id, (started_at, attempt_id)) AS attempt_id, arg_max(result, (started_at, attempt_id)) AS result FROM ({ATTEMPTS_SQL}) GROUP BY item_id",
     "wn04_series_novelty": f"WITH {_NOVEL} SELECT series, idx AS page, coalesce(novelty, -1) AS novelty FROM n",
     "wn04_series_dryness": f"""WITH RECURSIVE {_NOVEL}, p AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY idx) AS r FROM n),
@@ -440,9 +451,10 @@ ORACLE = {
         SELECT item_id, CASE WHEN work_state = 'leased' AND result = 'failed' THEN 'failed' ELSE work_state END AS work_state, CASE WHEN work_state = 'leased' AND result = 'failed' THEN '-' ELSE coalesce(lease_id, '-') END AS lease_id FROM ({ITEMS_SQL}) LEFT JOIN r ON item_id = i""",
     "lt05_finished_attempts": f"""WITH a AS ({ATTEMPTS_SQL}), r AS (SELECT attempt_id - attempt_id % 2 AS i, result, error_stage, error_code, row_number() OVER (PARTITION BY attempt_id - attempt_id % 2 ORDER BY started_at, result) AS n FROM a)
         SELECT why, count(*) AS n FROM (SELECT CASE WHEN a.k % 9 = 0 OR r.n > 1 THEN 'already_finished' WHEN r.result = 'failed' AND (r.error_stage IS NULL OR r.error_code IS NULL) THEN 'failure_needs_stage_and_code' END AS why FROM r JOIN a ON r.i = a.attempt_id) WHERE why IS NOT NULL GROUP BY why""",
-    "val02_judgment_reasons": """WITH n AS (SELECT max(doc_id) AS m FROM documents), j AS (SELECT doc_id, doc_id * 2 AS i, CASE WHEN doc_id % 5 = 0 THEN ' ' WHEN toxic = 1 THEN 'bad' WHEN quality = 1 THEN 'good' END AS label, CASE WHEN doc_id % 7 = 0 THEN 1.5 WHEN doc_id % 3 = 0 THEN 0.5 END AS c, doc_id % 4 = 0 AS noted FROM labels)
-        SELECT doc_id, CASE WHEN i > m THEN 'item_not_here' WHEN label = ' ' THEN 'label_blank' WHEN c > 1 THEN 'confidence_range' WHEN c IS NOT NULL AND label IS NULL THEN 'confidence_without_label' WHEN label IS NULL AND NOT noted THEN 'abstain_needs_note'
-          WHEN doc_id % 11 = 0 THEN 'evidence_type' WHEN i % 17 = 0 THEN 'evidence_size_mismatch' WHEN doc_id + 1 > m THEN 'evidence_not_found' WHEN (doc_id + 1) % 17 = 0 THEN 'evidence_size_mismatch' WHEN doc_id + 1 <> i THEN 'evidence_other_item' ELSE '-' END AS reason FROM j, n""",
+    "val02_judgment_reasons": """WITH m AS (SELECT max(doc_id) AS m FROM documents), j AS (SELECT doc_id, doc_id * 2 AS i, CASE WHEN doc_id % 5 = 0 THEN ' ' WHEN toxic = 1 THEN 'bad' WHEN quality = 1 THEN 'good' END AS label, CASE WHEN doc_id % 7 = 0 THEN 1.5 WHEN doc_id % 3 = 0 THEN 0.5 END AS c, doc_id % 4 = 0 AS noted FROM labels)
+        SELECT doc_id, CASE WHEN doc_id % 37 = 6 THEN 'json_parse' WHEN doc_id % 31 = 5 THEN 'missing_field:note' WHEN doc_id % 29 = 4 THEN 'item_id_type' WHEN i > m THEN 'item_not_here' WHEN doc_id % 13 = 1 THEN 'label_type' WHEN label = ' ' THEN 'label_blank' WHEN doc_id % 19 = 2 THEN 'confidence_type'
+          WHEN c > 1 THEN 'confidence_range' WHEN c IS NOT NULL AND label IS NULL THEN 'confidence_without_label' WHEN doc_id % 23 = 3 THEN 'note_type' WHEN label IS NULL AND NOT noted THEN 'abstain_needs_note'
+          WHEN doc_id % 11 = 0 THEN 'evidence_type' WHEN i % 17 = 0 THEN 'evidence_size_mismatch' WHEN doc_id + 1 > m THEN 'evidence_not_found' WHEN (doc_id + 1) % 17 = 0 THEN 'evidence_size_mismatch' WHEN doc_id + 1 <> i THEN 'evidence_other_item' ELSE '-' END AS reason FROM j, m""",
     "val01_audited": f"""WITH i AS (SELECT item_id, 'u' || (item_id % 9000) AS u, CASE WHEN item_id % 100 = 3 THEN 'lost' ELSE work_state END AS s, CASE WHEN item_id % 50 <> 1 THEN lease_id END AS l FROM ({ITEMS_SQL})),
         q AS (SELECT page_id * 50 AS item_id, CASE WHEN page_id % 20 = 0 THEN 'rumour' ELSE 'seed' END AS k, 'x' AS v FROM pages UNION ALL SELECT page_id - page_id % 25, 'seed', 'y' FROM pages),
         j AS (SELECT item_id, label, CASE WHEN worker_id = 'toxic' THEN 0.5 END AS c, item_id % 2 = 0 AS noted FROM ({JUDGMENTS_SQL})),

@@ -205,12 +205,12 @@ ORACLE = {
     "tx06_clean_turns": r"SELECT conv_id, turn, sha256(regexp_replace(regexp_replace(text || chr(10) || chr(10) || chr(10) || chr(10) || '  ' || chr(10) || '[tool: ' || role || ']', '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_hash FROM conversations",
     "tx07_lint_rules": r"SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)licensed under') THEN 'licence line' END, CASE WHEN regexp_matches(text, '\| [^|]*\|') THEN 'table residue' END, CASE WHEN regexp_matches(text, '###|%%%') THEN 'marks' END, CASE WHEN regexp_matches(text, '(?i)idiot|scum') THEN 'insult' END], lambda r: r IS NOT NULL), ',') AS reasons FROM documents",
     "tx08_out_of_corpus": rf"""
-WITH t AS (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest({_SPLIT}) AS token FROM documents) WHERE length(token) >= 2 AND token <> 'the' AND NOT regexp_matches(token, '^[0-9]+\p{{L}}{{0,3}}$')),
-w AS (SELECT DISTINCT w FROM (SELECT unnest({_SPLIT.replace('text', 'p_name')}) AS w FROM part) WHERE length(w) >= 2),
-p AS (SELECT DISTINCT substr(w, i, 2) AS pair FROM (SELECT w, unnest(range(1, length(w))) AS i FROM w)),
-f AS (SELECT doc_id, token, unnest(list_concat([token, CASE WHEN regexp_matches(token, '..s$') THEN left(token, -1) END, CASE WHEN regexp_matches(token, '..(es|ed)$') THEN left(token, -2) END, CASE WHEN regexp_matches(token, '..ing$') THEN left(token, -3) END], list_transform(range(2, length(token)), lambda i: left(token, i)))) AS form FROM t),
-h AS (SELECT DISTINCT token FROM f JOIN p ON length(form) = 2 AND form = pair OR length(form) > 2 AND left(form, 2) = pair)
-SELECT doc_id, token, CASE WHEN regexp_matches(token, '..(s|es|ed|ing)$') THEN 'soft' ELSE 'missing' END AS verdict FROM t WHERE token NOT IN (SELECT token FROM h)""",
+WITH t AS (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest({_SPLIT}) AS token FROM documents) WHERE length(token) >= 2 AND token <> 'the' AND NOT regexp_matches(token, '^[0-9]+$')),
+c AS (SELECT string_agg(w, ' ') AS corpus FROM (SELECT DISTINCT unnest({_SPLIT.replace('text', 'p_name')}) AS w FROM part)),
+u AS (SELECT DISTINCT token, regexp_extract(token, '^[0-9]+(\p{{L}}{{1,3}})', 1) AS unit, CASE WHEN unicode(token[-1]) BETWEEN 44032 AND 55203 AND (unicode(token[-1]) - 44032) % 28 IN (4, 8, 16) THEN token[:-2] || chr((unicode(token[-1]) - (unicode(token[-1]) - 44032) % 28)::INTEGER) END AS bare FROM t),
+f AS (SELECT token, unit, bare, list_filter(list_concat([token, bare, CASE WHEN regexp_matches(token, '..s$') THEN left(token, -1) END, CASE WHEN regexp_matches(token, '..(es|ed)$') THEN left(token, -2) END, CASE WHEN regexp_matches(token, '..ing$') THEN left(token, -3) END], list_transform(range(2, length(token)), lambda i: left(token, i))), lambda x: x IS NOT NULL) AS forms FROM u),
+h AS (SELECT token FROM f, c WHERE (unit <> '' AND contains(corpus, unit)) OR len(list_filter(forms, lambda x: contains(corpus, x))) > 0)
+SELECT doc_id, t.token, CASE WHEN regexp_matches(t.token, '{ops.INFLECTED}') OR bare IS NOT NULL THEN 'soft' ELSE 'missing' END AS verdict FROM t JOIN f ON f.token = t.token WHERE t.token NOT IN (SELECT token FROM h)""",
     "tx09_odd_pairs": rf"""
 WITH b AS (SELECT item_id, list_filter({_SPLIT}, lambda w: w <> '') AS w FROM benchmark), d AS MATERIALIZED (SELECT list_filter({_SPLIT}, lambda w: w <> '') AS w FROM documents),
 bp AS MATERIALIZED (SELECT DISTINCT item_id, w[i] AS first, w[i + 1] AS second FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM b)),

@@ -460,3 +460,27 @@ def test_profiles_and_markdown_reach_the_verdict(spark):
     assert "profile_signature_match" in out[1].evidence and out[2].negatives == ["profile_signature_changed"]
     assert out[3].evidence == [f"markdown_text:{len(long.strip())}"] and out[4].evidence == out[3].evidence and out[3].extraction == "uncertain"
     assert out[5].negatives == ["thin_text:5"] and out[6].negatives == ["error_phrase:not found"] and out[7].negatives == ["http_403"]
+
+
+def test_final_consonants_and_units(spark):
+    corpus = spark.createDataFrame([("갖추다 만들 열두 종이",)], "text string")
+    words = ["갖춘", "갖출", "갖춰", "든", "12종", "3개", "42", "만든", "없는", "없음", "한"]
+    df = spark.createDataFrame([(1, " ".join(words))], "id int, text string")
+    got = {r.token: r.verdict for r in text.out_of_corpus(df, corpus, "text", "id").collect()}
+    # 갖춘 and 갖출 are 갖추 with a final consonant; 12종 has a unit of the corpus; words of one letter aren't looked at.
+    assert got == {"갖춰": "missing", "3개": "missing", "만든": "soft", "없는": "soft", "없음": "soft"}
+
+
+def test_ledger_rows_for_exports(spark):
+    items = spark.createDataFrame([(1,), (2,)], "item_id int")
+    sources = spark.createDataFrame([(1, "seed", "b"), (1, "seed", "a"), (1, "seed", "a")], "item_id int, source_kind string, source_value string")
+    judgments = spark.createDataFrame([(1, "x"), (1, None), (1, "y")], "item_id int, label string")
+    attempts = spark.createDataFrame([(1, "r1", ["w", "v"], None, "collect"), (1, "r2", ["w"], "e", "map"), (None, "r3", None, None, "search")], "item_id int, attempt_id string, warning_codes array<string>, error_code string, operation string")
+    artifacts = spark.createDataFrame([("r1", "p2"), ("r1", "p1"), ("r3", "p3")], "attempt_id string, path string")
+    one, two = ledger.ledger_rows(items, sources, judgments, attempts, artifacts).orderBy("item_id").collect()
+    assert (one.source_kinds, one.sources, one.labels, one.judgments) == (["seed"], ["seed:a", "seed:b"], ["x", "y"], 3)
+    assert (one.warnings, one.errors, one.attempt_ids, one.manifest_paths, one.artifact_paths) == (["v", "w"], ["e"], ["r1", "r2"], ["artifacts/pages/1/r1/manifest.json"], ["p1", "p2"])
+    assert (two.sources, two.artifact_paths, two.attempts, two.judgments) == ([], [], 0, 0)
+    keys = spark.createDataFrame([(1, "a"), (1, None)], "item_id int, source_value string")
+    assert [r.source_value for r in ledger.exists_in(keys, sources, ["item_id", "source_value"]).collect()] == ["a"]
+    assert [r.source_value for r in ledger.exists_in(keys, sources, ["item_id", "source_value"], negate=True).collect()] == [None]
