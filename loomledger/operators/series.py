@@ -132,10 +132,15 @@ def next_tasks(tasks: DataFrame) -> DataFrame:
     return going.unionByName(ready).withColumn("_r", F.row_number().over(rank)).where("_r = 1").drop("_r", "_first")
 
 
-def group_dashboard(groups: DataFrame, tasks: DataFrame) -> DataFrame:
-    """group_id, done, total and next_open (smallest open number) of every group, groups without tasks included."""
+def group_dashboard(groups: DataFrame, tasks: DataFrame, notes: DataFrame | None = None, plans: DataFrame | None = None) -> DataFrame:
+    """group_id, done, total and next_open (smallest open number) of every group, groups without tasks included; with notes and plans (group_id) their numbers too."""
     counts = tasks.groupBy("group_id").agg(F.count_if(F.col("status") == "completed").alias("done"), F.count(F.lit(1)).alias("total"), F.min(F.when(F.col("status") != "completed", F.col("number"))).alias("next_open"))
-    return groups.join(counts, "group_id", "left").na.fill(0, ["done", "total"])
+    out, named = groups.join(counts, "group_id", "left"), ["done", "total"]
+    for name, table in (("notes", notes), ("plans", plans)):
+        if table is not None:
+            out = out.join(table.groupBy("group_id").agg(F.count(F.lit(1)).alias(name)), "group_id", "left")
+            named.append(name)
+    return out.na.fill(0, named)
 
 
 def campaign_summary(dashboard: DataFrame, campaign: str) -> DataFrame:

@@ -65,12 +65,23 @@ def domain_states(items: DataFrame) -> DataFrame:
     return items.groupBy("domain").pivot("work_state", list(WORK_STATES)).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def folder_map(docs: DataFrame, path: str, measures: dict[str, str]) -> DataFrame:
-    """folder, depth, documents and the sums of measures (name to column) of every folder at every level above the documents' paths."""
+def folder_map(docs: DataFrame, path: str, measures: dict[str, str], dates: dict[str, str] | None = None, title: str | None = None) -> DataFrame:
+    """folder, depth, documents, subfolders (direct ones) and the sums of measures (name to column) of every folder at every level above the documents' paths; the largest of dates (name to column); with
+    title (a column), readme_title: the title of the folder's own README, or null."""
     parts = F.split(path, "/")
     levels = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    rows = docs.where(F.size(parts) > 1).select(F.explode(levels).alias("folder"), *measures.values())
-    return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("documents"), *(F.sum(c).alias(name) for name, c in measures.items())).withColumn("depth", F.size(F.split("folder", "/")))
+    own = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
+    dates = dates or {}
+    readme = F.when(F.lower(F.element_at(parts, -1)) == "readme.md", F.col(title)) if title else F.lit(None).cast("string")
+    rows = docs.where(F.size(parts) > 1).select(F.explode(levels).alias("folder"), own.alias("_own"), readme.alias("_title"), *dict.fromkeys([*measures.values(), *dates.values()]))
+    out = rows.groupBy("folder").agg(
+        F.count(F.lit(1)).alias("documents"),
+        *(F.sum(c).alias(name) for name, c in measures.items()),
+        *(F.max(c).alias(name) for name, c in dates.items()),
+        *([F.min(F.when(F.col("_own") == F.col("folder"), F.col("_title"))).alias("readme_title")] if title else []),
+    )
+    children = out.select(F.regexp_replace("folder", "/?[^/]*$", "").alias("folder")).where("folder <> ''").groupBy("folder").agg(F.count(F.lit(1)).alias("subfolders"))
+    return out.join(children, "folder", "left").na.fill(0, ["subfolders"]).withColumn("depth", F.size(F.split("folder", "/")))
 
 
 def revision_stats(commits: DataFrame, path: str, date: str) -> DataFrame:

@@ -134,9 +134,13 @@ def image_counts(spark, sf_dir):
 
 
 def discovery_counts(spark, sf_dir):
-    """Orders as files of a discovery run, pages as what they list."""
-    files = table(spark, sf_dir, "orders").select(_pick(("urlset", "sitemapindex", "unreadable", "skipped"), F.col("o_orderkey")).alias("kind"), (F.col("o_custkey") % 5).alias("depth"))
-    return stats.sitemap_run_counts(files, table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^([^?#]*)", 1).alias("canonical_url")))
+    """Orders as files of a discovery run, pages as what they list, some errors and two limits that were met."""
+    o = table(spark, sf_dir, "orders")
+    files = o.select(_pick(("urlset", "sitemapindex", "unreadable", "skipped"), F.col("o_orderkey")).alias("kind"), (F.col("o_custkey") % 5).alias("depth"))
+    errors = o.where("o_orderkey % 4 = 2 or o_orderstatus = 'P'").select(F.lit("unreadable").alias("code"))
+    limits = o.select(_pick(("max_files", "max_urls"), F.col("o_orderkey")).alias("limit_hit"))
+    out = stats.sitemap_run_counts(files, table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^([^?#]*)", 1).alias("canonical_url")), errors, limits)
+    return out.withColumn("limits_hit", F.array_join("limits_hit", ","))
 
 
 def applied_reports(spark, sf_dir):
@@ -254,7 +258,7 @@ c AS (SELECT page_id, count(DISTINCT k) AS "unique", {", ".join(f"CAST(coalesce(
   count(*) FILTER (t = 'view') AS downloaded, count(*) FILTER (t = 'error') AS failed, CAST(coalesce(sum(k) FILTER (t = 'view'), 0) AS BIGINT) AS bytes, count(*) FILTER (k % 7 = 0) AS mismatches FROM e GROUP BY page_id)
 SELECT *, concat_ws(',', CASE WHEN failed > 0 AND downloaded > 0 THEN 'image_fetch_partial' END, CASE WHEN failed > 0 AND downloaded = 0 THEN 'image_fetch_none' END, CASE WHEN mismatches > 0 THEN 'image_mime_mismatch' END) AS warnings FROM c""",
     "ag20_discovery_counts": """
-SELECT f.*, u.*, unreadable > 0 OR skipped > 0 AS partial
+SELECT f.*, u.*, (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 2 OR o_orderstatus = 'P') AS errors, (SELECT array_to_string(list_sort(list_distinct(list(CASE WHEN o_orderkey % 2 = 0 THEN 'max_files' ELSE 'max_urls' END))), ',') FROM orders) AS limits_hit, unreadable > 0 OR skipped > 0 AS partial
 FROM (SELECT count(*) FILTER (k <> 3) AS opened, count(*) FILTER (k = 3) AS skipped, count(*) FILTER (k = 1) AS indexes, count(*) FILTER (k = 0) AS urlsets, count(*) FILTER (k = 2) AS unreadable, max(d) AS max_depth FROM (SELECT o_orderkey % 4 AS k, o_custkey % 5 AS d FROM orders)) f,
   (SELECT count(DISTINCT c) AS urls, count(*) - count(DISTINCT c) AS duplicates FROM (SELECT regexp_extract(url, '^([^?#]*)', 1) AS c FROM pages)) u""",
     "lt02_applied_reports": """

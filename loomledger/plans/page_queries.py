@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomledger.operators import docs as doc_ops
 from loomledger.operators import html as ops
+from loomledger.operators import reviews
 from loomledger.sources.tables import PAGE_LINKS_SQL, table
 
 _QUERIES = [("thanedble", False), ("src3", False), ("en", True), ("queen", True)]
@@ -53,9 +54,9 @@ def capped_page(spark, sf_dir):
 
 
 def folder_order(spark, sf_dir):
-    """Folders by their number of documents, ties by name."""
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
-    return d.orderBy(F.desc("documents"), "source")
+    """Sources as folders, by their measures."""
+    counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
+    return reviews.sort_map(counts, "documents", "source")
 
 
 QUERIES = {
@@ -81,7 +82,7 @@ ORACLE = {
     "ht03_link_totals": f"""SELECT page_id, count(*) AS total, count(*) FILTER (starts_with(href, '/') OR starts_with(href, '#')) AS internal, CAST(0 AS BIGINT) AS external, count(*) FILTER (starts_with(href, '#')) AS fragment_only FROM ({PAGE_LINKS_SQL}) GROUP BY page_id""",
     "tk01_searched": _search_sql(),
     "tk02_capped_page": "SELECT source, doc_id, n_chars FROM documents ORDER BY source, doc_id LIMIT 50 OFFSET 50",
-    "tk05_folder_order": "SELECT source, count(*) AS documents FROM documents GROUP BY source ORDER BY documents DESC, source",
+    "tk05_folder_order": "SELECT source, count(*) AS documents, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source ORDER BY documents DESC, source",
     "wn06_section_hits": r"""
 WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS path, unnest(range(len(a))) AS line, unnest(a) AS content FROM (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS a FROM documents)),
 o AS (SELECT path, 's' || (line - line % 3) AS address, line % 3 = 0 AS head FROM l WHERE contains(lower(content), 'licensed'))

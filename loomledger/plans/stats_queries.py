@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomledger.operators import ledger, series, stats
+from loomledger.operators import ledger, reviews, series, stats
 from loomledger.sources.tables import ATTEMPTS_SQL, JUDGMENTS_SQL, TASKS_SQL, attempts, judgments, table, tasks
 
 _NOW_SQL = "TIMESTAMP '2024-01-10 00:00:00'"
@@ -96,8 +96,10 @@ def domain_states(spark, sf_dir):
 
 
 def folder_map(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", F.lit("corpus"), "source", "lang", F.col("doc_id").cast("string")))
-    return stats.folder_map(docs.withColumn("lines", F.size(F.split("text", "\n"))), "path", {"lines": "lines", "chars": "n_chars"})
+    """Documents in folders of source and language; every 50th is its folder's README."""
+    name = F.when(F.col("doc_id") % 50 == 7, "README.md").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", F.lit("corpus"), "source", "lang", name)).withColumn("title", F.substring_index("text", "\n", 1))
+    return stats.folder_map(docs.withColumn("lines", F.size(F.split("text", "\n"))), "path", {"lines": "lines", "chars": "n_chars"}, {"newest": "doc_id"}, "title")
 
 
 def revision_stats(spark, sf_dir):
@@ -148,8 +150,10 @@ def presence_matrix(spark, sf_dir):
 
 
 def inventory(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
-    return stats.inventory(o, "o_orderpriority", "month", "1997-06")
+    """Orders by priority; an index that lists those of two customers in three, and some orders that aren't there."""
+    o = table(spark, sf_dir, "orders").withColumns({"month": F.date_format("o_orderdate", "yyyy-MM"), "path": F.col("o_orderkey").cast("string")})
+    listed = o.where("o_custkey % 3 <> 0").select("o_orderpriority", "path").unionByName(o.where("o_orderkey % 100 = 1").select("o_orderpriority", F.concat("path", F.lit("-gone")).alias("path")))
+    return stats.inventory(o, "o_orderpriority", "month", "1997-06", listed)
 
 
 def fit_budget(spark, sf_dir):
@@ -244,7 +248,11 @@ def _dashboard(spark, sf_dir):
 
 
 def group_dashboard(spark, sf_dir):
-    return _dashboard(spark, sf_dir).select("group_id", "done", "total", "next_open")
+    """Orders as groups of tasks, events as their notes, returned parts as plans."""
+    notes = table(spark, sf_dir, "events").select(F.col("user_id").alias("group_id"))
+    plans = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("group_id"))
+    groups = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("group_id"))
+    return series.group_dashboard(groups, tasks(spark, sf_dir), notes, plans).select("group_id", "done", "total", "next_open", "notes", "plans")
 
 
 def campaign_summary(spark, sf_dir):
@@ -252,9 +260,21 @@ def campaign_summary(spark, sf_dir):
 
 
 def filtered_groups(spark, sf_dir):
-    """Groups with open tasks of customers in one market segment."""
-    mine = table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("campaign"))
-    return _dashboard(spark, sf_dir).where("total > done").join(mine, "campaign", "left_semi").select("group_id", "campaign")
+    """Groups that aren't finished or empty, with a task of priority over 40 of one's own."""
+    mine = tasks(spark, sf_dir).where("priority > 40 and status <> 'completed'").select("group_id")
+    return reviews.filter_groups(_dashboard(spark, sf_dir), hide_done=True, hide_empty=True, mine=mine).select("group_id", "campaign")
+
+
+def campaign_groups(spark, sf_dir):
+    """All groups of one campaign that aren't finished."""
+    return reviews.filter_groups(_dashboard(spark, sf_dir), hide_done=True, campaign=7).select("group_id", "done", "total")
+
+
+def existing_items(spark, sf_dir):
+    """Customers without an order (NOT EXISTS) and with one (EXISTS), counted by market segment."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    tag = lambda negate, name: ledger.exists_in(c, o, ["c_custkey"], negate).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(name))
+    return tag(False, "exists").unionByName(tag(True, "not_exists"))
 
 
 def reclaimed(spark, sf_dir):
@@ -355,6 +375,8 @@ QUERIES = {
     "ag21_group_dashboard": group_dashboard,
     "ag22_campaign_summary": campaign_summary,
     "fl07_filtered_groups": filtered_groups,
+    "fl07_campaign_groups": campaign_groups,
+    "jn02_existing": existing_items,
     "lt01_reclaimed": reclaimed,
     "lt03_retried": retried,
     "lt04_applied_results": applied_results,
@@ -395,9 +417,9 @@ ORACLE = {
     "fl01_filtered_ledger": f"""SELECT i.item_id, work_state FROM ({ITEMS_SQL}) i WHERE work_state IN ('queued', 'leased') AND i.item_id IN (SELECT item_id FROM ({JUDGMENTS_SQL}) WHERE label = 'yes')
         AND i.item_id IN (SELECT attempt_id FROM ({ATTEMPTS_SQL}) WHERE list_has_any(warning_codes, ['redirected', 'thin_text']))""",
     "ag10_domain_states": f"SELECT domain, {_STATES} FROM ({ITEMS_SQL}) GROUP BY domain",
-    "ag13_folder_map": """WITH d AS (SELECT 'corpus/' || source || '/' || lang AS p, len(string_split(text, chr(10))) AS lines, n_chars FROM documents),
-        f AS (SELECT array_to_string(string_split(p, '/')[1:i], '/') AS folder, i AS depth, lines, n_chars FROM d, (VALUES (1), (2), (3)) v(i))
-        SELECT folder, count(*) AS documents, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(depth AS INTEGER) AS depth FROM f GROUP BY folder, depth""",
+    "ag13_folder_map": """WITH d AS (SELECT 'corpus/' || source || '/' || lang AS own, len(string_split(text, chr(10))) AS lines, n_chars, doc_id, CASE WHEN doc_id % 50 = 7 THEN string_split(text, chr(10))[1] END AS title FROM documents),
+        f AS (SELECT *, unnest(['corpus', regexp_extract(own, '^corpus/[^/]*'), own]) AS folder FROM d), g AS (SELECT folder, count(*) AS documents, sum(lines)::BIGINT AS lines, sum(n_chars)::BIGINT AS chars, max(doc_id) AS newest, min(title) FILTER (own = folder) AS readme_title FROM f GROUP BY folder)
+        SELECT g.*, (SELECT count(*) FROM g c WHERE regexp_replace(c.folder, '/?[^/]*$', '') = g.folder) AS subfolders, len(string_split(folder, '/'))::INTEGER AS depth FROM g""",
     "ag23_revision_stats": "SELECT o_custkey, max(o_orderdate) AS last_revision, count(*) AS revisions FROM orders GROUP BY o_custkey",
     "ag24_speaker_counts": "SELECT role, count(*) AS n FROM conversations WHERE turn + 1 BETWEEN 2 AND 5 GROUP BY role",
     "ag25_lease_health": f"SELECT count(*) FILTER (lease_expires_at <= {_NOW_SQL}) AS expired, count(*) FILTER (lease_expires_at > {_NOW_SQL} AND lease_expires_at <= {_NOW_SQL} + INTERVAL 1 DAY) AS expiring, count(DISTINCT lease_id) FILTER (lease_expires_at > {_NOW_SQL}) AS active_leases FROM ({ITEMS_SQL}) WHERE work_state = 'leased'",
@@ -413,7 +435,7 @@ ORACLE = {
     "ag29_presence_matrix": """WITH s AS (SELECT DISTINCT r_name AS env, n_name AS k, s_acctbal > 3000 AS plain FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
         SELECT r_name AS env, n_name AS key, 'app' AS app, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.env = r_name AND s.k = n_name AND NOT plain) THEN 'filled_by_scope' WHEN EXISTS (SELECT 1 FROM s WHERE s.env = r_name AND s.k = n_name AND plain) THEN 'filled'
           WHEN n_nationkey % 2 = 0 THEN 'empty_required' ELSE 'empty_optional' END AS presence FROM nation, region""",
-    "ag30_inventory": "SELECT o_orderpriority, count(*) AS items, count(*) FILTER (strftime(o_orderdate, '%Y-%m') < '1997-06') AS untidied FROM orders GROUP BY 1",
+    "ag30_inventory": "SELECT o_orderpriority, count(*) AS items, count(*) FILTER (strftime(o_orderdate, '%Y-%m') < '1997-06') AS untidied, count(*) FILTER (o_custkey % 3 = 0) AS index_missing, count(*) FILTER (o_orderkey % 100 = 1) AS index_stale FROM orders GROUP BY 1",
     "tk07_fit_budget": f"""SELECT attempt_id, item_id, CAST(used AS BIGINT) AS used, dropped FROM (SELECT *, count(*) FILTER (used > 1500) OVER (PARTITION BY item_id) AS dropped FROM (
         SELECT attempt_id, item_id, sum(k + 20) OVER (PARTITION BY item_id ORDER BY attempt_id ROWS UNBOUNDED PRECEDING) AS used FROM ({ATTEMPTS_SQL}))) WHERE used <= 1500""",
     "tk08_list_notes": "SELECT doc_id, kind, CASE WHEN kind = 'date' THEN CAST(r AS INTEGER) END AS rank FROM (SELECT doc_id, kind, row_number() OVER (PARTITION BY kind ORDER BY n_chars DESC, doc_id DESC) AS r FROM (SELECT *, CASE WHEN lang = 'en' THEN 'date' ELSE lang END AS kind FROM documents)) WHERE kind <> 'date' OR r <= 30",
@@ -442,9 +464,11 @@ ORACLE = {
     "jn17_eligible_tasks": f"WITH {_TASK_NEEDS} SELECT t.group_id, CAST(t.number AS INTEGER) AS number, t.priority FROM t JOIN u ON t.group_id = u.group_id AND t.number = u.number WHERE coalesce(len(unresolved), 0) = 0",
     "jn17_blocked_tasks": f"WITH {_TASK_NEEDS} SELECT group_id, CAST(number AS INTEGER) AS number, array_to_string(unresolved, ',') AS unresolved FROM u WHERE len(unresolved) > 0",
     "tk04_next_tasks": f"WITH {_TASK_NEEDS} SELECT group_id, CAST(number AS INTEGER) AS number, priority FROM (SELECT t.*, row_number() OVER (PARTITION BY t.group_id ORDER BY priority DESC, t.number) AS r FROM t JOIN u ON t.group_id = u.group_id AND t.number = u.number WHERE coalesce(len(unresolved), 0) = 0) WHERE r = 1",
-    "ag21_group_dashboard": f"WITH {_DASH} SELECT group_id, done, total, CAST(next_open AS INTEGER) AS next_open FROM d",
+    "ag21_group_dashboard": f"WITH {_DASH} SELECT d.group_id, done, total, CAST(next_open AS INTEGER) AS next_open, coalesce(e.n, 0) AS notes, coalesce(l.n, 0) AS plans FROM d LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) e ON user_id = group_id LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON l_orderkey = group_id",
     "ag22_campaign_summary": f"WITH {_DASH} SELECT campaign, count(*) AS groups, CAST(sum(total - done) AS BIGINT) AS open_tasks, CAST(sum(total) AS BIGINT) AS total_tasks, count(*) FILTER (total = 0 OR done = total) AS hidden_groups FROM d GROUP BY campaign",
-    "fl07_filtered_groups": f"WITH {_DASH} SELECT group_id, campaign FROM d WHERE total > done AND campaign IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')",
+    "fl07_filtered_groups": f"WITH {_DASH} SELECT group_id, campaign FROM d WHERE total > done AND group_id IN (SELECT group_id FROM t WHERE priority > 40 AND status <> 'completed')",
+    "fl07_campaign_groups": f"WITH {_DASH} SELECT group_id, done, total FROM d WHERE (total = 0 OR total > done) AND campaign = 7",
+    "jn02_existing": "SELECT c_mktsegment, count(*) AS n, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'exists' ELSE 'not_exists' END AS side FROM customer GROUP BY ALL",
     "lt01_reclaimed": f"SELECT item_id, CASE WHEN x THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'queued' END ELSE work_state END AS work_state, CASE WHEN x THEN '-' ELSE coalesce(lease_id, '-') END AS lease_id FROM (SELECT *, coalesce(work_state = 'leased' AND lease_expires_at <= {_NOW_SQL}, false) AS x FROM ({ITEMS_SQL}))",
     "lt03_retried": f"SELECT a.i AS item_id, CASE WHEN work_state IS NULL THEN 'item_not_here' WHEN work_state IN ('done', 'failed') THEN 'requeued' ELSE 'is_' || work_state END AS outcome FROM (SELECT DISTINCT attempt_id + 5 AS i FROM ({ATTEMPTS_SQL}) WHERE k % 5 = 0) a LEFT JOIN ({ITEMS_SQL}) b ON a.i = b.item_id",
     "lt04_applied_results": f"""WITH r AS (SELECT attempt_id % 5000 AS i, arg_max(result, started_at) AS result FROM ({ATTEMPTS_SQL}) GROUP BY 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomledger.operators import reviews
 from loomledger.operators import text as ops
 from loomledger.sources.tables import ATTEMPTS_SQL, attempts, table
 
@@ -86,19 +87,17 @@ def required_words(spark, sf_dir):
 
 def search_notes(spark, sf_dir):
     """Documents that hold a text, newest (largest id) first, fifty of them, with the total."""
-    hits = table(spark, sf_dir, "documents").where(F.lower("text").contains("licensed"))
-    return hits.crossJoin(hits.agg(F.count(F.lit(1)).alias("total"))).orderBy(F.desc("doc_id")).limit(50).select("doc_id", "source", "total")
+    return reviews.search_notes(table(spark, sf_dir, "documents"), "licensed", 50, "doc_id", ["text", "source"]).select("doc_id", "source", "total")
 
 
 def search_transcripts(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), (F.col("turn") + 1).alias("line"), F.col("role").alias("speaker"), ops.cleaned(F.col("text")).alias("text"))
-    at = F.instr(F.lower("text"), "tion th")
-    return t.where(at > 0).select("file", "line", "speaker", F.expr("substring(text, greatest(1, instr(lower(text), 'tion th') - 20), 60)").alias("snippet"))
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), (F.col("turn") + 1).alias("line"), F.col("role").alias("speaker"), "text", (F.col("conv_id") % 10 == 0).alias("sidechain"))
+    return reviews.search_transcripts(t, "tion th")
 
 
 def inbox(spark, sf_dir):
-    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("sender"), "text", (F.col("turn") % 2 == 1).alias("read"))
-    return m.where(~F.col("read") & (F.lower("text").contains("the ") | F.lower("sender").contains("assist"))).select("conv_id", "turn", "sender")
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("sender"), "text", (F.col("turn") % 2 == 1).alias("read"), F.when(F.col("turn") % 4 == 0, F.concat(F.lit("assist-"), F.col("conv_id").cast("string"))).alias("file"))
+    return reviews.filter_inbox(m, unread=True, query="Assist").select("conv_id", "turn", "sender")
 
 
 def outcomes(spark, sf_dir):
@@ -218,9 +217,9 @@ dp AS MATERIALIZED (SELECT DISTINCT p[1] AS first, p[2] AS second FROM (SELECT u
 SELECT bp.item_id, bp.first, bp.second FROM bp SEMI JOIN k ON bp.first = k.w SEMI JOIN k AS k2 ON bp.second = k2.w ANTI JOIN dp ON bp.first = dp.first AND bp.second = dp.second""",
     "tx12_preview": "SELECT doc_id, substr(trim(list_extract(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> ''), 1)), 1, 60) AS preview FROM documents",
     "tx13_required_words": "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{w}' END" for w in _WORDS) + "], lambda w: w IS NOT NULL), ',') AS matched, NOT (" + " OR ".join(f"contains(lower(text), '{w}')" for w in _WORDS) + ") AS review_required FROM documents",
-    "fl08_search_notes": "SELECT doc_id, source, count(*) OVER () AS total FROM documents WHERE contains(lower(text), 'licensed') ORDER BY doc_id DESC LIMIT 50",
-    "fl09_search_transcripts": r"SELECT conv_id AS file, turn + 1 AS line, role AS speaker, substr(t, greatest(1, strpos(lower(t), 'tion th') - 20), 60) AS snippet FROM (SELECT *, regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM conversations) WHERE contains(lower(t), 'tion th')",
-    "fl06_inbox": "SELECT conv_id, turn, role AS sender FROM conversations WHERE turn % 2 = 0 AND (contains(lower(text), 'the ') OR contains(role, 'assist'))",
+    "fl08_search_notes": "SELECT doc_id, source, count(*) OVER () AS total FROM documents WHERE contains(lower(text), 'licensed') OR contains(source, 'licensed') ORDER BY doc_id DESC LIMIT 50",
+    "fl09_search_transcripts": r"SELECT conv_id AS file, turn + 1 AS line, role AS speaker, substr(t, greatest(1, strpos(lower(t), 'tion th') - 20), 60) AS snippet FROM (SELECT *, regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM conversations) WHERE conv_id % 10 <> 0 AND contains(lower(t), 'tion th')",
+    "fl06_inbox": "SELECT conv_id, turn, role AS sender FROM conversations WHERE turn % 2 = 0 AND (contains(lower(text), 'assist') OR contains(role, 'assist') OR turn % 4 = 0)",
     "fl04_scoped_documents": "SELECT doc_id, 'corpus/' || source || '/' || lang || '/' || doc_id AS path FROM documents WHERE source = 'src1'",
     "fl03_dated_events": "SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-10'",
     "oc01_outcomes": f"SELECT attempt_id, CASE WHEN result = 'failed' OR k % 7 = 0 THEN 'failed' WHEN k % 5 = 0 OR len(list_filter(warning_codes, lambda w: w IN ({_PARTIAL}))) > 0 THEN 'partial' ELSE 'success' END AS outcome FROM ({ATTEMPTS_SQL})",

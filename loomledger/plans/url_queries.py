@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomledger.functions import urls as U
-from loomledger.operators import ledger
+from loomledger.operators import ledger, reviews
 from loomledger.operators import urls as ops
 from loomledger.sources.tables import PAGE_LINKS_SQL, URL_RECORDS_SQL, page_links, table, url_records
 
@@ -84,7 +84,7 @@ def url_priority(spark, sf_dir):
 
 def queue_order(spark, sf_dir):
     pages = ops.priority(ops.classify_kind(_pages(spark, sf_dir)).withColumns({"depth": F.size(F.split(U.path(F.col("url")), "/")) - 2, "lastmod": F.lit(None).cast("string"), "domain": U.host(F.col("url"))}))
-    return pages.orderBy(F.desc("priority"), "domain", "page_id").select("page_id", "priority", "domain")
+    return reviews.queue_order(pages, "page_id").select("page_id", "priority", "domain")
 
 
 def slugs(spark, sf_dir):
@@ -109,10 +109,15 @@ def exclusions(spark, sf_dir):
     return ops.match_exclusions(_pages(spark, sf_dir), _EXCLUDED_PATHS, _EXCLUDED_KEYS).select("page_id", F.coalesce("why", F.lit("-")).alias("why"), F.coalesce("why_evidence", F.lit("-")).alias("why_evidence"))
 
 
+def _excluded(spark, sf_dir):
+    out = ops.match_exclusions(_pages(spark, sf_dir).withColumns({"canonical_url": F.col("url"), "domain": U.host(F.col("url"))}), _EXCLUDED_PATHS, _EXCLUDED_KEYS)
+    return out.where("why is not null")
+
+
 def excluded_by(spark, sf_dir):
-    out = ops.match_exclusions(_pages(spark, sf_dir), _EXCLUDED_PATHS, _EXCLUDED_KEYS).where("why is not null")
-    out = out.groupBy(F.concat("why", F.lit(":"), "why_evidence").alias("rule"), U.host(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
-    return out.orderBy(F.desc("n"), "rule", "domain").limit(20)
+    """Exclusions by rule and domain; a later policy lets in the addresses of every third page."""
+    out = _excluded(spark, sf_dir)
+    return reviews.excluded_by(out, 20, out.where("page_id % 3 = 0").select("canonical_url"))
 
 
 def robots(spark, sf_dir):
@@ -129,11 +134,9 @@ def add_urls(spark, sf_dir):
 
 
 def unvisited(spark, sf_dir):
-    """Distinct links seen on pages that are no pages of the ledger, by the page's domain."""
+    """Distinct links seen on pages that are no pages of the ledger, by the link's domain."""
     links = ops.canonicalize(page_links(spark, sf_dir).select("from_url", "href"), url="href", base="from_url").where("reject is null")
-    pages = ops.canonicalize(_pages(spark, sf_dir)).select("canonical_url")
-    seen = links.groupBy("domain").agg(F.count(F.lit(1)).alias("links_seen"))
-    return seen.join(links.join(pages, "canonical_url", "left_anti").groupBy("domain").agg(F.count_distinct("canonical_url").alias("unvisited")), "domain", "left").select("domain", "links_seen", F.coalesce("unvisited", F.lit(0)).alias("unvisited"))
+    return reviews.unvisited(links, ops.canonicalize(_pages(spark, sf_dir)).select("canonical_url"))
 
 
 def link_counts(spark, sf_dir):
@@ -147,12 +150,23 @@ def link_counts(spark, sf_dir):
     )
 
 
+def _discovered(spark, sf_dir):
+    """Pages as addresses of sitemaps, declared ones and conventional ones, links of every page, and a link list of earlier pages; some sources failed."""
+    pages = ops.canonicalize(_pages(spark, sf_dir).select("page_id", "url"))
+    links = ops.canonicalize(page_links(spark, sf_dir), url="href", base="from_url").where("reject is null")
+    failed = table(spark, sf_dir, "pages").where("page_id % 9 = 0").select(F.when(F.col("page_id") % 2 == 0, "sitemap").otherwise("internal_link").alias("source_kind"), F.col("url").alias("source"), F.lit("http_503").alias("code"))
+    return reviews.discover({"robots": pages.where("page_id % 3 = 0"), "sitemap": pages.where("page_id % 2 = 0"), "internal_link": links}, failed)
+
+
 def discovered(spark, sf_dir):
-    """Sources of each address: seeds and links, one item each; counts by kind."""
-    seeds = ops.canonicalize(_pages(spark, sf_dir)).select("canonical_url", F.lit("seed").alias("source_kind"))
-    links = ops.canonicalize(page_links(spark, sf_dir), url="href", base="from_url").where("reject is null").select("canonical_url", F.lit("internal_link").alias("source_kind"))
-    every = seeds.unionByName(links).groupBy("canonical_url").agg(F.array_join(F.array_sort(F.collect_set("source_kind")), "+").alias("kinds"), F.count(F.lit(1)).alias("n"))
-    return every.groupBy("kinds").agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("sources"))
+    """Counts of addresses by the kinds that found them."""
+    items, _, _ = _discovered(spark, sf_dir)
+    return items.groupBy(F.array_join("kinds", "+").alias("kinds")).agg(F.count(F.lit(1)).alias("items"), F.sum("times").alias("sources"))
+
+
+def discovery_kinds(spark, sf_dir):
+    """What each kind of source found, and how many of its sources failed."""
+    return _discovered(spark, sf_dir)[1]
 
 
 def external_hops(spark, sf_dir):
@@ -162,18 +176,13 @@ def external_hops(spark, sf_dir):
 
 
 def top_domains(spark, sf_dir):
-    out = ops.canonicalize(_pages(spark, sf_dir)).groupBy("domain").agg(F.count(F.lit(1)).alias("urls"))
-    return out.orderBy(F.desc("urls"), "domain").limit(20)
+    return reviews.top_domains(ops.canonicalize(_pages(spark, sf_dir)))
 
 
 def domain_profile(spark, sf_dir):
-    """The five most frequent shapes of every domain, and its number of addresses."""
-    from pyspark.sql import Window
-
-    shapes = _pages(spark, sf_dir).groupBy(U.host(F.col("url")).alias("domain"), U.path_shape(F.col("url")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
-    rank = Window.partitionBy("domain").orderBy(F.desc("n"), "shape")
-    top = shapes.withColumns({"rank": F.row_number().over(rank), "urls": F.sum("n").over(Window.partitionBy("domain"))}).where("rank <= 5")
-    return top.select("domain", "rank", "shape", "n", "urls")
+    """The five most frequent shapes, combinations of parameters, facets and exclusions of every domain, and its number of addresses."""
+    urls = ops.path_shapes(_pages(spark, sf_dir).withColumn("domain", U.host(F.col("url"))), "url")
+    return reviews.domain_profile(urls.select("domain", "shape", "combo", "facet_keys"), 5, _excluded(spark, sf_dir))
 
 
 def capped_admission(spark, sf_dir):
@@ -281,6 +290,11 @@ _ENCODED = "array_to_string(list_transform(string_split({u}, ''), lambda c: CASE
 _LINK_CANONICAL = f"({_canonical('(' + _ENCODED.format(u='u') + ')')})"
 _LINKS = f"links AS (SELECT page_id, from_url, {_LINK_URL} AS u FROM ({PAGE_LINKS_SQL}) WHERE href <> ''), canon AS (SELECT page_id, from_url, {_LINK_CANONICAL} AS canonical_url, {_host('u')} AS domain FROM links)"
 
+_EXCLUDED_SQL = f"""SELECT page_id, CASE WHEN g IS NOT NULL THEN 'excluded_path_pattern:' || g ELSE 'excluded_query_key:' || k END AS rule, domain FROM (
+  SELECT page_id, CASE WHEN regexp_matches({_some_path('url')}, '{_glob('/fr/*')}') THEN '/fr/*' WHEN regexp_matches({_some_path('url')}, '{_glob('/es/*')}') THEN '/es/*' END AS g,
+    list_extract(list_filter({_KEYS}, lambda k: k IN ('ref', 'utm_source')), 1) AS k, {_host('url')} AS domain FROM pages) WHERE g IS NOT NULL OR k IS NOT NULL"""
+_DISCOVERED_SQL = f"""WITH {_LINKS}, every AS (SELECT {_canonical('url')} AS c, 'robots' AS k FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT {_canonical('url')}, 'sitemap' FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT canonical_url, 'internal_link' FROM canon)"""
+
 QUERIES = {
     "ur01_canonicalize": canonicalize,
     "ur02_canonicalize_by_domain": canonicalize_by_domain,
@@ -304,6 +318,7 @@ QUERIES = {
     "ag28_unvisited": unvisited,
     "ag18_link_counts": link_counts,
     "so01_discovered": discovered,
+    "so01_discovery_kinds": discovery_kinds,
     "it02_external_hops": external_hops,
     "ag10_top_domains": top_domains,
     "ag12_domain_profile": domain_profile,
@@ -347,9 +362,7 @@ ORACLE = {
     "fl05_exclusions": f"""SELECT page_id, CASE WHEN g IS NOT NULL THEN 'excluded_path_pattern' WHEN k IS NOT NULL THEN 'excluded_query_key' ELSE '-' END AS why, coalesce(g, k, '-') AS why_evidence FROM (
         SELECT page_id, CASE WHEN regexp_matches({_some_path('url')}, '{_glob('/fr/*')}') THEN '/fr/*' WHEN regexp_matches({_some_path('url')}, '{_glob('/es/*')}') THEN '/es/*' END AS g,
           list_extract(list_filter({_KEYS}, lambda k: k IN ('ref', 'utm_source')), 1) AS k FROM pages)""",
-    "ag26_excluded_by": f"""SELECT CASE WHEN g IS NOT NULL THEN 'excluded_path_pattern:' || g ELSE 'excluded_query_key:' || k END AS rule, domain, count(*) AS n FROM (
-        SELECT CASE WHEN regexp_matches({_some_path('url')}, '{_glob('/fr/*')}') THEN '/fr/*' WHEN regexp_matches({_some_path('url')}, '{_glob('/es/*')}') THEN '/es/*' END AS g,
-          list_extract(list_filter({_KEYS}, lambda k: k IN ('ref', 'utm_source')), 1) AS k, {_host('url')} AS domain FROM pages) WHERE g IS NOT NULL OR k IS NOT NULL GROUP BY ALL ORDER BY n DESC, rule, domain LIMIT 20""",
+    "ag26_excluded_by": f"""SELECT rule, domain, count(*) FILTER (page_id % 3 <> 0) AS active, count(*) FILTER (page_id % 3 = 0) AS resolved FROM ({_EXCLUDED_SQL}) GROUP BY ALL ORDER BY active DESC, rule, domain LIMIT 20""",
     "jn03_robots": _robots_sql(),
     "jn01_add_urls": f"""WITH r AS (SELECT {_canonical('url')} AS c FROM ({URL_RECORDS_SQL})), known AS (SELECT DISTINCT {_canonical('url')} AS c FROM pages WHERE contains(url, '/en/'))
         SELECT count(*) AS received, count(DISTINCT c) FILTER (c NOT IN (SELECT c FROM known)) AS added, count(*) - count(DISTINCT c) FILTER (c NOT IN (SELECT c FROM known)) AS duplicates, CAST(0 AS BIGINT) AS rejected, count(DISTINCT c) AS sources_added FROM r""",
@@ -357,13 +370,16 @@ ORACLE = {
         SELECT domain, count(*) AS links_seen, count(DISTINCT canonical_url) FILTER (canonical_url NOT IN (SELECT c FROM p)) AS unvisited FROM canon GROUP BY domain""",
     "ag18_link_counts": f"""SELECT page_id, count(*) AS total, count(*) FILTER (starts_with(href, '/') AND NOT starts_with(href, '//')) AS internal, count(*) FILTER (regexp_matches(href, '^(mailto|tel|javascript|data):')) AS non_http,
         count(*) FILTER (starts_with(href, '#')) AS fragment_only, count(DISTINCT href) AS distinct_hrefs FROM ({PAGE_LINKS_SQL}) GROUP BY page_id""",
-    "so01_discovered": f"""WITH {_LINKS}, every AS (SELECT {_canonical('url')} AS c, 'seed' AS k FROM pages UNION ALL SELECT canonical_url, 'internal_link' FROM canon),
-        items AS (SELECT c, array_to_string(list_sort(list_distinct(list(k))), '+') AS kinds, count(*) AS n FROM every GROUP BY c) SELECT kinds, count(*) AS items, CAST(sum(n) AS BIGINT) AS sources FROM items GROUP BY kinds""",
+    "so01_discovered": f"""{_DISCOVERED_SQL}, items AS (SELECT c, array_to_string(list_sort(list_distinct(list(k))), '+') AS kinds, count(*) AS n FROM every GROUP BY c) SELECT kinds, count(*) AS items, CAST(sum(n) AS BIGINT) AS sources FROM items GROUP BY kinds""",
+    "so01_discovery_kinds": f"""{_DISCOVERED_SQL}, k AS (SELECT unnest(['robots', 'sitemap', 'internal_link', 'import']) AS k), b AS (SELECT CASE WHEN page_id % 2 = 0 THEN 'sitemap' ELSE 'internal_link' END AS k, count(*) AS n FROM pages WHERE page_id % 9 = 0 GROUP BY 1)
+        SELECT k.k AS source_kind, count(DISTINCT c) AS items, count(c) AS sources, coalesce(any_value(b.n), 0) AS failed, coalesce(any_value(b.n), 0) > 0 AS partial FROM k LEFT JOIN every e ON e.k = k.k LEFT JOIN b ON b.k = k.k GROUP BY k.k""",
     "it02_external_hops": f"""WITH {_LINKS}, reached AS (SELECT url, min(h) AS hops FROM (SELECT url, 0 AS h FROM pages UNION ALL SELECT canonical_url, 0 FROM canon WHERE domain = {_host('from_url')}) GROUP BY url)
         SELECT CAST(hops AS INTEGER) AS hops, count(*) AS urls, count(DISTINCT {_host('url')}) AS domains FROM reached GROUP BY hops""",
     "ag10_top_domains": f"SELECT {_host('url')} AS domain, count(*) AS urls FROM pages GROUP BY 1 ORDER BY urls DESC, domain LIMIT 20",
-    "ag12_domain_profile": f"""WITH s AS (SELECT {_host('url')} AS domain, {_SHAPE} AS shape, count(*) AS n FROM pages GROUP BY 1, 2)
-        SELECT domain, CAST(rank AS INTEGER) AS rank, shape, n, urls FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC, shape) AS rank, CAST(sum(n) OVER (PARTITION BY domain) AS BIGINT) AS urls FROM s) WHERE rank <= 5""",
+    "ag12_domain_profile": f"""WITH f AS (SELECT {_host('url')} AS domain, {_SHAPE} AS shape, array_to_string(list_sort({_KEYS}), '&') AS combo, list_concat(CASE WHEN {_WORD} <> '' THEN ['path:' || {_WORD}] ELSE [] END, list_transform({_FACETS}, lambda k: 'query:' || k)) AS facets FROM pages),
+        v AS (SELECT domain, 'shape' AS part, shape AS value FROM f UNION ALL SELECT domain, 'combo', combo FROM f WHERE combo <> '' UNION ALL SELECT domain, 'facet_key', unnest(facets) FROM f UNION ALL SELECT domain, 'excluded_by', rule FROM ({_EXCLUDED_SQL})),
+        c AS (SELECT domain, part, value, count(*) AS n FROM v GROUP BY ALL)
+        SELECT domain, part, CAST(rank AS INTEGER) AS rank, value, n, urls FROM (SELECT *, row_number() OVER (PARTITION BY domain, part ORDER BY n DESC, value) AS rank FROM c) JOIN (SELECT domain, count(*) AS urls FROM f GROUP BY domain) USING (domain) WHERE rank <= 5""",
     "wn09_capped_admission": f"""SELECT domain, count(*) FILTER (r <= 10) AS admitted, count(*) FILTER (r > 10) AS parked FROM (SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY line) AS r FROM (SELECT line, {_host('url')} AS domain FROM ({URL_RECORDS_SQL}))) GROUP BY domain""",
     "wn03_batches": "SELECT page_id, (row_number() OVER (ORDER BY page_id) - 1) // 25 AS batch_id, CAST((row_number() OVER (ORDER BY page_id) - 1) % 25 AS BIGINT) AS place FROM pages",
 }
