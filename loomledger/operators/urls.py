@@ -255,7 +255,7 @@ def external_hops(links: DataFrame, seeds: DataFrame, allow: list[str], most: in
     nothing gets nearer; each round ends in a checkpoint."""
     allowed = [a.lower() for a in allow]
     far = lambda a, b: F.when((U.host(a) == U.host(b)) | U.host(b).isin(allowed), 0).otherwise(1)
-    edges = links.select("from_url", "to_url", far(F.col("from_url"), F.col("to_url")).alias("step")).distinct()
+    edges = checkpointed(links.select("from_url", "to_url", far(F.col("from_url"), F.col("to_url")).alias("step")).distinct())  # every round reads them
     reached = seeds.select("url", F.lit(0).alias("hops")).distinct()
     frontier = reached
     while True:

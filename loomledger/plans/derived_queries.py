@@ -23,7 +23,12 @@ _BEGINNINGS = (
 )
 _MAGIC = tuple(b for b, _ in _BEGINNINGS)
 _DECLARED = ("image/png", "image/jpg; q=1", "text/plain")
-_SCREENS = ("Working (3s", "Do you want to go on", "model is at capacity", "nothing here")
+#: What screens show, and the state that it means. The first two say working with other times, the third says it without one.
+_SHOWN = (
+    ("Working (3s", "working"), ("Working (14s", "working"), ("esc to interrupt", "working"), ("Do you want to go on", "blocked"), ("model is at capacity", "capacity"), ("Context compacted", "done"),
+    ("\u23fa Brewed for 3m\n\u276f ", "done"), ("Worked for 9s\nAsk Codex to do anything", "done"), ("\u276f fix it", "stuck-input"), ("tab to queue message", "stuck-input"), ("nothing here", "unknown"), ("\u23fa Brewed for 3m", "unknown"),
+)
+_SCREENS = tuple(text for text, _ in _SHOWN)
 
 
 def _pick(values: tuple, n):
@@ -39,7 +44,7 @@ def sniffed_types(spark, sf_dir):
 
 def _screens(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("surface"), F.col("event_id").alias("at"), _pick(_SCREENS, F.floor(F.col("event_id") / 3)).alias("text"))
+    return e.select(F.col("user_id").alias("surface"), F.col("event_id").alias("at"), _pick(_SCREENS, F.floor(F.col("event_id") / 150)).alias("text"))
 
 
 def screen_states(spark, sf_dir):
@@ -119,9 +124,9 @@ def declared_counts(spark, sf_dir):
 
 
 def completions(spark, sf_dir):
-    """Open work of every customer: open orders, and partial ones where they are known."""
+    """Open work of every customer: open orders of the last year, and partial ones, which aren't known of every third customer."""
     o = table(spark, sf_dir, "orders")
-    work = o.groupBy(F.col("o_custkey").cast("string").alias("customer")).agg(F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.max(F.when(F.col("o_orderstatus") == "P", 1)).alias("partial"))
+    work = o.groupBy(F.col("o_custkey").cast("string").alias("customer")).agg(F.count_if((F.col("o_orderstatus") == "O") & (F.col("o_orderdate") >= "1998-06-01")).alias("open"), F.max(F.when(F.col("o_custkey") % 3 != 0, (F.col("o_orderstatus") == "P").cast("int"))).alias("partial"))
     return stats.completion(work).select("customer", "complete", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -211,11 +216,12 @@ QUERIES = {
 
 _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 _HOST = "regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), ':[0-9]*$', '')"
-_SCREEN = "SELECT user_id AS surface, event_id AS \"at\", (event_id // 3) % 4 AS f FROM events"
+_SCREEN = "SELECT user_id AS surface, event_id AS \"at\", (event_id // 150) % 12 AS f FROM events"
+_STATES = "CASE f " + " ".join(f"WHEN {i} THEN '{state}'" for i, (_, state) in enumerate(_SHOWN)) + " END"
 
 ORACLE = {
-    "tx10_screen_states": f"SELECT CASE f WHEN 0 THEN 'working' WHEN 1 THEN 'blocked' WHEN 2 THEN 'capacity' ELSE 'unknown' END AS state, count(*) AS n FROM ({_SCREEN}) GROUP BY 1",
-    "wn14_screen_progress": f"SELECT \"at\", surface, CASE f WHEN 0 THEN CASE WHEN lag(f) OVER (PARTITION BY surface ORDER BY \"at\") = 0 THEN 'stalled' ELSE 'working' END WHEN 1 THEN 'blocked' WHEN 2 THEN 'capacity' ELSE 'unknown' END AS state FROM ({_SCREEN})",
+    "tx10_screen_states": f"SELECT {_STATES} AS state, count(*) AS n FROM ({_SCREEN}) GROUP BY 1",
+    "wn14_screen_progress": f"SELECT \"at\", surface, CASE WHEN f <= 2 AND lag(f) OVER (PARTITION BY surface ORDER BY \"at\") = f THEN 'stalled' ELSE {_STATES} END AS state FROM ({_SCREEN})",
     "tx11_sniffed_types": """
 SELECT p_partkey, coalesce(m, '-') AS mime, coalesce(m <> CASE p_partkey % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' ELSE 'text/plain' END, false) AS mime_mismatch
 FROM (SELECT p_partkey, CASE p_partkey % """ + str(len(_BEGINNINGS)) + "".join(f" WHEN {i} THEN '{m}'" for i, (_, m) in enumerate(_BEGINNINGS) if m) + """ END AS m FROM part)""",
@@ -250,8 +256,8 @@ b AS (SELECT l_orderkey AS page, count(DISTINCT l_linenumber) AS n FROM lineitem
 f AS (SELECT p.*, CASE WHEN declared = coalesce(b.n, 0) THEN declared ELSE coalesce(s.n, b.n, 0) END AS found FROM p LEFT JOIN b USING (page) LEFT JOIN s USING (series) WHERE declared IS NOT NULL)
 SELECT page, declared, found, CASE WHEN declared = found THEN 'match' WHEN series IS NULL THEN 'mismatch' ELSE 'scope_unknown' END AS verdict FROM f""",
     "ag17_completions": """
-SELECT customer, false AS complete, concat_ws(',', CASE WHEN o > 0 THEN 'open:' || o END, CASE WHEN p > 0 THEN 'partial:1' ELSE 'partial:unknown' END) AS reasons
-FROM (SELECT CAST(o_custkey AS VARCHAR) AS customer, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1)""",
+SELECT customer, o = 0 AND coalesce(p, 1) = 0 AS complete, concat_ws(',', CASE WHEN o > 0 THEN 'open:' || o END, CASE WHEN p > 0 THEN 'partial:1' WHEN p IS NULL THEN 'partial:unknown' END) AS reasons
+FROM (SELECT CAST(o_custkey AS VARCHAR) AS customer, count(*) FILTER (o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '1998-06-01') AS o, CASE WHEN any_value(o_custkey) % 3 <> 0 THEN count(*) FILTER (o_orderstatus = 'P') END AS p FROM orders GROUP BY 1)""",
     "ag19_image_counts": f"""
 WITH e AS (SELECT user_id AS page_id, {_K} AS k, event_type AS t FROM events),
 c AS (SELECT page_id, count(DISTINCT k) AS "unique", {", ".join(f"CAST(coalesce(sum(k % 3 + 1) FILTER (k % 4 = {n}), 0) AS BIGINT) AS from_{o}" for n, o in enumerate(("img", "srcset", "picture", "meta")))},

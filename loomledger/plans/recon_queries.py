@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from loomledger.operators import recon
 from loomledger.operators import urls as url_ops
-from loomledger.sources.tables import page_links, table
+from loomledger.plans import url_queries
+from loomledger.sources.tables import PAGE_LINKS_SQL, page_links, table
 
 
 def disappeared(spark, sf_dir):
@@ -166,6 +167,9 @@ _FIRST3 = r"regexp_extract(text, '^(\S+ \S+ \S+)', 1)"
 _TITLE = r"regexp_extract(text, '^([^\n]*)', 1)"
 
 ORACLE = {
+    "jn19_provenance": f"""WITH l AS (SELECT from_url, {url_queries._LINK_URL} AS u, n FROM ({PAGE_LINKS_SQL}) WHERE href <> ''), p AS (SELECT DISTINCT {url_queries._canonical('url')} AS u FROM pages),
+        r AS (SELECT {url_queries._LINK_CANONICAL} AS url_id, CASE WHEN n % 5 = 0 THEN NULL ELSE {url_queries._canonical('from_url')} || CASE WHEN n = 3 THEN '?lost=1' ELSE '' END END AS parent_id, CASE WHEN n % 2 = 0 THEN 'seed' ELSE 'internal_link' END AS source_kind FROM l)
+        SELECT source_kind, CASE WHEN source_kind <> 'seed' AND parent_id IS NULL THEN 'needs_parent' WHEN parent_id IS NOT NULL AND parent_id NOT IN (SELECT u FROM p) THEN 'unknown_parent' WHEN url_id IN (SELECT u FROM p) THEN 'known' ELSE 'new' END AS outcome, count(*) AS n FROM r GROUP BY ALL""",
     "so02_disappeared": """SELECT DISTINCT o_custkey, 'disappeared' AS change FROM orders WHERE o_orderdate < DATE '1997-01-01' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1997-01-01')
         UNION ALL SELECT DISTINCT o_custkey, 'reappeared' FROM orders WHERE o_orderdate < DATE '1997-01-01' AND o_totalprice > 300000 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1997-01-01')""",
     "jn10_artifacts_audited": """WITH a AS (SELECT 'a/' || l_partkey AS p, CAST(trunc(sum(l_quantity)) AS BIGINT) AS s, max(l_returnflag) AS h FROM lineitem GROUP BY 1), k AS (SELECT * FROM a WHERE s % 3 = 0),

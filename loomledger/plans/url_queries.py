@@ -140,14 +140,14 @@ def unvisited(spark, sf_dir):
 
 
 def link_counts(spark, sf_dir):
-    links = page_links(spark, sf_dir)
-    return links.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("href").startswith("/") & ~F.col("href").startswith("//")).alias("internal"),
-        F.count_if(F.col("href").rlike("^(mailto|tel|javascript|data):")).alias("non_http"),
-        F.count_if(F.col("href").startswith("#")).alias("fragment_only"),
-        F.count_distinct("href").alias("distinct_hrefs"),
-    )
+    """Links by kind of pages on which every seventh link writes a mail, every eleventh leads elsewhere and every thirteenth to a place on the page."""
+    from loomledger.operators import html
+
+    rows = page_links(spark, sf_dir).withColumn("k", F.col("page_id") * 3 + F.col("n"))
+    href = F.when(F.col("k") % 7 == 0, "mailto:a@b.example").when(F.col("k") % 11 == 0, "https://elsewhere.example.com/x").when(F.col("k") % 13 == 0, "#top").when(F.col("k") % 17 == 0, "").otherwise(F.col("href"))
+    tags = rows.select("page_id", "from_url", "n", F.concat(F.lit('<a href="'), href, F.lit('">x</a>')).alias("a"))
+    made = tags.groupBy("page_id", F.col("from_url").alias("url")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "a"))), lambda x: x["a"]), "").alias("html"))
+    return html.link_counts(html.extract_links(html.parse_pages(made)))
 
 
 def _discovered(spark, sf_dir):
@@ -170,9 +170,13 @@ def discovery_kinds(spark, sf_dir):
 
 
 def external_hops(spark, sf_dir):
+    """Links of the pages, and a way out from every fifth: to a first host, from there on to a second and a third, and to pages of their own."""
+    pages = _pages(spark, sf_dir)
     links = ops.canonicalize(page_links(spark, sf_dir), url="href", base="from_url").where("reject is null").select("from_url", F.col("canonical_url").alias("to_url"))
-    seeds = _pages(spark, sf_dir).select("url")
-    return ops.external_hops(links, seeds, ["example.org"], 2).groupBy("hops").agg(F.count(F.lit(1)).alias("urls"), F.count_distinct("domain").alias("domains"))
+    k = (F.col("page_id") % 7).cast("string")
+    at = lambda n, end="": F.concat(F.lit(f"https://hop{n}.example.com/"), k, F.lit(end))
+    ways = pages.where("page_id % 5 = 0").select(F.explode(F.array(*(F.struct(a.alias("from_url"), b.alias("to_url")) for a, b in ((F.col("url"), at(1)), (at(1), at(2)), (at(2), at(3)), (at(1), at(1, "/in")), (at(2), F.concat(F.lit("https://free.example.com/"), k)))))).alias("e")).select("e.*")
+    return ops.external_hops(links.unionByName(ways), pages.select("url"), ["free.example.com"], 2).select("url", "domain", "hops")
 
 
 def top_domains(spark, sf_dir):
@@ -368,13 +372,14 @@ ORACLE = {
         SELECT count(*) AS received, count(DISTINCT c) FILTER (c NOT IN (SELECT c FROM known)) AS added, count(*) - count(DISTINCT c) FILTER (c NOT IN (SELECT c FROM known)) AS duplicates, CAST(0 AS BIGINT) AS rejected, count(DISTINCT c) AS sources_added FROM r""",
     "ag28_unvisited": f"""WITH {_LINKS}, p AS (SELECT {_canonical('url')} AS c FROM pages)
         SELECT domain, count(*) AS links_seen, count(DISTINCT canonical_url) FILTER (canonical_url NOT IN (SELECT c FROM p)) AS unvisited FROM canon GROUP BY domain""",
-    "ag18_link_counts": f"""SELECT page_id, count(*) AS total, count(*) FILTER (starts_with(href, '/') AND NOT starts_with(href, '//')) AS internal, count(*) FILTER (regexp_matches(href, '^(mailto|tel|javascript|data):')) AS non_http,
-        count(*) FILTER (starts_with(href, '#')) AS fragment_only, count(DISTINCT href) AS distinct_hrefs FROM ({PAGE_LINKS_SQL}) GROUP BY page_id""",
+    "ag18_link_counts": f"""SELECT page_id, count(*) AS total, count(*) FILTER (f IN ('top', 'own')) AS internal, count(*) FILTER (f = 'away') AS external, count(*) FILTER (f = 'mail') AS non_http, CAST(0 AS BIGINT) AS unresolvable, count(*) FILTER (f = 'none') AS no_href, count(*) FILTER (f = 'top') AS fragment_only
+        FROM (SELECT page_id, CASE WHEN k % 7 = 0 THEN 'mail' WHEN k % 11 = 0 THEN 'away' WHEN k % 13 = 0 THEN 'top' WHEN k % 17 = 0 THEN 'none' ELSE 'own' END AS f FROM (SELECT page_id, page_id * 3 + n AS k FROM ({PAGE_LINKS_SQL}))) GROUP BY page_id""",
     "so01_discovered": f"""{_DISCOVERED_SQL}, items AS (SELECT c, array_to_string(list_sort(list_distinct(list(k))), '+') AS kinds, count(*) AS n FROM every GROUP BY c) SELECT kinds, count(*) AS items, CAST(sum(n) AS BIGINT) AS sources FROM items GROUP BY kinds""",
     "so01_discovery_kinds": f"""{_DISCOVERED_SQL}, k AS (SELECT unnest(['robots', 'sitemap', 'internal_link', 'import']) AS k), b AS (SELECT CASE WHEN page_id % 2 = 0 THEN 'sitemap' ELSE 'internal_link' END AS k, count(*) AS n FROM pages WHERE page_id % 9 = 0 GROUP BY 1)
         SELECT k.k AS source_kind, count(DISTINCT c) AS items, count(c) AS sources, coalesce(any_value(b.n), 0) AS failed, coalesce(any_value(b.n), 0) > 0 AS partial FROM k LEFT JOIN every e ON e.k = k.k LEFT JOIN b ON b.k = k.k GROUP BY k.k""",
-    "it02_external_hops": f"""WITH {_LINKS}, reached AS (SELECT url, min(h) AS hops FROM (SELECT url, 0 AS h FROM pages UNION ALL SELECT canonical_url, 0 FROM canon WHERE domain = {_host('from_url')}) GROUP BY url)
-        SELECT CAST(hops AS INTEGER) AS hops, count(*) AS urls, count(DISTINCT {_host('url')}) AS domains FROM reached GROUP BY hops""",
+    "it02_external_hops": f"""WITH {_LINKS}, k AS (SELECT DISTINCT page_id % 7 AS k FROM pages WHERE page_id % 5 = 0), reached AS (SELECT url, 0 AS h FROM pages UNION ALL SELECT canonical_url, 0 FROM canon
+          UNION ALL SELECT 'https://hop1.example.com/' || k, 1 FROM k UNION ALL SELECT 'https://hop1.example.com/' || k || '/in', 1 FROM k UNION ALL SELECT 'https://hop2.example.com/' || k, 2 FROM k UNION ALL SELECT 'https://free.example.com/' || k, 2 FROM k)
+        SELECT url, {_host('url')} AS domain, CAST(min(h) AS INTEGER) AS hops FROM reached GROUP BY url""",
     "ag10_top_domains": f"SELECT {_host('url')} AS domain, count(*) AS urls FROM pages GROUP BY 1 ORDER BY urls DESC, domain LIMIT 20",
     "ag12_domain_profile": f"""WITH f AS (SELECT {_host('url')} AS domain, {_SHAPE} AS shape, array_to_string(list_sort({_KEYS}), '&') AS combo, list_concat(CASE WHEN {_WORD} <> '' THEN ['path:' || {_WORD}] ELSE [] END, list_transform({_FACETS}, lambda k: 'query:' || k)) AS facets FROM pages),
         v AS (SELECT domain, 'shape' AS part, shape AS value FROM f UNION ALL SELECT domain, 'combo', combo FROM f WHERE combo <> '' UNION ALL SELECT domain, 'facet_key', unnest(facets) FROM f UNION ALL SELECT domain, 'excluded_by', rule FROM ({_EXCLUDED_SQL})),

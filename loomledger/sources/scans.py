@@ -110,11 +110,27 @@ def decode_pages(df: DataFrame, content: str, content_type: str) -> DataFrame:
     return out.mapInArrow(run, schema + ", text string, charset string, charset_fallback boolean")
 
 
-def read_markdown(spark: SparkSession, root: str) -> DataFrame:
-    """path, folder, file_name, text and modified of every Markdown file under root, node_modules left out."""
+#: How a document stands to version control, in the order in which an entry wins.
+TRACKING = ("tracked", "untracked", "ignored")
+
+
+def read_markdown(spark: SparkSession, root: str, listed: DataFrame | None = None, ignored_under: str | None = None) -> DataFrame:
+    """path, folder, file_name, text, modified and tracking of every Markdown file under root, node_modules left out, as are folders whose names begin with a dot (Spark's readers skip them; give such a folder as root).
+
+    listed (path, tracking): what version control lists; then only files that it lists are documents, a path that it lists several times has its first status in the order tracked,
+    untracked, ignored, another status counts as tracked, and ignored ones count only under the folder ignored_under, if one is given. Without a list all are tracked."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").text(root, wholetext=True)
     path = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + re.escape(root.rstrip("/")) + "/", "")
     out = files.select(path.alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified")).where(~F.col("path").rlike("(^|/)node_modules/"))
+    if listed is None:
+        out = out.withColumn("tracking", F.lit("tracked"))
+    else:
+        status = F.when(F.col("tracking").isin(*TRACKING), F.col("tracking")).otherwise("tracked")
+        some = listed.select("path", status.alias("tracking"))
+        if ignored_under is not None:
+            some = some.where((F.col("tracking") != "ignored") | F.col("path").startswith(ignored_under.rstrip("/") + "/"))
+        place = F.array_position(F.array(*map(F.lit, TRACKING)), F.col("tracking"))
+        out = out.join(some.groupBy("path").agg(F.min_by("tracking", place).alias("tracking")), "path")
     return out.withColumns({"folder": F.regexp_replace("path", "/?[^/]*$", ""), "file_name": F.regexp_extract("path", "([^/]*)$", 1)})
 
 

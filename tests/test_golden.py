@@ -484,3 +484,13 @@ def test_ledger_rows_for_exports(spark):
     keys = spark.createDataFrame([(1, "a"), (1, None)], "item_id int, source_value string")
     assert [r.source_value for r in ledger.exists_in(keys, sources, ["item_id", "source_value"]).collect()] == ["a"]
     assert [r.source_value for r in ledger.exists_in(keys, sources, ["item_id", "source_value"], negate=True).collect()] == [None]
+
+
+def test_markdown_by_tracking(spark, tmp_path):
+    for name in ("a.md", "d/b.MD", "node_modules/c.md", "x/f.md", "other.txt", "d/g.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    got = scans.read_markdown(spark, str(tmp_path))
+    assert {r.path: r.tracking for r in got.collect()} == {p: "tracked" for p in ("a.md", "d/b.MD", "x/f.md", "d/g.md")}
+    listed = spark.createDataFrame([("a.md", "untracked"), ("a.md", "tracked"), ("d/b.MD", "odd"), ("x/f.md", "ignored"), ("d/g.md", "ignored"), ("gone.md", "tracked"), ("node_modules/c.md", "tracked")], "path string, tracking string")
+    assert {r.path: r.tracking for r in scans.read_markdown(spark, str(tmp_path), listed, "x").collect()} == {"a.md": "tracked", "d/b.MD": "tracked", "x/f.md": "ignored"}
