@@ -13,8 +13,8 @@ many of the nearest as hold ``floor`` times the rows it asks for, replicas count
 query travels once to each shard that holds a list it visits. A task holds one shard at a time, and the queries pass by it
 in batches. Scores are exact inner products of the original vectors.
 
-Vectors that are null, zero, or hold null, NaN or infinite components take no part, nor do those whose dimension
-isn't the most common one. Rows that repeat a vec_id count once (the smallest vector). Ties go to the smaller vec_id. Fewer rows than asked for: all of them
+Vectors that are null, zero, or hold null, NaN or infinite components take no part. Vectors of different dimensions have no inner product: each dimension
+is searched for itself, with an index of its own, or, if it isn't the most common one and has at most ``FEW`` rows, by comparing all its rows. Rows that repeat a vec_id count once (the smallest vector). Ties go to the smaller vec_id. Fewer rows than asked for: all of them
 are candidates. Empty table: no rows.
 """
 
@@ -32,6 +32,8 @@ KIND = "shard long, asks int, id long, lists array<long>, v array<double>"
 NAMES = ["shard", "asks", "id", "lists", "v"]
 #: So many visits of lists, each with k rows, are gathered at once.
 VISITS = 100_000
+#: Rows of a dimension, and their components together, up to which it needs no index.
+FEW, COMPONENTS = 1024, 1 << 22
 
 
 def balanced_centroids(sample: np.ndarray, lists: int, rounds: int = 12, charge: float = 0.1) -> np.ndarray:
@@ -187,12 +189,43 @@ def search(
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).where(F.col("id").isNotNull() & usable("v") & F.exists("v", lambda x: x != 0))
     rows = rows.groupBy("id").agg(F.min("v").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    facts = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("largest")).orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if facts is None:
-        return spark.createDataFrame([], schema)
-    n, d, largest = facts["n"], facts["d"], facts["largest"]
-    rows = rows.where(F.size("v") == d)
+    facts = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("largest")).orderBy(F.desc("n"), "d").collect()  # a row a dimension
+    if not facts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    few = [f["d"] for f in facts[1:] if f["n"] <= FEW and f["n"] * f["d"] <= COMPONENTS]
+    met = None
+    for f in facts:
+        if f["d"] not in few:
+            own = _indexed(
+                rows.where(F.size("v") == f["d"]), f["n"], f["d"], f["largest"], every, k, vectors_per_list, most_lists, sample, list_rows, replicas, spread, probes, ratio, shards, shard_bytes, floor, sample_per_list
+            )
+            met = own if met is None else met.unionByName(own)
+    if few:
+        met = met.unionByName(_compared(rows.where(F.size("v").isin(few)), every, k))
+    met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _compared(rows: DataFrame, every: int, k: int) -> DataFrame:
+    """The best k rows of each query among all rows of its dimension: a dimension is a group of at most FEW rows."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, x = np.asarray(table.column("id"), dtype=np.int64), matrix(table.column("v").combine_chunks())
+        asks = np.flatnonzero(ids % every == 0)
+        query, row = np.nonzero(ids[asks][:, None] != ids[None, :])
+        exact = np.einsum("ij,ij->i", x[asks][query], x[row]) if len(query) else np.zeros(0)
+        found = _best(ids[asks][query], ids[row], exact, k)
+        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+
+    return rows.groupBy(F.size("v")).applyInArrow(compare, "query_id long, vec_id long, score double")
+
+
+def _indexed(
+    rows: DataFrame, n: int, d: int, largest: float, every: int, k: int, vectors_per_list: int, most_lists: int, sample: int, list_rows: int, replicas: int, spread: float, probes: float, ratio: float, shards: int, shard_bytes: int, floor: int, sample_per_list: int
+) -> DataFrame:
+    """query_id, vec_id and score of what the lists of one dimension's index hold for each query."""
+    spark = rows.sparkSession
     lists = int(min(most_lists, max(1, n // vectors_per_list)))
     # A bounded sample: at most sample_per_list * most_lists rows, however large the table.
     drawn = matrix(rows.orderBy(F.xxhash64("id"), "id").limit(max(sample, sample_per_list * lists)).select("v").toArrow().column("v"))
@@ -304,7 +337,4 @@ def search(
                         shard, held = gathered(held), []
                     yield from answered(shard, piece)
 
-    met = dealt.union(asked).repartition("shard").sortWithinPartitions("shard", "asks").mapInArrow(scan, "query_id long, vec_id long, score double")
-    met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return dealt.union(asked).repartition("shard").sortWithinPartitions("shard", "asks").mapInArrow(scan, "query_id long, vec_id long, score double")

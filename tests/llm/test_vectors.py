@@ -141,3 +141,39 @@ def test_floor_takes_lists_beyond_the_graph():
     assert sorted(list_) == [0, 1, 2, 3] and set(at) == {0}
     at, list_ = ann._chosen(graph, np.zeros((1, 2)), 2, 1.3, np.array([100, 1, 1, 1000]), 80)
     assert list(list_) == [0]
+
+
+def test_every_dimension_is_searched(spark):
+    rng = np.random.default_rng(6)
+    sizes = {4: 1500, 8: 1300, 2: 60, 3: 1}
+    rows = [(d, [float(x) for x in np.round(rng.normal(0, 1, d), 1)]) for d, n in sizes.items() for _ in range(n)]
+    rng.shuffle(order := np.arange(len(rows)))
+    rows = [(i, rows[j][1]) for i, j in enumerate(order)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in ann.search(vectors, k=5, probes=1.0, ratio=99.0).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    for q, v in rows:
+        if q % 20 == 0 and any(len(w) == len(v) for i, w in rows if i != q):
+            scores = sorted((-float(np.einsum("i,i->", np.array(v), np.array(w))), i) for i, w in rows if len(w) == len(v) and i != q)
+            assert [i for i, _ in found.pop(q)] == [i for _, i in scores[:5]], (q, len(v))
+    assert not found
+
+
+def test_recall_of_the_registered_query(spark):
+    import pyarrow.parquet as pq
+
+    from loomledger.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    table = pq.read_table(f"{folder}/embeddings.parquet")
+    ids, x = np.array(table.column("vec_id")), np.array(table.column("embedding").to_pylist(), dtype=np.float64)
+    found = defaultdict(list)
+    for r in queries.queries()["op7_posting_lists"](spark, folder).collect():
+        found[r.query_id].append(r.score)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        scores = np.sort(np.delete(x @ x[q], q))[-20:]
+        total += len(scores)
+        hits += sum(s >= scores[0] - 1e-9 for s in found[ids[q]])
+    assert hits / total >= 0.95
