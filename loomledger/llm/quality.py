@@ -186,7 +186,7 @@ def fit(docs: DataFrame, learnable: DataFrame, sample: int = 6000, hashed: int =
     """Fit on at most ``sample`` of the learnable rows (doc_id, label): those whose hashed id is smallest."""
     chosen = bounded_sample(learnable, sample)
     # At most ``sample`` rows of two numbers: safe to broadcast.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
 
     def run(batches):
         for batch in split_batches(batches, "text", 4 << 20):

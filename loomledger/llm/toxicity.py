@@ -314,8 +314,28 @@ def document_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return rows, index, names
 
 
+#: Of so many smallest hashes of their words, copies share at least so many.
+SKETCH, SHARED = 16, 12
+
+
+def _families(documents: list[tuple[int, list[str]]]) -> list[int]:
+    """The place of the first document of each family of near copies with one label: copies say no more about words than one of them."""
+    seen: dict[tuple[int, int], list[int]] = {}
+    kept = []
+    for at, (label, tokens) in enumerate(documents):
+        sketch = sorted({zlib.crc32(t.encode()) for t in tokens})[:SKETCH]
+        met = Counter(i for h in sketch for i in seen.get((label, h), ()))
+        if tokens and any(n >= min(SHARED, len(sketch)) for n in met.values()):
+            continue
+        kept.append(at)
+        for h in sketch:
+            seen.setdefault((label, h), []).append(at)
+    return kept
+
+
 def _trained(documents: list[tuple[int, list[str]]], landmarks: int, clean_words: int, copied: int) -> tuple[np.ndarray, float] | None:
-    """The word machine. documents: (label, distinct words)."""
+    """The word machine. documents: (label, distinct words); near copies count once, or the words of one text that is there many times would pass for insults."""
+    documents = [documents[i] for i in _families(documents)]
     count = {y: sum(1 for d in documents if d[0] == y) for y in (0, 1)}
     if not count[0] or not count[1]:
         return None
@@ -359,11 +379,10 @@ def _trained(documents: list[tuple[int, list[str]]], landmarks: int, clean_words
     return table, bias
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float | np.ndarray = 1.0, rounds: int = 50) -> np.ndarray:
     """Weights and bias of a logistic regression, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
+    penalty = np.append(np.broadcast_to(ridge, x.shape[1] - 1), 1e-6)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -403,17 +422,19 @@ def _picked(texts: DataFrame, table: np.ndarray, bias: float) -> tuple[list[byte
 
 
 def fit(
-    docs: DataFrame, learnable: DataFrame, toxic: int = 1500, clean: int = 3000, landmarks: int = 160, clean_words: int = 12_000, copied: int = 300, rounds: int = 2
+    docs: DataFrame, learnable: DataFrame, toxic: int = 1500, clean: int = 3000, landmarks: int = 160, clean_words: int = 12_000, copied: int = 300, rounds: int = 2, toxic_weight: float = 2.0, sentence_ridge: float = 30.0
 ) -> ToxicityModel | None:
     """Fit on at most ``toxic`` and ``clean`` labelled documents: those whose hashed id is smallest.
 
     clean_words: of the sample's clean words so many teach the word machine at first, and a third more of those it gets wrong in
     each later round; copied: of the insults, and of the toxic sentence windows, so many get copies with an inserted character;
-    rounds: how often the sentence machine picks its windows."""
+    rounds: how often the sentence machine picks its windows; toxic_weight: what a toxic document counts in the last layer; sentence_ridge: how much more the layer
+    holds back the sentence machine's scores, which fit the documents that it learned from too well. Of a labelled id that is there several times one text is
+    taken, so the bounds are bounds of rows."""
     total = {r["label"]: r["n"] for r in learnable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = bounded_sample(learnable.where("label = 1"), toxic).unionByName(bounded_sample(learnable.where("label = 0"), clean))
     # A few thousand rows of two numbers: safe to broadcast. The sample is written once: every round reads it, not the corpus.
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("label", "text"), "toxicity_sample")
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"), "toxicity_sample")
 
     def words(batches):
         for batch in split_batches(batches, "text", 4 << 20):
@@ -451,7 +472,11 @@ def fit(
     judged = sorted((r["label"], *r["x"]) for r in texts.mapInArrow(evidence, "label int, x array<double>").collect())
     y = np.array([r[0] for r in judged], dtype=float)
     weight = np.array([total[r[0]] / count[r[0]] for r in judged])
-    model.layer = _logistic(np.array([r[1:] for r in judged]), y, weight / weight.mean())
+    weight = weight * np.where(y == 1, toxic_weight, 1.0)
+    x = np.array([r[1:] for r in judged])
+    # First the highest words and the number of insults; their share and the sentences, which fit the sample too well, are held back.
+    ridge = np.where(np.arange(x.shape[1]) < 4, 1.0, sentence_ridge)
+    model.layer = _logistic(x, y, weight / weight.mean(), ridge)
     return model
 
 
