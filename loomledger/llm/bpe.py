@@ -48,22 +48,9 @@ def load(ranks_path: str, pattern: str):
 _COLUMNS = {"ids": {"ids": ("array<int>", pa.list_(pa.int32()))}, "digests": {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}}
 
 
-class _Words:
-    """Ids of pre-tokens met before, as bytes: a pre-token is encoded by itself, so its ids are the same everywhere."""
-
-    def __init__(self, encoding, limit: int = 120_000):
-        self.encoding, self.limit, self.known = encoding, limit, {}
-
-    def ids(self, tokens: list[str]) -> bytes:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, tokens))
-        except KeyError:
-            for token in set(tokens).difference(known):
-                known[token] = np.array(self.encoding.encode_ordinary(token), dtype="<u4").tobytes()
-            return b"".join(map(known.__getitem__, tokens))
+def _ids(encoding, piece: str) -> bytes:
+    """The ids of a piece, as bytes: one call, whatever number of pre-tokens it has."""
+    return np.array(encoding.encode_ordinary(piece), dtype="<u4").tobytes()
 
 
 class _Bytes:
@@ -82,14 +69,9 @@ class _Bytes:
         return self.flat[np.repeat(self.begin[ids] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)].tobytes()
 
 
-@lru_cache(maxsize=1)
-def _words(ranks_path: str, pattern: str) -> _Words:
-    """One for each Python worker, kept from task to task; so is _bytes."""
-    return _Words(load(ranks_path, pattern))
-
-
 @lru_cache(maxsize=1)
 def _bytes(ranks_path: str, pattern: str) -> _Bytes:
+    """One for each Python worker, kept from task to task."""
     return _Bytes(load(ranks_path, pattern))
 
 
@@ -122,13 +104,12 @@ def _compiled(pattern: str):
     return found
 
 
-def pre_tokens(pattern: str, text: str) -> tuple[list[str], list[int]]:
-    """The pre-tokens of a text, and where each ends."""
-    tokens = _compiled(pattern).findall(text)
-    ends = [*accumulate(map(len, tokens))]
+def boundaries(pattern: str, text: str) -> list[int]:
+    """Where the pre-tokens of a text end."""
+    ends = [*accumulate(map(len, _compiled(pattern).findall(text)))]
     if (ends[-1] if ends else 0) != len(text):
         raise ValueError("the pattern must match every character")
-    return tokens, ends
+    return ends
 
 
 def edges(text: str, ends: list[int], start: int, step: int, overlap: int) -> tuple[list[int], list[int]]:
@@ -142,31 +123,21 @@ def chunk_starts(size: int, chunk: int, overlap: int) -> range:
     return range(0, max(1, size - overlap), chunk - overlap)
 
 
-def pieces(pattern: str, text: str, chunk: int, overlap: int) -> list[list[str]]:
-    """The pre-tokens between a text's seams."""
+def pieces(pattern: str, text: str, chunk: int, overlap: int) -> list[str]:
+    """A text between its seams. A text of one chunk has none, so its pre-tokens needn't be found."""
     starts = chunk_starts(len(text), chunk, overlap)
-    chunks = [pre_tokens(pattern, text[start : start + chunk]) for start in starts]
     if len(starts) == 1:
-        return [chunks[0][0]]
+        return [text]
     seams, before = [0], set()
-    for start, (_, ends) in zip(starts, chunks, strict=True):
-        head, tail = edges(text[start : start + chunk], ends, start, chunk - overlap, overlap)
-        seams.append(min(before.intersection(head), default=None))
+    for start in starts:
+        part = text[start : start + chunk]
+        head, tail = edges(part, boundaries(pattern, part), start, chunk - overlap, overlap)
+        if start:
+            seams.append(min(before.intersection(head), default=None))
         before = set(tail)
-    # Chunk i lies between the seams i and i + 1.
-    seams = [0, *seams[2:], len(text)]
-    out, low = [], 0
-    for i, (tokens, ends) in enumerate(chunks):
-        high = seams[i + 1]
-        if high is None:
-            continue
-        if seams[i] is None:  # several chunks without a seam
-            out.append(pre_tokens(pattern, text[low:high])[0])
-        else:
-            first = bisect.bisect_right(ends, low - starts[i]) if low > starts[i] else 0
-            out.append(tokens[first : bisect.bisect_right(ends, high - starts[i])])
-        low = high
-    return out
+    # Neighbours without a seam are one piece.
+    cuts = [*(s for s in seams if s is not None), len(text)]
+    return [text[low:high] for low, high in zip(cuts, cuts[1:], strict=False)]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 2048, overlap: int = 128, output: str = "ids", deal: int = 65536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,13 +152,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 2048, ov
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([row[i] for row in found], type=kind[1]) for i, kind in enumerate(columns.values()))], names=["doc_id", *columns])
 
     def whole(batches):
-        words, decoder = _words(ranks_path, pattern), _bytes(ranks_path, pattern)
+        encoding, decoder = load(ranks_path, pattern), _bytes(ranks_path, pattern)
         for batch in split_batches(batches, "text", 4 << 20):
             found = []
             for text in batch.column("text").to_numpy(zero_copy_only=False):
                 joined = _Joined(decoder, output)
                 for piece in pieces(pattern, text, chunk, overlap):
-                    joined.add(words.ids(piece))
+                    joined.add(_ids(encoding, piece))
                 found.append(joined.columns())
             yield answer(batch.column("doc_id").to_pylist(), found)
 
@@ -203,7 +174,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 2048, ov
 
     def pre_tokenise(batches):
         for batch in batches:
-            found = [edges(text, pre_tokens(pattern, text)[1], start, chunk - overlap, overlap) for start, text in zip(batch.column("start").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            found = [edges(text, boundaries(pattern, text), start, chunk - overlap, overlap) for start, text in zip(batch.column("start").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1))], names=[*batch.schema.names, "head", "tail"])
 
     long = texts.where(F.length("text") > deal).withColumn("row", F.monotonically_increasing_id())
@@ -225,9 +196,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 2048, ov
     sewn = sewn.groupBy("doc_id", "row", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "").alias("text"))
 
     def encode_pieces(batches):
-        words = _words(ranks_path, pattern)
+        encoding = load(ranks_path, pattern)
         for batch in split_batches(batches, "text", 4 << 20):
-            ids = [words.ids(pre_tokens(pattern, t)[0]) for t in batch.column("text").to_numpy(zero_copy_only=False)]
+            ids = [_ids(encoding, t) for t in batch.column("text").to_numpy(zero_copy_only=False)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "piece")), pa.array(ids, pa.binary())], names=["doc_id", "row", "piece", "ids"])
 
     def join_ids(batches):
