@@ -218,6 +218,10 @@ def domain_in(df: DataFrame, listed: DataFrame, domain: str = "domain") -> DataF
     return df.join(hit, df[domain] == hit["_d"], "left_semi")
 
 
+#: Shares into which a host's addresses are dealt to meet its rules.
+SHARES = 16
+
+
 def robots_decide(urls: DataFrame, rules: DataFrame, agent: str, url: str = "url") -> DataFrame:
     """Add allowed, rule_type and rule_path. rules: host, group_id, agents (lower-cased), rule_type, path (null: a group without rules).
 
@@ -235,7 +239,10 @@ def robots_decide(urls: DataFrame, rules: DataFrame, agent: str, url: str = "url
     target = F.concat(F.when(U.path(u) == "", "/").otherwise(U.path(u)), F.when(U.query(u) == "", "").otherwise(F.concat(F.lit("?"), U.query(u))))
     keyed = urls.withColumn("_host", U.host(u)).withColumn("_target", target)
     # Each address meets its host's rules once, however many rows have it; the rows keep their number and take the verdict back.
-    hits = keyed.select("_host", "_target").distinct().join(live, (F.col("_host") == F.col("_h")) & F.expr("_target rlike _regex"))
+    # A host's few rules are there for every share of its addresses, so a host with most of the addresses is many tasks' work.
+    shared = live.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    asked = keyed.select("_host", "_target").distinct().withColumn("_part", F.pmod(F.xxhash64("_target"), F.lit(SHARES)).cast("int"))
+    hits = asked.join(shared, (F.col("_host") == F.col("_h")) & (F.col("_part") == F.col("_share")) & F.expr("_target rlike _regex"))
     win = hits.groupBy("_host", "_target").agg(F.max(F.struct(F.length("_path").alias("n"), (F.col("_t") == "allow").alias("a"), F.col("_t").alias("t"), F.col("_path").alias("p"))).alias("_w"))
     return keyed.join(win, ["_host", "_target"], "left").select(*urls.columns, F.coalesce(F.col("_w.t") == "allow", F.lit(True)).alias("allowed"), F.col("_w.t").alias("rule_type"), F.col("_w.p").alias("rule_path"))
 

@@ -40,7 +40,9 @@ FROM (SELECT *, CASE WHEN kind = 'view' THEN 'queued' WHEN kind IN ('click', 'si
 
 
 def state_counts(spark, sf_dir):
-    return stats.state_counts(items(spark, sf_dir))
+    """Items by state; some are in a state that the ledger doesn't know, some in none."""
+    lost = F.when(F.col("item_id") % 97 == 5, "lost").when(F.col("item_id") % 89 != 3, F.col("work_state"))
+    return stats.state_counts(items(spark, sf_dir).withColumn("work_state", lost))
 
 
 def status(spark, sf_dir):
@@ -64,8 +66,13 @@ def conflicts(spark, sf_dir):
     return stats.conflicts(j)
 
 
+def _told(spark, sf_dir):
+    """Judgments of which the toxicity worker says no where it sees nothing, for two documents in three."""
+    return judgments(spark, sf_dir).withColumn("label", F.coalesce("label", F.when((F.col("worker_id") == "toxic") & (F.col("item_id") % 3 != 0), "no")))
+
+
 def judgment_counts(spark, sf_dir):
-    return stats.judgment_counts(judgments(spark, sf_dir))
+    return stats.judgment_counts(_told(spark, sf_dir))
 
 
 def reject_summary(spark, sf_dir):
@@ -396,7 +403,7 @@ _NOVEL = f"""o AS ({_OBSERVED_SQL}), e AS (SELECT series, idx, unnest(emitted) A
 _YES = "CASE WHEN label IS NULL AND worker_id = 'toxic' THEN 'no' ELSE label END"
 
 ORACLE = {
-    "ag01_state_counts": f"SELECT count(*) AS total, {_STATES}, CAST(0 AS BIGINT) AS other FROM ({ITEMS_SQL})",
+    "ag01_state_counts": f"SELECT count(*) AS total, {_STATES}, count(*) FILTER (work_state IS NULL OR work_state = 'lost') AS other FROM (SELECT CASE WHEN item_id % 97 = 5 THEN 'lost' WHEN item_id % 89 <> 3 THEN work_state END AS work_state FROM ({ITEMS_SQL}))",
     "ag02_status": f"""SELECT i.*, a.*, queued = 0 AND leased = 0 AS workspace_drained FROM (SELECT count(*) AS total, {_STATES}, count(*) FILTER (work_state = 'leased' AND collected_at IS NOT NULL) AS awaiting_report,
         count(*) FILTER (review_required) AS review_required, count(*) FILTER (work_state = 'leased' AND lease_expires_at <= {_NOW_SQL}) AS expired_leases FROM ({ITEMS_SQL})) i,
         (SELECT count(*) AS files, round(sum(value), 2) AS bytes FROM events) a""",
@@ -404,7 +411,8 @@ ORACLE = {
     "ag04_top_warnings": f"SELECT warning, count(*) AS n FROM (SELECT unnest(warning_codes) AS warning FROM ({ATTEMPTS_SQL})) GROUP BY warning ORDER BY n DESC, warning LIMIT 5",
     "ag05_artifact_totals": "SELECT coalesce(l_returnflag, 'all') AS kind, count(*) AS files, round(sum(l_quantity), 2) AS bytes FROM lineitem GROUP BY ROLLUP (l_returnflag)",
     "ag06_conflicts": f"SELECT item_id, count(DISTINCT l) AS labels FROM (SELECT item_id, {_YES} AS l FROM ({JUDGMENTS_SQL})) WHERE l IS NOT NULL GROUP BY item_id HAVING count(DISTINCT l) > 1",
-    "ag07_judgment_counts": f"SELECT count(*) AS total, count(label) AS labelled, count(*) - count(label) AS abstained, count(DISTINCT item_id) AS items_judged, CAST(0 AS BIGINT) AS conflicts FROM ({JUDGMENTS_SQL})",
+    "ag07_judgment_counts": f"""WITH j AS (SELECT item_id, CASE WHEN label IS NULL AND worker_id = 'toxic' AND item_id % 3 <> 0 THEN 'no' ELSE label END AS label FROM ({JUDGMENTS_SQL}))
+        SELECT count(*) AS total, count(label) AS labelled, count(*) - count(label) AS abstained, count(DISTINCT item_id) AS items_judged, (SELECT count(*) FROM (SELECT item_id FROM j GROUP BY item_id HAVING count(DISTINCT label) > 1)) AS conflicts FROM j""",
     "ag08_reject_summary": "SELECT reason, count(*) AS n, min(event_id) AS first_line FROM (SELECT event_id, 'bad value N in ' || event_type || ' of N' AS reason FROM events WHERE event_type IN ('error', 'signup')) GROUP BY reason ORDER BY n DESC, reason LIMIT 5",
     "ag09_ledger_rows": f"""WITH s AS (SELECT doc_id AS item_id, unnest([CASE WHEN lang = 'en' THEN 'seed' ELSE 'import' END, 'internal_link']) AS k, unnest([source, lang]) AS v FROM documents),
         ss AS (SELECT item_id, array_to_string(list_sort(list_distinct(list(k))), ',') AS source_kinds, array_to_string(list_sort(list_distinct(list(k || ':' || v))), ',') AS sources FROM s GROUP BY item_id),

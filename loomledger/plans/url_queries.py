@@ -126,8 +126,9 @@ def robots(spark, sf_dir):
 
 
 def add_urls(spark, sf_dir):
-    """Records against a ledger that has the plain addresses already: what is new, and the counts."""
-    records = ops.canonicalize(url_records(spark, sf_dir))
+    """Records against a ledger that has the plain addresses already: what is new, what is no address, and the counts."""
+    mails = _pages(spark, sf_dir).where("page_id % 10 = 0").select(F.concat(F.lit("mailto:a@"), U.host(F.col("url"))).alias("url"))
+    records = ops.canonicalize(url_records(spark, sf_dir).select("url").unionByName(mails))
     known = ops.canonicalize(_pages(spark, sf_dir).where(F.col("url").contains("/en/"))).select("canonical_url").distinct()
     _, _, counts = ledger.add_urls(known.withColumn("domain", F.lit("x")), spark.createDataFrame([], "canonical_url string, source_kind string, source_value string"), records, "seed", "list")
     return counts
@@ -369,7 +370,7 @@ ORACLE = {
     "ag26_excluded_by": f"""SELECT rule, domain, count(*) FILTER (page_id % 3 <> 0) AS active, count(*) FILTER (page_id % 3 = 0) AS resolved FROM ({_EXCLUDED_SQL}) GROUP BY ALL ORDER BY active DESC, rule, domain LIMIT 20""",
     "jn03_robots": _robots_sql(),
     "jn01_add_urls": f"""WITH r AS (SELECT {_canonical('url')} AS c FROM ({URL_RECORDS_SQL})), known AS (SELECT DISTINCT {_canonical('url')} AS c FROM pages WHERE contains(url, '/en/'))
-        SELECT count(*) AS received, count(DISTINCT c) FILTER (c NOT IN (SELECT c FROM known)) AS added, count(*) - count(DISTINCT c) FILTER (c NOT IN (SELECT c FROM known)) AS duplicates, CAST(0 AS BIGINT) AS rejected, count(DISTINCT c) AS sources_added FROM r""",
+        SELECT count(*) + any_value(m) AS received, count(DISTINCT c) FILTER (c NOT IN (SELECT c FROM known)) AS added, count(*) - count(DISTINCT c) FILTER (c NOT IN (SELECT c FROM known)) AS duplicates, any_value(m) AS rejected, count(DISTINCT c) AS sources_added FROM r, (SELECT count(*) FILTER (page_id % 10 = 0) AS m FROM pages)""",
     "ag28_unvisited": f"""WITH {_LINKS}, p AS (SELECT {_canonical('url')} AS c FROM pages)
         SELECT domain, count(*) AS links_seen, count(DISTINCT canonical_url) FILTER (canonical_url NOT IN (SELECT c FROM p)) AS unvisited FROM canon GROUP BY domain""",
     "ag18_link_counts": f"""SELECT page_id, count(*) AS total, count(*) FILTER (f IN ('top', 'own')) AS internal, count(*) FILTER (f = 'away') AS external, count(*) FILTER (f = 'mail') AS non_http, CAST(0 AS BIGINT) AS unresolvable, count(*) FILTER (f = 'none') AS no_href, count(*) FILTER (f = 'top') AS fragment_only
