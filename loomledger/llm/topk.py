@@ -1,13 +1,13 @@
 """Exact top-k inner-product search by no-random-access aggregation.
 
 Vectors become integers, floor(scale * x). Rows are dealt into blocks, and a block into runs of ``run`` rows; a run keeps one
-list for each dimension, sorted by value. A query reads every list from the end that suits the sign of its component,
-deeper where the component is larger, a step further each round, and never looks a row up. Reading ends behind equal values.
-What has been read of a row gives bounds of its score: an entry not read yet is at most the list's last value read, which
-bounds the score from above, and at least the list's far end, which bounds it from below. The bar is the k-th best of the
+list for each dimension, of (row, value) sorted by value, and knows the lists' ends. A query reads every list from the end that suits the sign of its
+component, deeper where the component is larger, a step further each round, and never looks a row up: what a round has read is added to its
+rows' partial sums and marked as seen, and nothing else of a row is known. An entry not read yet is at most the list's last value read, which
+bounds a row's score from above, and at least the list's far end, which bounds it from below. The bar is the k-th best of the
 scores resolved so far and of the lower bounds. Rows whose upper bound is under the bar, and so all rows not met yet when the
 sum of the last values read is under it, can't qualify. When at most ``2 k`` rows can, the lists are read on until all of those have
-been met everywhere, which resolves their scores, and the bar goes on to the next run. ``entries_read`` tells, with each
+been met everywhere: their sums are then their scores, and the bar goes on to the next run. ``entries_read`` tells, with each
 query, how many list entries it read, and ``entries`` how many there were.
 
 A block of rows stays in one task while queries stream past it, so each row travels once for every ``queries_per_part`` queries.
@@ -44,43 +44,74 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 class SortedLists:
-    """A run of rows: their ids, and one sorted list of the values of each dimension."""
+    """A run of rows: their ids, and a sorted list of (row, value) for each dimension. Lists are read from either end; of what isn't read only the two ends of each list are known."""
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray):
-        self.values, self.ids, self.lists = np.ascontiguousarray(rows.T), ids, np.ascontiguousarray(np.sort(rows, axis=0).T)
+        self.ids, self.m = ids, len(ids)
+        order = np.argsort(rows, axis=0, kind="stable").T
+        value = np.take_along_axis(rows.T, order, axis=1)
+        # From the small end and from the large end: both as dimension x place.
+        self._rows = np.ascontiguousarray(np.stack([order, order[:, ::-1]]), dtype=np.int32)
+        self._values = np.ascontiguousarray(np.stack([value, value[:, ::-1]]))
+        self.least, self.most = value[:, 0].copy(), value[:, -1].copy()
         self.largest = float(np.abs(rows).max(initial=0.0))
 
+    def read(self, dims: np.ndarray, large: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Dimension, row and value of the entries from begin to end of the lists of dims, counted from their large or small ends."""
+        n = end - begin
+        at = np.repeat(np.arange(len(dims)), n)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + begin[at]
+        side, dim = large[at].astype(np.int64), dims[at]
+        return dim, self._rows[side, dim, place], self._values[side, dim, place]
 
-def aggregate(lists: SortedLists, query: np.ndarray, own_id: int, k: int, bar: float, slack: float, step: float = 0.15) -> tuple[np.ndarray, int]:
-    """Rows of a run that can still be among the k best, all of their entries read, and the number of entries read.
+
+def aggregate(lists: SortedLists, query: np.ndarray, own_id: int, k: int, bar: float, slack: float, step: float = 0.15) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, int]:
+    """Rows of a run that can still be among the k best, with their scores, or (where slack isn't 0) with all of their values, and the number of entries read.
 
     bar: a score that k other rows reach; slack: what rounding can add to a bound."""
-    # Lists read from the large end, and those read from the small end; a component of zero needs none.
-    ups, downs = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-    weight = np.sqrt(np.abs(query))
-    weight = weight / max(weight.mean(), 1e-300)
-    m, share = len(lists.ids), 3 * step
-    alive = np.flatnonzero(lists.ids != own_id)
-    high, low = (lists.values[side][:, alive] for side in (ups, downs))
-    while True:
-        depth = np.clip(np.ceil(share * m * weight), 1, m).astype(np.int64)
-        top, bottom = lists.lists[ups, m - depth[ups]][:, None], lists.lists[downs, depth[downs] - 1][:, None]
-        # An entry counts with its value where it has been read, and with the last value read where it hasn't.
-        upper = query[ups] @ np.maximum(high, top) + query[downs] @ np.minimum(low, bottom)
+    m = lists.m
+    dims = np.flatnonzero(query)  # a component of zero needs no list
+    q, large = query[dims], query[dims] > 0
+    far = q * np.where(large, lists.least[dims], lists.most[dims])
+    weight = np.sqrt(np.abs(q))
+    weight = weight / max(weight.mean() if len(q) else 0.0, 1e-300)
+    place_of = np.zeros(len(query), np.int64)
+    place_of[dims] = np.arange(len(dims))
+    total, seen = np.zeros(m), np.zeros((len(dims), m))
+    got = np.zeros((len(query), m)) if slack else None
+    read, last = np.zeros(len(dims), np.int64), q * np.where(large, lists.most[dims], lists.least[dims])
+    others = lists.ids != own_id
+    alive, share = np.flatnonzero(others), 3 * step
+
+    def read_to(depth: np.ndarray) -> None:
+        dim, row, value = lists.read(dims, large, read, depth)
+        total[:] += np.bincount(row, weights=query[dim] * value, minlength=m)
+        seen[place_of[dim], row] = 1.0
+        if got is not None:
+            got[dim, row] = value
+        # The last entry of each list that was read from.
+        n = depth - read
+        some = n > 0
+        ends = np.cumsum(n)[some] - 1
+        last[some] = q[some] * value[ends]
+        read[:] = depth
+
+    while len(dims) and len(alive):
+        read_to(np.maximum(read, np.clip(np.ceil(share * m * weight), 1, m).astype(np.int64)))
+        upper = total[alive] + last.sum() - last @ seen[:, alive]
         if bar == -np.inf and len(alive) > k:
-            lower = query[ups] @ np.where(high >= top, high, lists.lists[ups, :1]) + query[downs] @ np.where(low <= bottom, low, lists.lists[downs, -1:])
-            reached = float(np.partition(lower, len(lower) - k)[len(lower) - k])
-            kept = upper >= reached - slack
+            lower = total[alive] + far.sum() - far @ seen[:, alive]
+            kept = upper >= float(np.partition(lower, len(lower) - k)[len(lower) - k]) - slack
         else:
             kept = upper >= bar - slack
-        alive, high, low = alive[kept], high[:, kept], low[:, kept]
-        if len(alive) <= 2 * k or (depth[weight > 0] == m).all():
+        alive = alive[kept]
+        if len(alive) <= 2 * k or (read == m).all():
             break
         share += step
     # Read on until the rows left have been met in all lists.
-    if len(alive):
-        top, bottom = np.minimum(top, high.min(axis=1, keepdims=True)), np.maximum(bottom, low.max(axis=1, keepdims=True))
-    return alive, int((lists.lists[ups] >= top).sum() + (lists.lists[downs] <= bottom).sum())
+    while len(dims) and len(alive) and not (met := seen[:, alive].all(axis=1)).all():
+        read_to(np.where(met, read, np.minimum(m, read + max(1, m // 16))))
+    return alive, total[alive], None if got is None else got[:, alive], int(read.sum())
 
 
 def best_of_block(runs: list[SortedLists], query: np.ndarray, own_id: int, k: int) -> tuple[list[tuple[int, int]], int]:
@@ -90,18 +121,18 @@ def best_of_block(runs: list[SortedLists], query: np.ndarray, own_id: int, k: in
     reach = float(np.abs(query).sum())
     for lists in runs:
         exact = reach * lists.largest < 2.0**53
-        slack = 0.0 if exact else 1e-12 * reach * lists.largest
-        alive, entries = aggregate(lists, query, own_id, k, -float(best[-1][0]) if len(best) == k else -np.inf, slack)
+        slack = 0.0 if exact else max(1e-12 * reach * lists.largest, 5e-324)
+        alive, score, values, entries = aggregate(lists, query, own_id, k, -float(best[-1][0]) if len(best) == k else -np.inf, slack)
         read += entries
-        if exact:
-            score = (query @ lists.values[:, alive]).astype(np.int64)
+        if values is None:
+            score = score.astype(np.int64)
             if len(alive) > 4 * k:
                 few = score >= np.partition(score, len(score) - k)[len(score) - k]
                 alive, score = alive[few], score[few]
             score = score.tolist()
         else:
             whole = [int(x) for x in query]
-            score = [sum(int(x) * q for x, q in zip(row, whole, strict=True)) for row in lists.values[:, alive].T.tolist()]
+            score = [sum(int(x) * q for x, q in zip(row, whole, strict=True)) for row in values.T.tolist()]
         best = sorted([*best, *zip((-s for s in score), lists.ids[alive].tolist(), strict=True)])[:k]
     return best, read
 
@@ -135,7 +166,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, ro
         ids = np.asarray(asking.column("id"), dtype=np.int64).tolist()
         for own, query in zip(ids, integers(asking), strict=True):
             best, read = best_of_block(runs, query, own, k)
-            held = sum(lists.values.size for lists in runs)
+            held = sum(lists.m * len(query) for lists in runs)
             # The counts travel on the first row of each block's answer.
             for i, (score, row) in enumerate(best):
                 if not -(2**63) <= -score < 2**63:

@@ -66,14 +66,40 @@ def test_bounds_stop_early_and_lose_nothing():
         for query in np.floor(rng.normal(0, 20, (30, 6))):
             scores = rows @ query
             for bar in (-np.inf, np.sort(scores)[-5]):
-                alive, read = topk.aggregate(lists, query, -1, 5, bar, 0.0)
+                alive, found, _, read = topk.aggregate(lists, query, -1, 5, bar, 0.0)
                 assert set(np.flatnonzero(scores >= np.sort(scores)[-5])) <= set(alive) and read <= rows.size
+                assert (found == scores[alive]).all()
             left.append(len(alive))
             # A run none of whose rows can qualify is left before its lists end.
-            shares.append(topk.aggregate(lists, query, -1, 5, scores.max() + 1, 0.0)[1] / rows.size)
+            shares.append(topk.aggregate(lists, query, -1, 5, scores.max() + 1, 0.0)[3] / rows.size)
     assert np.mean(shares) < 0.75 and np.mean(left) < 12
 
 
+def test_unread_entries_are_never_touched():
+    """All entries that a query hasn't read are made nonsense; the query reads the same ones again and finds the same."""
+    rng = np.random.default_rng(7)
+    rows = np.floor(rng.pareto(1.5, (400, 7)) * 20) * rng.choice([-1, 1], (400, 7))
+
+    class Watched(topk.SortedLists):
+        def __init__(self, *args):
+            super().__init__(*args)
+            self.touched = np.zeros(self._values.shape, bool)
+
+        def read(self, dims, large, begin, end):
+            for d, side, low, high in zip(dims, large.astype(int), begin, end):
+                self.touched[side, d, low:high] = True
+            return super().read(dims, large, begin, end)
+
+    for query in np.floor(rng.normal(0, 9, (20, 7))):
+        bar = np.sort(rows @ query)[-3]
+        lists = Watched(rows, np.arange(len(rows)))
+        first = topk.aggregate(lists, query, 5, 3, bar, 0.0)
+        assert lists.touched.sum() == first[3] < rows.size
+        lists._values[~lists.touched], lists._rows[~lists.touched] = np.nan, 10**6
+        again = topk.aggregate(lists, query, 5, 3, bar, 0.0)
+        assert (first[0] == again[0]).all() and (first[1] == again[1]).all() and first[3] == again[3]
+
+
 def test_posting_lists(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(0, 1, (12, 16))
