@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _ROWS = "d int, block long, part int, asks int, id long, v array<double>"
+#: Groups of lists of about one weight, for each of which a round has one depth.
+GROUPS = 4
 _FOUND = "query_id long, vec_id long, score long, read long, held long"
 
 
@@ -56,13 +58,9 @@ class SortedLists:
         self.least, self.most = value[:, 0].copy(), value[:, -1].copy()
         self.largest = float(np.abs(rows).max(initial=0.0))
 
-    def read(self, dims: np.ndarray, large: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Dimension, row and value of the entries from begin to end of the lists of dims, counted from their large or small ends."""
-        n = end - begin
-        at = np.repeat(np.arange(len(dims)), n)
-        place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + begin[at]
-        side, dim = large[at].astype(np.int64), dims[at]
-        return dim, self._rows[side, dim, place], self._values[side, dim, place]
+    def read(self, dims: np.ndarray, large: bool, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and values of the entries from begin to end of the lists of dims, counted from their large or small ends."""
+        return self._rows[int(large), dims, begin:end], self._values[int(large), dims, begin:end]
 
 
 def aggregate(lists: SortedLists, query: np.ndarray, own_id: int, k: int, bar: float, slack: float, step: float = 0.15) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, int]:
@@ -71,47 +69,50 @@ def aggregate(lists: SortedLists, query: np.ndarray, own_id: int, k: int, bar: f
     bar: a score that k other rows reach; slack: what rounding can add to a bound."""
     m = lists.m
     dims = np.flatnonzero(query)  # a component of zero needs no list
+    dims = dims[np.argsort(-np.abs(query[dims]), kind="stable")]
     q, large = query[dims], query[dims] > 0
     far = q * np.where(large, lists.least[dims], lists.most[dims])
+    last = q * np.where(large, lists.most[dims], lists.least[dims])
+    # Lists are read in groups of one end and of about one weight, each group to one depth.
+    groups = [g for part in np.array_split(np.arange(len(dims)), min(GROUPS, max(1, len(dims)))) for g in (part[large[part]], part[~large[part]]) if len(g)]
     weight = np.sqrt(np.abs(q))
-    weight = weight / max(weight.mean() if len(q) else 0.0, 1e-300)
-    place_of = np.zeros(len(query), np.int64)
-    place_of[dims] = np.arange(len(dims))
+    weight = np.array([weight[g].mean() for g in groups]) / max(weight.mean() if len(q) else 0.0, 1e-300)
+    depth = np.zeros(len(groups), np.int64)
     total, seen = np.zeros(m), np.zeros((len(dims), m))
     got = np.zeros((len(query), m)) if slack else None
-    read, last = np.zeros(len(dims), np.int64), q * np.where(large, lists.most[dims], lists.least[dims])
-    others = lists.ids != own_id
-    alive, share = np.flatnonzero(others), 3 * step
-
-    def read_to(depth: np.ndarray) -> None:
-        dim, row, value = lists.read(dims, large, read, depth)
-        total[:] += np.bincount(row, weights=query[dim] * value, minlength=m)
-        seen[place_of[dim], row] = 1.0
+    alive, share = np.flatnonzero(lists.ids != own_id), 3 * step
+
+    def read_to(i: int, end: int) -> None:
+        group, begin = groups[i], int(depth[i])
+        if end <= begin:
+            return
+        row, value = lists.read(dims[group], bool(large[group[0]]), begin, end)
+        total[:] += np.bincount(row.ravel(), weights=(q[group][:, None] * value).ravel(), minlength=m)
+        seen[group[:, None], row] = 1.0
         if got is not None:
-            got[dim, row] = value
-        # The last entry of each list that was read from.
-        n = depth - read
-        some = n > 0
-        ends = np.cumsum(n)[some] - 1
-        last[some] = q[some] * value[ends]
-        read[:] = depth
+            got[dims[group][:, None], row] = value
+        last[group] = q[group] * value[:, -1]
+        depth[i] = end
 
     while len(dims) and len(alive):
-        read_to(np.maximum(read, np.clip(np.ceil(share * m * weight), 1, m).astype(np.int64)))
-        upper = total[alive] + last.sum() - last @ seen[:, alive]
+        for i in range(len(groups)):
+            read_to(i, int(min(m, max(1, np.ceil(share * m * weight[i])))))
+        upper = total[alive] + last.sum() - (last @ seen)[alive]
         if bar == -np.inf and len(alive) > k:
-            lower = total[alive] + far.sum() - far @ seen[:, alive]
+            lower = total[alive] + far.sum() - (far @ seen)[alive]
             kept = upper >= float(np.partition(lower, len(lower) - k)[len(lower) - k]) - slack
         else:
             kept = upper >= bar - slack
         alive = alive[kept]
-        if len(alive) <= 2 * k or (read == m).all():
+        if len(alive) <= 2 * k or (depth == m).all():
             break
         share += step
     # Read on until the rows left have been met in all lists.
-    while len(dims) and len(alive) and not (met := seen[:, alive].all(axis=1)).all():
-        read_to(np.where(met, read, np.minimum(m, read + max(1, m // 16))))
-    return alive, total[alive], None if got is None else got[:, alive], int(read.sum())
+    for i, group in enumerate(groups):
+        while len(alive) and depth[i] < m and not seen[np.ix_(group, alive)].all():
+            read_to(i, min(m, int(depth[i]) + max(1, m // 16)))
+    sizes = np.array([len(g) for g in groups], dtype=np.int64)
+    return alive, total[alive], None if got is None else got[:, alive], int((depth * sizes).sum())
 
 
 def best_of_block(runs: list[SortedLists], query: np.ndarray, own_id: int, k: int) -> tuple[list[tuple[int, int]], int]:
@@ -137,7 +138,7 @@ def best_of_block(runs: list[SortedLists], query: np.ndarray, own_id: int, k: in
     return best, read
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, rows_per_block: int = 8192, queries_per_part: int = 16384, run: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, rows_per_block: int = 8192, queries_per_part: int = 16384, run: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score, entries_read, entries: the k best rows of each query; queries are the rows whose id is divisible by ``every``."""
     ready = (
         vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
