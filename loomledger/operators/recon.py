@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomledger.operators.substrings import contained
+from loomledger.operators.substrings import occurrences
 from loomledger.sources.tables import checkpointed
 
 
@@ -199,17 +199,18 @@ def match_boxes(cards: DataFrame, boxes: DataFrame) -> DataFrame:
 def lookup_sections(sections: DataFrame, ids: DataFrame) -> DataFrame:
     """id, matches, path and address: a section of exactly that title, else one whose title holds it; several: ambiguous, no answer; none: missing. sections: path, address, title; ids: id.
 
-    Sections are counted by title first, so a title that many share is one row of every join. An empty id is in every title that isn't null."""
-    first = F.min(F.struct("path", "address")).alias("_s")
-    titles = checkpointed(sections.where("title is not null").groupBy(F.lower("title").alias("text")).agg(F.count(F.lit(1)).alias("_n"), first))
-    asked = ids.select("id", F.lower("id").alias("needle")).distinct()
-    exact = asked.join(titles, F.col("needle") == F.col("text")).select("id", "_n", "_s")
-    rest = asked.join(exact.select("id").distinct(), "id", "left_anti")
-    # A long list of ids shares its needles, and a needle its texts: both joins are on keys that are unique on one side.
-    part = rest.join(contained(titles, rest), "needle").join(titles, "text").select("id", "_n", "_s")
-    every = rest.where("needle = ''").select("id").join(F.broadcast(titles.agg(F.sum("_n").alias("_n"), F.min("_s").alias("_s")).where("_n > 0")))
-    hits = exact.unionByName(part).unionByName(every).groupBy("id").agg(F.sum("_n").alias("matches"), F.min("_s").alias("_s"))
-    out = ids.join(hits, "id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    Titles are read once, where they are; what goes on is one row for each id that a task has met. An empty id is in every title that isn't null."""
+    known = sections.where("title is not null").select(F.lower("title").alias("text"), F.struct("path", "address").alias("_s"))
+    asked = checkpointed(ids.select("id", F.lower("id").alias("needle")).distinct())
+    place = F.col("_s")
+    counts = occurrences(known, asked).groupBy("piece").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_s"), F.count_if("whole").alias("_exact"), F.min(F.when(F.col("whole"), place)).alias("_e"))
+    exact = F.col("_exact") > 0
+    met = asked.join(counts, F.col("needle").cast("binary") == F.col("piece")).select("id", F.when(exact, F.col("_exact")).otherwise(F.col("_n")).alias("matches"), F.when(exact, F.col("_e")).otherwise(F.col("_s")).alias("_s"))
+    # An empty title is exactly the empty id.
+    empty = F.col("text") == ""
+    totals = known.agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_s"), F.count_if(empty).alias("_exact"), F.min(F.when(empty, place)).alias("_e")).where("_n > 0")
+    every = asked.where("needle = ''").select("id").join(F.broadcast(totals)).select("id", F.when(exact, F.col("_exact")).otherwise(F.col("_n")).alias("matches"), F.when(exact, F.col("_e")).otherwise(F.col("_s")).alias("_s"))
+    out = ids.join(met.unionByName(every), "id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     only = F.col("matches") == 1
     return out.select("id", "matches", F.when(only, "found").when(F.col("matches") == 0, "missing").otherwise("ambiguous").alias("verdict"), F.when(only, F.col("_s.path")).alias("path"), F.when(only, F.col("_s.address")).alias("address"))
 

@@ -31,3 +31,22 @@ def test_sections(spark):
     ids = spark.createDataFrame([("set up",), ("thing",), ("How to",), ("nothing",), ("",), (None,), ("How to",), ("ow",)], "id string")
     got = sorted((r.id or "-", r.matches, r.verdict, r.address) for r in recon.lookup_sections(sections, ids).collect())
     assert got == sorted([("set up", 1, "found", "1"), ("thing", 3, "ambiguous", None), ("How to", 1, "found", "2"), ("How to", 1, "found", "2"), ("nothing", 0, "missing", None), ("-", 4, "ambiguous", None), ("-", 0, "missing", None), ("ow", 1, "found", "2")])
+
+
+def test_only_places_of_needles_go_on(spark):
+    """Common grams don't multiply: of texts full of a needle's beginning only what may be a needle is sent, once for each text."""
+    texts = spark.createDataFrame([(i, "abcabd" * 300 + ("abcabcabx" if i % 10 == 0 else "")) for i in range(100)], "i long, text string")
+    needles = spark.createDataFrame([("abcabcabx",), ("abcabd",), ("abcabdabcabc",)], "needle string")
+    got = substrings.occurrences(texts, needles)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    pieces = [(r.i, bytes(r.piece)) for r in got.collect()]
+    true = {(i, n) for i in range(100) for n in (b"abcabd", *([b"abcabcabx", b"abcabdabcabc"] if i % 10 == 0 else []))}
+    assert true <= set(pieces) and len(pieces) == len(set(pieces)) <= 2 * len(true)
+
+
+def test_places_across_chunks(spark):
+    long = "x" * (substrings.CHUNK - 3) + "needle" + "ü" * substrings.CHUNK + "needle" + "y" * 9 + "e" * 70
+    texts = spark.createDataFrame([(long,), ("needle",), ("xüber",)], "text string")
+    needles = spark.createDataFrame([("xneedleü",), ("needle",), ("eedl" + "e" * 70,), ("y" * 9 + "e" * 70,), ("üb",), ("üx",)], "needle string")
+    got = [(r.needle, len(r.text)) for r in substrings.contained(texts, needles).collect()]
+    assert sorted(got) == sorted((n.needle, len(t.text)) for t in texts.collect() for n in needles.collect() if n.needle in t.text)
