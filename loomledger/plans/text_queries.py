@@ -91,7 +91,7 @@ def search_notes(spark, sf_dir):
 
 
 def search_transcripts(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), (F.col("turn") + 1).alias("line"), F.col("role").alias("speaker"), "text", (F.col("conv_id") % 10 == 0).alias("sidechain"))
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), (F.col("turn") + 1).alias("line"), F.col("role").alias("speaker"), "text")
     return reviews.search_transcripts(t, "tion th")
 
 
@@ -218,7 +218,7 @@ SELECT bp.item_id, bp.first, bp.second FROM bp SEMI JOIN k ON bp.first = k.w SEM
     "tx12_preview": "SELECT doc_id, substr(trim(list_extract(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> ''), 1)), 1, 60) AS preview FROM documents",
     "tx13_required_words": "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{w}' END" for w in _WORDS) + "], lambda w: w IS NOT NULL), ',') AS matched, NOT (" + " OR ".join(f"contains(lower(text), '{w}')" for w in _WORDS) + ") AS review_required FROM documents",
     "fl08_search_notes": "SELECT doc_id, source, count(*) OVER () AS total FROM documents WHERE contains(lower(text), 'licensed') OR contains(source, 'licensed') ORDER BY doc_id DESC LIMIT 50",
-    "fl09_search_transcripts": r"SELECT conv_id AS file, turn + 1 AS line, role AS speaker, substr(t, greatest(1, strpos(lower(t), 'tion th') - 20), 60) AS snippet FROM (SELECT *, regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM conversations) WHERE conv_id % 10 <> 0 AND contains(lower(t), 'tion th')",
+    "fl09_search_transcripts": r"SELECT conv_id AS file, turn + 1 AS line, role AS speaker, substr(t, greatest(1, strpos(lower(t), 'tion th') - 20), 60) AS snippet FROM (SELECT *, regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM conversations) WHERE contains(lower(t), 'tion th')",
     "fl06_inbox": "SELECT conv_id, turn, role AS sender FROM conversations WHERE turn % 2 = 0 AND (contains(lower(text), 'assist') OR contains(role, 'assist') OR turn % 4 = 0)",
     "fl04_scoped_documents": "SELECT doc_id, 'corpus/' || source || '/' || lang || '/' || doc_id AS path FROM documents WHERE source = 'src1'",
     "fl03_dated_events": "SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-10'",

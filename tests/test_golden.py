@@ -11,6 +11,7 @@ from loomledger.functions import urls as U
 from loomledger.operators import docs as doc_ops
 from loomledger.operators import graph, html, ledger, recon, series, stats, text
 from loomledger.operators import urls as url_ops
+from loomledger.plans import text_queries
 from loomledger.sources import scans, sinks
 
 
@@ -502,3 +503,9 @@ def test_references_end_with_a_semicolon(spark):
     row = html.extract_text(parsed).first()
     assert row.title == "A &amp" and row.text == "© &COPY x<&ampx; &notit; A &#65 &unknown; R&D &amp; &\n&amp l&\n&amp"
     assert parsed.first().links[0].raw_href == "/p?a=1&copy=2&b=3"
+
+
+def test_every_transcript_is_searched(spark, tmp_path):
+    turns = [(c, t, "user", f"{c} station then") for c in range(8, 22) for t in range(2)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert sorted((r.file, r.line) for r in text_queries.search_transcripts(spark, str(tmp_path)).collect()) == [(c, t + 1) for c, t, *_ in turns]
