@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomledger.operators.ledger import WORK_STATES
+from loomledger.sources.tables import checkpointed
 
 
 def state_counts(items: DataFrame) -> DataFrame:
@@ -215,7 +216,15 @@ def fit_budget(rows: DataFrame, key: str, order: str, size: str, budget: int) ->
 
 
 def list_notes(notes: DataFrame, kind: str, date: str, key: str, limit: int) -> DataFrame:
-    """All topic notes, and the newest date notes, limit of them; rank is the place among the newest, null for topics. Only date notes are ordered, and of those no task keeps more than
-    limit before the exchange."""
-    dated = notes.where(F.col(kind) == "date").withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy(F.desc(date), F.desc(key)))).where(F.col("rank") <= limit)
-    return notes.where(~F.col(kind).eqNullSafe(F.lit("date"))).withColumn("rank", F.lit(None).cast("int")).unionByName(dated)
+    """All topic notes, and the newest date notes, limit of them; rank is the place among the newest of the kind. Of date notes no task keeps more than limit before the exchange; topic
+    notes are sorted in ranges and numbered in each, so a kind that many notes have is the work of many tasks. key has to be unique in its kind."""
+    newest = (F.desc(date), F.desc(key))
+    dated = notes.where(F.col(kind) == "date").withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy(*newest))).where(F.col("rank") <= limit)
+    topics = notes.where(~F.col(kind).eqNullSafe(F.lit("date"))).repartitionByRange(F.col(kind), *newest).sortWithinPartitions(F.col(kind), *newest)
+    placed = checkpointed(topics.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
+    ranges = placed.groupBy(F.col(kind).alias("_kind"), F.col("_range").alias("_of")).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_kind").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A row for each kind and range.
+    starts = ranges.select("_kind", "_of", (before + 1 - F.col("_first")).alias("_shift"))
+    ranked = placed.join(F.broadcast(starts), (F.col("_range") == F.col("_of")) & F.col(kind).eqNullSafe(F.col("_kind"))).withColumn("rank", (F.col("_place") + F.col("_shift")).cast("int"))
+    return ranked.select(*notes.columns, "rank").unionByName(dated)

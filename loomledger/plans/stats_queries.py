@@ -168,7 +168,7 @@ def fit_budget(spark, sf_dir):
 
 
 def list_notes(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("kind", F.when(F.col("lang") == "en", "date").otherwise(F.col("lang")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", "date").otherwise(F.col("lang")).alias("kind"), "n_chars")
     return stats.list_notes(docs, "kind", "n_chars", "doc_id", 30).select("doc_id", "kind", "rank")
 
 
@@ -446,7 +446,7 @@ ORACLE = {
     "ag30_inventory": "SELECT o_orderpriority, count(*) AS items, count(*) FILTER (strftime(o_orderdate, '%Y-%m') < '1997-06') AS untidied, count(*) FILTER (o_custkey % 3 = 0) AS index_missing, count(*) FILTER (o_orderkey % 100 = 1) AS index_stale FROM orders GROUP BY 1",
     "tk07_fit_budget": f"""SELECT attempt_id, item_id, CAST(used AS BIGINT) AS used, dropped FROM (SELECT *, count(*) FILTER (used > 1500) OVER (PARTITION BY item_id) AS dropped FROM (
         SELECT attempt_id, item_id, sum(k + 20) OVER (PARTITION BY item_id ORDER BY attempt_id ROWS UNBOUNDED PRECEDING) AS used FROM ({ATTEMPTS_SQL}))) WHERE used <= 1500""",
-    "tk08_list_notes": "SELECT doc_id, kind, CASE WHEN kind = 'date' THEN CAST(r AS INTEGER) END AS rank FROM (SELECT doc_id, kind, row_number() OVER (PARTITION BY kind ORDER BY n_chars DESC, doc_id DESC) AS r FROM (SELECT *, CASE WHEN lang = 'en' THEN 'date' ELSE lang END AS kind FROM documents)) WHERE kind <> 'date' OR r <= 30",
+    "tk08_list_notes": "SELECT doc_id, kind, CAST(r AS INTEGER) AS rank FROM (SELECT doc_id, kind, row_number() OVER (PARTITION BY kind ORDER BY n_chars DESC, doc_id DESC) AS r FROM (SELECT *, CASE WHEN lang = 'en' THEN 'date' ELSE lang END AS kind FROM documents)) WHERE kind <> 'date' OR r <= 30",
     "wn02_latest_per": f"SELECT item_id, arg_max(attempt_id, (started_at, attempt_id)) AS attempt_id, arg_max(result, (started_at, attempt_id)) AS result FROM ({ATTEMPTS_SQL}) GROUP BY item_id",
     "wn04_series_novelty": f"WITH {_NOVEL} SELECT series, idx AS page, coalesce(novelty, -1) AS novelty FROM n",
     "wn04_series_dryness": f"""WITH RECURSIVE {_NOVEL}, p AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY idx) AS r FROM n),

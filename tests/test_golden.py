@@ -509,3 +509,10 @@ def test_every_transcript_is_searched(spark, tmp_path):
     turns = [(c, t, "user", f"{c} station then") for c in range(8, 22) for t in range(2)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert sorted((r.file, r.line) for r in text_queries.search_transcripts(spark, str(tmp_path)).collect()) == [(c, t + 1) for c, t, *_ in turns]
+
+
+def test_notes_of_every_kind_are_ranked(spark):
+    notes = [(i, ("date", "de", "fr", None)[i % 4], i * 7 % 50) for i in range(400)]
+    got = {(r.i, r.rank) for r in stats.list_notes(spark.createDataFrame(notes, "i long, k string, d long"), "k", "d", "i", 30).collect()}
+    want = {(n[0], at) for k in ("date", "de", "fr", None) for at, n in enumerate(sorted((n for n in notes if n[1] == k), key=lambda n: (-n[2], -n[0])), 1) if k != "date" or at <= 30}
+    assert got == want
