@@ -6,7 +6,7 @@ import base64
 import hashlib
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,36 +32,53 @@ def sections(lines: DataFrame) -> DataFrame:
     """path, address, level, depth, title, start_line (from 1), end_line, line_count of every section.
 
     The first header is the document's title. Addresses number siblings (1, 1-2); a section named definition has the
-    address of that name and no number. Only header rows reach Python, one document at a time: the stack of levels
+    address of that name and no number. Only header rows reach Python, sorted by document and line, of which a task holds a batch and the open document: the stack of levels
     is sequential."""
     ends = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    rows = headers(lines).where("not fenced").join(ends, "path")
-
-    def number(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("line")
-        stack, siblings, out, ends_at = [], {}, [], []
-        for i, r in enumerate(frame.itertuples(index=False)):
-            if i == 0:
-                continue
-            while stack and stack[-1][0] >= r.level:
-                ends_at[stack.pop()[2]] = int(r.line)
-            above = stack[-1][1] if stack else ""
-            title = r.title
-            if title == "definition":
-                address = "definition"
-            else:
-                siblings[above] = siblings.get(above, 0) + 1
-                address = f"{above}-{siblings[above]}" if above else str(siblings[above])
-                head, _, rest = title.partition(" ")
-                if head.replace("-", "").isdigit():
-                    title = rest
-            stack.append((r.level, address, len(out)))
-            ends_at.append(int(r.n))
-            out.append([r.path, address, int(r.level), address.count("-"), title, int(r.line) + 1])
-        out = [(*row, end, end - row[-1] + 1) for row, end in zip(out, ends_at, strict=True)]
-        return pd.DataFrame(out, columns=["path", "address", "level", "depth", "title", "start_line", "end_line", "line_count"])
-
-    return rows.groupBy("path").applyInPandas(number, "path string, address string, level int, depth int, title string, start_line int, end_line int, line_count int")
+    rows = headers(lines).where("not fenced").join(ends, "path").select("path", "line", "level", "title", "n")
+    names = ["path", "address", "level", "depth", "title", "start_line", "end_line", "line_count"]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+
+    def run(batches):
+        path, seen, last = None, False, 0
+        stack, siblings, out = [], {}, []
+
+        def end(row: list, line: int) -> None:
+            row += [line, line - row[-1] + 1]
+
+        for batch in batches:
+            for p, line, level, title, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not seen or p != path:
+                    for _, _, row in stack:
+                        end(row, last)
+                    path, seen, last = p, True, n
+                    stack, siblings = [], {}
+                    continue
+                while stack and stack[-1][0] >= level:
+                    end(stack.pop()[2], line)
+                above = stack[-1][1] if stack else ""
+                if title == "definition":
+                    address = "definition"
+                else:
+                    siblings[above] = siblings.get(above, 0) + 1
+                    address = f"{above}-{siblings[above]}" if above else str(siblings[above])
+                    head, _, rest = title.partition(" ")
+                    if head.replace("-", "").isdigit():
+                        title = rest
+                row = [p, address, level, address.count("-"), title, line + 1]
+                stack.append((level, address, row))
+                out.append(row)
+            # Sections still open wait for their end.
+            open_rows = {id(row) for _, _, row in stack}
+            done, out = [r for r in out if id(r) not in open_rows], [r for r in out if id(r) in open_rows]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+        for _, _, row in stack:
+            end(row, last)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return rows.repartition("path").sortWithinPartitions("path", "line").mapInArrow(run, "path string, address string, level int, depth int, title string, start_line int, end_line int, line_count int")
 
 
 def section_matches(lines: DataFrame, found: DataFrame, query: str, snippets: int = 2) -> DataFrame:

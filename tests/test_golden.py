@@ -527,3 +527,18 @@ def test_few_parsed_pages_are_held(monkeypatch):
     parts = html._parsed([batch], [*"kuabcdefgh"])
     assert next(parts).num_rows == len(made) <= 100
     assert sum(p.num_rows for p in parts) == 1000 - html.PAGES
+
+
+def test_sections_over_several_batches(spark):
+    """Headers reach Python as one sorted stream, not a group a document: a document may go on in the next batch, with sections still open."""
+    docs = [(f"d{i}", "\n".join(["# t", *(f"{'#' * (2 + (i + j) % 3)} s{j}\ntext" for j in range(i)), "end"])) for i in range(9)]
+    lines = doc_ops.doc_lines(spark.createDataFrame(docs, "path string, text string"))
+    whole = sorted(map(tuple, doc_ops.sections(lines).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        cut = doc_ops.sections(lines)
+        assert sorted(map(tuple, cut.collect())) == whole and len(whole) == sum(range(9))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert [(r.address, r.start_line, r.end_line) for r in doc_ops.sections(lines).where("path = 'd3'").orderBy("start_line").collect()] == [("1", 2, 8), ("1-1", 4, 8), ("1-1-1", 6, 8)]
