@@ -1,18 +1,21 @@
 """Exact top-k inner-product search by no-random-access aggregation.
 
 Vectors become integers, floor(scale * x). Rows are dealt into blocks, and a block into runs of ``run`` rows; a run keeps one
-list for each dimension, of (row, value) sorted by value, and knows the lists' ends. A query reads every list from the end that suits the sign of its
-component, deeper where the component is larger, a step further each round, and never looks a row up: what a round has read is added to its
-rows' partial sums and marked as seen, and nothing else of a row is known. An entry not read yet is at most the list's last value read, which
+list for each dimension, of (row, value) sorted by value, and knows the lists' ends. A query needs every list from the end that suits the sign of its
+component, deeper where the component is larger, a step further each round, and never looks a row up: what was read is kept
+for its row, and nothing else of a row is known. Lists are read once for ``TOGETHER`` queries, from both ends; the bounds of all of these are
+one product of their components with what is known of the rows, so what a query costs by itself is arithmetic, not reading. An entry not read yet is at most the list's last value read, which
 bounds a row's score from above, and at least the list's far end, which bounds it from below. The bar is the k-th best of the
 scores resolved so far and of the lower bounds. Rows whose upper bound is under the bar, and so all rows not met yet when the
 sum of the last values read is under it, can't qualify. When at most ``2 k`` rows can, the lists are read on until all of those have
 been met everywhere: their sums are then their scores, and the bar goes on to the next run. ``entries_read`` tells, with each
-query, how many list entries it read, and ``entries`` how many there were.
+query, how many entries of its lists had been read when it was answered, and ``entries`` how many there were.
+
+The work is queries times rows: vectors that point everywhere leave no bound that would spare a query most of the rows.
 
 A block of rows stays in one task while queries stream past it, so each row travels once for every ``queries_per_part`` queries.
 
-Scores are exact: integers below 2^53 as doubles, larger ones as Python integers. A score that a long can't hold is an
+Scores are exact: integers below 2^24 in single precision, below 2^53 as doubles, larger ones as Python integers. A score that a long can't hold is an
 error (OverflowError), never a wrong number.
 
 Vectors that are null or hold null, NaN or infinite components take no part. Vectors of different dimensions
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 _ROWS = "d int, block long, part int, asks int, id long, v array<double>"
 #: Groups of lists of about one weight, for each of which a round has one depth.
 GROUPS = 4
+#: Queries for which lists are read together: a bound for each of them and each row of a run is held at once.
+TOGETHER = 512
 _FOUND = "query_id long, vec_id long, score long, read long, held long"
 
 
@@ -57,85 +62,151 @@ class SortedLists:
         self._values = np.ascontiguousarray(np.stack([value, value[:, ::-1]]))
         self.least, self.most = value[:, 0].copy(), value[:, -1].copy()
         self.largest = float(np.abs(rows).max(initial=0.0))
+        self._by_id = np.argsort(ids, kind="stable")
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Where rows of these ids stand; -1: not here."""
+        at = self._by_id[np.minimum(np.searchsorted(self.ids, ids, sorter=self._by_id), self.m - 1)]
+        return np.where(self.ids[at] == ids, at, -1)
 
     def read(self, dims: np.ndarray, large: bool, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and values of the entries from begin to end of the lists of dims, counted from their large or small ends."""
         return self._rows[int(large), dims, begin:end], self._values[int(large), dims, begin:end]
 
 
-def aggregate(lists: SortedLists, query: np.ndarray, own_id: int, k: int, bar: float, slack: float, step: float = 0.15) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, int]:
-    """Rows of a run that can still be among the k best, with their scores, or (where slack isn't 0) with all of their values, and the number of entries read.
-
-    bar: a score that k other rows reach; slack: what rounding can add to a bound."""
-    m = lists.m
-    dims = np.flatnonzero(query)  # a component of zero needs no list
-    dims = dims[np.argsort(-np.abs(query[dims]), kind="stable")]
-    q, large = query[dims], query[dims] > 0
-    far = q * np.where(large, lists.least[dims], lists.most[dims])
-    last = q * np.where(large, lists.most[dims], lists.least[dims])
-    # Lists are read in groups of one end and of about one weight, each group to one depth.
-    groups = [g for part in np.array_split(np.arange(len(dims)), min(GROUPS, max(1, len(dims)))) for g in (part[large[part]], part[~large[part]]) if len(g)]
-    weight = np.sqrt(np.abs(q))
-    weight = np.array([weight[g].mean() for g in groups]) / max(weight.mean() if len(q) else 0.0, 1e-300)
-    depth = np.zeros(len(groups), np.int64)
-    total, seen = np.zeros(m), np.zeros((len(dims), m))
-    got = np.zeros((len(query), m)) if slack else None
-    alive, share = np.flatnonzero(lists.ids != own_id), 3 * step
-
-    def read_to(i: int, end: int) -> None:
-        group, begin = groups[i], int(depth[i])
-        if end <= begin:
-            return
-        row, value = lists.read(dims[group], bool(large[group[0]]), begin, end)
-        total[:] += np.bincount(row.ravel(), weights=(q[group][:, None] * value).ravel(), minlength=m)
-        seen[group[:, None], row] = 1.0
-        if got is not None:
-            got[dims[group][:, None], row] = value
-        last[group] = q[group] * value[:, -1]
-        depth[i] = end
-
-    while len(dims) and len(alive):
-        for i in range(len(groups)):
-            read_to(i, int(min(m, max(1, np.ceil(share * m * weight[i])))))
-        upper = total[alive] + last.sum() - (last @ seen)[alive]
-        if bar == -np.inf and len(alive) > k:
-            lower = total[alive] + far.sum() - (far @ seen)[alive]
-            kept = upper >= float(np.partition(lower, len(lower) - k)[len(lower) - k]) - slack
-        else:
-            kept = upper >= bar - slack
-        alive = alive[kept]
-        if len(alive) <= 2 * k or (depth == m).all():
-            break
+class Reading:
+    """How far a run's lists are read for a batch of queries. A list is read once for all queries that want it from that end."""
+
+    def __init__(self, lists: SortedLists, queries: np.ndarray, kind: type = np.float64):
+        self.lists, d = lists, queries.shape[1]
+        # A negative component reads its list from the small end (the first d columns), a positive one from the large end.
+        self.signed = np.concatenate([np.minimum(queries, 0.0), np.maximum(queries, 0.0)], axis=1)
+        used = np.flatnonzero(self.signed.any(axis=0))  # a component of zero needs no list
+        self.signed = self.signed[:, used].astype(kind)
+        self.wants, self.dims, large = self.signed != 0, used % d, used >= d
+        size = np.abs(self.signed).mean(axis=0, dtype=np.float64)
+        heavy = np.argsort(-size, kind="stable")
+        # Lists are read in groups of one end and of about one weight, each group to one depth.
+        self.groups = [g for part in np.array_split(heavy, min(GROUPS, max(1, len(used)))) for g in (part[large[part]], part[~large[part]]) if len(g)]
+        self.large = [bool(large[g[0]]) for g in self.groups]
+        weight = np.sqrt(size)
+        self.weight = [weight[g].mean() / max(weight.mean(), 1e-300) for g in self.groups]
+        self.last = np.where(large, lists.most[self.dims], lists.least[self.dims]).astype(kind)
+        self.far = np.where(large, lists.least[self.dims], lists.most[self.dims]).astype(kind)
+        # What is known of an entry, as list x row: its value, or if it is unread the last value read of its list.
+        self.near = np.repeat(self.last[:, None], lists.m, axis=1)
+        self.unread = np.ones((len(used), lists.m), dtype=bool)
+        self.depth = np.zeros(len(used), np.int64)
+
+    def read_to(self, ends: list[int]) -> None:
+        """Reads each group of lists on to an end."""
+        for group, large, end in zip(self.groups, self.large, ends, strict=True):
+            begin = int(self.depth[group[0]])
+            if end > begin:
+                row, value = self.lists.read(self.dims[group], large, begin, end)
+                self.near[group[:, None], row] = value
+                self.unread[group[:, None], row] = False
+                self.last[group], self.depth[group] = value[:, -1], end
+        np.copyto(self.near, self.last[:, None], where=self.unread)
+
+    def whole(self) -> bool:
+        return bool((self.depth == self.lists.m).all())
+
+
+def aggregate_all(lists: SortedLists, queries: np.ndarray, own_ids: np.ndarray, k: int, bars: np.ndarray, slack: np.ndarray, step: float = 0.15, kind: type = np.float64) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None, int]]:
+    """For each query the rows of a run that can still be among its k best, with their scores, or (where its slack isn't 0) with all of their values, and the number of entries read of its lists.
+
+    bars: scores that k other rows reach; slack: what rounding can add to a bound; kind: holds all bounds."""
+    m, reading = lists.m, Reading(lists, queries, kind)
+    own = lists.places(own_ids)
+    found: list = [None] * len(queries)
+
+    def finish(i: int, alive: np.ndarray, score: np.ndarray) -> None:
+        values = None
+        if slack[i]:
+            values = np.zeros((queries.shape[1], len(alive)))
+            mine = np.flatnonzero(reading.wants[i])
+            values[reading.dims[mine]] = reading.near[np.ix_(mine, alive)]
+        found[i] = alive, score, values, int(reading.depth[reading.wants[i]].sum())
+
+    some = reading.wants.any(axis=1)
+    for i in np.flatnonzero(~some):
+        alive = np.delete(np.arange(m), own[i] if own[i] >= 0 else [])
+        finish(i, alive, np.zeros(len(alive)))
+    many, few, share = np.flatnonzero(some), {}, 3 * step
+    while len(many):
+        reading.read_to([int(min(m, max(1, np.ceil(share * m * w)))) for w in reading.weight])
+        bar, at, mine = bars[many] - slack[many], np.flatnonzero(own[many] >= 0), own[many]
+        if m > k and len(fresh := np.flatnonzero(bars[many] == -np.inf)):
+            lower = reading.signed[many[fresh]] @ np.where(reading.unread, reading.far[:, None], reading.near)
+            itself = np.flatnonzero(mine[fresh] >= 0)
+            lower[itself, mine[fresh][itself]] = -np.inf
+            bar[fresh] = np.partition(lower, m - k, axis=1)[:, m - k] - slack[many[fresh]]
+        upper = reading.signed[many] @ reading.near
+        # A bound that is no number keeps its row.
+        kept = ~(upper < bar.astype(kind)[:, None])
+        kept[at, mine[at]] = False
+        left, whole = np.count_nonzero(kept, axis=1), reading.whole()
+        for j in np.flatnonzero((left <= 2 * k) | whole):
+            alive = np.flatnonzero(kept[j])
+            if whole:
+                finish(many[j], alive, upper[j, alive])
+            else:
+                few[many[j]] = alive
+        many = many[(left > 2 * k) & (not whole)]
+        missing = met(reading, few, finish)
         share += step
     # Read on until the rows left have been met in all lists.
-    for i, group in enumerate(groups):
-        while len(alive) and depth[i] < m and not seen[np.ix_(group, alive)].all():
-            read_to(i, min(m, int(depth[i]) + max(1, m // 16)))
-    sizes = np.array([len(g) for g in groups], dtype=np.int64)
-    return alive, total[alive], None if got is None else got[:, alive], int((depth * sizes).sum())
-
-
-def best_of_block(runs: list[SortedLists], query: np.ndarray, own_id: int, k: int) -> tuple[list[tuple[int, int]], int]:
-    """(-score, id) of the k best rows of a block's runs, ties to the smaller id, and the number of entries read."""
-    best: list[tuple[int, int]] = []
-    read = 0
-    reach = float(np.abs(query).sum())
-    for lists in runs:
-        exact = reach * lists.largest < 2.0**53
-        slack = 0.0 if exact else max(1e-12 * reach * lists.largest, 5e-324)
-        alive, score, values, entries = aggregate(lists, query, own_id, k, -float(best[-1][0]) if len(best) == k else -np.inf, slack)
-        read += entries
-        if values is None:
-            score = score.astype(np.int64)
-            if len(alive) > 4 * k:
-                few = score >= np.partition(score, len(score) - k)[len(score) - k]
-                alive, score = alive[few], score[few]
-            score = score.tolist()
+    while few:
+        reading.read_to([min(m, int(reading.depth[g[0]]) + max(1, m // 16) * bool(missing[g].any())) for g in reading.groups])
+        missing = met(reading, few, finish)
+    return found
+
+
+def met(reading: Reading, few: dict[int, np.ndarray], finish) -> np.ndarray:
+    """Ends the queries whose few rows have been met in all of their lists: their sums are their scores. Tells in which lists the others' rows are missing."""
+    missing = np.zeros(len(reading.dims), dtype=bool)
+    for i, alive in list(few.items()):
+        lacks = reading.wants[i] & reading.unread[:, alive].any(axis=1)
+        if lacks.any():
+            missing |= lacks
         else:
-            whole = [int(x) for x in query]
-            score = [sum(int(x) * q for x, q in zip(row, whole, strict=True)) for row in values.T.tolist()]
-        best = sorted([*best, *zip((-s for s in score), lists.ids[alive].tolist(), strict=True)])[:k]
-    return best, read
+            finish(i, alive, reading.signed[i] @ reading.near[:, alive])
+            del few[i]
+    return missing
+
+
+def aggregate(lists: SortedLists, query: np.ndarray, own_id: int, k: int, bar: float, slack: float, step: float = 0.15) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, int]:
+    """``aggregate_all`` for one query."""
+    return aggregate_all(lists, query[None], np.array([own_id]), k, np.array([bar]), np.array([slack]), step)[0]
+
+
+def best_of_block(runs: list[SortedLists], queries: np.ndarray, own_ids: np.ndarray, k: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """For each query (-score, id) of the k best rows of a block's runs, ties to the smaller id, and the number of entries read."""
+    best: list[list[tuple[int, int]]] = [[] for _ in queries]
+    read, bars = [0] * len(queries), np.full(len(queries), -np.inf)
+    with np.errstate(over="ignore", invalid="ignore"):
+        reach = np.abs(queries).sum(axis=1)
+        # Sums of integers that stay under 2^24 are exact in single precision, under 2^53 in double.
+        kind = np.float32 if reach.max(initial=0.0) * max(lists.largest for lists in runs) < 2.0**24 else np.float64
+        for lists in runs:
+            bound = reach * lists.largest
+            slack = np.where(bound < 2.0**53, 0.0, np.maximum(1e-12 * bound, 5e-324))
+            for i, (alive, score, values, entries) in enumerate(aggregate_all(lists, queries, own_ids, k, bars, slack, kind=kind)):
+                read[i] += entries
+                if values is None:
+                    score = score.astype(np.int64)
+                    if len(alive) > 4 * k:
+                        few = score >= np.partition(score, len(score) - k)[len(score) - k]
+                        alive, score = alive[few], score[few]
+                    score = score.tolist()
+                else:
+                    whole = [int(x) for x in queries[i]]
+                    score = [sum(int(x) * q for x, q in zip(row, whole, strict=True)) for row in values.T.tolist()]
+                best[i] = sorted([*best[i], *zip((-s for s in score), lists.ids[alive].tolist(), strict=True)])[:k]
+                if len(best[i]) == k:
+                    bars[i] = -float(best[i][-1][0])
+    return list(zip(best, read, strict=True))
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, rows_per_block: int = 8192, queries_per_part: int = 16384, run: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -164,10 +235,10 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, ro
 
     def answered(runs: list[SortedLists], asking: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[list, ...] = ([], [], [], [], [])
-        ids = np.asarray(asking.column("id"), dtype=np.int64).tolist()
-        for own, query in zip(ids, integers(asking), strict=True):
-            best, read = best_of_block(runs, query, own, k)
-            held = sum(lists.m * len(query) for lists in runs)
+        ids, asked = np.asarray(asking.column("id"), dtype=np.int64), integers(asking)
+        held = sum(lists.m for lists in runs) * asked.shape[1]
+        found = (x for at in range(0, len(ids), TOGETHER) for x in best_of_block(runs, asked[at : at + TOGETHER], ids[at : at + TOGETHER], k))
+        for own, (best, read) in zip(ids.tolist(), found, strict=True):
             # The counts travel on the first row of each block's answer.
             for i, (score, row) in enumerate(best):
                 if not -(2**63) <= -score < 2**63:

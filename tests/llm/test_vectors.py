@@ -99,6 +99,33 @@ def test_unread_entries_are_never_touched():
         assert (first[0] == again[0]).all() and (first[1] == again[1]).all() and first[3] == again[3]
 
 
+def test_lists_are_read_once_for_many_queries():
+    """What is read of the lists doesn't grow with the number of queries; every query finds what brute force finds."""
+    rng = np.random.default_rng(11)
+
+    class Counted(topk.SortedLists):
+        entries = 0
+
+        def read(self, dims, large, begin, end):
+            self.entries += len(dims) * (end - begin)
+            return super().read(dims, large, begin, end)
+
+    for scale in (20, 1e5, 1e12):
+        rows = np.floor(rng.normal(0, scale, (500, 6)))
+        rows[40:60] = rows[3]
+        ids = rng.permutation(1000)[:500]
+        queries = np.vstack([np.floor(rng.normal(0, scale, (120, 6))), rows[:80], np.zeros((1, 6))])
+        queries[5, 1:] = 0
+        own = np.r_[np.full(120, -1), ids[:80], ids[7]]
+        for few in (10, len(queries)):
+            runs = [Counted(rows[at : at + 200], ids[at : at + 200]) for at in range(0, 500, 200)]
+            found = topk.best_of_block(runs, queries[-few:], own[-few:], 5)
+            assert sum(lists.entries for lists in runs) <= 2 * rows.size
+            for query, itself, (best, read) in zip(queries[-few:], own[-few:], found, strict=True):
+                scores = sorted((-sum(int(a) * int(b) for a, b in zip(query, row)), int(i)) for row, i in zip(rows, ids) if i != itself)
+                assert best == scores[:5] and (0 < read <= rows.size) == query.any()
+
+
 def test_posting_lists(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(0, 1, (12, 16))
