@@ -13,7 +13,8 @@ query, how many entries of its lists had been read when it was answered, and ``e
 
 The work is queries times rows: vectors that point everywhere leave no bound that would spare a query most of the rows.
 
-A block of rows stays in one task while queries stream past it, so each row travels once for every ``queries_per_part`` queries.
+A block of rows stays in one task while queries stream past it, so each row travels once for every ``queries_per_part`` queries, and each
+query once for every block. A block has ``rows_per_block`` rows and 2 Mi components at most, fewer rows if there would be fewer blocks than tasks at once.
 
 Scores are exact: integers below 2^24 in single precision, below 2^53 as doubles, larger ones as Python integers. A score that a long can't hold is an
 error (OverflowError), never a wrong number.
@@ -33,7 +34,9 @@ _ROWS = "d int, block long, part int, asks int, id long, v array<double>"
 #: Groups of lists of about one weight, for each of which a round has one depth.
 GROUPS = 4
 #: Queries for which lists are read together: a bound for each of them and each row of a run is held at once.
-TOGETHER = 512
+TOGETHER = 1024
+#: Components that a block holds at most, and rows that it holds at least before it is made smaller for the sake of more tasks.
+COMPONENTS, LEAST = 1 << 21, 4096
 _FOUND = "query_id long, vec_id long, score long, read long, held long"
 
 
@@ -58,7 +61,7 @@ class SortedLists:
         order = np.argsort(rows, axis=0, kind="stable").T
         value = np.take_along_axis(rows.T, order, axis=1)
         # From the small end and from the large end: both as dimension x place.
-        self._rows = np.ascontiguousarray(np.stack([order, order[:, ::-1]]), dtype=np.int32)
+        self._rows = np.ascontiguousarray(np.stack([order, order[:, ::-1]]), dtype=np.intp)
         self._values = np.ascontiguousarray(np.stack([value, value[:, ::-1]]))
         self.least, self.most = value[:, 0].copy(), value[:, -1].copy()
         self.largest = float(np.abs(rows).max(initial=0.0))
@@ -103,15 +106,12 @@ class Reading:
         for group, large, end in zip(self.groups, self.large, ends, strict=True):
             begin = int(self.depth[group[0]])
             if end > begin:
-                row, value = self.lists.read(self.dims[group], large, begin, end)
-                self.near[group[:, None], row] = value
-                self.unread[group[:, None], row] = False
-                self.last[group], self.depth[group] = value[:, -1], end
+                rows, values = self.lists.read(self.dims[group], large, begin, end)
+                for at, row, value in zip(group.tolist(), rows, values.astype(self.near.dtype), strict=True):
+                    self.near[at][row], self.unread[at][row] = value, False
+                self.last[group], self.depth[group] = values[:, -1], end
         np.copyto(self.near, self.last[:, None], where=self.unread)
 
-    def whole(self) -> bool:
-        return bool((self.depth == self.lists.m).all())
-
 
 def aggregate_all(lists: SortedLists, queries: np.ndarray, own_ids: np.ndarray, k: int, bars: np.ndarray, slack: np.ndarray, step: float = 0.15, kind: type = np.float64) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None, int]]:
     """For each query the rows of a run that can still be among its k best, with their scores, or (where its slack isn't 0) with all of their values, and the number of entries read of its lists.
@@ -133,7 +133,24 @@ def aggregate_all(lists: SortedLists, queries: np.ndarray, own_ids: np.ndarray,
     for i in np.flatnonzero(~some):
         alive = np.delete(np.arange(m), own[i] if own[i] >= 0 else [])
         finish(i, alive, np.zeros(len(alive)))
-    many, few, share = np.flatnonzero(some), {}, 3 * step
+    many, share = np.flatnonzero(some), 3 * step
+    # Queries with few rows left, and these rows: pairs in order of queries.
+    asks, rows = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def met() -> np.ndarray:
+        """Ends the queries whose few rows have been met in all of their lists: their sums are their scores. Tells in which lists the others' rows are missing."""
+        nonlocal asks, rows
+        lacks = reading.unread.T[rows] & reading.wants[asks]
+        waits = np.zeros(len(queries), dtype=bool)
+        waits[asks[lacks.any(axis=1)]] = True
+        done = ~waits[asks]
+        score = (reading.near.T[rows[done]] * reading.signed[asks[done]]).sum(axis=1)
+        ends, begins = np.unique(asks[done], return_index=True)
+        for i, alive, sums in zip(ends.tolist(), np.split(rows[done], begins[1:]), np.split(score, begins[1:]), strict=False):
+            finish(i, alive, sums)
+        asks, rows = asks[~done], rows[~done]
+        return lacks[~done].any(axis=0)
+
     while len(many):
         reading.read_to([int(min(m, max(1, np.ceil(share * m * w)))) for w in reading.weight])
         bar, at, mine = bars[many] - slack[many], np.flatnonzero(own[many] >= 0), own[many]
@@ -146,36 +163,30 @@ def aggregate_all(lists: SortedLists, queries: np.ndarray, own_ids: np.ndarray,
         # A bound that is no number keeps its row.
         kept = ~(upper < bar.astype(kind)[:, None])
         kept[at, mine[at]] = False
-        left, whole = np.count_nonzero(kept, axis=1), reading.whole()
-        for j in np.flatnonzero((left <= 2 * k) | whole):
-            alive = np.flatnonzero(kept[j])
-            if whole:
-                finish(many[j], alive, upper[j, alive])
-            else:
-                few[many[j]] = alive
-        many = many[(left > 2 * k) & (not whole)]
-        missing = met(reading, few, finish)
+        left = np.count_nonzero(kept, axis=1)
+        if (reading.depth == m).all():
+            for j, i in enumerate(many.tolist()):
+                alive = np.flatnonzero(kept[j])
+                finish(i, alive, upper[j, alive])
+            few = np.ones(len(many), dtype=bool)
+        else:
+            few = left <= 2 * k
+            for i in many[few & (left == 0)].tolist():
+                finish(i, np.zeros(0, np.int64), np.zeros(0))
+            ask, row = np.nonzero(kept[few])
+            asks, rows = np.r_[asks, many[few][ask]], np.r_[rows, row]
+            by_query = np.argsort(asks, kind="stable")
+            asks, rows = asks[by_query], rows[by_query]
+        many = many[~few]
+        missing = met()
         share += step
     # Read on until the rows left have been met in all lists.
-    while few:
+    while len(asks):
         reading.read_to([min(m, int(reading.depth[g[0]]) + max(1, m // 16) * bool(missing[g].any())) for g in reading.groups])
-        missing = met(reading, few, finish)
+        missing = met()
     return found
 
 
-def met(reading: Reading, few: dict[int, np.ndarray], finish) -> np.ndarray:
-    """Ends the queries whose few rows have been met in all of their lists: their sums are their scores. Tells in which lists the others' rows are missing."""
-    missing = np.zeros(len(reading.dims), dtype=bool)
-    for i, alive in list(few.items()):
-        lacks = reading.wants[i] & reading.unread[:, alive].any(axis=1)
-        if lacks.any():
-            missing |= lacks
-        else:
-            finish(i, alive, reading.signed[i] @ reading.near[:, alive])
-            del few[i]
-    return missing
-
-
 def aggregate(lists: SortedLists, query: np.ndarray, own_id: int, k: int, bar: float, slack: float, step: float = 0.15) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, int]:
     """``aggregate_all`` for one query."""
     return aggregate_all(lists, query[None], np.array([own_id]), k, np.array([bar]), np.array([slack]), step)[0]
@@ -209,18 +220,21 @@ def best_of_block(runs: list[SortedLists], queries: np.ndarray, own_ids: np.ndar
     return list(zip(best, read, strict=True))
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, rows_per_block: int = 8192, queries_per_part: int = 16384, run: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, rows_per_block: int = 32768, queries_per_part: int = 65536, run: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score, entries_read, entries: the k best rows of each query; queries are the rows whose id is divisible by ``every``."""
     ready = (
         vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
         .where(F.col("id").isNotNull() & usable("v"))
         .groupBy("id")
-        .agg(F.min("v").alias("v"))
+        .agg(F.min("v").alias("v"), F.max(F.size("v")).alias("longest"))
         .withColumn("d", F.size("v"))
     )
     asks = F.col("id") % every == 0
-    n = ready.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(asks, 1)).alias("queries")).first()
-    blocks, parts = max(1, -(-n["rows"] // rows_per_block)), max(1, -(-n["queries"] // queries_per_part))
+    n = ready.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(asks, 1)).alias("queries"), F.coalesce(F.sum("longest"), F.lit(0)).alias("components")).first()
+    # Large blocks, since queries travel to each; smaller ones where there would be fewer than there are cores.
+    spread = min(-(-n["rows"] // LEAST), 2 * vectors.sparkSession.sparkContext.defaultParallelism)
+    blocks = max(1, -(-n["rows"] // rows_per_block), -(-n["components"] // COMPONENTS), spread)
+    parts = max(1, -(-n["queries"] // queries_per_part))
     each = lambda n, kind: F.explode(F.sequence(F.lit(0).cast(kind), F.lit(n - 1).cast(kind)))
     # Every block of rows meets every part of the queries: a stated query set against all rows.
     rows = ready.select("d", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), each(parts, "int").alias("part"), F.lit(0).alias("asks"), "id", "v")
@@ -265,7 +279,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, ro
                         runs, held = [SortedLists(x[at : at + run], ids[at : at + run]) for at in range(0, len(x), run)], []
                     yield answered(runs, piece)
 
-    met = rows.union(queries).repartition(blocks * parts, "d", "block", "part").sortWithinPartitions("d", "block", "part", "asks", "id").mapInArrow(scan, _FOUND)
+    dealt = rows.union(queries).repartitionById(blocks * parts, (F.col("block") * parts + F.col("part")).cast("int"))
+    met = dealt.sortWithinPartitions("d", "block", "part", "asks", "id").mapInArrow(scan, _FOUND)
     of_query = Window.partitionBy("query_id")
     ranked = met.select(
         "query_id",
