@@ -229,3 +229,71 @@ def test_recall_of_the_registered_query(spark):
         total += len(scores)
         hits += sum(s >= scores[0] - 1e-9 for s in found[ids[q]])
     assert hits / total >= 0.95
+
+
+def brute_near(data, ids, k, every=20):
+    """Query -> ids of its k best rows by exact inner products, ties to the smaller id."""
+    x = np.asarray(data, dtype=np.float64)
+    return {int(i): [int(r) for _, r in sorted((-float(np.einsum("i,i->", q, v)), j) for v, j in zip(x, ids) if j != i)[:k]] for q, i in zip(x, ids) if i % every == 0}
+
+
+def test_a_measured_ratio_finds_the_share_it_is_asked_for(spark):
+    rng = np.random.default_rng(12)
+    data = rng.normal(0, 1, (3000, 24)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
+    expected = brute_near(data, range(3000), 10)
+    sizes = []
+    for share in (0.9, 1.0):
+        found = defaultdict(list)
+        for r in ann.search(vectors, k=10, vectors_per_list=30, recall=share, floor=1).orderBy("query_id", "rank").collect():
+            found[r.query_id].append(r.vec_id)
+            assert r.score == float(np.einsum("i,i->", data[r.query_id].astype(float), data[r.vec_id].astype(float)))
+        sizes.append(np.mean([len(set(found[q]) & set(best)) / 10 for q, best in expected.items()]))
+        assert set(found) == set(expected) and all(len(v) == 10 for v in found.values())
+    # All 150 queries were asked, so the share is no estimate.
+    assert 0.9 <= sizes[0] < 0.97 and sizes[1] == 1.0
+
+
+def test_near_ties_copies_and_odd_lengths_are_told_apart(spark):
+    rng = np.random.default_rng(13)
+    base = rng.normal(0, 1, 16).astype(np.float32)
+    near = np.repeat(base[None, :], 300, axis=0)
+    # One last bit of one component: single products can't tell these rows apart.
+    for i in range(300):
+        near[i, i % 16] = np.nextafter(near[i, i % 16], np.float32(9), dtype=np.float32)
+    data = np.vstack([near, np.repeat(base[None, :], 700, axis=0), rng.normal(0, 1, (1000, 16)).astype(np.float32)])
+    ids = rng.permutation(len(data))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 97)
+    try:
+        for scale in (1.0, 1e-30, 1e30):
+            x = (data * np.float32(scale)).astype(np.float32)
+            vectors = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x)] + [(0, [9e37] * 16)] * 2, "vec_id long, embedding array<float>")
+            rows = dict(zip(ids.tolist(), x.astype(np.float64)))
+            rows[0] = min(rows[0].tolist(), [float(np.float32(9e37))] * 16)
+            expected = brute_near(list(rows.values()), list(rows), 20)
+            found = defaultdict(list)
+            for r in ann.search(vectors, vectors_per_list=100, probes=1.0, floor=1000).orderBy("query_id", "rank").collect():
+                found[r.query_id].append(r.vec_id)
+            assert found == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_copies_that_always_lose_ties_are_not_held():
+    rng = np.random.default_rng(14)
+    x = np.vstack([np.ones((500, 8)), rng.normal(0, 1, (50, 8))]).astype(np.float32)
+    ids, list_ = rng.permutation(len(x)), np.zeros(len(x), np.int64)
+    shard = ann.Shard(x, ids, list_, 5)
+    assert len(shard.ids) == 56 and set(np.sort(ids[:500])[:6]) <= set(shard.ids)
+
+
+def test_a_vector_meets_few_of_many_centroids():
+    rng = np.random.default_rng(15)
+    centroids, x = rng.normal(0, 1, (6000, 16)), rng.normal(0, 1, (500, 16))
+    graph = ann.CentroidGraph(centroids)
+    assert len(graph.hubs) + graph.doors * max(len(a) for a in graph.around) < len(centroids) / 3
+    at, node = graph.near(x, 1.03, 4)
+    far = ((x[:, None, :] - centroids[None, :, :]) ** 2).sum(axis=2)
+    first = node[np.searchsorted(at, np.arange(500))]
+    assert (first == far.argmin(axis=1)).mean() > 0.8 and (np.bincount(at, minlength=500) > 0).all()
+    assert (np.sqrt(far[at, node]) <= 1.031 * np.sqrt(far[at, first[at]])).all()
