@@ -357,7 +357,7 @@ def search(
     floor: int = 4,
     sample_per_list: int = 4,
     recall: float | None = None,
-    asked: int = 256,
+    asked: int = 1024,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -459,8 +459,8 @@ def _indexed(
         """How many rows have a list as their first, second... (key >= 0); the best k rows of each trial query (key < 0), with how much farther than its nearest lists the nearest of a row's first, first two... lists is."""
         graph, size = fitted.value, np.zeros(replicas * lists, np.int64)
         far = graph.distances(_lifted(trial, largest, query=True))
-        far = np.sqrt(far) / _unit(far, nearest, nearer)[:, None]
-        query, score, need = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, replicas))
+        far = np.sqrt(far) / _unit(far, nearest, nearer)[:, None].astype(np.float32)
+        query, score, need, bar = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, replicas)), np.full(len(trial), -np.inf)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -469,20 +469,24 @@ def _indexed(
             size += np.bincount((np.arange(len(at)) - np.searchsorted(at, at)) * lists + list_, minlength=len(size))
             if len(trial):
                 products = trial @ x.T
-                own, mine = np.nonzero(trial_ids[:, None] == ids[None, :])
+                _, own, mine = np.intersect1d(trial_ids, ids, return_indices=True)
                 products[own, mine] = -np.inf
-                best = np.argpartition(products, max(0, len(x) - k), axis=1)[:, max(0, len(x) - k) :]
-                who, row = np.repeat(np.arange(len(trial)), best.shape[1]), best.ravel()
+                fresh = np.flatnonzero(np.isneginf(bar)) if len(x) > k else []
+                if len(fresh):
+                    bar[fresh] = np.partition(products[fresh], len(x) - k, axis=1)[:, len(x) - k]
+                who, row = np.divmod(np.flatnonzero(products >= bar[:, None].astype(products.dtype)), len(x))
                 found = products[who, row].astype(np.float64)
                 edges = np.searchsorted(at, np.arange(len(x) + 1))
                 place = np.minimum(edges[row][:, None] + np.arange(replicas), edges[row + 1][:, None] - 1)
                 least = np.minimum.accumulate(far[who[:, None], list_[place]], axis=1)
                 real = found > -np.inf
-                query, score, need = np.r_[query, who[real]], np.r_[score, found[real]], np.r_[need, least[real]]
+                query, score, need = np.r_[query, who[real]], np.r_[score, found[real]], np.r_[need, least[real].astype(np.float64)]
                 by = np.lexsort((-score, query))
                 query, score, need = query[by], score[by], need[by]
                 best = np.arange(len(query)) - np.searchsorted(query, query) < k
                 query, score, need = query[best], score[best], need[best]
+                full = np.flatnonzero(np.bincount(query, minlength=len(trial)) == k)
+                bar[full] = score[np.searchsorted(query, full) + k - 1]
         filled = np.flatnonzero(size)
         ends = np.r_[np.zeros(len(filled), np.int64), np.arange(len(query) + 1) * replicas].astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[filled, -1 - query]), pa.array(np.r_[size[filled], np.zeros(len(query), np.int64)]), pa.array(np.r_[np.zeros(len(filled)), -score]), pa.ListArray.from_arrays(pa.array(ends), pa.array(need.ravel()))], names=["key", "size", "score", "need"])
@@ -500,7 +504,8 @@ def _indexed(
     if needs:
         # Of all numbers of replicas that find enough, the one whose lists have the fewest rows to compare.
         ratios = np.sort(np.array(needs), axis=0)[int(np.ceil(recall * len(needs))) - 1] * (1 + 1e-6)
-        work = [((trial_far <= _reach(trial_far, width, r, size, 0, nearest, nearer)[:, None]) @ size.astype(np.float64)).sum() for r, size in zip(ratios, sizes, strict=True)]
+        some = trial_far[:256]
+        work = [((some <= _reach(some, width, r, size, 0, nearest, nearer)[:, None]) @ size.astype(np.float64)).sum() for r, size in zip(ratios, sizes, strict=True)]
         # A replica has to save a tenth of the comparing, since it is dealt too.
         replicas = int(np.argmin(np.array(work) * (1 + 0.1 * np.arange(replicas)))) + 1
         ratio = float(ratios[replicas - 1])
